@@ -1,0 +1,28 @@
+"""Session settings the operators rely on."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import SparkSession
+
+from colsight.errors import DatasetError
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Return the checkpoint folder, taking ``spark.checkpoint.dir`` when the cluster names one.
+
+    A temporary folder is made only for a local master: on a cluster a machine-local folder would
+    be lost with its executor.
+    """
+    context = spark.sparkContext
+    current = context.getCheckpointDir()
+    if current:
+        return current
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not context.master.startswith("local"):
+            raise DatasetError("Set spark.checkpoint.dir to a folder all executors share.")
+        folder = tempfile.mkdtemp(prefix="colsight-checkpoint-")
+    context.setCheckpointDir(folder)
+    return context.getCheckpointDir() or folder
