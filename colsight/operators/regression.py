@@ -48,10 +48,10 @@ class LinearModel:
         """Key, features with training means filled in, target, ``split_hash`` and ``is_test``."""
         rows = self.split.apply(self.rows)
         filled = [
-            F.coalesce(col(f), F.lit(m).cast("double")).alias(f) for f, m in zip(self.features, self.means)
+            F.coalesce(as_double(f), F.lit(m).cast("double")).alias(f) for f, m in zip(self.features, self.means)
         ]
         kept = [col(c) for c in self.row_key if c not in [self.target, *self.features]]
-        return rows.select(*kept, *filled, col(self.target), "split_hash", "is_test")
+        return rows.select(*kept, *filled, as_double(self.target).alias(self.target), "split_hash", "is_test")
 
     def predictions(self) -> DataFrame:
         """The rows of :meth:`imputed` with ``actual`` and ``predicted``."""
@@ -174,16 +174,15 @@ def modelling_rows(
     key: Sequence[str] = (),
     deduplicate: bool = False,
 ) -> DataFrame:
-    """Key, features and target as doubles, rows without a target left out.
+    """Key, features and target, rows without a target left out.
 
     ``deduplicate`` keeps one row of each set of identical features and target, with the smallest key.
     """
     extra = [c for c in key if c not in features and c != target]
-    columns = [as_double(c).alias(c) for c in [*features, target]]
-    rows = drop_missing(nan_to_null(df.select(*[col(c) for c in extra], *columns)), [target])
+    cells = [col(c) for c in [*features, target]]
+    rows = drop_missing(nan_to_null(df.select(*[col(c) for c in extra], *cells)), [target])
     if not deduplicate:
         return rows
-    cells = [col(c) for c in [*features, target]]
     if not extra:
         return rows.distinct()
     smallest = F.min(F.struct(*[col(c) for c in extra])).alias("_key")
