@@ -34,6 +34,19 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     )
 
 
+def number(df: DataFrame, name: str) -> Column:
+    """A numeric column as double, with NaN as NULL."""
+    value = col(name).cast("double")
+    if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
+        return F.when(~F.isnan(value), value)
+    return value
+
+
+def numbers(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """The named numeric columns as doubles, with NaN as NULL."""
+    return df.select(*[number(df, name).alias(name) for name in names])
+
+
 def tokens_to_null(df: DataFrame, tokens: Iterable[str] = NA_TOKENS) -> DataFrame:
     """Turn NA tokens into NULL in string columns."""
     tokens = list(tokens)

@@ -8,8 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from colsight.errors import DatasetError
-from colsight.functions.columns import as_double, chunks, col, numeric_columns, require_numeric
-from colsight.functions.missing import nan_to_null
+from colsight.functions.columns import chunks, col, numeric_columns, require_numeric
+from colsight.functions.local import local_frame
+from colsight.functions.missing import number, numbers
 from colsight.functions.text import round4
 from colsight.operators.gram import pairwise_sums
 from colsight.operators.profile import moments
@@ -87,7 +88,7 @@ def raw_correlations(
     clean = _doubles(df, columns)
     stats = moments(clean).where("min <> max").orderBy("position").collect()
     if len(stats) < 2:
-        return df.sparkSession.createDataFrame([], RAW_SCHEMA)
+        return local_frame(df.sparkSession, [], RAW_SCHEMA)
     names = [row["name"] for row in stats]
     if method == "spearman":
         return _spearman(clean, stats)
@@ -109,7 +110,7 @@ def raw_correlations(
             else:
                 r = (row["n"] * row["sxy"] - row["sx"] * row["sy"]) / math.sqrt(var_x) / math.sqrt(var_y)
                 known.append((i, j, names[i], names[j], max(-1.0, min(1.0, r))))
-    result = df.sparkSession.createDataFrame(known, RAW_SCHEMA)
+    result = local_frame(df.sparkSession, known, RAW_SCHEMA)
     if redo:
         result = result.unionByName(pair_correlations(clean, names, redo))
     return result
@@ -168,7 +169,7 @@ def relationship(df: DataFrame, x: str, y: str, method: str = "pearson") -> Data
             F.coalesce(F.max("n"), F.lit(0)).cast("long").alias("pair_count"), F.try_divide(r, spread).alias("r")
         )
     else:
-        pair = nan_to_null(df.select(as_double(x).alias("x"), as_double(y).alias("y")))
+        pair = df.select(number(df, x).alias("x"), number(df, y).alias("y"))
         result = pair.where("x IS NOT NULL AND y IS NOT NULL").agg(
             F.count("*").alias("pair_count"), safe_corr(F.col("x"), F.col("y")).alias("r")
         )
@@ -185,7 +186,7 @@ def _doubles(df: DataFrame, columns: Sequence[str] | None) -> DataFrame:
     names = numeric_columns(df) if columns is None else list(columns)
     for name in names:
         require_numeric(df, name)
-    return nan_to_null(df.select(*[as_double(c).alias(c) for c in names]))
+    return numbers(df, names)
 
 
 def _spearman(clean: DataFrame, stats: Sequence) -> DataFrame:
@@ -200,7 +201,7 @@ def _spearman(clean: DataFrame, stats: Sequence) -> DataFrame:
         for j in range(i + 1, len(names))
         if i not in full or j not in full
     ]
-    result = clean.sparkSession.createDataFrame([(k, k, 1.0) for k in range(len(names))], "i int, j int, r double")
+    result = local_frame(clean.sparkSession, [(k, k, 1.0) for k in range(len(names))], "i int, j int, r double")
     for group in groups:
         products = rank_products(clean, [names[k] for k in group])
         position = F.array(*[F.lit(k) for k in group])

@@ -9,8 +9,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from colsight.errors import DatasetError
-from colsight.functions.columns import as_double, chunks, col, numeric_columns, require_numeric
-from colsight.functions.missing import drop_missing, nan_to_null
+from colsight.functions.columns import chunks, col, numeric_columns, require_numeric
+from colsight.functions.local import local_frame
+from colsight.functions.missing import drop_missing, is_missing, nan_to_null, number, numbers
 from colsight.functions.text import round4
 from colsight.operators.profile import QUARTILES, moments
 from colsight.operators.quantiles import column_quantiles, exact_quantiles, grouped_quantiles
@@ -53,7 +54,7 @@ def filter_counts(df: DataFrame, filters: Sequence[Column], value: str) -> DataF
     if len(filters) > MAX_FILTERS:
         raise DatasetError(f"At most {MAX_FILTERS} filters can be combined.")
     passes = reduce(lambda a, b: a & b, filters, F.lit(True))
-    usable = passes & nan_free(df, value).isNotNull()
+    usable = passes & ~is_missing(value, df.schema[value].dataType)
     return df.agg(
         F.count("*").alias("total_rows"),
         F.count_if(passes).alias("matched_rows"),
@@ -61,12 +62,6 @@ def filter_counts(df: DataFrame, filters: Sequence[Column], value: str) -> DataF
     )
 
 
-def nan_free(df: DataFrame, name: str) -> Column:
-    if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
-        return F.when(~F.isnan(col(name)), col(name))
-    return col(name)
-
-
 # Groups and periods ----------------------------------------------------------------------------
 
 
@@ -75,7 +70,7 @@ def grouped_aggregate(df: DataFrame, by: Sequence[str], value: str, median: bool
     require_numeric(df, value)
     by = list(by)
     keys = [col(c) for c in by]
-    rows = drop_missing(nan_to_null(df.select(*keys, as_double(value).alias("_x"))), by)
+    rows = drop_missing(nan_to_null(df.select(*keys, number(df, value).alias("_x"))), by)
     groups = rows.groupBy(*keys).agg(
         F.count("*").alias("rows"),
         F.count("_x").alias("count"),
@@ -100,7 +95,7 @@ def date_trend(df: DataFrame, date: str, value: str, period: str = "day") -> Dat
         raise DatasetError(f"Unknown period '{period}'.")
     require_numeric(df, value)
     start = F.date_trunc(period, col(date)).alias("start")
-    rows = drop_missing(nan_to_null(df.select(start, as_double(value).alias("x"))), ["start"])
+    rows = df.select(start, number(df, value).alias("x")).where("start IS NOT NULL")
     found = rows.groupBy("start").agg(
         F.count("x").alias("count"), round4(F.sum("x")).alias("sum"), round4(F.avg("x")).alias("mean")
     )
@@ -260,7 +255,7 @@ def outlier_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     names = columns
     if names is None:
         names = [c for c in numeric_columns(df) if not isinstance(df.schema[c].dataType, T.BooleanType)]
-    clean = nan_to_null(df.select(*[as_double(c).alias(c) for c in names]))
+    clean = numbers(df, names)
     quartiles = column_quantiles(clean, names, QUARTILES)
     stats = {r["name"]: r for r in moments(clean, names).collect()}
     frames = []
@@ -286,14 +281,14 @@ def outlier_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
         frames.append(clean.agg(*counts).select(F.inline(F.array(*cells))))
     if not frames:
         schema = "position int, name string, low_fence double, high_fence double, iqr_outliers long, z_outliers long"
-        return df.sparkSession.createDataFrame([], schema)
+        return local_frame(df.sparkSession, [], schema)
     return reduce(DataFrame.unionByName, frames)
 
 
 def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 10) -> DataFrame:
     """(position, name, bin, low, high, count): equal-width bins from minimum to maximum, empty ones included."""
     names = numeric_columns(df) if columns is None else list(columns)
-    clean = nan_to_null(df.select(*[as_double(c).alias(c) for c in names]))
+    clean = numbers(df, names)
     spans = [r for r in moments(clean, names).collect() if r["count"]]
     cells, grid = [], []
     for r in spans:
@@ -307,7 +302,7 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 1
         cells.append(F.struct(F.lit(r["position"]).alias("position"), at.alias("bin")))
         ends = [low + b * width for b in range(bins)] + [high]
         grid += [(r["position"], r["name"], b, ends[b], ends[b + 1]) for b in range(bins)]
-    bounds = df.sparkSession.createDataFrame(grid, "position int, name string, bin int, low double, high double")
+    bounds = local_frame(df.sparkSession, grid, "position int, name string, bin int, low double, high double")
     if not cells:
         return bounds.withColumn("count", F.lit(0).cast("long"))
     counts = clean.select(F.inline(F.array(*cells))).where("bin IS NOT NULL").groupBy("position", "bin").agg(F.count("*").alias("count"))

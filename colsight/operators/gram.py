@@ -12,8 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from colsight.functions.columns import as_double
-from colsight.functions.missing import nan_to_null
+from colsight.functions.missing import number
 
 PARTIAL = ("n", "sx", "sy", "sxx", "syy", "sxy")
 _SCHEMA = "i int, j int, " + ", ".join(f"{name} double" for name in PARTIAL)
@@ -24,7 +23,7 @@ def pairwise_sums(df: DataFrame, columns: Sequence[str], centres: Sequence[float
 
     Values are taken relative to ``centres``; centres near the means keep the sums well conditioned.
     """
-    values = nan_to_null(df.select(*[as_double(c).alias(f"c{k}") for k, c in enumerate(columns)]))
+    values = df.select(*[number(df, c).alias(f"c{k}") for k, c in enumerate(columns)])
     partials = values.mapInArrow(_partials(np.asarray(centres, dtype=float)), _SCHEMA)
     return partials.groupBy("i", "j").agg(*[F.sum(name).alias(name) for name in PARTIAL])
 

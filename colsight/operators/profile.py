@@ -8,14 +8,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from colsight.functions.columns import (
-    as_double,
     chunks,
     col,
     is_numeric,
     numeric_columns,
     pandas_label,
 )
-from colsight.functions.missing import is_missing, nan_to_null
+from colsight.functions.local import local_frame
+from colsight.functions.missing import is_missing, nan_to_null, numbers
 from colsight.functions.text import round4, undefined_to_zero
 from colsight.operators.quantiles import column_quantiles
 
@@ -146,8 +146,8 @@ def moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     names = numeric_columns(df) if columns is None else list(columns)
     schema = "position int, name string, count long, mean double, std double, min double, max double"
     if not names:
-        return df.sparkSession.createDataFrame([], schema)
-    clean = nan_to_null(df.select(*[as_double(c).alias(c) for c in names]))
+        return local_frame(df.sparkSession, [], schema)
+    clean = numbers(df, names)
     frames = []
     for part in chunks(list(enumerate(names))):
         row = clean.agg(
@@ -179,7 +179,8 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     """Count, mean, sample deviation, extremes and exact quartiles of each numeric column."""
     names = numeric_columns(df) if columns is None else list(columns)
     quartiles = column_quantiles(df, names, QUARTILES)
-    found = df.sparkSession.createDataFrame(
+    found = local_frame(
+        df.sparkSession,
         [(names.index(name), *values) for name, values in quartiles.items()],
         "position int, q25 double, median double, q75 double",
     )
@@ -201,7 +202,7 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
 def numeric_kinds(df: DataFrame) -> DataFrame:
     """(position, name, is_numeric) of all columns, in schema order."""
     rows = [(i, f.name, is_numeric(f.dataType)) for i, f in enumerate(df.schema.fields)]
-    return df.sparkSession.createDataFrame(rows, "position int, name string, is_numeric boolean")
+    return local_frame(df.sparkSession, rows, "position int, name string, is_numeric boolean")
 
 
 def preview_rows(df: DataFrame, order_by: Sequence[str] = (), n: int = 10) -> DataFrame:

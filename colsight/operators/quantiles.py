@@ -15,8 +15,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from colsight.functions.columns import as_double, chunks, col
-from colsight.functions.missing import nan_to_null
+from colsight.functions.columns import chunks, col
+from colsight.functions.local import local_frame
+from colsight.functions.missing import nan_to_null, number, numbers
 
 SKETCH_SIZE = 4096
 # Half width of the interval around a wanted rank, a few times the rank error of such a sketch.
@@ -49,12 +50,10 @@ def sketch_quantiles(value: Column, points: Sequence[float], size: int = SKETCH_
     )
 
 
-def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(position, x): one row per non-missing numeric cell."""
-    cells = [
-        F.struct(F.lit(i).alias("position"), as_double(c).alias("x")) for i, c in enumerate(columns)
-    ]
-    return nan_to_null(df.select(F.inline(F.array(*cells)))).where(F.col("x").isNotNull())
+def long_values(df: DataFrame) -> DataFrame:
+    """(position, x): one row per value of a frame of NaN-free doubles."""
+    cells = [F.struct(F.lit(i).alias("position"), col(c).alias("x")) for i, c in enumerate(df.columns)]
+    return df.select(F.inline(F.array(*cells))).where(F.col("x").isNotNull())
 
 
 def column_quantiles(
@@ -64,7 +63,7 @@ def column_quantiles(
     columns = list(columns)
     if not columns:
         return {}
-    df = nan_to_null(df.select(*[as_double(c).alias(c) for c in columns]))
+    df = numbers(df, columns)
     points = _interval_points(probabilities)
     groups: dict[tuple, tuple[int, list[float]]] = {}
     for part in chunks(list(enumerate(columns))):
@@ -72,7 +71,7 @@ def column_quantiles(
         for i, _ in part:
             if row[str(i)]["n"]:
                 groups[(i,)] = (row[str(i)]["n"], row[str(i)]["edges"])
-    found = _select(long_values(df, columns), ["position"], groups, probabilities)
+    found = _select(long_values(df), ["position"], groups, probabilities)
     return {columns[key[0]]: values for key, values in found.items()}
 
 
@@ -89,7 +88,7 @@ def grouped_quantiles(
     and go through the interval selection, so no task ever holds all values of one.
     """
     by = list(by)
-    rows = nan_to_null(df.select(*[col(c) for c in by], as_double(value).alias("x"))).where("x IS NOT NULL")
+    rows = nan_to_null(df.select(*[col(c) for c in by], number(df, value).alias("x"))).where("x IS NOT NULL")
     wanted = [F.lit(float(p)) for p in probabilities]
     builtin = F.percentile("x", F.array(*wanted)).alias("quantiles")
     sizes = rows.groupBy(*[col(c) for c in by]).agg(F.count("*").alias("_rows"))
@@ -99,10 +98,8 @@ def grouped_quantiles(
         return rows.groupBy(*[col(c) for c in by]).agg(builtin)
 
     # At most total / limit keys, so the broadcast below has a fixed bound.
-    large = df.sparkSession.createDataFrame(
-        [tuple(r) for r in sizes.where(F.col("_rows") > limit).select(*[col(c) for c in by]).collect()],
-        T.StructType([T.StructField(f"_k{i}", rows.schema[c].dataType) for i, c in enumerate(by)]),
-    )
+    keys = sizes.where(F.col("_rows") > limit).select(*[col(c) for c in by]).collect()
+    large = _keyed_frame(rows, by, {tuple(key): () for key in keys})
     same = _same_keys(rows, large, by)
     hot = rows.join(F.broadcast(large), same, "left_semi")
     cold = rows.join(F.broadcast(large), same, "left_anti")
@@ -115,7 +112,7 @@ def grouped_quantiles(
     schema = T.StructType(
         [rows.schema[c] for c in by] + [T.StructField("quantiles", T.ArrayType(T.DoubleType()))]
     )
-    large_groups = df.sparkSession.createDataFrame([(*k, v) for k, v in found.items()], schema)
+    large_groups = local_frame(df.sparkSession, [(*k, v) for k, v in found.items()], schema)
     return cold.groupBy(*[col(c) for c in by]).agg(builtin).unionByName(large_groups)
 
 
@@ -199,36 +196,31 @@ def _cells(rows: DataFrame, by: list[str], pending: dict[tuple, list[_Interval]]
     The broadcast side has one row per pending group: per column of the profile, or per large group.
     """
     width = max(len(intervals) for intervals in pending.values())
-    schema = T.StructType(
-        [T.StructField(f"_k{i}", rows.schema[c].dataType) for i, c in enumerate(by)]
-        + [
-            T.StructField("_low", T.ArrayType(T.DoubleType())),
-            T.StructField("_high", T.ArrayType(T.DoubleType())),
-            T.StructField("_ranks", T.ArrayType(T.LongType())),
-        ]
-    )
     # NaN orders above every value here, so padding never matches.
     padding = [math.nan] * width
-    state = rows.sparkSession.createDataFrame(
-        [
-            (
-                *key,
-                ([i.low for i in intervals] + padding)[:width],
-                ([i.high for i in intervals] + padding)[:width],
-                sorted(r for i in intervals for r in i.ranks),
-            )
+    state = _keyed_frame(
+        rows,
+        by,
+        {
+            key: (([i.low for i in intervals] + padding)[:width], ([i.high for i in intervals] + padding)[:width])
             for key, intervals in pending.items()
-        ],
-        schema,
+        },
+        "_low array<double>, _high array<double>",
     )
     cell = F.lit(0)
     for m in range(width):
         cell = cell + (F.col("x") >= F.col("_low")[m]).cast("int") + (F.col("x") > F.col("_high")[m]).cast("int")
     return rows.join(F.broadcast(state), _same_keys(rows, state, by)).select(
-        *[col(c) for c in by], "x", "_low", "_high", "_ranks", cell.alias("_cell")
+        *[col(c) for c in by], "x", "_low", "_high", cell.alias("_cell")
     )
 
 
+def _keyed_frame(rows: DataFrame, by: list[str], values: dict[tuple, tuple], schema: str = "") -> DataFrame:
+    keys = [T.StructField(f"_k{i}", rows.schema[c].dataType) for i, c in enumerate(by)]
+    fields = T.StructType(keys + (T.StructType.fromDDL(schema).fields if schema else []))
+    return local_frame(rows.sparkSession, [(*key, *value) for key, value in values.items()], fields)
+
+
 def _read_ranks(
     rows: DataFrame,
     by: list[str],
@@ -238,15 +230,14 @@ def _read_ranks(
     """Read the wanted ranks off the interval values; return what fell outside an interval."""
     keys = [col(c) for c in by]
     inside = F.when(F.col("_cell") % 2 == 1, F.col("x"))
-    counted = (
-        _cells(rows, by, pending)
-        .groupBy(*keys, "_cell", inside.alias("_value"))
-        .agg(F.count("*").alias("_rows"), F.first("_ranks").alias("_ranks"))
-    )
+    counted = _cells(rows, by, pending).groupBy(*keys, "_cell", inside.alias("_value")).agg(F.count("*").alias("_rows"))
     # One window partition holds the distinct values of a few intervals of INTERVAL_ROWS rows each.
     upto = Window.partitionBy(*keys).orderBy("_cell", "_value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("_end", F.sum("_rows").over(upto))
+    wanted = {key: (sorted(r for i in intervals for r in i.ranks),) for key, intervals in pending.items()}
+    ranks = _keyed_frame(rows, by, wanted, "_ranks array<bigint>")
     hits = (
-        counted.withColumn("_end", F.sum("_rows").over(upto))
+        ranked.join(F.broadcast(ranks), _same_keys(ranked, ranks, by))
         .withColumn(
             "_hits",
             F.filter("_ranks", lambda r: (r < F.col("_end")) & (r >= F.col("_end") - F.col("_rows"))),

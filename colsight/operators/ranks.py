@@ -14,8 +14,8 @@ from dataclasses import dataclass
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
-from colsight.functions.columns import as_double, col
-from colsight.functions.missing import drop_missing, nan_to_null
+from colsight.functions.columns import col
+from colsight.functions.missing import number
 from colsight.operators.quantiles import sketch_quantiles
 
 BUCKET_ROWS = 200_000
@@ -88,9 +88,9 @@ def rank_products(df: DataFrame, names: Sequence[str]) -> DataFrame:
     frequent value are spread over several keys by the content of their other columns.
     """
     names = list(names)
-    cells = df.select(*[as_double(c).alias(f"c{k}") for k, c in enumerate(names)])
     ranked_names = [f"c{k}" for k in range(len(names))]
-    complete = drop_missing(nan_to_null(cells), ranked_names)
+    cells = df.select(*[number(df, c).alias(name) for c, name in zip(names, ranked_names)])
+    complete = cells.dropna()
     n = complete.count()
     ranked = complete.groupBy(*ranked_names).agg(F.count("*").alias("_weight"))
     weighted = ranked

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from colsight.errors import DatasetError
 from colsight.functions.columns import as_double, col, default_target, numeric_columns, require_numeric
+from colsight.functions.local import local_frame
 from colsight.functions.missing import drop_missing, nan_to_null
 from colsight.functions.text import round4
 from colsight.operators.gram import pairwise_sums
@@ -70,7 +71,7 @@ class LinearModel:
     def median_absolute_error(self) -> DataFrame:
         errors = self.predictions().where("is_test").select(F.abs(F.col("actual") - F.col("predicted")).alias("e"))
         found = exact_quantiles(errors, "e", [0.5])
-        return self.rows.sparkSession.createDataFrame([(found[0],)], "medae double").select(
+        return local_frame(self.rows.sparkSession, [(found[0],)], "medae double").select(
             round4(F.col("medae")).alias("medae")
         )
 
@@ -91,7 +92,7 @@ class LinearModel:
         """
         raw = [(i, f, w) for i, (f, w) in enumerate(zip(self.features, self.weights))]
         total = sum(abs(w) for w in self.weights if w is not None)
-        weighted = self.rows.sparkSession.createDataFrame(raw, "position int, feature string, w double")
+        weighted = local_frame(self.rows.sparkSession, raw, "position int, feature string, w double")
         ranked = weighted.select(
             "position",
             "feature",
@@ -114,7 +115,7 @@ class LinearModel:
     def meta(self) -> DataFrame:
         row = (self.target, list(self.features), self.split.train_rows, self.split.test_rows, self.intercept)
         schema = "target_column string, feature_columns array<string>, train_samples long, test_samples long, b double"
-        return self.rows.sparkSession.createDataFrame([row], schema).select(
+        return local_frame(self.rows.sparkSession, [row], schema).select(
             "target_column", "feature_columns", "train_samples", "test_samples", round4(F.col("b")).alias("intercept")
         )
 

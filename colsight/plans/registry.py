@@ -86,7 +86,7 @@ ODD_SQL = """(SELECT p_partkey, nullif(p_size, 7) AS size,
   CASE WHEN p_size = 9 THEN CAST('NaN' AS DOUBLE) ELSE p_retailprice END AS price,
   CASE WHEN p_partkey = 0 THEN p_retailprice END AS single,
   CASE WHEN p_size > 25 THEN CAST(0.1 AS DOUBLE) WHEN p_size = 7 THEN CAST(3 AS DOUBLE) END AS flat,
-  p_retailprice < 950 AS cheap FROM part)"""
+  p_retailprice < 910 AS cheap FROM part)"""
 
 
 def odd_part(spark: SparkSession, folder: str) -> DataFrame:
@@ -97,7 +97,7 @@ def odd_part(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("p_size") == 9, float("nan")).otherwise(F.col("p_retailprice")).alias("price"),
         F.when(F.col("p_partkey") == 0, F.col("p_retailprice")).alias("single"),
         F.when(F.col("p_size") > 25, 0.1).when(F.col("p_size") == 7, 3.0).alias("flat"),
-        (F.col("p_retailprice") < 950).alias("cheap"),
+        (F.col("p_retailprice") < 910).alias("cheap"),
     )
 
 
