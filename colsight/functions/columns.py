@@ -13,7 +13,7 @@ Item = TypeVar("Item")
 
 # Aggregates over more columns than this are split into several scans of disjoint columns: a column
 # store reads the same bytes in total, and every aggregate stays small enough to be compiled.
-COLUMNS_PER_AGGREGATE = 16
+COLUMNS_PER_AGGREGATE = 8
 
 
 def col(name: str) -> Column:

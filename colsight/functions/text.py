@@ -28,8 +28,3 @@ def decimal_text(value: Column, places: int = 4) -> Column:
 def code_text(name: Column) -> Column:
     """A name as Markdown code inside a table cell."""
     return F.concat(F.lit("`"), F.replace(name, F.lit("|"), F.lit("\\|")), F.lit("`"))
-
-
-def report_name(name: Column) -> Column:
-    """A file name without its .csv ending."""
-    return F.regexp_replace(name, r"\.csv", "")

@@ -70,7 +70,7 @@ def grouped_aggregate(df: DataFrame, by: Sequence[str], value: str, median: bool
     require_numeric(df, value)
     by = list(by)
     keys = [col(c) for c in by]
-    rows = drop_missing(nan_to_null(df.select(*keys, number(df, value).alias("_x"))), by)
+    rows = drop_missing(nan_to_null(df.select(*keys, col(value).cast("double").alias("_x"))), by)
     groups = rows.groupBy(*keys).agg(
         F.count("*").alias("rows"),
         F.count("_x").alias("count"),
@@ -164,14 +164,12 @@ def date_coverage(df: DataFrame, date: str) -> DataFrame:
     across = edges.select((F.col("low") - F.lag("high").over(Window.orderBy("_bucket"))).alias("gap"))
     spacing = exact_quantiles(gaps.unionByName(across), "gap", [0.5])
     first, last = F.min(col(date)), F.max(col(date))
-    # Two frames of one row each.
-    return edges.agg(F.sum("n").alias("unique_observations")).crossJoin(
-        df.agg(
-            first.alias("first_date"),
-            last.alias("last_date"),
-            F.datediff(last, first).cast("long").alias("span_days"),
-            round4(F.lit(spacing[0] / 1e6 if spacing else None).cast("double")).alias("median_spacing_seconds"),
-        )
+    return df.agg(first.alias("first_date"), last.alias("last_date")).select(
+        edges.agg(F.sum("n")).scalar().alias("unique_observations"),
+        "first_date",
+        "last_date",
+        F.datediff("last_date", "first_date").cast("long").alias("span_days"),
+        round4(F.lit(spacing[0] / 1e6 if spacing else None).cast("double")).alias("median_spacing_seconds"),
     )
 
 
@@ -231,11 +229,11 @@ def category_shares(df: DataFrame, name: str, k: int = 10) -> DataFrame:
     """(rank, value, count, share_pct, cumulative_pct) of the ``k`` most frequent categories."""
     present = df.where(col(name).isNotNull())
     counts = present.groupBy(col(name).alias("value")).agg(F.count("*").alias("count"))
-    total = present.agg(F.count("*").alias("rows"))
+    rows = present.agg(F.count("*")).scalar()
     top = counts.orderBy(F.desc("count"), "value").limit(k)
     order = Window.orderBy(F.desc("count"), "value")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    return top.crossJoin(F.broadcast(total)).select(
+    return top.withColumn("rows", rows).select(
         F.row_number().over(order).alias("rank"),
         "value",
         "count",

@@ -67,27 +67,20 @@ def dataset_overview(df: DataFrame) -> DataFrame:
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(position, distinct): exact number of different values per column, missing ones excluded.
 
-    Cells become narrow (position, value) rows with one value slot per type, so equal values collapse
-    before the shuffle and no row carries the whole width of the table.
+    Columns of one type become narrow (position, value) rows, so equal values collapse before the
+    shuffle and no row carries the whole width of the table. Each scan reads its own columns only.
     """
     df = nan_to_null(df if columns is None else df.select(*[col(c) for c in columns]))
-    types: list[T.DataType] = []
-    for field in df.schema.fields:
-        if _slot_type(field.dataType) not in types:
-            types.append(_slot_type(field.dataType))
-
-    def cell(i: int, field: T.StructField) -> Column:
-        wanted = _slot_type(field.dataType)
-        slots = [
-            (col(field.name) if t == wanted else F.lit(None)).cast(t).alias(f"v{k}")
-            for k, t in enumerate(types)
-        ]
-        return F.struct(F.lit(i).alias("position"), *slots)
-
-    slots = [F.col(f"v{k}") for k in range(len(types))]
-    cells = df.select(F.inline(F.array(*[cell(i, f) for i, f in enumerate(df.schema.fields)])))
-    present = cells.where(reduce(lambda a, b: a | b, [s.isNotNull() for s in slots]))
-    return present.distinct().groupBy("position").agg(F.count("*").alias("distinct"))
+    by_type: dict[str, list[tuple[int, str]]] = {}
+    for i, field in enumerate(df.schema.fields):
+        by_type.setdefault(_common_type(field.dataType).simpleString(), []).append((i, field.name))
+    frames = []
+    for dtype, members in by_type.items():
+        cells = [part for i, c in members for part in (F.lit(i), col(c).cast(dtype))]
+        values = df.select(F.stack(F.lit(len(members)), *cells).alias("position", "value"))
+        different = values.where("value IS NOT NULL").distinct()
+        frames.append(different.groupBy("position").agg(F.count("*").alias("distinct")))
+    return _union(frames)
 
 
 def approx_distinct_counts(df: DataFrame, rsd: float = 0.02) -> DataFrame:
@@ -101,7 +94,7 @@ def approx_distinct_counts(df: DataFrame, rsd: float = 0.02) -> DataFrame:
     return _union(frames)
 
 
-def _slot_type(dtype: T.DataType) -> T.DataType:
+def _common_type(dtype: T.DataType) -> T.DataType:
     if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType)):
         return T.LongType()
     return T.DoubleType() if isinstance(dtype, T.FloatType) else dtype

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from colsight.functions.columns import chunks, col
 from colsight.functions.local import local_frame
-from colsight.functions.missing import nan_to_null, number, numbers
+from colsight.functions.missing import nan_to_null, numbers
 
 SKETCH_SIZE = 4096
 # Half width of the interval around a wanted rank, a few times the rank error of such a sketch.
@@ -52,8 +52,8 @@ def sketch_quantiles(value: Column, points: Sequence[float], size: int = SKETCH_
 
 def long_values(df: DataFrame) -> DataFrame:
     """(position, x): one row per value of a frame of NaN-free doubles."""
-    cells = [F.struct(F.lit(i).alias("position"), col(c).alias("x")) for i, c in enumerate(df.columns)]
-    return df.select(F.inline(F.array(*cells))).where(F.col("x").isNotNull())
+    cells = [part for i, c in enumerate(df.columns) for part in (F.lit(i), col(c))]
+    return df.select(F.stack(F.lit(len(df.columns)), *cells).alias("position", "x")).where("x IS NOT NULL")
 
 
 def column_quantiles(
@@ -88,7 +88,7 @@ def grouped_quantiles(
     and go through the interval selection, so no task ever holds all values of one.
     """
     by = list(by)
-    rows = nan_to_null(df.select(*[col(c) for c in by], number(df, value).alias("x"))).where("x IS NOT NULL")
+    rows = nan_to_null(df.select(*[col(c) for c in by], col(value).cast("double").alias("x"))).where("x IS NOT NULL")
     wanted = [F.lit(float(p)) for p in probabilities]
     builtin = F.percentile("x", F.array(*wanted)).alias("quantiles")
     sizes = rows.groupBy(*[col(c) for c in by]).agg(F.count("*").alias("_rows"))

@@ -58,27 +58,25 @@ def with_bucket(df: DataFrame, name: str, ends: Sequence[float], bucket: str = "
     return Bucketizer(splits=splits, inputCol=name, outputCol=bucket).transform(df)
 
 
-def average_ranks(df: DataFrame, name: str, weight: str, ends: Sequence[float]) -> DataFrame:
-    """(value, rank): 1-based mean rank of every distinct value, each row standing for ``weight`` copies."""
-    rows = with_bucket(df.select(col(name).alias("_value"), col(weight).alias("_weight")), "_value", ends)
-    # Rows before each bucket: at most MAX_BUCKETS rows in this unpartitioned window.
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        rows.groupBy("_bucket")
-        .agg(F.sum("_weight").alias("_rows"))
-        .select("_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    )
+def average_ranks(df: DataFrame, name: str, ends: Sequence[float]) -> DataFrame:
+    """(_value, _rank): the 1-based mean rank of every distinct value of a double column."""
+    rows = with_bucket(df.select(col(name).alias("_value")), "_value", ends)
     within = Window.partitionBy("_bucket").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
-    return (
+    values = (
         rows.groupBy("_bucket", "_value")
-        .agg(F.sum("_weight").alias("_copies"))
+        .agg(F.count("*").alias("_copies"))
         .withColumn("_upto", F.sum("_copies").over(within))
-        .join(F.broadcast(offsets), "_bucket")
-        .select(
-            "_value",
-            (F.col("_offset") + F.col("_upto") - (F.col("_copies") - 1) / 2).cast("double").alias("_rank"),
-        )
     )
+    before = F.lit(0)
+    if ends:
+        # Rows before each bucket: at most MAX_BUCKETS rows in this unpartitioned window.
+        earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = rows.groupBy("_bucket").agg(F.count("*").alias("_rows"))
+        offsets = offsets.select("_bucket", F.sum("_rows").over(earlier).alias("_before"))
+        values = values.join(F.broadcast(offsets), "_bucket")
+        before = F.coalesce("_before", F.lit(0))
+    rank = before + F.col("_upto") - (F.col("_copies") - 1) / 2
+    return values.select("_value", rank.cast("double").alias("_rank"))
 
 
 def rank_products(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -93,9 +91,8 @@ def rank_products(df: DataFrame, names: Sequence[str]) -> DataFrame:
     complete = cells.dropna()
     n = complete.count()
     ranked = complete.groupBy(*ranked_names).agg(F.count("*").alias("_weight"))
-    weighted = ranked
     for k, buckets in enumerate(value_buckets(complete, ranked_names, n)):
-        ranks = average_ranks(weighted, f"c{k}", "_weight", buckets.ends)
+        ranks = average_ranks(complete, f"c{k}", buckets.ends)
         ranked = _attach(ranked, ranks, f"c{k}", f"r{k}", buckets.frequent, ranked_names)
     centre = (n + 1) / 2
     products = [

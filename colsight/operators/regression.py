@@ -127,16 +127,20 @@ class LinearModel:
 
     def record(self) -> DataFrame:
         """Everything in one nested row, ready for a JSON sink."""
-        metrics = self.metrics().select(F.struct("r2", "train_r2", "mae", "rmse", "mse").alias("metrics"))
+        metrics = self.metrics().select(F.struct("r2", "train_r2", "mae", "rmse", "mse"))
         coefficients = self.coefficients().agg(
             F.transform(
                 F.array_sort(F.collect_list(F.struct("rank", "feature", "weight"))),
                 lambda c: F.struct(c["feature"].alias("feature"), c["weight"].alias("weight")),
-            ).alias("coefficients")
+            )
+        )
+        points = self.points().agg(F.collect_list(F.struct("actual", "predicted")))
+        return self.meta().select(
+            "*",
+            metrics.scalar().alias("metrics"),
+            coefficients.scalar().alias("coefficients"),
+            points.scalar().alias("chart_points"),
         )
-        points = self.points().agg(F.collect_list(F.struct("actual", "predicted")).alias("chart_points"))
-        # Four frames of one row each.
-        return self.meta().crossJoin(metrics).crossJoin(coefficients).crossJoin(points)
 
 
 def prediction_bounds(points: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from colsight.functions.columns import col
 from colsight.functions.missing import nan_to_null
 from colsight.operators.correlation import correlation_matrix, correlation_pairs, matrix_rows
 from colsight.operators.profile import dataset_overview, describe_numeric, preview_rows, profile_columns
@@ -41,15 +42,17 @@ class Analysis:
         Its lists have one entry per column, column pair or preview row.
         """
 
-        def listed(df: DataFrame, order: str, label: str) -> DataFrame:
-            return df.agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in df.columns if c != order]))).alias(label))
-
-        return (
-            self.overview.crossJoin(listed(self.columns, "position", "columns"))
-            .crossJoin(listed(self.statistics, "position", "statistics"))
-            .crossJoin(listed(self.pairs, "rank", "pairs"))
-            .crossJoin(listed(matrix_rows(self.matrix), "i", "matrix"))
-            .crossJoin(self.preview.agg(F.collect_list(F.struct(*self.preview.columns)).alias("preview")))
+        def listed(df: DataFrame, order: str) -> Column:
+            cells = F.struct(order, *[c for c in df.columns if c != order])
+            return df.agg(F.array_sort(F.collect_list(cells))).scalar()
+
+        return self.overview.select(
+            "*",
+            listed(self.columns, "position").alias("columns"),
+            listed(self.statistics, "position").alias("statistics"),
+            listed(self.pairs, "rank").alias("pairs"),
+            listed(matrix_rows(self.matrix), "i").alias("matrix"),
+            self.preview.agg(F.collect_list(F.struct(*[col(c) for c in self.preview.columns]))).scalar().alias("preview"),
         )
 
 

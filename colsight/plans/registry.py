@@ -560,7 +560,7 @@ def _part_model(spark: SparkSession, folder: str, **options) -> regression.Linea
 def _(spark, folder):
     part = table(spark, folder, "part")
     model = regression.fit_linear_regression(part, "p_retailprice", ["p_partkey"], ["p_partkey"])
-    return model.coefficients().select("weight").crossJoin(model.meta().select("intercept"))
+    return model.coefficients().select("weight", model.meta().select("intercept").scalar().alias("intercept"))
 
 
 @registered(
@@ -571,7 +571,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     model = regression.fit_linear_regression(_gappy_orders(spark, folder), "price", ["cust"], ["o_orderkey"])
-    return model.coefficients().select("weight").crossJoin(model.meta().select("intercept"))
+    return model.coefficients().select("weight", model.meta().select("intercept").scalar().alias("intercept"))
 
 
 @registered("ols_two_features", part_coefficients_sql(fit_sql()))

@@ -32,8 +32,9 @@ def test_whole_report(table, tmp_path):
     order = [line for line in lines if line.startswith("##")]
     assert [o.split()[1] for o in order if o.startswith("## ")] == ["1.", "2.", "3.", "4."]
 
-    write_report(analysis.report(model), str(tmp_path / "report"))
-    (part,) = (tmp_path / "report").glob("part-*")
+    path = write_report(analysis.report(model), str(tmp_path), "table.csv")
+    assert path == str(tmp_path / "table-report")
+    (part,) = (tmp_path / "table-report").glob("part-*")
     assert part.read_text() == text + "\n"
 
 
