@@ -1,17 +1,18 @@
 """Exact quantiles with linear interpolation, without gathering a column in one task.
 
 The built-in exact ``percentile`` keeps every distinct value of a group in one aggregation buffer.
-Here a mergeable sketch proposes a narrow interval around each wanted rank, one more scan counts the
-rows around the intervals exactly and keeps only the values inside them, and the ranks are read off
-those. The sketch steers how much is kept, never the answer: a rank found outside its interval is
-looked up again in the gap it fell into, and an interval that holds too many rows is sketched again.
+Here a mergeable sketch proposes a narrow interval around each wanted rank, a second scan counts the
+rows before and in each interval exactly, and a third keeps only the values inside and reads the
+ranks off them. The sketch steers how much is kept, never the answer: a rank outside its interval is
+looked up again in the gap it fell into, and an interval with too many rows is sketched again.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -21,7 +22,7 @@ from colsight.functions.missing import nan_to_null, numbers
 
 SKETCH_SIZE = 4096
 # Half width of the interval around a wanted rank, a few times the rank error of such a sketch.
-RANK_MARGIN = 0.004
+RANK_MARGIN = 0.002
 # The most rows of one interval that the final ranking window may sort in one task.
 INTERVAL_ROWS = 4_000_000
 # Groups with more rows than this are ranked by intervals instead of one aggregation buffer.
@@ -36,8 +37,13 @@ class _Interval:
 
     low: float
     high: float
-    ranks: set[int] = field(default_factory=set)
-    expected_rows: float = math.inf
+    ranks: set[int]
+    # Rows before the interval and rows up to its end, once counted.
+    below: int = 0
+    upto: int = 0
+
+
+_Intervals = dict[tuple, list[_Interval]]
 
 
 def sketch_quantiles(value: Column, points: Sequence[float], size: int = SKETCH_SIZE) -> Column:
@@ -50,12 +56,6 @@ def sketch_quantiles(value: Column, points: Sequence[float], size: int = SKETCH_
     )
 
 
-def long_values(df: DataFrame) -> DataFrame:
-    """(position, x): one row per value of a frame of NaN-free doubles."""
-    cells = [part for i, c in enumerate(df.columns) for part in (F.lit(i), col(c))]
-    return df.select(F.stack(F.lit(len(df.columns)), *cells).alias("position", "x")).where("x IS NOT NULL")
-
-
 def column_quantiles(
     df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]
 ) -> dict[str, list[float]]:
@@ -71,7 +71,7 @@ def column_quantiles(
         for i, _ in part:
             if row[str(i)]["n"]:
                 groups[(i,)] = (row[str(i)]["n"], row[str(i)]["edges"])
-    found = _select(long_values(df), ["position"], groups, probabilities)
+    found = _select(_WholeColumns(df), groups, probabilities)
     return {columns[key[0]]: values for key, values in found.items()}
 
 
@@ -108,7 +108,7 @@ def grouped_quantiles(
         tuple(r[c] for c in by): (r["_s"]["n"], r["_s"]["edges"])
         for r in hot.groupBy(*[col(c) for c in by]).agg(sketch_quantiles(F.col("x"), points).alias("_s")).collect()
     }
-    found = _select(hot, by, groups, probabilities)
+    found = _select(_Groups(hot, by), groups, probabilities)
     schema = T.StructType(
         [rows.schema[c] for c in by] + [T.StructField("quantiles", T.ArrayType(T.DoubleType()))]
     )
@@ -140,32 +140,150 @@ def _wanted_ranks(n: int, probability: float) -> tuple[int, int, float]:
     return low, min(low + 1, n - 1), position - low
 
 
+def _keyed_frame(rows: DataFrame, by: list[str], values: dict[tuple, tuple], schema: str = "") -> DataFrame:
+    """(_k0, _k1, ..., values): one row per group, for joins with the group columns."""
+    keys = [T.StructField(f"_k{i}", rows.schema[c].dataType) for i, c in enumerate(by)]
+    fields = T.StructType(keys + (T.StructType.fromDDL(schema).fields if schema else []))
+    return local_frame(rows.sparkSession, [(*key, *value) for key, value in values.items()], fields)
+
+
+def _contains(x: Column, low: Column | float, high: Column | float) -> Column:
+    return (x >= low) & (x <= high)
+
+
+def _inner_sketch(x: Column, low: Column | float, high: Column | float) -> Column:
+    """Copies of both ends, and a grid of quantiles of the values strictly between them.
+
+    With the ends counted apart, a heavily repeated value stops mattering once it is an end.
+    """
+    points = [i / GRID for i in range(GRID + 1)]
+    return F.struct(
+        F.count_if(x == low).alias("at_low"),
+        F.count_if(x == high).alias("at_high"),
+        sketch_quantiles(F.when((x > low) & (x < high), x), points).alias("inner"),
+    )
+
+
+class _WholeColumns:
+    """The columns of a frame of NaN-free doubles; the key of a column is its position.
+
+    Intervals become literals, so counting is one wide aggregate per chunk of columns and only
+    values inside an interval turn into rows.
+    """
+
+    by = ["position"]
+
+    def __init__(self, df: DataFrame) -> None:
+        self.df = df
+
+    def counts(self, pending: _Intervals) -> dict[tuple, list[tuple[int, int]]]:
+        def pair(x: Column, i: _Interval) -> Column:
+            return F.struct(F.count_if(x < i.low), F.count_if(x <= i.high))
+
+        return {key: [tuple(p) for p in found] for key, found in self._per_interval(pending, pair).items()}
+
+    def sketches(self, pending: _Intervals) -> dict[tuple, list]:
+        return self._per_interval(pending, lambda x, i: _inner_sketch(x, i.low, i.high))
+
+    def inside(self, pending: _Intervals) -> DataFrame:
+        cells = []
+        for (position,), intervals in pending.items():
+            x = col(self.df.columns[position])
+            within = reduce(lambda a, b: a | b, [_contains(x, i.low, i.high) for i in intervals])
+            cells += [F.lit(position), F.when(within, x)]
+        return self.df.select(F.stack(F.lit(len(pending)), *cells).alias("position", "x")).where("x IS NOT NULL")
+
+    def keyed(self, values: dict[tuple, tuple], schema: str) -> DataFrame:
+        return local_frame(self.df.sparkSession, [(*k, *v) for k, v in values.items()], f"_k0 int, {schema}")
+
+    def _per_interval(self, pending: _Intervals, aggregate: Callable[[Column, _Interval], Column]) -> dict[tuple, list]:
+        found = {}
+        for part in chunks(list(pending.items())):
+            row = self.df.agg(
+                *[
+                    F.array(*[aggregate(col(self.df.columns[key[0]]), i) for i in intervals]).alias(str(key[0]))
+                    for key, intervals in part
+                ]
+            ).first()
+            found.update({key: row[str(key[0])] for key, _ in part})
+        return found
+
+
+class _Groups:
+    """(by..., x) rows of large groups; intervals are broadcast, one row per group."""
+
+    def __init__(self, rows: DataFrame, by: list[str]) -> None:
+        self.rows, self.by = rows, by
+
+    def counts(self, pending: _Intervals) -> dict[tuple, list[tuple[int, int]]]:
+        def pair(m: int) -> Column:
+            return F.struct(F.count_if(F.col("x") < F.col("_low")[m]), F.count_if(F.col("x") <= F.col("_high")[m]))
+
+        return {key: [tuple(p) for p in found] for key, found in self._per_interval(pending, pair).items()}
+
+    def sketches(self, pending: _Intervals) -> dict[tuple, list]:
+        return self._per_interval(pending, lambda m: _inner_sketch(F.col("x"), F.col("_low")[m], F.col("_high")[m]))
+
+    def inside(self, pending: _Intervals) -> DataFrame:
+        joined, width = self._joined(pending)
+        within = [_contains(F.col("x"), F.col("_low")[m], F.col("_high")[m]) for m in range(width)]
+        return joined.where(reduce(lambda a, b: a | b, within)).select(*[col(c) for c in self.by], "x")
+
+    def keyed(self, values: dict[tuple, tuple], schema: str) -> DataFrame:
+        return _keyed_frame(self.rows, self.by, values, schema)
+
+    def _joined(self, pending: _Intervals) -> tuple[DataFrame, int]:
+        width = max(len(intervals) for intervals in pending.values())
+        # NaN orders above every value here, so no value lies inside the padding.
+        padding = [math.nan] * width
+        ends = {
+            key: (([i.low for i in intervals] + padding)[:width], ([i.high for i in intervals] + padding)[:width])
+            for key, intervals in pending.items()
+        }
+        state = self.keyed(ends, "_low array<double>, _high array<double>")
+        return self.rows.join(F.broadcast(state), _same_keys(self.rows, state, self.by)), width
+
+    def _per_interval(self, pending: _Intervals, aggregate: Callable[[int], Column]) -> dict[tuple, list]:
+        joined, width = self._joined(pending)
+        found = joined.groupBy(*[col(c) for c in self.by]).agg(F.array(*[aggregate(m) for m in range(width)]).alias("_found"))
+        return {tuple(r[c] for c in self.by): r["_found"] for r in found.collect()}
+
+
 def _select(
-    rows: DataFrame,
-    by: list[str],
+    source: _WholeColumns | _Groups,
     groups: dict[tuple, tuple[int, list[float]]],
     probabilities: Sequence[float],
 ) -> dict[tuple, list[float]]:
-    pending: dict[tuple, list[_Interval]] = {}
+    """Quantiles per key, from the number of values and the first interval ends of each."""
+    pending: _Intervals = {}
     for key, (n, edges) in groups.items():
         for i, p in enumerate(probabilities):
             low, high, _ = _wanted_ranks(n, p)
-            interval = _Interval(edges[2 * i], edges[2 * i + 1], {low, high}, 2 * RANK_MARGIN * n)
-            pending.setdefault(key, []).append(interval)
+            pending.setdefault(key, []).append(_Interval(edges[2 * i], edges[2 * i + 1], {low, high}))
 
     values: dict[tuple, dict[int, float]] = {key: {} for key in groups}
     while pending:
         pending = {key: _merge(intervals) for key, intervals in pending.items()}
-        wide = {
-            key: intervals
-            for key, intervals in pending.items()
-            if any(i.expected_rows > INTERVAL_ROWS for i in intervals)
-        }
+        ready: _Intervals = {}
+        wide: _Intervals = {}
+        missed: _Intervals = {}
+        for key, counts in source.counts(pending).items():
+            missed[key] = _place(pending[key], counts)
+            for i in pending[key]:
+                if i.ranks and i.low == i.high:
+                    values[key].update(dict.fromkeys(i.ranks, i.low))
+                elif i.ranks:
+                    (ready if i.upto - i.below <= INTERVAL_ROWS else wide).setdefault(key, []).append(i)
         if wide:
-            pending.update(_narrow(rows, by, wide, values))
-            pending = {key: intervals for key, intervals in pending.items() if intervals}
-        else:
-            pending = _read_ranks(rows, by, pending, values)
+            for key, sketches in source.sketches(wide).items():
+                for interval, sketch in zip(wide[key], sketches):
+                    keep, narrower = _narrow(interval, sketch, values[key])
+                    ready.setdefault(key, []).extend(keep)
+                    missed[key] += narrower
+        ready = {key: sorted(intervals, key=lambda i: i.low) for key, intervals in ready.items() if intervals}
+        if ready:
+            _read_ranks(source, ready, values)
+        pending = {key: intervals for key, intervals in missed.items() if intervals}
 
     result = {}
     for key, (n, _) in groups.items():
@@ -178,149 +296,68 @@ def _select(
 
 
 def _merge(intervals: list[_Interval]) -> list[_Interval]:
+    """Disjoint intervals in ascending order."""
     merged: list[_Interval] = []
     for current in sorted(intervals, key=lambda i: i.low):
         if merged and current.low <= merged[-1].high:
-            last = merged[-1]
-            last.high = max(last.high, current.high)
-            last.ranks |= current.ranks
-            last.expected_rows += current.expected_rows
+            merged[-1].high = max(merged[-1].high, current.high)
+            merged[-1].ranks |= current.ranks
         else:
-            merged.append(_Interval(current.low, current.high, set(current.ranks), current.expected_rows))
+            merged.append(_Interval(current.low, current.high, set(current.ranks)))
     return merged
 
 
-def _cells(rows: DataFrame, by: list[str], pending: dict[tuple, list[_Interval]]) -> DataFrame:
-    """Rows of pending groups with their cell: odd cells are intervals, even cells the gaps around.
-
-    The broadcast side has one row per pending group: per column of the profile, or per large group.
-    """
-    width = max(len(intervals) for intervals in pending.values())
-    # NaN orders above every value here, so padding never matches.
-    padding = [math.nan] * width
-    state = _keyed_frame(
-        rows,
-        by,
-        {
-            key: (([i.low for i in intervals] + padding)[:width], ([i.high for i in intervals] + padding)[:width])
-            for key, intervals in pending.items()
-        },
-        "_low array<double>, _high array<double>",
-    )
-    cell = F.lit(0)
-    for m in range(width):
-        cell = cell + (F.col("x") >= F.col("_low")[m]).cast("int") + (F.col("x") > F.col("_high")[m]).cast("int")
-    return rows.join(F.broadcast(state), _same_keys(rows, state, by)).select(
-        *[col(c) for c in by], "x", "_low", "_high", cell.alias("_cell")
-    )
-
-
-def _keyed_frame(rows: DataFrame, by: list[str], values: dict[tuple, tuple], schema: str = "") -> DataFrame:
-    keys = [T.StructField(f"_k{i}", rows.schema[c].dataType) for i, c in enumerate(by)]
-    fields = T.StructType(keys + (T.StructType.fromDDL(schema).fields if schema else []))
-    return local_frame(rows.sparkSession, [(*key, *value) for key, value in values.items()], fields)
-
-
-def _read_ranks(
-    rows: DataFrame,
-    by: list[str],
-    pending: dict[tuple, list[_Interval]],
-    values: dict[tuple, dict[int, float]],
-) -> dict[tuple, list[_Interval]]:
-    """Read the wanted ranks off the interval values; return what fell outside an interval."""
-    keys = [col(c) for c in by]
-    inside = F.when(F.col("_cell") % 2 == 1, F.col("x"))
-    counted = _cells(rows, by, pending).groupBy(*keys, "_cell", inside.alias("_value")).agg(F.count("*").alias("_rows"))
-    # One window partition holds the distinct values of a few intervals of INTERVAL_ROWS rows each.
-    upto = Window.partitionBy(*keys).orderBy("_cell", "_value").rowsBetween(Window.unboundedPreceding, 0)
+def _place(intervals: list[_Interval], counts: Sequence[tuple[int, int]]) -> list[_Interval]:
+    """Give each rank to the interval that holds it; return the gaps that hold the others."""
+    wanted = {r for i in intervals for r in i.ranks}
+    for interval, (below, upto) in zip(intervals, counts):
+        interval.below, interval.upto = below, upto
+        interval.ranks = {r for r in wanted if below <= r < upto}
+    gaps = []
+    for rank in wanted.difference(*[i.ranks for i in intervals]):
+        at = sum(i.upto <= rank for i in intervals)
+        low = intervals[at - 1].high if at > 0 else -math.inf
+        high = intervals[at].low if at < len(intervals) else math.inf
+        gaps.append(_Interval(low, high, {rank}))
+    return gaps
+
+
+def _narrow(interval: _Interval, sketch, values: dict[int, float]) -> tuple[list[_Interval], list[_Interval]]:
+    """(intervals small enough to read, smaller intervals to count) for one that holds too many rows."""
+    first, last = interval.below + sketch["at_low"], interval.upto - sketch["at_high"]
+    values.update({r: interval.low for r in interval.ranks if r < first})
+    values.update({r: interval.high for r in interval.ranks if r >= last})
+    between = {r for r in interval.ranks if first <= r < last}
+    if not between:
+        return [], []
+    if last - first <= INTERVAL_ROWS:
+        return [_Interval(interval.low, interval.high, between, interval.below, interval.upto)], []
+    grid = sketch["inner"]["edges"]
+    cells = [int((r - first) / (last - first) * GRID) for r in between]
+    return [], [_Interval(grid[max(0, at - 2)], grid[min(GRID, at + 3)], {r}) for r, at in zip(between, cells)]
+
+
+def _read_ranks(source: _WholeColumns | _Groups, ready: _Intervals, values: dict[tuple, dict[int, float]]) -> None:
+    """Read ranks off the values inside counted intervals."""
+    rank_of: dict[tuple, dict[int, int]] = {}
+    for key, intervals in ready.items():
+        rank_of[key], before = {}, 0
+        for i in intervals:
+            rank_of[key].update({before + r - i.below: r for r in i.ranks})
+            before += i.upto - i.below
+    keys = [col(c) for c in source.by]
+    counted = source.inside(ready).groupBy(*keys, "x").agg(F.count("*").alias("_rows"))
+    # One window partition holds the different values of a few intervals of INTERVAL_ROWS rows each.
+    upto = Window.partitionBy(*keys).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counted.withColumn("_end", F.sum("_rows").over(upto))
-    wanted = {key: (sorted(r for i in intervals for r in i.ranks),) for key, intervals in pending.items()}
-    ranks = _keyed_frame(rows, by, wanted, "_ranks array<bigint>")
+    wanted = source.keyed({key: (sorted(found),) for key, found in rank_of.items()}, "_wanted array<bigint>")
+    here = F.filter("_wanted", lambda r: (r < F.col("_end")) & (r >= F.col("_end") - F.col("_rows")))
     hits = (
-        ranked.join(F.broadcast(ranks), _same_keys(ranked, ranks, by))
-        .withColumn(
-            "_hits",
-            F.filter("_ranks", lambda r: (r < F.col("_end")) & (r >= F.col("_end") - F.col("_rows"))),
-        )
+        ranked.join(F.broadcast(wanted), _same_keys(ranked, wanted, source.by))
+        .select(*keys, "x", here.alias("_hits"))
         .where(F.size("_hits") > 0)
-        .select(*keys, "_cell", "_value", "_rows", "_hits")
         .collect()
     )
-    missed: dict[tuple, list[_Interval]] = {}
     for hit in hits:
-        key = tuple(hit[c] for c in by)
-        if hit["_cell"] % 2 == 1:
-            values[key].update({rank: hit["_value"] for rank in hit["_hits"]})
-        else:
-            gap = _gap(pending[key], hit["_cell"], set(hit["_hits"]), hit["_rows"])
-            missed.setdefault(key, []).append(gap)
-    return missed
-
-
-def _gap(intervals: list[_Interval], cell: int, ranks: set[int], rows: int) -> _Interval:
-    at = cell // 2
-    low = intervals[at - 1].high if at > 0 else -math.inf
-    high = intervals[at].low if at < len(intervals) else math.inf
-    return _Interval(low, high, ranks, rows)
-
-
-def _narrow(
-    rows: DataFrame,
-    by: list[str],
-    wide: dict[tuple, list[_Interval]],
-    values: dict[tuple, dict[int, float]],
-) -> dict[tuple, list[_Interval]]:
-    """Count wide intervals exactly and sketch strictly inside them; return smaller intervals.
-
-    Copies of the end values are counted apart, so a heavily repeated value stops mattering as soon
-    as it becomes an end.
-    """
-    points = [i / GRID for i in range(GRID + 1)]
-    odd, at = F.col("_cell") % 2 == 1, (F.col("_cell") / 2).cast("int")
-    is_low = odd & (F.col("x") == F.get("_low", at))
-    is_high = odd & (F.col("x") == F.get("_high", at)) & ~is_low
-    cells = (
-        _cells(rows, by, wide)
-        .groupBy(*[col(c) for c in by], "_cell")
-        .agg(
-            F.count("*").alias("_rows"),
-            F.count_if(is_low).alias("_at_low"),
-            F.count_if(is_high).alias("_at_high"),
-            sketch_quantiles(F.when(odd & ~is_low & ~is_high, F.col("x")), points).alias("_s"),
-        )
-        .collect()
-    )
-    by_key: dict[tuple, list] = {}
-    for cell in sorted(cells, key=lambda c: c["_cell"]):
-        by_key.setdefault(tuple(cell[c] for c in by), []).append(cell)
-
-    narrowed: dict[tuple, list[_Interval]] = {}
-    for key, intervals in wide.items():
-        narrowed[key] = []
-        below = 0
-        ranks = sorted(r for i in intervals for r in i.ranks)
-        for cell in by_key[key]:
-            here = {r for r in ranks if below <= r < below + cell["_rows"]}
-            if cell["_cell"] % 2 == 0:
-                if here:
-                    narrowed[key].append(_gap(intervals, cell["_cell"], here, cell["_rows"]))
-            else:
-                interval = intervals[cell["_cell"] // 2]
-                first, last = below + cell["_at_low"], below + cell["_rows"] - cell["_at_high"]
-                values[key].update({r: interval.low for r in here if r < first})
-                values[key].update({r: interval.high for r in here if r >= max(first, last)})
-                between = {r for r in here if first <= r < last}
-                if between and last - first <= INTERVAL_ROWS:
-                    narrowed[key].append(_Interval(interval.low, interval.high, between, last - first))
-                else:
-                    narrowed[key].extend(
-                        _around(r, first, last - first, cell["_s"]["edges"]) for r in between
-                    )
-            below += cell["_rows"]
-    return narrowed
-
-
-def _around(rank: int, below: int, size: int, grid: list[float]) -> _Interval:
-    """The few grid cells next to a rank."""
-    at = int((rank - below) / size * GRID)
-    return _Interval(grid[max(0, at - 2)], grid[min(GRID, at + 3)], {rank}, size * 5 / GRID)
+        key = tuple(hit[c] for c in source.by)
+        values[key].update({rank_of[key][index]: hit["x"] for index in hit["_hits"]})
