@@ -35,11 +35,14 @@ def correlation_pairs(
 
     ``i`` and ``j`` are positions among the usable columns. Ties keep upper-triangle order.
     """
+    return ranked_pairs(raw_correlations(df, columns, method))
+
+
+def ranked_pairs(raw: DataFrame) -> DataFrame:
     # One row per pair of columns, so the ranking window stays small at any number of rows.
     order = Window.orderBy(F.desc("abs_correlation"), "i", "j")
     return (
-        raw_correlations(df, columns, method)
-        .where(F.col("r").isNotNull() & (F.col("i") < F.col("j")))
+        raw.where(F.col("r").isNotNull() & (F.col("i") < F.col("j")))
         .select(
             "i", "j", "col1", "col2",
             round4(F.col("r")).alias("correlation"),
@@ -57,7 +60,10 @@ def correlation_matrix(
     df: DataFrame, columns: Sequence[str] | None = None, method: str = "pearson"
 ) -> DataFrame:
     """(i, j, col1, col2, value): the full grid of usable columns, 0.0 where undefined."""
-    raw = raw_correlations(df, columns, method)
+    return full_grid(raw_correlations(df, columns, method))
+
+
+def full_grid(raw: DataFrame) -> DataFrame:
     mirrored = raw.where("i < j").select(
         F.col("j").alias("i"), F.col("i").alias("j"), F.col("col2").alias("col1"), F.col("col1").alias("col2"), "r"
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from colsight.functions.columns import col
 from colsight.functions.missing import nan_to_null
-from colsight.operators.correlation import correlation_matrix, correlation_pairs, matrix_rows
+from colsight.operators.correlation import full_grid, matrix_rows, ranked_pairs, raw_correlations
 from colsight.operators.profile import dataset_overview, describe_numeric, preview_rows, profile_columns
 from colsight.operators.regression import LinearModel, fit_linear_regression
 from colsight.plans.report import report_lines
@@ -72,6 +72,8 @@ def analyse(
     """
     check_shape(df, max_rows, max_columns)
     table = nan_to_null(df)
+    # The sums behind pairs and matrix are computed once.
+    correlations = raw_correlations(table)
     return Analysis(
         name,
         table,
@@ -79,6 +81,6 @@ def analyse(
         profile_columns(table, approximate_distinct, labels),
         describe_numeric(table),
         preview_rows(table, key),
-        correlation_pairs(table),
-        correlation_matrix(table),
+        ranked_pairs(correlations),
+        full_grid(correlations),
     )
