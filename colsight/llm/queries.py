@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from colsight.llm import mixing, tokens
+from colsight.llm import mixing, phrases, tokens
 
 QUERIES = {
     "op1_token_files": tokens.op1_token_files,
+    "op7_phrase_index": phrases.op7_phrase_index,
     "op9_mix_sources": mixing.op9_mix_sources,
 }
 
 SQL = {
+    "op7_phrase_index": phrases.SQL,
     "op9_mix_sources": mixing.SQL,
 }
