@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from colsight.llm import mixing, phrases, tokens
+from colsight.llm import mixing, phrases, ppm, tokens
 
 QUERIES = {
     "op1_token_files": tokens.op1_token_files,
+    "op5_ppm_language": ppm.op5_ppm_language,
     "op7_phrase_index": phrases.op7_phrase_index,
     "op9_mix_sources": mixing.op9_mix_sources,
 }
