@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from colsight.llm import mixing, neardup, phrases, ppm, secrets, tokens
+from colsight.llm import maintext, mixing, neardup, phrases, ppm, secrets, tokens
 
 QUERIES = {
     "op1_token_files": tokens.op1_token_files,
     "op5_ppm_language": ppm.op5_ppm_language,
     "op6_secret_layers": secrets.op6_secret_layers,
     "op7_phrase_index": phrases.op7_phrase_index,
+    "op8_mincut_text": maintext.op8_mincut_text,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_minhash_neardup": neardup.op10_minhash_neardup,
 }
