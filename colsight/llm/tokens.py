@@ -13,10 +13,12 @@ kept, ordered by text; an empty table gives a folder without rows. Columns besid
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,33 +32,63 @@ from colsight.llm.common import scratch, table
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 #: Words a task remembers before it starts over; memory only, never the result.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 64 << 10
+#: Parts (a small row each) up to which their offsets are sent to every executor instead of shuffling the ids.
+BROADCAST_PARTS = 1_000_000
 #: Documents in an output batch of Arrow.
 BATCH_DOCS = 512
 
 
-class WordEncoder:
-    """Ids of whole texts by way of their words' ids."""
+def _byte_letters() -> dict[int, str]:
+    """Byte-level letters: printable Latin-1 bytes stand for themselves, the rest, in order, for letters from U+0100."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
+
+
+class WordIds(dict):
+    """Ids of words as little-endian 32-bit numbers, remembered within bounds.
+
+    Words of Latin letters with closing marks go straight to the merges: for them the tokenizer's rules are lower
+    case, one piece of letters and one of marks. All other words take the tokenizer as it is.
+    """
+
+    SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:]*)")
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, list[int]] = {}
+        self.merges, self.letters = self.tokenizer.model, _byte_letters()
         self.cache_words = cache_words
-
-    def encode(self, text: str, end_id: int) -> np.ndarray:
-        words = text.replace("\n", " ").split(" ")
-        cache = self.cache
-        if unknown := [w for w in set(words) if w not in cache]:
-            if len(cache) > self.cache_words:
-                cache.clear()
-                unknown = list(set(words))
-            found = self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False)
-            cache.update(zip(unknown, (e.ids for e in found)))
-        return np.fromiter(chain(chain.from_iterable(map(cache.__getitem__, words)), (end_id,)), np.int32)
+        rules = json.loads(self.tokenizer.to_str())
+        self.simple = (
+            [n["type"] for n in (rules["normalizer"] or {}).get("normalizers", ())] == ["NFC", "Replace", "Lowercase"]
+            and [n["type"] for n in (rules["pre_tokenizer"] or {}).get("pretokenizers", ())] == ["Split", "ByteLevel"]
+            and r"[\p{L}]+" in rules["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        )
+
+    def __missing__(self, word: str) -> bytes:
+        m = self.SIMPLE.fullmatch(word) if self.simple else None
+        if m:
+            piece = m[1].lower()
+            if not piece.isascii():
+                piece = piece.encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.merges.tokenize(piece)]
+            if m[2]:
+                ids += [t.id for t in self.merges.tokenize(m[2])]
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        if len(self) >= self.cache_words:
+            self.clear()
+        found = self[word] = array("i", ids).tobytes()
+        return found
+
+    def encode(self, text: str, end: bytes) -> bytes:
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) + end
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -81,15 +113,15 @@ def write_tokens(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = WordEncoder(name if os.path.sep in name else tokenizer_path(name))
+        encoder, end = WordIds(name if os.path.sep in name else tokenizer_path(name)), array("i", [end_id]).tobytes()
         part, offset = TaskContext.get().partitionId(), 0
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH_DOCS):
                 batch = whole.slice(at, BATCH_DOCS)
-                ids = [encoder.encode(text or "", end_id) for text in batch.column(1).to_pylist()]
-                lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+                ids = [encoder.encode(text or "", end) for text in batch.column(1).to_pylist()]
+                lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
                 ends = np.cumsum(lengths)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(np.concatenate(ids)))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),
@@ -135,6 +167,8 @@ def _started(rows: DataFrame, spark: SparkSession, path: str) -> DataFrame:
     parts = spark.read.parquet(path).groupBy("part").agg(F.sum("n_tokens").alias("part_ids"))
     before = W.partitionBy(F.lit(0)).orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row a part
     bases = parts.select("part", F.coalesce(F.sum("part_ids").over(before), F.lit(0)).alias("base"))
+    if parts.count() <= BROADCAST_PARTS:
+        bases = F.broadcast(bases)
     return rows.join(bases, "part").withColumn("start", F.col("base") + F.col("offset")).drop("part", "offset", "base")
 
 
