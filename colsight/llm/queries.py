@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from colsight.llm import maintext, mixing, neardup, phrases, ppm, secrets, tokens
+from colsight.llm import maintext, mixing, neardup, phrases, pii, ppm, secrets, tokens
 
 QUERIES = {
     "op1_token_files": tokens.op1_token_files,
+    "op3_boosted_pii": pii.op3_boosted_pii,
     "op5_ppm_language": ppm.op5_ppm_language,
     "op6_secret_layers": secrets.op6_secret_layers,
     "op7_phrase_index": phrases.op7_phrase_index,
