@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from colsight.llm import maintext, mixing, neardup, phrases, pii, ppm, secrets, tokens
+from colsight.llm import maintext, mixing, neardup, phrases, pii, ppm, quality, secrets, tokens
 
 QUERIES = {
     "op1_token_files": tokens.op1_token_files,
     "op3_boosted_pii": pii.op3_boosted_pii,
+    "op4_risk_rules": quality.op4_risk_rules,
     "op5_ppm_language": ppm.op5_ppm_language,
     "op6_secret_layers": secrets.op6_secret_layers,
     "op7_phrase_index": phrases.op7_phrase_index,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op4_risk_rules": quality.SQL,
     "op7_phrase_index": phrases.SQL,
     "op9_mix_sources": mixing.SQL,
 }
