@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from colsight.llm import maintext, mixing, neardup, phrases, pii, ppm, quality, secrets, tokens
+from colsight.llm import maintext, mixing, neardup, ngrams, phrases, pii, ppm, quality, secrets, tokens
 
 QUERIES = {
     "op1_token_files": tokens.op1_token_files,
+    "op2_trie_scores": ngrams.op2_trie_scores,
     "op3_boosted_pii": pii.op3_boosted_pii,
     "op4_risk_rules": quality.op4_risk_rules,
     "op5_ppm_language": ppm.op5_ppm_language,
