@@ -9,12 +9,13 @@ random, such a run is a random choice of blocks. Everything is arithmetic on col
 
 Defined cases: null text or a text without words has size 0 and nothing is taken; a null source is a source of its
 own, last in order; null and repeated doc_ids are ordinary rows (rows alike in doc_id and size may swap places);
-an empty table gives an empty result. `mix` ignores and keeps all further columns, packed in `row`.
+an empty table gives an empty result. Further columns ride along packed in `row`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -80,7 +81,19 @@ def apportion(parties: DataFrame, group: Sequence[str], party: Sequence[str], ke
     )
 
 
-def mix(
+def keyed(rows: DataFrame, seed: str) -> DataFrame:
+    """Adds the source's key, under which null is a source too, and the document's place in the seeded order."""
+    key = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source")))
+    return rows.withColumn("k", key).withColumn("h", F.md5(F.concat_ws("/", F.lit(seed), F.col("doc_id").cast("string"))))
+
+
+def placed(rows: DataFrame, sources: DataFrame, seed: str) -> DataFrame:
+    """Adds the source's numbers and the document's leaf."""
+    at = F.shiftright(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * F.col("n_leaves"), 32)
+    return keyed(rows, seed).join(sources, "k").withColumn("leaf", at)
+
+
+def plan(
     rows: DataFrame,
     weights: Sequence[int] = WEIGHTS,
     ceiling: int = CEILING,
@@ -88,12 +101,9 @@ def mix(
     leaf: int = LEAF,
     fan: int = FAN,
     seed: str = SEED,
-) -> DataFrame:
-    """rows (doc_id, source, size, row) with source_size, target, taken; and the span of the line that the last,
-    partial pass takes: `passes` whole copies and the words [cut, cut_end) and [0, wrap_end) of each document."""
-    key = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source")))
-    base = rows.withColumn("k", key).withColumn("h", F.md5(F.concat_ws("/", F.lit(seed), F.col("doc_id").cast("string"))))
-    counted = base.groupBy("k").agg(
+) -> tuple[DataFrame, DataFrame]:
+    """From rows (doc_id, source, size): the sources with their targets, and the leaves with their seats."""
+    counted = keyed(rows, seed).groupBy("k").agg(
         F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows")
     )
     n_leaves = F.greatest(F.lit(1), F.ceil(F.col("source_size") / leaf), F.ceil(F.col("n_rows") / leaf))
@@ -105,9 +115,7 @@ def mix(
     while fan**levels < most:
         levels += 1
 
-    at = F.shiftright(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * F.col("n_leaves"), 32)
-    placed = base.join(sources, "k").withColumn("leaf", at)
-    leaves = placed.groupBy("k", "leaf").agg(F.sum("size").alias("z"))
+    leaves = placed(rows, sources, seed).groupBy("k", "leaf").agg(F.sum("size").alias("z"))
     blocks = F.when(F.col("z") > 0, F.greatest(F.lit(1), F.round(F.col("z") / block))).otherwise(0).cast("long")
     leaves = stored(leaves.withColumn("blocks", blocks), "mix-leaves")
 
@@ -133,8 +141,12 @@ def mix(
             "k", F.col("child").alias("node"), "seats", "z", F.col("votes").alias("blocks")
         )
         seats = seats if level == levels else seats.select("k", "node", "seats")
-    quotas = seats.withColumnRenamed("node", "leaf")
+    return sources, seats.withColumnRenamed("node", "leaf")
+
 
+def take(rows: DataFrame, sources: DataFrame, quotas: DataFrame, seed: str = SEED) -> DataFrame:
+    """rows (doc_id, source, size, row) with source_size, target, taken; and what of each document is taken: `passes`
+    whole copies and, in the last, partial pass, the words [0, wrap_end) and [cut, cut_end)."""
     line = W.partitionBy("k", "leaf").orderBy("h", "doc_id", "size")
     n, z = F.greatest(F.col("blocks"), F.lit(1)), F.col("z")
     first = F.pmod(hash32(F.concat_ws("/", F.lit(seed), F.col("k"), F.col("leaf").cast("string"))), n)
@@ -143,7 +155,8 @@ def mix(
     bound = lambda c: F.floor(c * z / n)
     taken = F.col("passes") * size + F.col("cut_end") - F.col("cut") + F.col("wrap_end")
     return (
-        placed.join(quotas, ["k", "leaf"])
+        placed(rows, sources, seed)
+        .join(quotas, ["k", "leaf"])
         .withColumn("pos", F.sum("size").over(line) - size)
         .withColumn("passes", F.floor(F.col("seats") / n))
         .withColumn("first", first)
@@ -156,6 +169,25 @@ def mix(
     )
 
 
+def mix(rows: DataFrame, **settings: Any) -> DataFrame:
+    """rows (doc_id, source, size, row), planned with the settings of `plan` and taken."""
+    return take(rows, *plan(rows, **settings), seed=settings.get("seed", SEED))
+
+
+def copies(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The mix itself: `row` unpacked, once for each pass and once for the words of the partial pass, whose `text` (and
+    `n_chars`, where there is one) hold what is taken. A document taken whole keeps its text as it is."""
+    text, size = F.col("row.text"), F.col("size")
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    some = F.concat(F.slice(words, F.lit(1), F.col("wrap_end")), F.slice(words, F.col("cut") + 1, F.col("cut_end") - F.col("cut")))
+    n_some = F.col("wrap_end") + F.col("cut_end") - F.col("cut")
+    last = F.when(n_some == 0, F.array().cast("array<string>")).when(n_some >= size, F.array(text)).otherwise(F.array(F.array_join(some, " ")))
+    parts = F.concat(F.array_repeat(text, F.col("passes").cast("int")), last)
+    taken = mixed.where("taken > 0").select("row", F.explode(parts).alias("piece"))
+    of = {"text": F.col("piece"), "n_chars": F.length("piece").cast("long")}
+    return taken.select(*(of[c].alias(c) if c in of else F.col(f"row.`{c}`").alias(c) for c in columns))
+
+
 def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
 

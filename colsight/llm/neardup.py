@@ -335,7 +335,7 @@ def _outside(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, epsilon: float = EPSILON, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per document: doc_id, tid (the text's MD5), class_id."""
+    """One row per document: doc_id, tid (the text's MD5), label (of its class; both null for a null text), class_id."""
     docs = docs.select("doc_id", "text")
     weights = Weights(*frequent_shingles(docs, epsilon), epsilon)
     signed = stored(sign(docs, weights, bands, rows), "neardup-signed")
@@ -343,9 +343,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, epsilon: floa
     texts = signed.where(F.col("tid").isNotNull()).groupBy("tid").agg(F.min("doc_id").alias("first_id"))
     texts = _label(texts, labels, "tid", "label")
     classes = texts.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    named = texts.join(classes, "label").select("tid", "class_id")
+    named = texts.join(classes, "label").select("tid", "label", "class_id")
     rows_ = signed.select("doc_id", "tid").join(named, "tid", "left")
-    return rows_.select("doc_id", "tid", F.when(F.col("tid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    return rows_.select("doc_id", "tid", "label", F.when(F.col("tid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+
+
+def keep_one(docs: DataFrame, **settings: Any) -> DataFrame:
+    """docs without all but one document of each class; null texts stay."""
+    found = near_duplicates(docs, **settings).where(F.col("tid").isNotNull())
+    kept = found.groupBy("label").agg(F.min(F.struct("doc_id", "tid")).alias("one")).select(F.col("one.doc_id").alias("doc_id"), F.col("one.tid").alias("tid"))
+    tid = F.unhex(F.md5(F.col("text").cast("binary")))
+    rows = docs.where(F.col("text").isNotNull()).select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), tid.alias("digest"))
+    same = rows["id"].eqNullSafe(kept["doc_id"]) & (rows["digest"] == kept["tid"])
+    once = rows.join(kept, same, "left_semi").dropDuplicates(["id", "digest"]).select("row.*")
+    return once.unionByName(docs.where(F.col("text").isNull()))
 
 
 def op10_minhash_neardup(spark: SparkSession, folder: str) -> DataFrame:

@@ -231,6 +231,15 @@ def _ask(row: pa.RecordBatch, windows: Windows, slop: int) -> pa.RecordBatch:
     )
 
 
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs without those that hold a window of an item."""
+    key = F.struct(F.col("doc_id").alias("id"), F.md5(F.col("text").cast("binary")).alias("digest"))
+    index = stored(build_index(docs.select(key.alias("doc_id"), "text")), "phrase-index", compression="zstd")
+    hit = match(index, items, window).where(F.size("starts") > 0).select("doc_id.*").distinct()
+    same = docs["doc_id"].eqNullSafe(hit["id"]) & (F.md5(docs["text"].cast("binary")) == hit["digest"])
+    return docs.join(hit, same, "left_anti")
+
+
 def digest(found: DataFrame) -> DataFrame:
     n_hit = F.aggregate(F.zip_with("ends", "starts", lambda e, s: (e - s).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     return found.select(
