@@ -9,8 +9,9 @@ second pass counts the proposals over all documents, in blocks of bounded size.
 Each distinct text gets BANDS keys of ROWS consistent weighted samples (a shingle and its quantised weight). The
 samples' random variables come from a table of 65,536 draws, addressed by a hash of shingle and sample. Texts that
 share a key form a bucket. A bucket's first text leads: every member is compared with it. Members outside the
-leader's class so far then become pivots, 8, 64, 512, ... at a time, compared with all members of other classes that
-the triangle inequality of the Jaccard distance leaves open, until no outsider is left. So every pair of a bucket is
+leader's class so far then become pivots, 32, 256, ... at a time, compared with all members of other classes that two
+bounds leave open, until no outsider is left: the triangle inequality of the Jaccard distance, and what the shingles
+that no other text of large buckets has take away from a text's similarity to any other. So every pair of a bucket is
 compared, already in one class, or shown to differ, without writing all pairs, and nothing of a bucket meets in one
 task. Pairs of weighted Jaccard similarity THRESHOLD or more are links; classes are the connected components.
 
@@ -28,7 +29,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -39,8 +40,10 @@ SHINGLE = 5
 THRESHOLD = 0.8
 EPSILON = 0.01
 BANDS, ROWS = 16, 4
-#: Pivots of a bucket in the first round after its leader, and their growth from round to round.
-PIVOTS = 8
+#: Pivots of a bucket in the first round after its leader; eight times as many in each further round.
+PIVOTS = 32
+#: Texts of buckets of so many get bounds on their similarities before pairs are compared: time only, never the result.
+BOUNDED = 32
 #: Shingles of a chunk, and proposals counted in one pass: memory only, never the result.
 CHUNK = 2_000_000
 PROPOSALS = 2_000_000
@@ -258,6 +261,34 @@ def similarities(pairs: DataFrame, texts: DataFrame, weights: Weights) -> DataFr
     return rows.mapInArrow(compare, "a binary, b binary, sim double")
 
 
+def own_weights(texts: DataFrame, weights: Weights) -> DataFrame:
+    """(tid, w, u) of texts (tid, text) that have shingles no other of them has: their weight and that of those."""
+    sent = texts.sparkSession.sparkContext.broadcast(weights)
+
+    def weigh_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weigh, shingler = sent.value, Shingler()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                found = [shingler(t) for t in part.column(1).to_pylist()]
+                ws = [weigh(*f) for f in found]
+                sizes = [len(w) for w in ws]
+                tids = part.column(0).take(pa.array(np.repeat(np.arange(len(ws)), sizes)))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        _longs(np.concatenate([f[0] for f in found])),
+                        tids,
+                        pa.array(np.concatenate(ws)),
+                        pa.array(np.repeat([w.sum() for w in ws], sizes)),
+                    ],
+                    names=["shingle", "tid", "own", "w"],
+                )
+
+    rows = texts.mapInArrow(weigh_all, "shingle bigint, tid binary, own double, w double")
+    alone = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("tid", "own", "w"))).where("n = 1")
+    return alone.groupBy("tid").agg(F.max("w").alias("w"), F.sum("own").alias("u"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(tid, label): the smallest tid of each connected component of edges (a, b), by neighbours' smallest labels and
     pointer jumping."""
@@ -279,16 +310,11 @@ def _label(frame: DataFrame, labels: DataFrame, tid: str, name: str) -> DataFram
     return frame.join(of, tid, "left").withColumn(name, F.coalesce(name, tid))
 
 
-def _close(a: Column, b: Column, threshold: float) -> Column:
-    """Whether the similarities to one text leave open that two texts are linked."""
-    return F.abs(a - b) <= 1 - threshold + 1e-9
-
-
 def link(signed: DataFrame, docs: DataFrame, weights: Weights, threshold: float = THRESHOLD, pivots: int = PIVOTS) -> DataFrame:
     """(tid, label) of all texts with links, from signed (doc_id, tid, keys) and docs (doc_id, text)."""
     distinct = signed.where(F.col("tid").isNotNull() & (F.size("keys") > 0)).groupBy("tid").agg(F.first("keys").alias("keys"))
     listed = distinct.select("tid", F.explode("keys").alias("key"))
-    leads = listed.groupBy("key").agg(F.min("tid").alias("lead"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
+    leads = listed.groupBy("key").agg(F.min("tid").alias("lead"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     members = stored(listed.join(leads, "key"), "neardup-members")
 
     needed = members.select("tid").distinct()
@@ -306,20 +332,32 @@ def link(signed: DataFrame, docs: DataFrame, weights: Weights, threshold: float
     labels = components(edges)
 
     to_lead = sims.select(F.col("a").alias("tid"), F.col("b").alias("lead"), "sim")
-    outside = stored(_outside(members.join(to_lead, ["tid", "lead"]), labels), "neardup-outside")
+    rest = members.where((F.col("tid") != F.col("lead")) & (F.col("n") > 2)).drop("n").join(to_lead, ["tid", "lead"])
+    outside = stored(_outside(rest, labels), "neardup-outside")
+    open_ = members.where(F.col("n") >= BOUNDED).join(outside.select("key").distinct(), "key", "left_semi").select("tid").distinct()
+    bounds = stored(own_weights(texts.join(open_, "tid", "left_semi"), weights), "neardup-bounds")
+    rest = stored(_bounded(rest, bounds), "neardup-rest")
+    # A text that no other can be so similar to needs no turn.
+    able = F.coalesce(F.col("u") <= (1 - threshold) * F.col("w") + 1e-9, F.lit(True))
+    outside = stored(_bounded(outside, bounds).where(able).drop("w", "u"), "neardup-outside")
     while outside.limit(1).count():
         turn = W.partitionBy("key").orderBy("tid")
-        now = outside.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= pivots)
-        now = _label(now.select("key", F.col("tid").alias("p"), F.col("sim").alias("p_sim")), labels, "p", "p_label")
-        others = _label(members.join(to_lead, ["tid", "lead"], "left").withColumn("sim", F.coalesce("sim", F.lit(1.0))), labels, "tid", "t_label")
+        now = outside.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= pivots).drop("turn")
+        now = stored(_label(_bounded(now, bounds), labels, "tid", "label"), "neardup-pivots")
+        pivot = now.select("key", *(F.col(c).alias(f"p_{c}") for c in ("tid", "sim", "label", "w", "u")))
+        apart = (F.col("label") != F.col("p_label")) & (F.abs(F.col("sim") - F.col("p_sim")) <= 1 - threshold + 1e-9)
+        shared = F.least(F.col("w") - F.col("u"), F.col("p_w") - F.col("p_u"))
+        union = F.greatest(F.col("w") + F.col("p_u"), F.col("p_w") + F.col("u"))
+        near = F.coalesce(shared >= (threshold - 1e-9) * union, F.lit(True))
         pairs = (
-            others.join(now, "key")
-            .where((F.col("t_label") != F.col("p_label")) & (F.col("tid") != F.col("lead")) & _close(F.col("sim"), F.col("p_sim"), threshold))
-            .select(F.greatest("tid", "p").alias("a"), F.least("tid", "p").alias("b"))
+            _label(rest.where(able), labels, "tid", "label")
+            .join(pivot, "key")
+            .where(apart & near)
+            .select(F.greatest("tid", "p_tid").alias("a"), F.least("tid", "p_tid").alias("b"))
             .distinct()
         )
         more = stored(similarities(pairs, texts, weights), "neardup-sims").where(F.col("sim") >= threshold).select("a", "b")
-        waiting = outside.join(now.select("key", F.col("p").alias("tid")), ["key", "tid"], "left_anti")
+        waiting = outside.join(now.select("key", "tid"), ["key", "tid"], "left_anti")
         if more.limit(1).count():
             edges = edges.unionByName(more)
             labels = components(edges)
@@ -328,6 +366,11 @@ def link(signed: DataFrame, docs: DataFrame, weights: Weights, threshold: float
     return labels
 
 
+def _bounded(rows: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Adds the text's weight `w` and the weight `u` that it shares with no other; null if not bounded."""
+    return rows.join(bounds, "tid", "left")
+
+
 def _outside(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows (key, tid, lead, sim) whose text is not in the class of its bucket's leader."""
     named = _label(_label(rows, labels, "tid", "mine"), labels, "lead", "theirs")

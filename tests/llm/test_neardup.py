@@ -71,8 +71,10 @@ def words(*numbers):
     return " ".join(f"w{n}" for n in numbers)
 
 
-def test_chains_and_outsiders_of_a_bucket_are_linked(spark):
-    """One key for all texts: leader, border members and outsiders are all compared."""
+@pytest.mark.parametrize("bounded", [2, 1000])
+def test_chains_and_outsiders_of_a_bucket_are_linked(spark, monkeypatch, bounded):
+    monkeypatch.setattr(neardup, "BOUNDED", bounded)
+    # One key for all texts: leader, border members and outsiders are all compared.
     base = list(range(100))
     texts = [words(*base[: 100 - k], *range(1000 + k, 1000 + 2 * k)) for k in range(0, 40, 2)]
     texts += [words(*range(5000 + 200 * k, 5100 + 200 * k)) for k in range(12)]
