@@ -104,14 +104,16 @@ def raw_correlations(
     known: list[tuple] = []
     redo = [(i, j) for i in range(len(names)) for j in range(i, len(names)) if not (finite[i] and finite[j])]
     if regular:
-        sums = pairwise_sums(clean, [names[k] for k in regular], [stats[k]["mean"] for k in regular])
+        scales = [stats[k]["std"] if stats[k]["std"] and math.isfinite(stats[k]["std"]) else stats[k]["max"] - stats[k]["min"] for k in regular]
+        sums = pairwise_sums(clean, [names[k] for k in regular], [stats[k]["mean"] for k in regular], scales)
         for row in sums.collect():
             i, j = regular[row["i"]], regular[row["j"]]
-            var_x = row["n"] * row["sxx"] - row["sx"] ** 2
-            var_y = row["n"] * row["syy"] - row["sy"] ** 2
+            var_x = row["n"] * row["sxx"] - row["sx"] * row["sx"]
+            var_y = row["n"] * row["syy"] - row["sy"] * row["sy"]
             noise_x = VARIANCE_NOISE * row["n"] * row["sxx"]
             noise_y = VARIANCE_NOISE * row["n"] * row["syy"]
-            if var_x <= noise_x or var_y <= noise_y:
+            # Not above the noise, or not a number after an overflow.
+            if not (noise_x < var_x < math.inf and noise_y < var_y < math.inf):
                 redo.append((i, j))
             else:
                 r = (row["n"] * row["sxy"] - row["sx"] * row["sy"]) / math.sqrt(var_x) / math.sqrt(var_y)
@@ -160,7 +162,7 @@ def safe_corr(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
 
 
-def relationship(df: DataFrame, x: str, y: str, method: str = "pearson") -> DataFrame:
+def relationship(df: DataFrame, x: str, y: str, method: str = "pearson", bucket_rows: int | None = None) -> DataFrame:
     """One row: number of complete pairs and their Pearson or Spearman correlation."""
     for name in (x, y):
         require_numeric(df, name)
@@ -171,7 +173,7 @@ def relationship(df: DataFrame, x: str, y: str, method: str = "pearson") -> Data
         spread = F.sqrt(F.max(F.when(F.expr("i = 0 AND j = 0"), F.col("product")))) * F.sqrt(
             F.max(F.when(F.expr("i = 1 AND j = 1"), F.col("product")))
         )
-        result = rank_products(df, [x, y]).agg(
+        result = rank_products(df, [x, y], bucket_rows).agg(
             F.coalesce(F.max("n"), F.lit(0)).cast("long").alias("pair_count"), F.try_divide(r, spread).alias("r")
         )
     else:

@@ -14,12 +14,9 @@ from colsight.functions.local import local_frame
 from colsight.functions.missing import drop_missing, is_missing, nan_to_null, number, numbers
 from colsight.functions.text import round4
 from colsight.operators.profile import QUARTILES, moments
-from colsight.operators.quantiles import column_quantiles, exact_quantiles, grouped_quantiles
+from colsight.operators.quantiles import GROUP_ROWS, column_quantiles, exact_quantiles, grouped_quantiles
 from colsight.operators.ranks import value_buckets, with_bucket
 
-MAX_FILTERS = 8
-MAX_CATEGORIES = 100
-MAX_PERIODS = 500
 PERIODS = ("year", "quarter", "month", "week", "day", "hour", "minute")
 
 
@@ -37,22 +34,18 @@ def between(name: str, low: object | None = None, high: object | None = None) ->
 
 def one_of(name: str, values: Sequence[object]) -> Column:
     """Rows whose value is in a list of categories."""
-    if not values or len(values) > MAX_CATEGORIES:
-        raise DatasetError(f"A category filter takes 1 to {MAX_CATEGORIES} values.")
+    if not values:
+        raise DatasetError("A category filter needs a value.")
     return col(name).isin(list(values))
 
 
 def apply_filters(df: DataFrame, filters: Sequence[Column]) -> DataFrame:
     """Rows that pass all filters. The conditions stay separate, so each can reach the scan."""
-    if len(filters) > MAX_FILTERS:
-        raise DatasetError(f"At most {MAX_FILTERS} filters can be combined.")
     return reduce(DataFrame.where, filters, df)
 
 
 def filter_counts(df: DataFrame, filters: Sequence[Column], value: str) -> DataFrame:
     """One row: all rows, rows that pass, and passing rows that hold a value."""
-    if len(filters) > MAX_FILTERS:
-        raise DatasetError(f"At most {MAX_FILTERS} filters can be combined.")
     passes = reduce(lambda a, b: a & b, filters, F.lit(True))
     usable = passes & ~is_missing(value, df.schema[value].dataType)
     return df.agg(
@@ -65,28 +58,55 @@ def filter_counts(df: DataFrame, filters: Sequence[Column], value: str) -> DataF
 # Groups and periods ----------------------------------------------------------------------------
 
 
-def grouped_aggregate(df: DataFrame, by: Sequence[str], value: str, median: bool = True) -> DataFrame:
-    """(by..., rows, count, sum, mean, median, min, max) per group; rows without a group are left out."""
+def grouped_aggregate(
+    df: DataFrame, by: Sequence[str], value: str, median: bool = True, group_rows: int = GROUP_ROWS
+) -> DataFrame:
+    """(by..., rows, count, sum, mean, median, min, max) per group; rows without a group are left out.
+
+    One aggregate gives everything; medians of groups above ``group_rows`` rows are found by selection.
+    """
     require_numeric(df, value)
     by = list(by)
-    keys = [col(c) for c in by]
-    rows = drop_missing(nan_to_null(df.select(*keys, col(value).cast("double").alias("_x"))), by)
-    groups = rows.groupBy(*keys).agg(
-        F.count("*").alias("rows"),
-        F.count("_x").alias("count"),
-        round4(F.sum("_x")).alias("sum"),
-        round4(F.avg("_x")).alias("mean"),
-        F.min("_x").alias("min"),
-        F.max("_x").alias("max"),
-    )
-    if not median:
-        return groups
-    medians = grouped_quantiles(rows, by, "_x", [0.5])
-    named = medians.select(
-        *[col(c).alias(f"_k{i}") for i, c in enumerate(by)], round4(F.col("quantiles")[0]).alias("median")
-    )
-    same = reduce(lambda a, b: a & b, [col(c) == F.col(f"_k{i}") for i, c in enumerate(by)])
-    return groups.join(named, same, "left").select(*keys, "rows", "count", "sum", "mean", "median", "min", "max")
+    results = ["rows", "count", "sum", "mean", *(["median"] if median else []), "min", "max"]
+    if clash := set(by) & set(results):
+        raise DatasetError(f"Rename the group column '{min(clash)}': a result has that name.")
+    keys = [f"_k{i}" for i in range(len(by))]
+    cells = df.select(*[col(c).alias(k) for c, k in zip(by, keys)], col(value).cast("double").alias("_x"))
+    rows = drop_missing(nan_to_null(cells), keys)
+    aggregates = [
+        F.count("*").alias("_rows"),
+        F.count("_x").alias("_count"),
+        round4(F.sum("_x")).alias("_sum"),
+        round4(F.avg("_x")).alias("_mean"),
+        F.min("_x").alias("_min"),
+        F.max("_x").alias("_max"),
+    ]
+    if median:
+        groups = grouped_quantiles(rows, keys, "_x", [0.5], group_rows, aggregates, "_quantiles")
+        groups = groups.withColumn("_median", round4(F.col("_quantiles")[0]))
+    else:
+        groups = rows.groupBy(*keys).agg(*aggregates)
+    return groups.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], *[F.col(f"_{r}").alias(r) for r in results])
+
+
+_MONTHS = {"year": 12, "quarter": 3, "month": 1}
+_FIXED = {"week": "7 * int(id)", "day": "int(id)", "hour": "0, int(id)", "minute": "0, 0, int(id)"}
+
+
+def _naive_start(date: str, period: str) -> Column:
+    """The start of a period of a zone-free timestamp; no zone takes part."""
+    x = col(date)
+    day = x.cast("date")
+    if period in ("hour", "minute"):
+        minutes = F.minute(x) if period == "minute" else F.lit(0)
+        return day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.hour(x), minutes)
+    return (day if period == "day" else F.trunc(day, period)).cast("timestamp_ntz")
+
+
+def _naive_micros(x: Column) -> Column:
+    """Microseconds of a zone-free timestamp since the start of 1970."""
+    seconds = F.unix_date(x.cast("date")).cast("long") * 86_400 + F.hour(x) * 3_600 + F.minute(x) * 60
+    return seconds * F.lit(1_000_000) + (F.extract(F.lit("SECOND"), x) * 1_000_000).cast("long")
 
 
 def date_trend(df: DataFrame, date: str, value: str, period: str = "day") -> DataFrame:
@@ -94,36 +114,44 @@ def date_trend(df: DataFrame, date: str, value: str, period: str = "day") -> Dat
     if period not in PERIODS:
         raise DatasetError(f"Unknown period '{period}'.")
     require_numeric(df, value)
-    start = F.date_trunc(period, col(date)).alias("start")
-    rows = df.select(start, number(df, value).alias("x")).where("start IS NOT NULL")
+    naive = isinstance(df.schema[date].dataType, T.TimestampNTZType)
+    start = _naive_start(date, period) if naive else F.date_trunc(period, col(date))
+    rows = df.select(start.alias("start"), number(df, value).alias("x")).where("start IS NOT NULL")
     found = rows.groupBy("start").agg(
         F.count("x").alias("count"), round4(F.sum("x")).alias("sum"), round4(F.avg("x")).alias("mean")
     )
-    # Only the first and the last period leave the cluster; the calendar between them is built anew.
-    span = df.agg(
-        F.unix_micros(F.date_trunc(period, F.min(col(date)).cast("timestamp"))).alias("low"),
-        F.unix_micros(F.date_trunc(period, F.max(col(date)).cast("timestamp"))).alias("high"),
+    # Only the first period and the number of periods leave the cluster; the calendar is built anew.
+    low, high = F.min("start"), F.max("start")
+    whole = "MONTH" if period in _MONTHS else "DAY"
+    span = rows.select("start").agg(
+        low.cast("string").alias("low"),
+        (F.months_between(high.cast("date"), low.cast("date")) if period in _MONTHS else F.date_diff(high, low)).alias(whole),
+        (F.unix_micros(high.cast("timestamp")) - F.unix_micros(low.cast("timestamp")) if not naive else _naive_micros(high) - _naive_micros(low)).alias("micros"),
     ).first()
     if span["low"] is None:
         raise DatasetError(f"Column '{date}' holds no dates.")
-    step = F.expr("INTERVAL 3 MONTH" if period == "quarter" else f"INTERVAL 1 {period.upper()}")
-    ends = F.timestamp_micros(F.lit(span["low"])), F.timestamp_micros(F.lit(span["high"]))
-    calendar = df.sparkSession.range(1).select(F.explode(F.sequence(*ends, step)).alias("start"))
-    if calendar.count() > MAX_PERIODS:
-        raise DatasetError(f"More than {MAX_PERIODS} periods; choose a longer one than '{period}'.")
-    naive = isinstance(df.schema[date].dataType, T.TimestampNTZType)
-    # At most MAX_PERIODS rows on both sides.
-    return calendar.join(F.broadcast(found), "start", "left").select(
-        F.col("start").cast("timestamp_ntz" if naive else "timestamp").alias("period_start"),
-        F.coalesce("count", F.lit(0)).alias("count"),
-        "sum",
-        "mean",
+    if period in _MONTHS:
+        count = round(span[whole]) // _MONTHS[period]
+    elif period in ("week", "day"):
+        count = span[whole] // (7 if period == "week" else 1)
+    else:
+        count = span["micros"] // (3_600_000_000 if period == "hour" else 60_000_000)
+    step = f"make_ym_interval(0, int(id) * {_MONTHS[period]})" if period in _MONTHS else f"make_dt_interval({_FIXED[period]})"
+    kind = "timestamp_ntz" if naive else "timestamp"
+    if not naive and period in ("week", "day"):
+        # Days of a zone may have 23 or 25 hours: count them as dates.
+        calendar = F.expr(f"timestamp(date_add(date'{span['low'][:10]}', int(id) * {7 if period == 'week' else 1}))")
+    else:
+        calendar = F.expr(f"{kind}'{span['low']}' + {step}")
+    periods = df.sparkSession.range(count + 1).select(calendar.alias("start"))
+    return periods.join(found, "start", "left").select(
+        F.col("start").alias("period_start"), F.coalesce("count", F.lit(0)).alias("count"), "sum", "mean"
     )
 
 
 def chart_points(trend: DataFrame, points: int = 160) -> DataFrame:
     """At most ``points`` evenly spaced periods of a trend, first and last included."""
-    # A trend has at most MAX_PERIODS rows.
+    # One row per period of the calendar.
     numbered = trend.select("*", F.row_number().over(Window.orderBy("period_start")).alias("_n"))
     size = F.count("*").over(Window.partitionBy())
     slot = F.floor((F.col("_n") - 1) * (points - 1) / F.greatest(F.col("_size") - 1, F.lit(1)))
@@ -143,19 +171,24 @@ def time_extremes(trend: DataFrame, measure: str = "mean") -> DataFrame:
     )
 
 
-def date_coverage(df: DataFrame, date: str) -> DataFrame:
+def date_coverage(df: DataFrame, date: str, bucket_rows: int | None = None) -> DataFrame:
     """One row: different dates or times, first and last, days between, median gap in seconds.
 
     Neighbours are found bucket by bucket; the gap across two buckets comes from their ends.
     """
     day_only = isinstance(df.schema[date].dataType, T.DateType)
-    micros = F.unix_date(col(date)) * F.lit(86_400_000_000) if day_only else F.unix_micros(col(date).cast("timestamp"))
+    if day_only:
+        micros = F.unix_date(col(date)) * F.lit(86_400_000_000)
+    elif isinstance(df.schema[date].dataType, T.TimestampNTZType):
+        micros = _naive_micros(col(date))
+    else:
+        micros = F.unix_micros(col(date))
     times = df.select(micros.alias("t")).where("t IS NOT NULL")
     span = times.agg(F.count("*").alias("n"), F.min("t").alias("low")).first()
     if not span["n"]:
         raise DatasetError(f"Column '{date}' holds no dates.")
     shifted = times.withColumn("s", (F.col("t") - F.lit(span["low"])).cast("double"))
-    ends = value_buckets(shifted, ["s"], span["n"])[0].ends
+    ends = value_buckets(shifted, ["s"], span["n"], bucket_rows)[0].ends
     unique = with_bucket(shifted, "s", ends).select("_bucket", "t").distinct()
     within = F.lag("t").over(Window.partitionBy("_bucket").orderBy("t"))
     gaps = unique.select((F.col("t") - within).alias("gap"))
@@ -183,6 +216,8 @@ def text_columns(df: DataFrame) -> list[str]:
 def top_categories(df: DataFrame, columns: Sequence[str] | None = None, k: int = 3) -> DataFrame:
     """(position, name, rank, value, count): the ``k`` most frequent values of each text column."""
     names = text_columns(df) if columns is None else list(columns)
+    if not names:
+        return local_frame(df.sparkSession, [], "position int, name string, rank int, value string, count long")
     cells = [F.struct(F.lit(i).alias("position"), col(c).cast("string").alias("value")) for i, c in enumerate(names)]
     counts = (
         df.select(F.inline(F.array(*cells))).where("value IS NOT NULL").groupBy("position", "value").agg(F.count("*").alias("count"))

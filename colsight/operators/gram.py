@@ -18,22 +18,25 @@ PARTIAL = ("n", "sx", "sy", "sxx", "syy", "sxy")
 _SCHEMA = "i int, j int, " + ", ".join(f"{name} double" for name in PARTIAL)
 
 
-def pairwise_sums(df: DataFrame, columns: Sequence[str], centres: Sequence[float]) -> DataFrame:
+def pairwise_sums(
+    df: DataFrame, columns: Sequence[str], centres: Sequence[float], scales: Sequence[float] | None = None
+) -> DataFrame:
     """(i, j, n, sx, sy, sxx, syy, sxy) for i <= j over rows where both columns hold a value.
 
-    Values are taken relative to ``centres``; centres near the means keep the sums well conditioned.
+    Values are taken relative to ``centres`` and ``scales``; centres near the means keep the sums well
+    conditioned, scales near the deviations keep them from overflowing.
     """
     values = df.select(*[number(df, c).alias(f"c{k}") for k, c in enumerate(columns)])
-    partials = values.mapInArrow(_partials(np.asarray(centres, dtype=float)), _SCHEMA)
+    partials = values.mapInArrow(_partials(np.asarray(centres, dtype=float), np.asarray(scales or 1.0, dtype=float)), _SCHEMA)
     return partials.groupBy("i", "j").agg(*[F.sum(name).alias(name) for name in PARTIAL])
 
 
-def _partials(centres: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _partials(centres: np.ndarray, scales: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             cells = [column.to_numpy(zero_copy_only=False) for column in batch.columns]
-            values = np.column_stack(cells).astype(float) - centres
+            values = (np.column_stack(cells).astype(float) - centres) / scales
             present = ~np.isnan(values)
             values[~present] = 0.0
             mask = present.astype(float)
@@ -48,3 +51,19 @@ def _partials(centres: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Itera
             yield pa.RecordBatch.from_arrays(arrays, names=["i", "j", *PARTIAL])
 
     return run
+
+
+def weighted_products(df: DataFrame, columns: Sequence[str], weight: str, centre: float) -> DataFrame:
+    """(i, j, product) for i <= j: weighted sums of products of values without gaps, relative to a centre."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(columns), len(columns)))
+        for batch in batches:
+            cells = [column.to_numpy(zero_copy_only=False) for column in batch.columns]
+            values = np.column_stack(cells[1:]).astype(float) - centre
+            total += (values * cells[0][:, None]).T @ values
+        i, j = np.triu_indices(len(columns))
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], names=["i", "j", "product"])
+
+    partials = df.select(weight, *columns).mapInArrow(run, "i int, j int, product double")
+    return partials.groupBy("i", "j").agg(F.sum("product").alias("product"))

@@ -27,7 +27,8 @@ RANK_MARGIN = 0.002
 INTERVAL_ROWS = 4_000_000
 # Groups with more rows than this are ranked by intervals instead of one aggregation buffer.
 GROUP_ROWS = 1_000_000
-MAX_LARGE_GROUPS = 100_000
+# Oversized groups whose selection is under way at once.
+GROUPS_AT_ONCE = 100_000
 GRID = 512
 
 
@@ -57,7 +58,7 @@ def sketch_quantiles(value: Column, points: Sequence[float], size: int = SKETCH_
 
 
 def column_quantiles(
-    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], interval_rows: int | None = None
 ) -> dict[str, list[float]]:
     """Exact quantiles of whole numeric columns; columns without values are left out."""
     columns = list(columns)
@@ -71,7 +72,7 @@ def column_quantiles(
         for i, _ in part:
             if row[str(i)]["n"]:
                 groups[(i,)] = (row[str(i)]["n"], row[str(i)]["edges"])
-    found = _select(_WholeColumns(df), groups, probabilities)
+    found = _select(_WholeColumns(df), groups, probabilities, interval_rows)
     return {columns[key[0]]: values for key, values in found.items()}
 
 
@@ -81,39 +82,51 @@ def grouped_quantiles(
     value: str,
     probabilities: Sequence[float],
     group_rows: int = GROUP_ROWS,
+    aggregates: Sequence[Column] = (),
+    name: str = "quantiles",
 ) -> DataFrame:
-    """(by..., quantiles array<double>) per group, exact.
+    """(by..., aggregates..., quantiles array<double>) per group, exact.
 
-    Small groups use the built-in aggregate. Groups above ``group_rows`` rows are few by definition
-    and go through the interval selection, so no task ever holds all values of one.
+    Small groups use the built-in aggregate, next to any other ``aggregates`` of the rows. Groups with
+    more than ``group_rows`` values go through the interval selection, some at a time, so no task ever
+    holds all values of one. Both ways interpolate alike.
     """
     by = list(by)
-    rows = nan_to_null(df.select(*[col(c) for c in by], col(value).cast("double").alias("x"))).where("x IS NOT NULL")
-    wanted = [F.lit(float(p)) for p in probabilities]
-    builtin = F.percentile("x", F.array(*wanted)).alias("quantiles")
-    sizes = rows.groupBy(*[col(c) for c in by]).agg(F.count("*").alias("_rows"))
-    total, largest = sizes.agg(F.sum("_rows"), F.max("_rows")).first()
-    limit = max(group_rows, (total or 0) // MAX_LARGE_GROUPS)
-    if (largest or 0) <= limit:
-        return rows.groupBy(*[col(c) for c in by]).agg(builtin)
-
-    # At most total / limit keys, so the broadcast below has a fixed bound.
-    keys = sizes.where(F.col("_rows") > limit).select(*[col(c) for c in by]).collect()
-    large = _keyed_frame(rows, by, {tuple(key): () for key in keys})
-    same = _same_keys(rows, large, by)
-    hot = rows.join(F.broadcast(large), same, "left_semi")
-    cold = rows.join(F.broadcast(large), same, "left_anti")
+    keys = [f"_g{i}" for i in range(len(by))]
+    wanted = F.array(*[F.lit(float(p)) for p in probabilities])
+    builtin = F.percentile(col(value).cast("double"), wanted).alias(name)
+    clean = nan_to_null(df)
+    sizes = clean.groupBy(*[col(c).alias(k) for c, k in zip(by, keys)]).agg(F.count(col(value)).alias("_rows"))
+    over = sizes.where(F.col("_rows") > group_rows)
+    n_over = over.count()
+    if not n_over:
+        return clean.groupBy(*[col(c) for c in by]).agg(*aggregates, builtin)
+
+    rows = clean.select(*[col(c).alias(k) for c, k in zip(by, keys)], col(value).cast("double").alias("x"))
+    rows = rows.where("x IS NOT NULL")
     points = _interval_points(probabilities)
-    groups = {
-        tuple(r[c] for c in by): (r["_s"]["n"], r["_s"]["edges"])
-        for r in hot.groupBy(*[col(c) for c in by]).agg(sketch_quantiles(F.col("x"), points).alias("_s")).collect()
-    }
-    found = _select(_Groups(hot, by), groups, probabilities)
-    schema = T.StructType(
-        [rows.schema[c] for c in by] + [T.StructField("quantiles", T.ArrayType(T.DoubleType()))]
-    )
-    large_groups = local_frame(df.sparkSession, [(*k, v) for k, v in found.items()], schema)
-    return cold.groupBy(*[col(c) for c in by]).agg(builtin).unionByName(large_groups)
+    blocks = -(-n_over // GROUPS_AT_ONCE)
+    fields = [T.StructField(k, rows.schema[k].dataType) for k in keys] + [T.StructField(name, T.ArrayType(T.DoubleType()))]
+    frames = []
+    for block in range(blocks):
+        mine = over.where(F.pmod(F.hash(*keys), F.lit(blocks)) == block).select(*keys).collect()
+        large = _keyed_frame(rows, keys, {tuple(key): () for key in mine})
+        # About GROUPS_AT_ONCE keys.
+        hot = rows.join(F.broadcast(large), _same_keys(rows, large, keys), "left_semi")
+        groups = {
+            tuple(r[k] for k in keys): (r["_s"]["n"], r["_s"]["edges"])
+            for r in hot.groupBy(*keys).agg(sketch_quantiles(F.col("x"), points).alias("_s")).collect()
+        }
+        found = _select(_Groups(hot, keys), groups, probabilities)
+        frames.append(local_frame(df.sparkSession, [(*k, v) for k, v in found.items()], T.StructType(fields)))
+    large_groups = reduce(DataFrame.unionByName, frames)
+    # The values of oversized groups stay out of the built-in aggregate, their other aggregates do not.
+    marked = clean.join(over.select(*keys, F.lit(True).alias("_over")), _same_values(clean, over, by, keys), "left")
+    small = F.percentile(F.when(F.col("_over").isNull(), col(value).cast("double")), wanted)
+    grouped = marked.groupBy(*[col(c) for c in by]).agg(*aggregates, small.alias("_small"))
+    joined = grouped.join(large_groups, _same_values(grouped, large_groups, by, keys), "left")
+    kept = [c for c in grouped.columns if c != "_small"]
+    return joined.select(*[grouped["`" + c.replace("`", "``") + "`"] for c in kept], F.coalesce(large_groups[name], "_small").alias(name))
 
 
 def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float]) -> list[float] | None:
@@ -127,6 +140,13 @@ def _interval_points(probabilities: Sequence[float]) -> list[float]:
     ]
 
 
+def _same_values(rows: DataFrame, keys: DataFrame, by: Sequence[str], named: Sequence[str]) -> Column:
+    condition = F.lit(True)
+    for name, key in zip(by, named):
+        condition = condition & rows["`" + name.replace("`", "``") + "`"].eqNullSafe(keys[key])
+    return condition
+
+
 def _same_keys(rows: DataFrame, keys: DataFrame, by: Sequence[str]) -> Column:
     condition = F.lit(True)
     for i, name in enumerate(by):
@@ -253,6 +273,7 @@ def _select(
     source: _WholeColumns | _Groups,
     groups: dict[tuple, tuple[int, list[float]]],
     probabilities: Sequence[float],
+    interval_rows: int | None = None,
 ) -> dict[tuple, list[float]]:
     """Quantiles per key, from the number of values and the first interval ends of each."""
     pending: _Intervals = {}
@@ -261,6 +282,7 @@ def _select(
             low, high, _ = _wanted_ranks(n, p)
             pending.setdefault(key, []).append(_Interval(edges[2 * i], edges[2 * i + 1], {low, high}))
 
+    limit = INTERVAL_ROWS if interval_rows is None else interval_rows
     values: dict[tuple, dict[int, float]] = {key: {} for key in groups}
     while pending:
         pending = {key: _merge(intervals) for key, intervals in pending.items()}
@@ -273,11 +295,11 @@ def _select(
                 if i.ranks and i.low == i.high:
                     values[key].update(dict.fromkeys(i.ranks, i.low))
                 elif i.ranks:
-                    (ready if i.upto - i.below <= INTERVAL_ROWS else wide).setdefault(key, []).append(i)
+                    (ready if i.upto - i.below <= limit else wide).setdefault(key, []).append(i)
         if wide:
             for key, sketches in source.sketches(wide).items():
                 for interval, sketch in zip(wide[key], sketches):
-                    keep, narrower = _narrow(interval, sketch, values[key])
+                    keep, narrower = _narrow(interval, sketch, values[key], limit)
                     ready.setdefault(key, []).extend(keep)
                     missed[key] += narrower
         ready = {key: sorted(intervals, key=lambda i: i.low) for key, intervals in ready.items() if intervals}
@@ -291,7 +313,8 @@ def _select(
         for p in probabilities:
             low, high, fraction = _wanted_ranks(n, p)
             a, b = values[key][low], values[key][high]
-            result[key].append(a if a == b else a + (b - a) * fraction)
+            # The formula of the built-in aggregate.
+            result[key].append(a if a == b else (low + 1 - p * (n - 1)) * a + fraction * b)
     return result
 
 
@@ -322,7 +345,7 @@ def _place(intervals: list[_Interval], counts: Sequence[tuple[int, int]]) -> lis
     return gaps
 
 
-def _narrow(interval: _Interval, sketch, values: dict[int, float]) -> tuple[list[_Interval], list[_Interval]]:
+def _narrow(interval: _Interval, sketch, values: dict[int, float], interval_rows: int) -> tuple[list[_Interval], list[_Interval]]:
     """(intervals small enough to read, smaller intervals to count) for one that holds too many rows."""
     first, last = interval.below + sketch["at_low"], interval.upto - sketch["at_high"]
     values.update({r: interval.low for r in interval.ranks if r < first})
@@ -330,7 +353,7 @@ def _narrow(interval: _Interval, sketch, values: dict[int, float]) -> tuple[list
     between = {r for r in interval.ranks if first <= r < last}
     if not between:
         return [], []
-    if last - first <= INTERVAL_ROWS:
+    if last - first <= interval_rows:
         return [_Interval(interval.low, interval.high, between, interval.below, interval.upto)], []
     grid = sketch["inner"]["edges"]
     cells = [int((r - first) / (last - first) * GRID) for r in between]

@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from colsight.functions.columns import col
 from colsight.functions.missing import number
+from colsight.operators.gram import weighted_products
 from colsight.operators.quantiles import sketch_quantiles
 
 BUCKET_ROWS = 200_000
-MAX_BUCKETS = 4096
-SKETCH_SIZE = 16_384
+# The sketch grows with the number of buckets, up to the largest there is.
+SKETCH_SIZE, LARGEST_SKETCH = 16_384, 65_535
 # A value with more than about two shares of this many is recognised as frequent ...
 FREQUENCY_POINTS = 512
 # ... and its rows are spread over this many join keys.
@@ -33,15 +34,16 @@ class Buckets:
     frequent: list[float]
 
 
-def value_buckets(df: DataFrame, names: Sequence[str], rows: int) -> list[Buckets]:
+def value_buckets(df: DataFrame, names: Sequence[str], rows: int, bucket_rows: int | None = None) -> list[Buckets]:
     """Bucket ends and frequent values of double columns, from one scan.
 
-    Both lists are at most ``MAX_BUCKETS`` long.
+    There is an end per ``bucket_rows`` (else ``BUCKET_ROWS``) rows; buckets are as even as the sketch's rank error allows.
     """
-    count = min(MAX_BUCKETS, max(1, math.ceil(rows / BUCKET_ROWS)))
+    count = max(1, math.ceil(rows / (bucket_rows or BUCKET_ROWS)))
+    size = min(LARGEST_SKETCH, max(SKETCH_SIZE, 4 * count))
     step = math.ceil(FREQUENCY_POINTS / count)
     points = [i / (count * step) for i in range(1, count * step)]
-    row = df.agg(*[sketch_quantiles(col(c), points, SKETCH_SIZE).alias(f"s{i}") for i, c in enumerate(names)]).first()
+    row = df.agg(*[sketch_quantiles(col(c), points, size).alias(f"s{i}") for i, c in enumerate(names)]).first()
     found = []
     for i in range(len(names)):
         edges = row[f"s{i}"]["edges"] or []
@@ -69,7 +71,7 @@ def average_ranks(df: DataFrame, name: str, ends: Sequence[float]) -> DataFrame:
     )
     before = F.lit(0)
     if ends:
-        # Rows before each bucket: at most MAX_BUCKETS rows in this unpartitioned window.
+        # Rows before each bucket: one row per BUCKET_ROWS rows in this unpartitioned window.
         earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
         offsets = rows.groupBy("_bucket").agg(F.count("*").alias("_rows"))
         offsets = offsets.select("_bucket", F.sum("_rows").over(earlier).alias("_before"))
@@ -79,10 +81,10 @@ def average_ranks(df: DataFrame, name: str, ends: Sequence[float]) -> DataFrame:
     return values.select("_value", rank.cast("double").alias("_rank"))
 
 
-def rank_products(df: DataFrame, names: Sequence[str]) -> DataFrame:
+def rank_products(df: DataFrame, names: Sequence[str], bucket_rows: int | None = None) -> DataFrame:
     """(i, j, product, n) for i <= j: sums of products of centred average ranks over complete rows.
 
-    Equal rows are collapsed to one weighted row first, so copies never travel, and the rows of a
+    Tasks add up products over Arrow batches and emit one row per pair of columns. Equal rows are collapsed to one weighted row first, so copies never travel, and the rows of a
     frequent value are spread over several keys by the content of their other columns.
     """
     names = list(names)
@@ -91,24 +93,12 @@ def rank_products(df: DataFrame, names: Sequence[str]) -> DataFrame:
     complete = cells.dropna()
     n = complete.count()
     ranked = complete.groupBy(*ranked_names).agg(F.count("*").alias("_weight"))
-    for k, buckets in enumerate(value_buckets(complete, ranked_names, n)):
+    for k, buckets in enumerate(value_buckets(complete, ranked_names, n, bucket_rows)):
         ranks = average_ranks(complete, f"c{k}", buckets.ends)
         ranked = _attach(ranked, ranks, f"c{k}", f"r{k}", buckets.frequent, ranked_names)
-    centre = (n + 1) / 2
-    products = [
-        F.struct(
-            F.lit(i).alias("i"),
-            F.lit(j).alias("j"),
-            (F.col("_weight") * (F.col(f"r{i}") - centre) * (F.col(f"r{j}") - centre)).alias("p"),
-        )
-        for i in range(len(names))
-        for j in range(i, len(names))
-    ]
-    return (
-        ranked.select(F.inline(F.array(*products)))
-        .groupBy("i", "j")
-        .agg(F.sum("p").alias("product"), F.lit(n).cast("long").alias("n"))
-    )
+    ranks = [f"r{k}" for k in range(len(names))]
+    sums = weighted_products(ranked, ranks, "_weight", (n + 1) / 2)
+    return sums.withColumn("n", F.lit(n).cast("long"))
 
 
 def _attach(

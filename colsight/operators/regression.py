@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from colsight.errors import DatasetError
 from colsight.functions.columns import as_double, col, default_target, numeric_columns, require_numeric
 from colsight.functions.local import local_frame
-from colsight.functions.missing import drop_missing, nan_to_null
+from colsight.functions.missing import drop_missing, is_missing, nan_to_null
 from colsight.functions.text import round4
 from colsight.operators.gram import pairwise_sums
 from colsight.operators.profile import moments
@@ -25,6 +25,8 @@ from colsight.operators.quantiles import exact_quantiles
 from colsight.operators.split import Split, exact_split
 
 MIN_ROWS = 10
+# Columns that the model's result frames add to features and target.
+RESERVED = frozenset(("split_hash", "is_test", "actual", "predicted"))
 # Directions below this share of the largest eigenvalue carry no information of their own.
 RANK_TOLERANCE = 1e-12
 # Squared residuals below this share of the squared values are rounding noise.
@@ -154,9 +156,9 @@ def prediction_bounds(points: DataFrame) -> DataFrame:
 def feature_columns(df: DataFrame, target: str, features: Sequence[str] | None = None) -> list[str]:
     """Check target and features; without explicit features, take all other numeric columns."""
     if target not in df.columns:
-        raise DatasetError(f"Target column '{target}' does not exist in the dataset.")
+        raise DatasetError(f"There is no column '{target}' to use as target.")
     if target not in numeric_columns(df):
-        raise DatasetError(f"Target column '{target}' is not numeric; a regression needs a numeric target.")
+        raise DatasetError(f"The target '{target}' is not numeric.")
     if features is None:
         chosen = [c for c in numeric_columns(df) if c != target]
     else:
@@ -164,11 +166,13 @@ def feature_columns(df: DataFrame, target: str, features: Sequence[str] | None =
         for name in chosen:
             require_numeric(df, name, "Feature column")
         if target in chosen:
-            raise DatasetError(f"Target column '{target}' cannot be one of the features.")
+            raise DatasetError(f"The target '{target}' is also among the features.")
         if len(set(chosen)) < len(chosen):
             raise DatasetError("A feature column is named twice.")
+    if clash := RESERVED.intersection([target, *chosen]):
+        raise DatasetError(f"Rename the column '{min(clash)}': a result has that name.")
     if not chosen:
-        raise DatasetError("No valid numeric feature columns available to train the model.")
+        raise DatasetError("There is no numeric column left to use as feature.")
     return chosen
 
 
@@ -194,6 +198,17 @@ def modelling_rows(
     return rows.groupBy(*cells).agg(smallest).select("_key.*", *cells)
 
 
+def training_checks(df: DataFrame, target: str, test_size: float = 0.2) -> DataFrame:
+    """One row: rows with a target, whether they are enough, and whether both sides of a split hold any."""
+    usable = F.count_if(~is_missing(target, df.schema[target].dataType))
+    test = F.ceil(F.col("usable_rows") * F.lit(test_size))
+    return df.agg(usable.alias("usable_rows")).select(
+        "usable_rows",
+        (F.col("usable_rows") >= MIN_ROWS).alias("enough_rows"),
+        ((test > 0) & (test < F.col("usable_rows"))).alias("both_sides"),
+    )
+
+
 def train_means(rows: DataFrame, split: Split, features: Sequence[str]) -> DataFrame:
     """(position, name, count, mean, ...) of the features over the training rows."""
     return moments(split.apply(rows).where("NOT is_test"), list(features))
@@ -227,8 +242,7 @@ def fit_linear_regression(
             raise
     if total < MIN_ROWS:
         raise DatasetError(
-            f"Dataset has only {total} rows with non-null target values. "
-            f"At least {MIN_ROWS} rows are required to train."
+            f"At least {MIN_ROWS} rows with a target are needed; there are {total}."
         )
 
     stats = {r["name"]: r for r in train_means(rows, split, [*features, target]).collect()}

@@ -64,7 +64,11 @@ def _row_hash(df: DataFrame, seed: int) -> Column:
 
 
 def exact_split(
-    df: DataFrame, key: Sequence[str] = (), test_size: float = 0.2, seed: int = 42
+    df: DataFrame,
+    key: Sequence[str] = (),
+    test_size: float = 0.2,
+    seed: int = 42,
+    candidate_rows: int | None = None,
 ) -> Split:
     """Find the split with exactly ``ceil(test_size * rows)`` test rows.
 
@@ -74,11 +78,12 @@ def exact_split(
     if not 0.0 < test_size < 1.0:
         raise DatasetError("test_size must lie between 0 and 1.")
     key = tuple(key)
+    candidate_rows = CANDIDATE_ROWS if candidate_rows is None else candidate_rows
     hashes = df.select(split_hash(df, key, seed).alias("h"))
-    total, cut, below, ties = _find_cut(hashes, lambda n: F.ceil(n * F.lit(test_size)))
+    total, cut, below, ties = _find_cut(hashes, lambda n: F.ceil(n * F.lit(test_size)), candidate_rows)
     test_rows = math.ceil(test_size * total)
     if test_rows == 0 or total - test_rows == 0:
-        raise DatasetError("Insufficient data to form non-empty train and test splits.")
+        raise DatasetError("Too few rows for a training side and a test side.")
     split = Split(key, seed, test_rows, total - test_rows, cut)
     rest = test_rows - below
     if rest == ties:
@@ -86,13 +91,13 @@ def exact_split(
     row_cut, in_row_cut = cut, ties
     if key:
         tied = df.where(split_hash(df, key, seed) == cut)
-        _, row_cut, below, in_row_cut = _find_cut(tied.select(_row_hash(df, seed).alias("h")), lambda n: F.lit(rest))
+        _, row_cut, below, in_row_cut = _find_cut(tied.select(_row_hash(df, seed).alias("h")), lambda n: F.lit(rest), candidate_rows)
         rest -= below
     copies = None if rest == in_row_cut else rest
     return Split(key, seed, test_rows, total - test_rows, cut, row_cut, copies)
 
 
-def _find_cut(hashes: DataFrame, rank_of: Callable[[Column], Column]) -> tuple[int, str, int, int]:
+def _find_cut(hashes: DataFrame, rank_of: Callable[[Column], Column], candidate_rows: int) -> tuple[int, str, int, int]:
     """(rows, cut, rows below the cut, rows at the cut) for the hash at a 1-based rank.
 
     ``rank_of`` gives the rank from the number of rows.
@@ -100,7 +105,7 @@ def _find_cut(hashes: DataFrame, rank_of: Callable[[Column], Column]) -> tuple[i
     total, rank, prefix, below, size = None, 0, "", 0, math.inf
     upto = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    while size > CANDIDATE_ROWS and len(prefix) < HASH_LENGTH:
+    while size > candidate_rows and len(prefix) < HASH_LENGTH:
         # At most 16 ** PREFIX groups reach these windows, whatever the number of rows.
         groups = (
             hashes.where(F.col("h").startswith(prefix))
@@ -120,7 +125,7 @@ def _find_cut(hashes: DataFrame, rank_of: Callable[[Column], Column]) -> tuple[i
             total, rank = row["rows"], row["rank"]
         below, size, prefix = below + row["upto"] - row["n"], row["n"], prefix + row["p"]
     upto = Window.orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
-    # At most CANDIDATE_ROWS different hashes: a full-length prefix leaves one.
+    # At most candidate_rows different hashes: a full-length prefix leaves one.
     row = (
         hashes.where(F.col("h").startswith(prefix))
         .groupBy("h")

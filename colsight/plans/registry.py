@@ -12,6 +12,8 @@ from colsight.functions.missing import tokens_to_null
 from colsight.operators import correlation, explore, profile, regression
 from colsight.operators.split import exact_split
 from colsight.plans import report
+from colsight.plans.analysis import analyse
+from colsight.sources import csv
 from colsight.sources.checks import shape
 from colsight.sources.inference import infer_types
 
@@ -510,7 +512,7 @@ def _(spark, folder):
     " CAST(ceil(CAST(0.2 AS DOUBLE) * count(*)) AS BIGINT) AS t FROM lineitem), (VALUES (true), (false)) AS v(is_test)",
 )
 def _(spark, folder):
-    rows = table(spark, folder, "lineitem").select("l_quantity", "l_discount", "l_tax")
+    rows = table(spark, folder, "lineitem")
     return exact_split(rows).apply(rows).groupBy("is_test").agg(F.count("*").alias("rows"))
 
 
@@ -695,29 +697,33 @@ def _fixed_sql(section: int, texts: Sequence[str], start: int = 0) -> str:
 
 @registered(
     "report_overview",
-    f"WITH o AS ({overview_sql('part', PART_TYPES)}) " + _fixed_sql(1, ["# Analysis Report: part", "", "## 1. Dataset Overview", "- **File Name**: part"])
-    + " UNION ALL SELECT 1, 4, '- **Total Rows**: ' || format('{:,}', row_count) FROM o"
-    " UNION ALL SELECT 1, 5, '- **Total Columns**: ' || CAST(column_count AS VARCHAR) FROM o"
-    " UNION ALL SELECT 1, 6, '- **Total Missing Cells**: ' || format('{:,}', total_missing) FROM o",
+    f"WITH o AS ({overview_sql('part', PART_TYPES)}) " + _fixed_sql(1, ["# Table profile: part", "", "## Size", "- **Source**: part"])
+    + " UNION ALL SELECT 1, 4, '- **Rows**: ' || format('{:,}', row_count) FROM o"
+    " UNION ALL SELECT 1, 5, '- **Columns**: ' || CAST(column_count AS VARCHAR) FROM o"
+    " UNION ALL SELECT 1, 6, '- **Missing cells**: ' || format('{:,}', total_missing) FROM o",
 )
 def _(spark, folder):
     return _text_lines(report.overview_lines(profile.dataset_overview(table(spark, folder, "part")), "part"))
 
 
-@registered(
-    "report_schema",
-    _fixed_sql(2, ["", "### Column Schema", "| Column Name | Type | Missing Values | Missing % | Unique |", "| :--- | :--- | :--- | :--- | :--- |"])
-    + " UNION ALL SELECT 2, position + 4, '| `' || name || '` | `' || dtype || '` | ' || CAST(missing_count AS VARCHAR) || ' | ' || "
-    + decimal_sql("missing_pct", 2) + " || '% | ' || CAST(unique_count AS VARCHAR) || ' |'"
-    f" FROM ({profile_sql(GAPPY_SQL, GAPPY_TYPES)})",
-)
+def _schema_lines_sql(source: str, types: dict[str, str]) -> str:
+    head = ["", "## Columns", "| Name | Kind | Missing | Share missing | Distinct |", "| :--- | :--- | :--- | :--- | :--- |"]
+    return (
+        _fixed_sql(2, head)
+        + " UNION ALL SELECT 2, position + 4, '| `' || name || '` | `' || dtype || '` | ' || CAST(missing_count AS VARCHAR) || ' | ' || "
+        + decimal_sql("missing_pct", 2)
+        + f" || '% | ' || CAST(unique_count AS VARCHAR) || ' |' FROM ({profile_sql(source, types)})"
+    )
+
+
+@registered("report_schema", _schema_lines_sql(GAPPY_SQL, GAPPY_TYPES))
 def _(spark, folder):
     return _text_lines(report.schema_lines(profile.profile_columns(gappy_lineitem(spark, folder))))
 
 
 @registered(
     "report_statistics",
-    _fixed_sql(3, ["", "## 2. Descriptive Statistics (Numeric Columns)", "| Column | Mean | Std Dev | Min | Median | Max |", "| :--- | :--- | :--- | :--- | :--- | :--- |"])
+    _fixed_sql(3, ["", "## Numeric columns", "| Name | Average | Deviation | Smallest | Middle | Largest |", "| :--- | :--- | :--- | :--- | :--- | :--- |"])
     + " UNION ALL SELECT 3, position + 4, '| `' || name || '` | ' || "
     + " || ' | ' || ".join(decimal_sql(c) for c in ("mean", "std", "min", "median", "max"))
     + f" || ' |' FROM ({describe_sql('part', PART_TYPES)})",
@@ -726,19 +732,23 @@ def _(spark, folder):
     return _text_lines(report.statistics_lines(profile.describe_numeric(table(spark, folder, "part"))))
 
 
-@registered(
-    "report_correlations",
-    _fixed_sql(4, ["", "## 3. Top Pearson Correlations", "| Feature 1 | Feature 2 | Correlation |", "| :--- | :--- | :--- |"])
-    + " UNION ALL SELECT 4, rank + 3, '| `' || col1 || '` | `' || col2 || '` | ' || " + decimal_sql("correlation")
-    + f" || ' |' FROM ({LINEITEM_PAIRS}) WHERE rank <= 10",
-)
+def _correlation_lines_sql(pairs: str) -> str:
+    return (
+        _fixed_sql(4, ["", "## Strongest correlations", "| One | Other | Pearson r |", "| :--- | :--- | :--- |"])
+        + " UNION ALL SELECT 4, rank + 3, '| `' || col1 || '` | `' || col2 || '` | ' || "
+        + decimal_sql("correlation")
+        + f" || ' |' FROM ({pairs}) WHERE rank <= 10"
+    )
+
+
+@registered("report_correlations", _correlation_lines_sql(LINEITEM_PAIRS))
 def _(spark, folder):
     return _text_lines(report.correlation_lines(correlation.correlation_pairs(table(spark, folder, "lineitem"))))
 
 
 @registered(
     "report_no_correlations",
-    f"WITH n AS (SELECT count(*) AS n FROM region) SELECT 4 AS section, line, text FROM n, ({_fixed_sql(4, ['', '## 3. Top Pearson Correlations', report.NO_PAIRS])}) WHERE n > 0",
+    f"WITH n AS (SELECT count(*) AS n FROM region) SELECT 4 AS section, line, text FROM n, ({_fixed_sql(4, ['', '## Strongest correlations', report.NO_PAIRS])}) WHERE n > 0",
 )
 def _(spark, folder):
     return _text_lines(report.correlation_lines(correlation.correlation_pairs(table(spark, folder, "region"))))
@@ -746,17 +756,17 @@ def _(spark, folder):
 
 def _report_regression_sql() -> str:
     facts = [
-        ("Training Samples", "format('{:,}', train_samples)"),
-        ("Test Samples", "format('{:,}', test_samples)"),
-        ("Test R²", decimal_sql("r2")),
-        ("Train R²", decimal_sql("train_r2")),
-        ("Mean Absolute Error (MAE)", decimal_sql("mae")),
-        ("Root Mean Squared Error (RMSE)", decimal_sql("rmse")),
-        ("Intercept", decimal_sql("(SELECT round(b, 4) FROM f)")),
+        ("Rows fitted", "format('{:,}', train_samples)"),
+        ("Rows held out", "format('{:,}', test_samples)"),
+        ("R² held out", decimal_sql("r2")),
+        ("R² fitted", decimal_sql("train_r2")),
+        ("Mean absolute error", decimal_sql("mae")),
+        ("Root mean squared error", decimal_sql("rmse")),
+        ("Constant", decimal_sql("(SELECT round(b, 4) FROM f)")),
     ]
-    parts = [_fixed_sql(5, ["", "## 4. Linear Regression Results", "- **Target Column**: `p_retailprice`"])]
+    parts = [_fixed_sql(5, ["", "## Linear Regression Results", "- **Predicted column**: `p_retailprice`"])]
     parts += [f"SELECT 5, {i + 3}, '- **{label}**: ' || {value} FROM k" for i, (label, value) in enumerate(facts)]
-    parts.append(_fixed_sql(6, ["", "### Feature Coefficients", "| Feature | Weight (Coefficient) |", "| :--- | :--- |"]))
+    parts.append(_fixed_sql(6, ["", "### Weights", "| Name | Weight |", "| :--- | :--- |"]))
     weights = ranked_weights_sql("SELECT 0 AS position, 'p_partkey' AS feature, w1 AS w FROM f UNION ALL SELECT 1, 'p_size', w2 FROM f")
     parts.append(f"SELECT 6, rank + 3, '| `' || feature || '` | ' || {decimal_sql('weight')} || ' |' FROM ({weights})")
     return fit_sql() + f", k AS ({METRICS_SQL.format(source='p')}) " + _union(parts)
@@ -938,9 +948,161 @@ def _(spark, folder):
 
 @registered(
     "duplicate_rows",
-    "SELECT count(*) AS row_count, (SELECT count(*) FROM (SELECT DISTINCT l_quantity, l_discount, l_tax, l_returnflag FROM lineitem)) AS distinct_rows,"
-    " count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_quantity, l_discount, l_tax, l_returnflag FROM lineitem)) AS duplicate_rows FROM lineitem",
+    "SELECT count(*) AS row_count, (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS distinct_rows,"
+    " count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS duplicate_rows"
+    " FROM (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_linenumber = 1)",
+)
+def _(spark, folder):
+    rows = table(spark, folder, "lineitem")
+    return explore.duplicate_rows(rows.unionByName(rows.where("l_linenumber = 1")))
+
+
+# The ways of large data, taken early ------------------------------------------------------------
+
+
+@registered("group_aggregate_large_groups", _groups_sql("lineitem", "l_returnflag, l_linestatus", "l_quantity"))
+def _(spark, folder):
+    return explore.grouped_aggregate(table(spark, folder, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity", group_rows=100)
+
+
+@registered("describe_numeric_narrowed", describe_sql("lineitem", LINEITEM_TYPES))
+def _(spark, folder):
+    return profile.describe_numeric(table(spark, folder, "lineitem"), interval_rows=20)
+
+
+@registered("exact_split_two_passes", f"SELECT o_orderkey, h AS split_hash, is_test FROM ({split_sql('orders', 'o_orderkey')})")
+def _(spark, folder):
+    orders = table(spark, folder, "orders").select("o_orderkey")
+    return exact_split(orders, ["o_orderkey"], candidate_rows=0).apply(orders)
+
+
+@registered("relationship_spearman_buckets", REGISTRY["relationship_spearman"].sql)
+def _(spark, folder):
+    return correlation.relationship(table(spark, folder, "lineitem"), "l_quantity", "l_extendedprice", "spearman", bucket_rows=500)
+
+
+@registered("date_coverage_buckets", REGISTRY["date_coverage"].sql)
+def _(spark, folder):
+    return explore.date_coverage(table(spark, folder, "events"), "ts", bucket_rows=100)
+
+
+@registered("date_trend_hourly", _trend_sql("events", "ts", "value", "hour"))
+def _(spark, folder):
+    return explore.date_trend(table(spark, folder, "events"), "ts", "value", "hour")
+
+
+# Awkward names and values -----------------------------------------------------------------------
+
+
+@registered("group_by_x_name", _groups_sql("(SELECT o_orderpriority AS x, o_totalprice FROM orders)", "x", "o_totalprice"))
+def _(spark, folder):
+    return explore.grouped_aggregate(table(spark, folder, "orders").withColumnRenamed("o_orderpriority", "x"), ["x"], "o_totalprice")
+
+
+@registered("correlation_pairs_large_values", ranked_pairs_sql(pairs_sql("part", PART_TYPES, PART_NUMERIC)))
+def _(spark, folder):
+    return correlation.correlation_pairs(table(spark, folder, "part").withColumn("p_retailprice", F.col("p_retailprice") * 1e200))
+
+
+@registered("correlation_pairs_infinite", ranked_pairs_sql(pairs_sql("part", PART_TYPES, ["p_partkey", "p_size"])))
+def _(spark, folder):
+    price = F.when(F.col("p_partkey") % 7 == 0, float("inf")).otherwise(F.col("p_retailprice"))
+    return correlation.correlation_pairs(table(spark, folder, "part").withColumn("p_retailprice", price))
+
+
+@registered("describe_approximate", _union([f"SELECT {i} AS position, '{c}' AS name, true AS within" for i, c in enumerate(_numeric(LINEITEM_TYPES))]))
+def _(spark, folder):
+    """Whether each quartile of the single scan stands within a hundredth of its place."""
+    rows = table(spark, folder, "lineitem")
+    found = {r["name"]: r for r in profile.describe_numeric(rows, approximate=True).collect()}
+    cells = []
+    for name, r in found.items():
+        x = col(name).cast("double")
+        near = [
+            (F.count_if(x < r[q] - 1e-4) <= (p + 0.01) * F.count(x)) & (F.count_if(x <= r[q] + 1e-4) >= (p - 0.01) * F.count(x))
+            for q, p in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))
+        ]
+        cells.append(F.struct(F.lit(r["position"]).alias("position"), F.lit(name).alias("name"), (near[0] & near[1] & near[2]).alias("within")))
+    return rows.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+
+
+# CSV lines --------------------------------------------------------------------------------------
+
+
+@registered(
+    "csv_orders",
+    "SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_custkey END AS cust, o_totalprice AS price,"
+    " CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderpriority END AS priority FROM orders",
+)
+def _(spark, folder):
+    """Padded names, missing tokens, quoted texts and rows shorter than the header."""
+    cust = F.when(F.col("o_custkey") % 3 == 0, "NA").otherwise(F.col("o_custkey").cast("string"))
+    priority = F.when(F.col("o_orderstatus") != "F", F.concat(F.lit('"'), "o_orderpriority", F.lit('"')))
+    lines = table(spark, folder, "orders").select(F.concat_ws(",", F.col("o_orderkey").cast("string"), cust, F.col("o_totalprice").cast("string"), priority))
+    return csv.read_csv_lines(lines, " o_orderkey,cust , price,priority")
+
+
+@registered("csv_long_rows", "SELECT count(*) AS rows, count(*) FILTER (WHERE o_orderkey % 10 = 0) AS long_rows FROM orders")
+def _(spark, folder):
+    more = F.when(F.col("o_orderkey") % 10 == 0, "more")
+    return csv.long_lines(table(spark, folder, "orders").select(F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus", more)), 2)
+
+
+# Defaults, checks and whole records -------------------------------------------------------------
+
+
+@registered("ols_default_target", part_coefficients_sql(fit_sql()))
+def _(spark, folder):
+    return regression.fit_linear_regression(table(spark, folder, "part"), key=["p_partkey"]).coefficients()
+
+
+@registered(
+    "training_checks",
+    f"SELECT n AS usable_rows, n >= 10 AS enough_rows, ceil(0.2::DOUBLE * n) > 0 AND ceil(0.2::DOUBLE * n) < n AS both_sides FROM (SELECT count(*) AS n FROM {USABLE_ORDERS})",
+)
+def _(spark, folder):
+    return regression.training_checks(_gappy_orders(spark, folder), "price")
+
+
+def _analysis(spark: SparkSession, folder: str):
+    return analyse(table(spark, folder, "part"), "part", ["p_partkey"])
+
+
+@registered(
+    "analysis_record",
+    f"WITH o AS ({overview_sql('part', PART_TYPES)}) SELECT o.*, CAST({len(PART_TYPES)} AS BIGINT) AS n_columns, CAST({len(PART_NUMERIC)} AS BIGINT) AS n_statistics,"
+    f" (SELECT count(*) FROM ({ranked_pairs_sql(pairs_sql('part', PART_TYPES, PART_NUMERIC))})) AS n_pairs, CAST({len(PART_NUMERIC)} AS BIGINT) AS n_matrix, CAST(10 AS BIGINT) AS n_preview FROM o",
+)
+def _(spark, folder):
+    lists = ("columns", "statistics", "pairs", "matrix", "preview")
+    record = _analysis(spark, folder).record()
+    return record.select(*[c for c in record.columns if c not in lists], *[F.size(c).cast("long").alias(f"n_{c}") for c in lists])
+
+
+@registered(
+    "model_record",
+    fit_sql() + f", k AS ({METRICS_SQL.format(source='p')}) SELECT 'p_retailprice' AS target_column, train_samples, test_samples, r2, mae,"
+    " CAST(2 AS BIGINT) AS n_weights, least(50, test_samples) AS n_points FROM k",
+)
+def _(spark, folder):
+    return _part_model(spark, folder).record().select(
+        "target_column", "train_samples", "test_samples", "metrics.r2", "metrics.mae",
+        F.size("coefficients").cast("long").alias("n_weights"), F.size("chart_points").cast("long").alias("n_points"),
+    )
+
+
+@registered(
+    "report_whole",
+    _union(
+        [
+            f"SELECT * FROM ({REGISTRY['report_overview'].sql})",
+            f"SELECT * FROM ({_schema_lines_sql('part', PART_TYPES)})",
+            f"SELECT * FROM ({REGISTRY['report_statistics'].sql})",
+            f"SELECT * FROM ({_correlation_lines_sql(ranked_pairs_sql(pairs_sql('part', PART_TYPES, PART_NUMERIC)))})",
+            f"SELECT * FROM ({REGISTRY['report_regression'].sql})",
+            _fixed_sql(7, ["", "---", report.FOOTER]),
+        ]
+    ),
 )
 def _(spark, folder):
-    columns = ["l_quantity", "l_discount", "l_tax", "l_returnflag"]
-    return explore.duplicate_rows(table(spark, folder, "lineitem").select(*columns))
+    return _text_lines(_analysis(spark, folder).report(_part_model(spark, folder)))

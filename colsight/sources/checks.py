@@ -9,12 +9,12 @@ from colsight.errors import DatasetError
 
 def require_rows(rows: int, max_rows: int | None) -> None:
     if max_rows is not None and rows > max_rows:
-        raise DatasetError(f"Dataset has {rows:,} rows, exceeding maximum limit of {max_rows:,}.")
+        raise DatasetError(f"The table has {rows:,} rows; the limit is {max_rows:,}.")
 
 
 def require_columns(columns: int, max_columns: int | None) -> None:
     if max_columns is not None and columns > max_columns:
-        raise DatasetError(f"Dataset has {columns} columns, exceeding maximum limit of {max_columns}.")
+        raise DatasetError(f"The table has {columns} columns; the limit is {max_columns}.")
 
 
 def check_shape(df: DataFrame, max_rows: int | None = None, max_columns: int | None = None) -> DataFrame:
@@ -27,7 +27,7 @@ def check_shape(df: DataFrame, max_rows: int | None = None, max_columns: int | N
     else:
         empty = df.isEmpty()
     if empty:
-        raise DatasetError("The dataset contains no data rows.")
+        raise DatasetError("The table is empty: not one row of data.")
     return df
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, DataFrameReader, Row, SparkSession, functions as F, types as T
 
 from colsight.errors import DatasetError
+from colsight.functions.columns import col
 from colsight.functions.missing import NA_TOKENS
 from colsight.sources.checks import require_columns, require_rows
-from colsight.sources.inference import apply_types, code_type, type_code
+from colsight.sources.inference import TEXT, apply_types, code_type, type_code
 
 EXTRA = "__field_beyond_header"
 
@@ -24,39 +27,100 @@ def read_csv(
 ) -> DataFrame:
     """Read comma-separated files with a header row into typed columns.
 
-    Rows longer than the header are an error, shorter ones are filled with NULL. Integers, decimals
+    Every file must have the same header. Rows longer than it are an error, shorter ones are filled with NULL. Integers, decimals
     and True/False are recognised, everything else (dates too) stays text. One scan decides the types
     and checks the rows; the returned frame scans again with those types.
 
     ``multi_line`` allows line breaks inside quotes, at the price of one task per file.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    tokens = list(na_tokens)
     reader = spark.read.option("escape", '"').option("multiLine", multi_line)
-    names = clean_header(_header_cells(reader, paths))
+    header = _header_cells(reader, paths)
+    names = clean_header(header)
     require_columns(len(names), max_columns)
+    tokens, schema = list(na_tokens), _text_schema(len(names))
 
-    # Fields beyond the header land in a last column of their own, which must stay empty.
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    schema = schema.add(EXTRA, T.StringType())
-    raw = reader.option("header", True).option("enforceSchema", True).schema(schema).csv(paths)
-    texts = raw.select(
-        *[F.when(~F.col(f"c{i}").isin(tokens), F.col(f"c{i}")).alias(f"c{i}") for i in range(len(names))], EXTRA
+    # The checking scan reads header lines as rows, so that each file must show the header it was read by.
+    lines = reader.option("header", False).schema(schema).csv(paths)
+    lines = lines.select(*lines.columns, F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_path").alias("path"))
+    first = F.regexp_replace("c0", "^\ufeff", "")
+    cells = [(first if i == 0 else F.col(f"c{i}")).eqNullSafe(F.lit(cell)) for i, cell in enumerate(header)]
+    is_header = reduce(lambda x, y: x & y, cells, F.col(EXTRA).isNull())
+    checked = lines.select("*", is_header.alias("is_header"))
+    found = _codes(
+        checked,
+        tokens,
+        len(names),
+        ~F.col("is_header"),
+        F.count_if("is_header").alias("headers"),
+        F.size(F.collect_set("file")).alias("files"),
+        F.size(F.collect_set(F.when(F.col("is_header"), F.col("file")))).alias("headed"),
     )
-    found = texts.agg(
-        F.count("*").alias("rows"),
-        F.count(EXTRA).alias("long_rows"),
-        *[F.bit_or(type_code(F.col(f"c{i}"))).alias(f"t{i}") for i in range(len(names))],
+    if found["headed"] < found["files"]:
+        other = checked.groupBy("path").agg(F.bool_or("is_header").alias("fits")).where("NOT fits").agg(F.min("path")).first()[0]
+        raise DatasetError(f"The header of '{other}' is not that of the first file.")
+    rows = found["rows"] + found["headers"] - found["files"]
+    codes = [found[f"t{i}"] for i in range(len(names))]
+    if found["headers"] > found["files"]:
+        # A row that repeats the header is data like any other.
+        codes = [TEXT | (code or 0) if cell else code for code, cell in zip(codes, header)]
+    _check(rows, found["long_rows"], len(names), max_rows)
+    raw = reader.option("header", True).option("enforceSchema", True).schema(schema).csv(paths)
+    return apply_types(_texts(raw, tokens, len(names)), [code_type(c) for c in codes]).toDF(*names)
+
+
+def read_csv_lines(
+    lines: DataFrame, header: str, na_tokens: Iterable[str] = NA_TOKENS, max_rows: int | None = None, max_columns: int | None = None
+) -> DataFrame:
+    """As :func:`read_csv`, for a frame with one text column of data lines and a header line apart."""
+    names = clean_header([cell or None for cell in next(csv.reader([header]), [])])
+    if not names:
+        raise DatasetError("The CSV input is empty.")
+    require_columns(len(names), max_columns)
+    tokens, raw = list(na_tokens), _parsed(lines, len(names))
+    found = _codes(raw, tokens, len(names), F.lit(True))
+    _check(found["rows"], found["long_rows"], len(names), max_rows)
+    return apply_types(_texts(raw, tokens, len(names)), [code_type(found[f"t{i}"]) for i in range(len(names))]).toDF(*names)
+
+
+def long_lines(lines: DataFrame, width: int) -> DataFrame:
+    """One row: the data lines, and those with more fields than the header."""
+    return _parsed(lines, width).agg(F.count("*").alias("rows"), F.count(EXTRA).alias("long_rows"))
+
+
+def _text_schema(width: int) -> T.StructType:
+    # Fields beyond the header land in a last column of their own, which must stay empty.
+    return T.StructType([*(T.StructField(f"c{i}", T.StringType()) for i in range(width)), T.StructField(EXTRA, T.StringType())])
+
+
+def _parsed(lines: DataFrame, width: int) -> DataFrame:
+    text = col(lines.columns[0])
+    options = {"escape": '"', "mode": "PERMISSIVE"}
+    schema = ", ".join(f"{name} string" for name in _text_schema(width).names)
+    return lines.where(F.trim(text) != "").select(F.from_csv(text, schema, options).alias("r")).select("r.*")
+
+
+def _texts(raw: DataFrame, tokens: Sequence[str], width: int) -> DataFrame:
+    return raw.select(*[F.when(~F.col(f"c{i}").isin(tokens), F.col(f"c{i}")).alias(f"c{i}") for i in range(width)])
+
+
+def _codes(raw: DataFrame, tokens: Sequence[str], width: int, counts: Column, *more: Column) -> Row:
+    """Rows, rows beyond the header, and the type codes of each column over the rows that count."""
+    known = [F.when(counts & ~F.col(f"c{i}").isin(tokens), F.col(f"c{i}")) for i in range(width)]
+    return raw.agg(
+        F.count_if(counts).alias("rows"),
+        F.count_if(counts & F.col(EXTRA).isNotNull()).alias("long_rows"),
+        *[F.bit_or(type_code(x)).alias(f"t{i}") for i, x in enumerate(known)],
+        *more,
     ).first()
-    if found["rows"] == 0:
-        raise DatasetError("The parsed CSV file contains no data rows.")
-    if found["long_rows"]:
-        raise DatasetError(
-            f"Could not parse CSV file: {found['long_rows']} rows hold more fields than the header ({len(names)})."
-        )
-    require_rows(found["rows"], max_rows)
-    types = [code_type(found[f"t{i}"]) for i in range(len(names))]
-    return apply_types(texts.drop(EXTRA), types).toDF(*names)
+
+
+def _check(rows: int, long_rows: int, width: int, max_rows: int | None) -> None:
+    if rows <= 0:
+        raise DatasetError("There is a header but not one row of data.")
+    if long_rows:
+        raise DatasetError(f"{long_rows} rows hold more fields than the header has ({width}).")
+    require_rows(rows, max_rows)
 
 
 def clean_header(cells: Sequence[str | None]) -> list[str]:

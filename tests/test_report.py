@@ -22,15 +22,15 @@ def test_whole_report(table, tmp_path):
     model = analysis.train("y", key=["id"])
     text = report_text(analysis.report(model))
     lines = text.split("\n")
-    assert lines[0] == "# Analysis Report: table.csv" and "- **Total Rows**: 40" in lines
-    assert "- **Total Missing Cells**: 1" in lines
+    assert lines[0] == "# Table profile: table.csv" and "- **Rows**: 40" in lines
+    assert "- **Missing cells**: 1" in lines
     assert "| `a\\|b` | `double` | 1 | 2.5% | 39 |" in lines
     assert any(line.startswith("| `id` | 20.5 | 11.6905 | 1.0 | 20.5 | 40.0 |") for line in lines)
-    assert "## 4. Linear Regression Results" in lines and "- **Training Samples**: 32" in lines
+    assert "## Linear Regression Results" in lines and "- **Rows fitted**: 32" in lines
     assert "| `id` | `a\\|b` | 1.0 |" in lines
-    assert lines.index("### Feature Coefficients") > lines.index("- **Target Column**: `y`")
+    assert lines.index("### Weights") > lines.index("- **Predicted column**: `y`")
     order = [line for line in lines if line.startswith("##")]
-    assert [o.split()[1] for o in order if o.startswith("## ")] == ["1.", "2.", "3.", "4."]
+    assert [o.split()[1] for o in order if o.startswith("## ")] == ["Size", "Columns", "Numeric", "Strongest", "Linear"]
 
     path = write_report(analysis.report(model), str(tmp_path), "table.csv")
     assert path == str(tmp_path / "table-report")
@@ -40,7 +40,7 @@ def test_whole_report(table, tmp_path):
 
 def test_report_without_pairs_or_model(spark):
     text = report_text(analyse(spark.createDataFrame([("a", 1)], "s string, x int"), "t").report())
-    assert NO_PAIRS in text and "Regression" not in text and "| Feature 1 |" not in text
+    assert NO_PAIRS in text and "Regression" not in text and "| One |" not in text
 
 
 def test_record_sink(table, tmp_path):
@@ -54,7 +54,7 @@ def test_record_sink(table, tmp_path):
 
 
 def test_limits(table):
-    with pytest.raises(DatasetError, match="exceeding"):
+    with pytest.raises(DatasetError, match="the limit"):
         analyse(table, max_rows=10)
     with pytest.raises(DatasetError, match="not numeric"):
         fit_linear_regression(table, "kind")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from colsight.errors import DatasetError
 from colsight.operators.profile import describe_numeric, profile_columns
 from colsight.sources.checks import check_shape, shape
-from colsight.sources.csv import clean_header, read_csv
+from colsight.sources.csv import clean_header, read_csv, read_csv_lines
 from colsight.sources.inference import infer_types
 from colsight.sources.sample import sample_table
 
@@ -21,9 +21,9 @@ def load(spark, tmp_path, text, **kw):
 
 
 def test_header_is_trimmed(spark, tmp_path):
-    df = load(spark, tmp_path, "feature_a, feature_b ,target\n1,2,3\n4,5,6\n7,8,9\n")
-    assert df.columns == ["feature_a", "feature_b", "target"]
-    assert [r["feature_a"] for r in df.collect()] == [1, 4, 7]
+    df = load(spark, tmp_path, "width, height ,weight\n2,4,8\n3,9,27\n5,25,125\n")
+    assert df.columns == ["width", "height", "weight"]
+    assert [r["width"] for r in df.collect()] == [2, 3, 5]
     assert {f.dataType.typeName() for f in df.schema} == {"long"}
 
 
@@ -57,11 +57,11 @@ def test_ragged_rows(spark, tmp_path):
 def test_empty_inputs_and_limits(spark, tmp_path):
     with pytest.raises(DatasetError, match="empty"):
         load(spark, tmp_path, "")
-    with pytest.raises(DatasetError, match="no data rows"):
+    with pytest.raises(DatasetError, match="not one row"):
         load(spark, tmp_path, "a,b\n")
-    with pytest.raises(DatasetError, match="3 rows, exceeding"):
+    with pytest.raises(DatasetError, match="3 rows; the limit"):
         load(spark, tmp_path, "a\n1\n2\n3\n", max_rows=2)
-    with pytest.raises(DatasetError, match="2 columns, exceeding"):
+    with pytest.raises(DatasetError, match="2 columns; the limit"):
         load(spark, tmp_path, "a,b\n1,2\n", max_columns=1)
 
 
@@ -80,6 +80,27 @@ def test_several_files(spark, tmp_path):
     assert sorted((r["k"], r["v"]) for r in df.collect()) == [(0, 0.5), (1, 1.5), (2, 2.5)]
 
 
+def test_files_with_other_headers_are_named(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("price,size\n1000,3\n2000,4\n")
+    (tmp_path / "b.csv").write_text("size,price\n5,3000\n")
+    with pytest.raises(DatasetError, match="[ab].csv"):
+        read_csv(spark, str(tmp_path / "*.csv"))
+    (tmp_path / "b.csv").write_text("\ufeffprice,size\n3000,5\nprice,size\n")
+    df = read_csv(spark, str(tmp_path / "*.csv"))
+    assert sorted(r["price"] for r in df.collect()) == ["1000", "2000", "3000", "price"]
+
+
+def test_csv_lines(spark):
+    lines = spark.createDataFrame([('1,NA,"a,b"',), ("2,3.5",), ("",)], "line string")
+    df = read_csv_lines(lines, " k,v,t ")
+    assert df.dtypes == [("k", "bigint"), ("v", "double"), ("t", "string")]
+    assert sorted(map(tuple, df.collect())) == [(1, None, "a,b"), (2, 3.5, None)]
+    with pytest.raises(DatasetError, match="1 rows hold more fields"):
+        read_csv_lines(spark.createDataFrame([("1,2",)], "line string"), "k")
+    with pytest.raises(DatasetError, match="not one row"):
+        read_csv_lines(lines.limit(0), "k")
+
+
 @pytest.mark.parametrize("name", ["part", "orders", "customer"])
 def test_written_tables_match_pandas(spark, tmp_path, name):
     pdf = pd.read_parquet(TABLES / f"{name}.parquet")
@@ -110,10 +131,10 @@ def test_infer_types(spark):
 def test_shape_checks(spark):
     df = spark.range(5)
     assert check_shape(df, 5, 1) is df
-    for arguments, message in (((4,), "5 rows, exceeding"), ((None, 0), "1 columns, exceeding")):
+    for arguments, message in (((4,), "5 rows; the limit"), ((None, 0), "1 columns; the limit")):
         with pytest.raises(DatasetError, match=message):
             check_shape(df, *arguments)
-    with pytest.raises(DatasetError, match="no data rows"):
+    with pytest.raises(DatasetError, match="not one row"):
         check_shape(df.limit(0))
     assert tuple(shape(df, 4, 3).first()) == (5, 1, True, False, True)
 

@@ -57,7 +57,7 @@ def test_without_key_copies_stay_together(spark):
 def test_bad_requests(spark):
     with pytest.raises(DatasetError, match="test_size"):
         S.exact_split(spark.range(10), ["id"], 1.0)
-    with pytest.raises(DatasetError, match="Insufficient"):
+    with pytest.raises(DatasetError, match="Too few rows"):
         S.exact_split(spark.range(1), ["id"])
-    with pytest.raises(DatasetError, match="Insufficient"):
+    with pytest.raises(DatasetError, match="Too few rows"):
         S.exact_split(spark.range(0), ["id"])
