@@ -31,8 +31,8 @@ from colsight.llm.common import scratch, table
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
-#: Words a task remembers before it starts over; memory only, never the result.
-CACHE_WORDS = 400_000
+#: Words a task remembers before it starts over, and half the pieces; memory only, never the result.
+CACHE_WORDS = 250_000
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 64 << 10
 #: Parts (a small row each) up to which their offsets are sent to every executor instead of shuffling the ids.
@@ -51,11 +51,14 @@ def _byte_letters() -> dict[int, str]:
 class WordIds(dict):
     """Ids of words as little-endian 32-bit numbers, remembered within bounds.
 
-    Words of Latin letters with closing marks go straight to the merges: for them the tokenizer's rules are lower
-    case, one piece of letters and one of marks. All other words take the tokenizer as it is.
+    Words of ASCII marks and Latin letters are cut into the tokenizer's pieces here (lower case, then PATTERN), and
+    only pieces not yet known go through the merges. All other words take the tokenizer as it is.
     """
 
-    SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:]*)")
+    #: Fixed value: the tokenizer's rule for pieces.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    SIMPLE = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+    PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
         from tokenizers import Tokenizer
@@ -63,28 +66,33 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.merges, self.letters = self.tokenizer.model, _byte_letters()
+        self.pieces: dict[str, bytes] = {}
         self.cache_words = cache_words
         rules = json.loads(self.tokenizer.to_str())
+        before = (rules["normalizer"] or {}).get("normalizers", ()), (rules["pre_tokenizer"] or {}).get("pretokenizers", ())
         self.simple = (
-            [n["type"] for n in (rules["normalizer"] or {}).get("normalizers", ())] == ["NFC", "Replace", "Lowercase"]
-            and [n["type"] for n in (rules["pre_tokenizer"] or {}).get("pretokenizers", ())] == ["Split", "ByteLevel"]
-            and r"[\p{L}]+" in rules["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+            [n["type"] for n in before[0]] == ["NFC", "Replace", "Lowercase"]
+            and [n["type"] for n in before[1]] == ["Split", "ByteLevel"]
+            and before[1][0]["pattern"] == {"Regex": self.PATTERN}
         )
 
+    def _piece(self, piece: str) -> bytes:
+        text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        if len(self.pieces) >= 2 * self.cache_words:
+            self.pieces.clear()
+        found = self.pieces[piece] = array("i", [t.id for t in self.merges.tokenize(text)]).tobytes()
+        return found
+
     def __missing__(self, word: str) -> bytes:
-        m = self.SIMPLE.fullmatch(word) if self.simple else None
-        if m:
-            piece = m[1].lower()
-            if not piece.isascii():
-                piece = piece.encode().decode("latin-1").translate(self.letters)
-            ids = [t.id for t in self.merges.tokenize(piece)]
-            if m[2]:
-                ids += [t.id for t in self.merges.tokenize(m[2])]
+        # Special tokens hold "<|"; they are the tokenizer's business.
+        if self.simple and self.SIMPLE.fullmatch(word) and "<|" not in word:
+            known = self.pieces
+            found = b"".join([known.get(p) or self._piece(p) for p in self.PIECES.findall(word.lower())])
         else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            found = array("i", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         if len(self) >= self.cache_words:
             self.clear()
-        found = self[word] = array("i", ids).tobytes()
+        self[word] = found
         return found
 
     def encode(self, text: str, end: bytes) -> bytes:

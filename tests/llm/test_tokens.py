@@ -9,7 +9,7 @@ from colsight.llm import tokens
 SF = "/root/testdata/sf0.001"
 ODD = [
     None, "", " ", "\n\n", "Hello, World!", "don't STOP'S it's we'll", "éÉ ñÑ ß İstanbul ΣΑΣ", "café é. x́", "<|endoftext|> a<|startoftext|>b",
-    "a b c\x85d\x1ce", "12 3a4 ٣ x²", "日本語 テキスト", "\U0001f600 ok", "word,. word.,! (word) w-w ªº µ", "tab\there\r\nand", "ǅ ﬁ", "a" * 500,
+    "a b c\x85d\x1ce", "12 3a4 ٣ x²", "日本語 テキスト", "\U0001f600 ok", "word,. word.,! (word) w-w ªº µ", "tab\there\r\nand", "ǅ ﬁ", "'sfoo \"'sx x''t 'S'T'RE 'l l'l a'll'd", "é's ÷×x 1'd2 a<|b <|", "ÀÖØÞß¿¡", "a" * 500,
 ]
 
 
