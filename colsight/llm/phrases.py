@@ -51,7 +51,8 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFrame:
-    """Segments of the documents' (doc_id, text) words."""
+    """Segments of the documents' (doc_id, text) words. To be stored before it is asked: a segment's number comes from
+    the task that makes it."""
 
     def segment(number: int, ids: list[Any], texts: list[list[bytes]], kind: pa.DataType) -> pa.RecordBatch:
         sizes = np.fromiter(map(len, texts), np.int32, len(texts))
@@ -123,7 +124,7 @@ def _occurrences(terms: np.ndarray, positions: Any, counts: np.ndarray, slop: in
     for at in np.argsort(counts[terms], kind="stable").tolist():
         listed = positions(terms[at])
         if starts is None:
-            starts = listed - at
+            starts = np.unique(listed - at + np.arange(-slop, slop + 1)[:, None]) if slop else listed - at
             continue
         near = np.searchsorted(listed, starts + (at - slop))
         within = near < len(listed)
