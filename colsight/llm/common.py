@@ -23,7 +23,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("Set spark.checkpoint.dir to a folder that every executor can reach.")
     folder = f"file://{tempfile.mkdtemp(prefix='colsight-')}"
     spark.conf.set("spark.checkpoint.dir", folder)
