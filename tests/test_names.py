@@ -13,7 +13,7 @@ def test_awkward_names(spark):
     analysis = analyse(df, "odd", ["the id"])
     model = analysis.train("a.b", ["the id", "c`d"], key=["the id"])
     text = report_text(analysis.report(model))
-    assert "| `a.b` |" in text and "`c`d`" in text and "- **Test R²**: 1.0" in text
+    assert "| `a.b` |" in text and "`c`d`" in text and "- **R² held out**: 1.0" in text
     assert analysis.record().first()["row_count"] == 60 and analysis.preview.count() == 10
     assert model.points().count() == 12 and model.median_baseline().count() == 2
     assert explore.grouped_aggregate(df, ["k'ind"], "a.b").count() == 2
