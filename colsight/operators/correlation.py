@@ -86,13 +86,14 @@ def wide_matrix(matrix: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def raw_correlations(
-    df: DataFrame, columns: Sequence[str] | None = None, method: str = "pearson"
+    df: DataFrame, columns: Sequence[str] | None = None, method: str = "pearson", known_moments: DataFrame | None = None
 ) -> DataFrame:
     """(i, j, col1, col2, r) for i <= j; r is NULL where a column is constant within the pair."""
     if method not in ("pearson", "spearman"):
         raise DatasetError(f"Unknown correlation method '{method}'.")
     clean = _doubles(df, columns)
-    stats = moments(clean).where("min <> max").orderBy("position").collect()
+    known_moments = moments(clean) if known_moments is None else known_moments
+    stats = known_moments.where("min <> max").orderBy("position").collect()
     if len(stats) < 2:
         return local_frame(df.sparkSession, [], RAW_SCHEMA)
     names = [row["name"] for row in stats]

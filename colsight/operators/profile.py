@@ -49,10 +49,13 @@ def column_counts(df: DataFrame) -> DataFrame:
     return _union(frames)
 
 
-def dataset_overview(df: DataFrame) -> DataFrame:
-    """One row: table size, number of numeric and other columns, missing cells and their share."""
+def dataset_overview(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """One row: table size, number of numeric and other columns, missing cells and their share.
+
+    ``counts`` takes the result of :func:`column_counts` where it is known.
+    """
     width, numeric = len(df.columns), len(numeric_columns(df))
-    return column_counts(df).agg(
+    return (column_counts(df) if counts is None else counts).agg(
         F.max("rows").alias("row_count"),
         F.lit(width).cast("long").alias("column_count"),
         F.lit(numeric).cast("long").alias("numeric_count"),
@@ -103,7 +106,7 @@ def _common_type(dtype: T.DataType) -> T.DataType:
 
 
 def profile_columns(
-    df: DataFrame, approximate: bool = False, labels: str = "spark"
+    df: DataFrame, approximate: bool = False, labels: str = "spark", counts: DataFrame | None = None
 ) -> DataFrame:
     """One row per column: type, missing count and share, distinct values, numeric or not.
 
@@ -116,7 +119,7 @@ def profile_columns(
     distinct = approx_distinct_counts(df) if approximate else distinct_counts(df)
     # Both sides have one row per column of the table.
     return (
-        column_counts(df)
+        (column_counts(df) if counts is None else counts)
         .join(F.broadcast(distinct), "position", "left")
         .select(
             "position",
@@ -136,12 +139,14 @@ def _lookup(per_column: Sequence[Column]) -> Column:
     return F.element_at(F.array(*per_column), F.col("position") + 1)
 
 
+MOMENTS = "position int, name string, count long, mean double, std double, min double, max double"
+
+
 def moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(position, name, count, mean, std, min, max) of numeric columns, unrounded."""
     names = numeric_columns(df) if columns is None else list(columns)
-    schema = "position int, name string, count long, mean double, std double, min double, max double"
     if not names:
-        return local_frame(df.sparkSession, [], schema)
+        return local_frame(df.sparkSession, [], MOMENTS)
     clean = numbers(df, names)
     frames = []
     for part in chunks(list(enumerate(names))):
@@ -180,7 +185,11 @@ def approx_quartiles(df: DataFrame, names: Sequence[str]) -> dict[str, list[floa
 
 
 def describe_numeric(
-    df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False, interval_rows: int | None = None
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    approximate: bool = False,
+    interval_rows: int | None = None,
+    stats: DataFrame | None = None,
 ) -> DataFrame:
     """Count, mean, sample deviation, extremes and quartiles (exact, unless told otherwise) of each numeric column."""
     names = numeric_columns(df) if columns is None else list(columns)
@@ -192,7 +201,7 @@ def describe_numeric(
     )
     # Both sides have one row per numeric column; columns without values drop out here.
     return (
-        moments(df, names)
+        (moments(df, names) if stats is None else stats)
         .join(F.broadcast(found), "position")
         .select(
             "position",
