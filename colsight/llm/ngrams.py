@@ -41,7 +41,7 @@ LEVELS = 256
 #: Hash of the end token; no word has it, as words with it take the next number.
 END = 0
 #: Tokens of an array operation, and words a task counts or remembers before it starts over: memory only.
-CHUNK, CACHE_WORDS = 1_000_000, 300_000
+CHUNK, CACHE_WORDS = 400_000, 150_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
