@@ -336,7 +336,7 @@ def link(signed: DataFrame, docs: DataFrame, weights: Weights, threshold: float
     outside = stored(_outside(rest, labels), "neardup-outside")
     open_ = members.where(F.col("n") >= BOUNDED).join(outside.select("key").distinct(), "key", "left_semi").select("tid").distinct()
     bounds = stored(own_weights(texts.join(open_, "tid", "left_semi"), weights), "neardup-bounds")
-    rest = stored(_bounded(rest, bounds), "neardup-rest")
+    rest = stored(_bounded(rest, bounds).join(distinct, "tid"), "neardup-rest")
     # A text that no other can be so similar to needs no turn.
     able = F.coalesce(F.col("u") <= (1 - threshold) * F.col("w") + 1e-9, F.lit(True))
     outside = stored(_bounded(outside, bounds).where(able).drop("w", "u"), "neardup-outside")
@@ -344,15 +344,18 @@ def link(signed: DataFrame, docs: DataFrame, weights: Weights, threshold: float
         turn = W.partitionBy("key").orderBy("tid")
         now = outside.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= pivots).drop("turn")
         now = stored(_label(_bounded(now, bounds), labels, "tid", "label"), "neardup-pivots")
-        pivot = now.select("key", *(F.col(c).alias(f"p_{c}") for c in ("tid", "sim", "label", "w", "u")))
+        turns = now.groupBy("tid").agg(F.collect_set("key").alias("turns"))  # at most a key a band
+        pivot = now.join(turns, "tid").select("key", "turns", *(F.col(c).alias(f"p_{c}") for c in ("tid", "sim", "label", "w", "u")))
         apart = (F.col("label") != F.col("p_label")) & (F.abs(F.col("sim") - F.col("p_sim")) <= 1 - threshold + 1e-9)
         shared = F.least(F.col("w") - F.col("u"), F.col("p_w") - F.col("p_u"))
         union = F.greatest(F.col("w") + F.col("p_u"), F.col("p_w") + F.col("u"))
         near = F.coalesce(shared >= (threshold - 1e-9) * union, F.lit(True))
+        # Of the buckets that offer a pair in this round, the one with the least key writes it.
+        first = F.array_min(F.array_intersect("keys", "turns")) == F.col("key")
         pairs = (
             _label(rest.where(able), labels, "tid", "label")
             .join(pivot, "key")
-            .where(apart & near)
+            .where(apart & near & first)
             .select(F.greatest("tid", "p_tid").alias("a"), F.least("tid", "p_tid").alias("b"))
             .distinct()
         )
