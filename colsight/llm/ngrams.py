@@ -1,16 +1,21 @@
-"""Language-model scores from an Elias-Fano trie of n-grams.
+"""Language-model scores from Elias-Fano tries of n-grams.
 
-Counting covers every training document. Words (by 64-bit hash) are counted in tasks, then by one sum. Words with a
-share SHARE or more of all tokens make the first level; pairs of such words are counted the same way, and triples whose
-two pairs are kept. A share of at least SHARE means that no level holds more than 1 / SHARE entries, however large the corpus, so
-the trie may be sent to every executor, where its levels are memory-mapped.
+Counting covers every training document. Words (by 64-bit hash) are counted in tasks, then by one sum; pairs and triples
+in the parts described below. Those seen LEAST times or more are kept, at every size of the corpus; the parts of a kept n-gram are kept with it.
+
+The kept n-grams are dealt to parts by the middle word of three: a part holds the triples around its words, their contexts
+and all followers of its words, with the counts of all words in these. So whatever a token needs, given the two before it,
+lies in one part. A word with more than a part's share of the tokens is spread over several by the word before it, and its
+followers go to each of these. The number of parts grows with the corpus, and each becomes a trie on an executor, where its levels
+are memory-mapped. Training texts send their tokens to be counted, and all texts their look-ups, in blocks, one a chunk and
+part; sums come back by the hash of a text's words.
 
 A level keeps, for each context in order, the ids of its followers. Pointers to the followers' ranges are monotone,
 and so are the ids once each range is lifted by the last value before it; both are Elias-Fano coded. A follower is
 found by a successor search relative to its context: the lifted id's high part names a bucket, the low parts in it
 are compared. Probabilities are discounted by DISCOUNT, backoff weights make each context sum to one, and both are
-quantised to LEVELS levels. The lowest order is the add-one-half unigram model over all words, so it needs the counts of
-rare words too: those are looked up by a join on the tokens outside the first level only.
+quantised to LEVELS levels a part. The lowest order is the add-one-half unigram model over all words: the counts of words with a
+share SHARE of all tokens, at most 1 / SHARE, are sent to the tasks, those of all others are joined.
 
 Defined cases: null and empty texts are the end token alone; a null doc_id counts as the text `null` in the fold;
 rows that share a doc_id are scored one by one; without training documents all counts are 0; an empty table gives an
@@ -36,6 +41,10 @@ from colsight.llm.common import stored, table
 
 FOLDS, HELD_OUT = 5, 1
 SHARE, DISCOUNT = 1e-6, 0.5
+#: Times an n-gram must have been seen.
+LEAST = 2
+#: Training tokens of a part: memory only.
+PART_TOKENS = 2_000_000
 #: Levels of quantised probabilities and weights.
 LEVELS = 256
 #: Hash of the end token; no word has it, as words with it take the next number.
@@ -56,6 +65,21 @@ def _hasher() -> Callable[[bytes], int]:
     return lambda word: xxhash.xxh64_intdigest(word) or 1
 
 
+class Hashes(dict):
+    """Signed hashes of words, remembered within bounds."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.hash = _hasher()
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        found = self.hash(word)
+        found = self[word] = found - (found >> 63 << 64)
+        return found
+
+
 class EliasFano:
     """A monotone sequence: low bits packed, high parts in unary."""
 
@@ -113,13 +137,13 @@ class EliasFano:
         return place
 
 
-def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """LEVELS levels, each the mean of an equal share of the sorted distinct values, and every value's level."""
-    kind = np.uint8 if LEVELS <= 256 else np.uint32
+def quantised(values: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """That many levels, each the mean of an equal share of the sorted distinct values, and every value's level."""
+    kind = np.uint8 if levels <= 256 else np.uint32
     if not len(values):
         return np.zeros(1, np.float32), np.zeros(0, kind)
     distinct = np.unique(values)
-    parts = np.array_split(distinct, min(LEVELS, len(distinct)))
+    parts = np.array_split(distinct, min(levels, len(distinct)))
     book = np.array([p.mean() for p in parts], np.float32)
     edges = np.array([p[-1] for p in parts[:-1]])
     return book, np.searchsorted(edges, values, "left").astype(kind)
@@ -127,7 +151,7 @@ def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Counts:
-    """Kept n-grams: word hashes sorted, pairs (first, second) and triples (pair, third) of ids sorted, with counts."""
+    """Kept n-grams of a part: word hashes sorted, pairs (first, second) and triples (pair, third) of ids sorted, with counts."""
 
     n_tokens: int
     n_types: int
@@ -143,8 +167,9 @@ def unigram(count: np.ndarray, n_tokens: int, n_types: int) -> np.ndarray:
     return np.log10((count + 0.5) / (n_tokens + 0.5 * (n_types + 1)))
 
 
-def build_trie(counts: Counts) -> bytes:
+def build_trie(counts: Counts, levels: int | None = None) -> bytes:
     """The levels in one block of bytes: a JSON header with places, then the arrays."""
+    levels = levels or LEVELS
     c1, c2 = counts.word_counts.astype(float), counts.pair_counts.astype(float)
     first, second = counts.pairs >> 32, counts.pairs & 0xFFFFFFFF
     pair, third = counts.triples >> 32, counts.triples & 0xFFFFFFFF
@@ -170,9 +195,9 @@ def build_trie(counts: Counts) -> bytes:
         lift = np.zeros(n, np.int64)
         lift[sizes > 0] = np.append(0, np.cumsum(tops))[:-1]
         arrays |= EliasFano.encode(follower + lift[context], f"ids{name}")
-        arrays[f"book{name}"], arrays[f"code{name}"] = quantised(values)
-    arrays["back_book1"], arrays["back_code1"] = quantised(backoff(first, len(c1), p2, p1[second]))
-    arrays["back_book2"], arrays["back_code2"] = quantised(backoff(pair, len(c2), p3, lower3))
+        arrays[f"book{name}"], arrays[f"code{name}"] = quantised(values, levels)
+    arrays["back_book1"], arrays["back_code1"] = quantised(backoff(first, len(c1), p2, p1[second]), levels)
+    arrays["back_book2"], arrays["back_code2"] = quantised(backoff(pair, len(c2), p3, lower3), levels)
     places, data, at = {}, [], 0
     for name, values in arrays.items():
         raw = np.ascontiguousarray(values).tobytes()
@@ -213,28 +238,22 @@ class Trie:
         place[live] = self.ids[level].find(word[live] + lift, begin, end)
         return place
 
-    def score(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 probability of each token but for the unigram part of tokens unknown to the first level. first: a
-        document begins."""
-        before = np.append(-1, ids[:-1])
-        before[first] = -1
-        pairs = self.follow(0, before, ids)
-        context = np.append(-1, pairs[:-1])
-        context[first] = -1
-        triples = self.follow(1, context, ids)
+    def gain(self, first: np.ndarray, second: np.ndarray, third: np.ndarray) -> np.ndarray:
+        """log10 probability of the third words after the others, less that of the unigram model. An id is -1 for
+        words that are not here, or no word."""
+        context, pairs = self.follow(0, first, second), self.follow(0, second, third)
+        triples = self.follow(1, context, third)
         take = lambda of, k: of[0][of[1][k]].astype(float)
-        log_p = np.zeros(len(ids))
-        one = np.flatnonzero((pairs < 0) & (ids >= 0))
-        log_p[one] = self.p1[ids[one]]
-        back = np.flatnonzero((pairs < 0) & (before >= 0))
-        log_p[back] += take(self.back[0], before[back])
+        gain = np.zeros(len(third))
+        back = np.flatnonzero((pairs < 0) & (second >= 0))
+        gain[back] = take(self.back[0], second[back])
         two = np.flatnonzero(pairs >= 0)
-        log_p[two] = take(self.log_p[0], pairs[two])
+        gain[two] = take(self.log_p[0], pairs[two]) - self.p1[third[two]]
         back = np.flatnonzero((triples < 0) & (context >= 0))
-        log_p[back] += take(self.back[1], context[back])
+        gain[back] += take(self.back[1], context[back])
         three = np.flatnonzero(triples >= 0)
-        log_p[three] = take(self.log_p[1], triples[three])
-        return log_p
+        gain[three] = take(self.log_p[1], triples[three]) - self.p1[third[three]]
+        return gain
 
 
 class Numbers(dict):
@@ -277,18 +296,146 @@ def _numbered(texts: list[list[bytes]], numbers: Numbers, end: int) -> tuple[np.
     return ids, stops - sizes
 
 
-def _counted(training: DataFrame, keys: Callable[[np.ndarray, np.ndarray], np.ndarray], words: np.ndarray) -> DataFrame:
-    """(key, n) of the keys that a function makes of token ids and text begins."""
-    sent = training.sparkSession.sparkContext.broadcast(words)
+def count_grams(training: DataFrame, parts: Parts) -> DataFrame:
+    """(a, b, c, n) of the pairs (c is null) and triples of word hashes that are seen LEAST times. All that share their first
+    two words meet in one part, so a part counts its own."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers(sent.value)
-        end = numbers.of_hash.get(END, -1)
+    def count(blocks: pa.Table) -> pa.Table:
+        held = [(np.frombuffer(w.as_py(), np.int64), _unpacked(i.as_py(), n.as_py())[1:]) for w, i, n in zip(*(blocks[c] for c in ("words", "items", "n")))]
+        words = np.unique(np.concatenate([w for w, _ in held]))
+        first, middle, third = np.concatenate([np.append(np.searchsorted(words, w), -1)[three] for w, three in held], axis=1)  # -1: none
+        del held
+        after = first >= 0
+        pairs, place, n = np.unique(first[after] << 32 | middle[after], return_inverse=True, return_counts=True)
+        triples, m = np.unique((place << 32 | third[after])[third[after] >= 0], return_counts=True)
+        triples, m = triples[m >= LEAST], m[m >= LEAST]
+        contexts, kept, n = pairs[triples >> 32], pairs[n >= LEAST], n[n >= LEAST]
+        keys = np.concatenate([kept, contexts])
+        third = pa.concat_arrays([pa.nulls(len(kept), pa.int64()), pa.array(words[triples & 0xFFFFFFFF])])
+        return pa.table({"a": words[keys >> 32], "b": words[keys & 0xFFFFFFFF], "c": third, "n": np.concatenate([n, m])})
+
+    return blocks_of(training, parts, True).groupBy("part").applyInArrow(count, "a bigint, b bigint, c bigint, n bigint")
+
+
+@dataclass
+class Parts:
+    """Which part has what: the number of parts, and the words (sorted) that are spread over several."""
+
+    n: int
+    hot: np.ndarray
+    spread: np.ndarray
+
+    def spreads(self, middle: np.ndarray) -> np.ndarray:
+        if not len(self.hot):
+            return np.ones(len(middle), np.int64)
+        at = np.minimum(np.searchsorted(self.hot, middle), len(self.hot) - 1)
+        return np.where(self.hot[at] == middle, self.spread[at], 1)
+
+    def of(self, first: np.ndarray, middle: np.ndarray) -> np.ndarray:
+        """The part of contexts (first, middle)."""
+        return self.nth(middle, self.mixed(first) % self.spreads(middle))
+
+    def nth(self, middle: np.ndarray, k: np.ndarray) -> np.ndarray:
+        return (self.mixed(middle) + k) % self.n
+
+    @staticmethod
+    def mixed(hashes: np.ndarray) -> np.ndarray:
+        return ((hashes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64)
+
+
+def dealt(grams: DataFrame, words: DataFrame, parts: Parts) -> DataFrame:
+    """(part, a, b, c, n, n_a, n_b): the kept n-grams in each part that needs them, pairs with the counts of their words."""
+    pairs = grams.where(F.col("c").isNull())
+    for side in ("a", "b"):
+        pairs = pairs.join(words.select(F.col("hash").alias(side), F.col("n").alias(f"n_{side}")), side)
+    columns = ["a", "b", "c", "n", "n_a", "n_b"]
+    none = F.lit(None).cast("bigint")
+    rows = pairs.select(*columns).unionByName(grams.where(F.col("c").isNotNull()).select("a", "b", "c", "n", none.alias("n_a"), none.alias("n_b")))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, middle = (np.asarray(batch.column(k)) for k in range(2))
+            own, pair = parts.of(first, middle), np.flatnonzero(np.asarray(batch.column(2).is_null()))
+            spread = parts.spreads(first[pair])
+            ends = np.cumsum(spread)
+            again = np.repeat(pair, spread)
+            k = np.arange(len(again)) - np.repeat(ends - spread, spread)
+            of = np.concatenate([own, parts.nth(first[again], k)])
+            taken = batch.take(pa.array(np.concatenate([np.arange(len(own)), again])))
+            yield pa.RecordBatch.from_arrays([pa.array(of), *taken.columns], names=["part", *columns])
+
+    return rows.mapInArrow(deal, "part bigint, a bigint, b bigint, c bigint, n bigint, n_a bigint, n_b bigint")
+
+
+def part_counts(model: pa.Table, n_tokens: int, n_types: int) -> Counts:
+    """The rows of a part as Counts."""
+    is_pair = model["c"].is_null()
+    pairs, triples = model.filter(is_pair), model.filter(model["c"].is_valid())
+    column = lambda of, name: np.asarray(of[name].combine_chunks()).astype(np.int64)
+    a, b = column(pairs, "a"), column(pairs, "b")
+    words, at = np.unique(np.concatenate([a, b]), return_index=True)
+    word_counts = np.concatenate([column(pairs, "n_a"), column(pairs, "n_b")])[at]
+    keys, at = np.unique(np.searchsorted(words, a) << 32 | np.searchsorted(words, b), return_index=True)
+    counts = column(pairs, "n")[at]
+    a, b, c = (np.searchsorted(words, column(triples, name)) for name in "abc")
+    ids = np.searchsorted(keys, a << 32 | b) << 32 | c
+    order = np.argsort(ids)
+    return Counts(n_tokens, n_types, words, word_counts, keys, counts, ids[order], column(triples, "n")[order])
+
+
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """Columns of small numbers, equal bytes of them together, compressed."""
+    data = np.concatenate([c.astype(np.int32) for c in columns])
+    return pa.compress(data.view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    raw = pa.decompress(data, 16 * n, "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.int32).reshape(4, n).astype(np.int64)
+
+
+def _key_of(words: list[bytes]) -> int:
+    """A document's hash, by its words."""
+    import xxhash
+
+    found = xxhash.xxh64_intdigest(b" ".join(words))
+    return found - (found >> 63 << 64)
+
+
+def blocks_of(texts: DataFrame, parts: Parts, training: bool) -> DataFrame:
+    """Blocks of tokens by part, each with the tokens before and after it, one a chunk and part. Those of training texts have
+    all tokens, others those that one follows, with their documents."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
         for texts in _chunks(batches, 0):
-            found, n = np.unique(keys(*_numbered(texts, numbers, end)), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["key", "n"])
+            tokens, begins = _numbered(texts, hashes, END)
+            keys = np.fromiter(map(_key_of, [] if training else texts), np.int64)
+            row = np.repeat(np.arange(len(texts)), np.diff(np.append(begins, len(tokens))))
+            words, ids = np.unique(tokens, return_inverse=True)
+            ids = ids.astype(np.int32)
+            first, third = np.append(np.int32(-1), ids[:-1]), np.append(ids[1:], np.int32(-1))
+            first[begins] = -1
+            third[begins[1:] - 1] = -1
+            at = np.arange(len(ids)) if training else np.flatnonzero(third >= 0)
+            part = parts.of(np.where(first[at] >= 0, words[first[at]], 0), words[ids[at]])
+            order = np.lexsort((third[at], first[at], ids[at], part))
+            at, part = at[order], part[order]
+            items = np.stack([np.zeros_like(at) if training else row[at], first[at], ids[at], third[at]])
+            cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, np.int64)
+            for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                mine = items[:, begin:end]
+                used, back = np.unique(mine[1:], return_inverse=True)
+                none = int(used[0] < 0)
+                rows, of = np.unique(mine[0], return_inverse=True)
+                known = b"" if training else keys[rows].tobytes()
+                values = part[begin], end - begin, words[used[none:]].tobytes(), known, _packed([of, *(back.reshape(3, -1) - none)])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([v], kind) for v, kind in zip(values, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
+                    names=["part", "n", "words", "keys", "items"],
+                )
 
-    return training.mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(deal, "part bigint, n bigint, words binary, keys binary, items binary")
 
 
 def _kept(counted: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -324,50 +471,62 @@ def count_words(training: DataFrame) -> DataFrame:
     return training.mapInArrow(count, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
-def count_ngrams(training: DataFrame, share: float = SHARE) -> tuple[Counts, DataFrame]:
-    """Kept n-grams of the training texts, and the table (hash, n) of all words."""
+@dataclass
+class Model:
+    """Numbers of tokens and types, words with a share SHARE and their counts, kept n-grams by part."""
+
+    n_tokens: int
+    n_types: int
+    words: np.ndarray
+    word_counts: np.ndarray
+    parts: Parts
+    grams: DataFrame
+
+
+def count_ngrams(training: DataFrame, share: float = SHARE, part_tokens: int = PART_TOKENS) -> tuple[Model, DataFrame]:
+    """The model of the training texts, and the table (hash, n) of all words. `share` only says which counts of words are
+    sent and which are joined."""
     training = training.select(F.col("text").cast("binary").alias("text"))
     words = stored(count_words(training), "lm-words")
     n_types, n_tokens = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    least = max(2.0, share * n_tokens)
-    hashes, word_counts = _kept(words.select(F.col("hash").alias("key"), "n"), least)
-    hashes = hashes.view(np.uint64)
-    order = np.argsort(hashes)
-    hashes, word_counts = hashes[order], word_counts[order]
-
-    def pair_keys(ids: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        known = (ids[:-1] >= 0) & (ids[1:] >= 0)
-        known[begins[1:] - 1] = False
-        return (ids[:-1] << 32 | ids[1:])[known]
-
-    pairs, pair_counts = _kept(_counted(training, pair_keys, hashes), least)
-    sent = training.sparkSession.sparkContext.broadcast(pairs)
-
-    def triple_keys(ids: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        pairs = sent.value
-        if not len(pairs):
-            return np.zeros(0, np.int64)
-        keys = ids[:-1] << 32 | ids[1:]
-        keys[(ids[:-1] < 0) | (ids[1:] < 0)] = -1
-        keys[begins[1:] - 1] = -1
-        unique, back = np.unique(keys, return_inverse=True)
-        at = np.minimum(np.searchsorted(pairs, unique), len(pairs) - 1)
-        place = np.where(pairs[at] == unique, at, -1)[back]
-        known = (place[:-1] >= 0) & (place[1:] >= 0)
-        return (place[:-1] << 32 | ids[2:])[known]
-
-    triples, triple_counts = _kept(_counted(training, triple_keys, hashes), least)
-    return Counts(n_tokens, n_types, hashes, word_counts, pairs, pair_counts, triples, triple_counts), words
-
-
-def score(docs: DataFrame, counts: Counts, words: DataFrame) -> DataFrame:
+    hashes, word_counts = _kept(words.select(F.col("hash").alias("key"), "n"), max(2.0, share * n_tokens))
+    n_parts = max(1, -(-n_tokens // part_tokens))
+    often = sorted((r.hash, -(-r.n * n_parts // n_tokens)) for r in words.where(F.col("n") * n_parts > n_tokens).collect())  # fewer than parts
+    parts = Parts(n_parts, np.array([h for h, _ in often], np.int64), np.array([k for _, k in often], np.int64))
+    grams = stored(count_grams(training, parts), "lm-grams", compression="zstd")
+    return Model(n_tokens, n_types, hashes.view(np.uint64), word_counts, parts, dealt(grams, words, parts)), words
+
+
+def score(docs: DataFrame, counts: Model, words: DataFrame) -> DataFrame:
     """docs (doc_id, text): doc_id, n_tokens, n_known, base_score, score."""
-    sent = docs.sparkSession.sparkContext.broadcast(build_trie(counts))  # at most 3 / SHARE entries
+    n_tokens, n_types, levels = counts.n_tokens, counts.n_types, LEVELS
+    texts = docs.select(F.col("text").cast("binary").alias("text"))
+
+    def answer(model: pa.Table, asked: pa.Table) -> pa.Table:
+        trie = Trie(build_trie(part_counts(model, n_tokens, n_types), levels))
+        found = []
+        for n, words_, keys, items in zip(*(asked[c] for c in ("n", "words", "keys", "items"))):
+            here = np.frombuffer(words_.as_py(), np.int64)
+            at = np.minimum(np.searchsorted(trie.words, here), len(trie.words) - 1)
+            ids = np.append(np.where(trie.words[at] == here, at, -1) if len(trie.words) else np.full(len(here), -1), -1)  # the last stands for none
+            row, *three = _unpacked(items.as_py(), n.as_py())
+            keys = np.frombuffer(keys.as_py(), np.int64)
+            found.append((keys, np.bincount(row, trie.gain(*(ids[k] for k in three)), len(keys)), np.bincount(row, minlength=len(keys))))
+        keys, gains, ns = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        once, back = np.unique(keys, return_inverse=True)
+        sums = np.bincount(back, gains, len(once)), np.bincount(back, ns, len(once))  # whole numbers if there are none
+        return pa.table({"key": once, "gain": sums[0].astype(float), "asked": sums[1].astype(np.int64)})
+
+    asked = blocks_of(texts, counts.parts, False)
+    answers = counts.grams.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(answer, "key bigint, gain double, asked bigint")
+    # Rows with equal words ask for the same and share their answers.
+    gains = answers.groupBy("key").agg((F.sum("gain") / F.sum("asked")).alias("gain"))
+    sent = docs.sparkSession.sparkContext.broadcast((counts.words, unigram(counts.word_counts, n_tokens, n_types)))  # at most 1 / SHARE
     kind = dict(docs.dtypes)["doc_id"]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(sent.value)
-        numbers, row = Numbers(trie.words), TaskContext.get().partitionId() << 33
+        frequent, p1 = sent.value
+        numbers, row = Numbers(frequent), TaskContext.get().partitionId() << 33
         end = numbers.of_hash.get(END, -1)
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
@@ -376,7 +535,7 @@ def score(docs: DataFrame, counts: Counts, words: DataFrame) -> DataFrame:
                 ids, begins = _numbered(texts, numbers, end)
                 sizes = np.diff(np.append(begins, len(ids)))
                 known = ids >= 0
-                base = np.where(known, trie.p1[np.maximum(ids, 0)] if len(trie.p1) else 0.0, 0.0)
+                base = np.where(known, p1[np.maximum(ids, 0)] if len(p1) else 0.0, 0.0)
                 rare = [[numbers.hash(w) for w in words if numbers[w] < 0] + ([END] if end < 0 else []) for words in texts]
                 rare_ends = np.cumsum([len(r) for r in rare])
                 flat = np.fromiter((h for r in rare for h in r), np.uint64, int(rare_ends[-1])).view(np.int64)
@@ -387,14 +546,14 @@ def score(docs: DataFrame, counts: Counts, words: DataFrame) -> DataFrame:
                         pa.array(sizes),
                         pa.array(np.add.reduceat(known.astype(np.int64), begins)),
                         pa.array(np.add.reduceat(base, begins)),
-                        pa.array(np.add.reduceat(trie.score(ids, begins), begins)),
+                        pa.array(np.fromiter(map(_key_of, texts), np.int64, len(texts))),
                         pa.ListArray.from_arrays(pa.array(np.append(0, rare_ends), pa.int32()), pa.array(flat)),
                     ],
-                    names=["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "rare"],
+                    names=["row", "doc_id", "n_tokens", "n_known", "base_score", "key", "rare"],
                 )
                 row += len(texts)
 
-    schema = f"row bigint, doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double, rare array<bigint>"
+    schema = f"row bigint, doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, key bigint, rare array<bigint>"
     parts = stored(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(scored, schema), "lm-parts")
     n = F.coalesce(F.col("n"), F.lit(0))
     rare = (
@@ -404,12 +563,13 @@ def score(docs: DataFrame, counts: Counts, words: DataFrame) -> DataFrame:
         .agg(F.sum(F.log10((n + 0.5) / F.lit(counts.n_tokens + 0.5 * (counts.n_types + 1)))).alias("rare_score"), F.sum((n > 0).cast("long")).alias("rare_known"))
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return parts.join(rare, "row", "left").select(
+    base = F.col("base_score") + zero("rare_score")
+    return parts.join(rare, "row", "left").join(gains, "key", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("n_known") + zero("rare_known")).alias("n_known"),
-        (F.col("base_score") + zero("rare_score")).alias("base_score"),
-        (F.col("score") + zero("rare_score")).alias("score"),
+        base.alias("base_score"),
+        (base + zero("gain") * (F.col("n_tokens") - 1)).alias("score"),
     )
 
 

@@ -112,3 +112,24 @@ def test_nulls_repeated_rows_and_empty_tables(spark):
     counts, words = ngrams.count_ngrams(docs.limit(0))
     assert ngrams.score(docs.limit(0), counts, words).count() == 0
     assert {r.n_known for r in ngrams.score(docs, counts, words).collect()} == {0}
+
+
+def test_what_is_kept_does_not_depend_on_the_size_of_the_corpus(spark):
+    """Two million other tokens and many parts, some words spread over several: a pair seen twice still counts."""
+    few = ["p q r", "p q s", "x p q r", "the p q", None, ""] + [f"the w{k % 7} of the w{k % 11}" for k in range(60)]
+    many = " ".join(["z"] * 2_300_000)
+    train = spark.createDataFrame([(t,) for t in few + [many]], "text string").repartition(3)
+    docs = spark.createDataFrame([*enumerate(few), (70, "p q r"), (71, "q"), (72, "new p q of the w3")], "doc_id long, text string")
+    brute = Brute(few + [many], 2)
+    counts, words = ngrams.count_ngrams(train, part_tokens=200_000)
+    assert counts.parts.n > 10 and len(counts.parts.hot)
+    rows = ngrams.score(docs, counts, words).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r.score == pytest.approx(brute.score(texts[r.doc_id]), abs=1e-4 * (r.n_tokens + 5))
+    counts, words = ngrams.count_ngrams(train.where("text is null or length(text) < 1000"), part_tokens=20)
+    assert counts.parts.n > 10 and len(counts.parts.hot) > 1
+    brute = Brute(few, 2)
+    for r in ngrams.score(docs, counts, words).collect():
+        assert r.score == pytest.approx(brute.score(texts[r.doc_id]), abs=1e-4 * (r.n_tokens + 5))
