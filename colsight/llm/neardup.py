@@ -334,10 +334,13 @@ def link(signed: DataFrame, docs: DataFrame, weights: Weights, threshold: float
     to_lead = sims.select(F.col("a").alias("tid"), F.col("b").alias("lead"), "sim")
     rest = members.where((F.col("tid") != F.col("lead")) & (F.col("n") > 2)).drop("n").join(to_lead, ["tid", "lead"])
     outside = stored(_outside(rest, labels), "neardup-outside")
-    open_ = members.where(F.col("n") >= BOUNDED).join(outside.select("key").distinct(), "key", "left_semi").select("tid").distinct()
-    bounds = stored(own_weights(texts.join(open_, "tid", "left_semi"), weights), "neardup-bounds")
+    # The bounds count what texts of large open buckets share, so they hold between rows of those buckets only.
+    large = members.where(F.col("n") >= BOUNDED).join(outside.select("key").distinct(), "key", "left_semi").select("key", "tid")
+    open_ = large.select("tid").distinct()
+    own = own_weights(texts.join(open_, "tid", "left_semi"), weights)
+    bounds = stored(large.join(own, "tid").select("key", "tid", "w", "u"), "neardup-bounds")
     rest = stored(_bounded(rest, bounds).join(distinct, "tid"), "neardup-rest")
-    # A text that no other can be so similar to needs no turn.
+    # A text that no other of its large bucket can be so similar to needs no turn there.
     able = F.coalesce(F.col("u") <= (1 - threshold) * F.col("w") + 1e-9, F.lit(True))
     outside = stored(_bounded(outside, bounds).where(able).drop("w", "u"), "neardup-outside")
     while outside.limit(1).count():
@@ -370,8 +373,9 @@ def link(signed: DataFrame, docs: DataFrame, weights: Weights, threshold: float
 
 
 def _bounded(rows: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Adds the text's weight `w` and the weight `u` that it shares with no other; null if not bounded."""
-    return rows.join(bounds, "tid", "left")
+    """Adds the text's weight `w` and the weight `u` that it shares with no other text of large buckets; null if the row's
+    bucket is not one of them."""
+    return rows.join(bounds, ["key", "tid"], "left")
 
 
 def _outside(rows: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import re
 from collections import Counter, defaultdict
@@ -113,3 +114,19 @@ def test_frequent_shingles_are_exact(spark, size):
     df = Counter(s for _, t in rows for s in {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)})
     assert sorted(counts.tolist()) == sorted(c for c in df.values() if c >= 0.05 * size)
     assert len(set(shingles.tolist())) == len(shingles)
+
+
+def test_bounds_of_a_large_bucket_do_not_hold_in_a_small_one(spark, monkeypatch):
+    """x lies in a large bucket without y, and both in a small one that another text leads."""
+    monkeypatch.setattr(neardup, "BOUNDED", 4)
+    tid = lambda text: hashlib.md5(text.encode()).digest()
+    x, y = words(*range(100)), words(*range(99), 9999)
+    lead = next(t for k in range(1000) if tid(t := words(*range(20000 + 50 * k, 20040 + 50 * k))) < min(tid(x), tid(y)))
+    others = [words(*range(1000 * k, 1000 * k + 60)) for k in range(1, 7)]
+    rows = list(enumerate([x, y, lead, *others]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    weights = neardup.Weights(*neardup.frequent_shingles(docs))
+    keys = F.when(F.col("doc_id") == 0, F.array(F.lit(7), F.lit(8))).when(F.col("doc_id") < 3, F.array(F.lit(8))).otherwise(F.array(F.lit(7)))
+    signed = neardup.sign(docs, weights).withColumn("keys", keys.cast("array<bigint>"))
+    labels = {bytes(r.tid): bytes(r.label) for r in neardup.link(signed, docs, weights).collect()}
+    assert labels == dict.fromkeys((tid(x), tid(y)), min(tid(x), tid(y)))
