@@ -2,7 +2,8 @@
 
 A document is the first layer. A worklist takes layers one by one: each is scanned for secrets, and each of its
 encoded parts (words with URL or Unicode escapes, base64 runs, base64 runs of gzip or zlib data) becomes a layer of its own
-unless a layer with the same text was seen in this document; the work ends when nothing new comes out. A layer knows
+unless it has the text of a layer around it; the work ends when nothing new comes out. What a layer holds is remembered by its
+text for the document, and every place where it stands maps that to spans of its own. A layer knows
 how its characters stand in the one around it, so a finding, however deep, is given as a span of the document:
 escapes map character by character, base64 by its groups of four, compressed data as a whole. Decompressed data
 arrives in pieces of at most PIECE bytes with an overlap, so memory stays bounded and nothing is cut off.
@@ -19,8 +20,9 @@ import hashlib
 import html
 import re
 import zlib
-from collections import deque
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -133,21 +135,55 @@ def _base64(text: str) -> Iterator[tuple[str, Mapping]]:
             yield decoded, whole
 
 
+@dataclass
+class Layer:
+    """A layer in work: its findings so far, its encoded parts still to come, its place in the layer around it, and the
+    outermost layer around it whose text came again within it."""
+
+    text: str
+    found: set[Span]
+    parts: Iterator[tuple[str, Mapping]]
+    place: Mapping | None
+    again: int
+
+
 def find(text: str) -> tuple[list[Span], list[Span]]:
     """The spans of the text itself, and those of all layers; both sorted."""
     base = sorted(scan(text))
-    found, seen = set(base), {text}
-    work: deque[tuple[str, Mapping | None]] = deque([(text, None)])
-    while work:
-        layer, place = work.popleft()
-        if place is not None:
-            found.update((lambda se, kind: (se[0], kind, se[1]))(place(start, end), kind) for start, kind, end in scan(layer))
-        for decode in (_escapes, _base64):
-            for inner, within in decode(layer):
-                if inner and inner not in seen:
-                    seen.add(inner)
-                    work.append((inner, within if place is None else lambda s, e, p=place, w=within: p(*w(s, e))))
-    return base, sorted(found)
+    known: dict[str, set[Span]] = {}
+    around: dict[str, int] = {}
+    work: list[Layer] = []
+
+    def enter(layer: str, place: Mapping | None) -> None:
+        around[layer] = len(work)
+        work.append(Layer(layer, set(scan(layer)), chain(_escapes(layer), _base64(layer)), place, len(work)))
+
+    def take(found: set[Span], place: Mapping) -> None:
+        for start, kind, end in found:
+            start, end = place(start, end)
+            work[-1].found.add((start, kind, end))
+
+    enter(text, None)
+    while True:
+        now = work[-1]
+        for inner, within in now.parts:
+            if inner in known:
+                take(known[inner], within)
+            elif inner in around:
+                now.again = min(now.again, around[inner])
+            elif inner:
+                enter(inner, within)
+                break
+        else:
+            work.pop()
+            del around[now.text]
+            if not work:
+                return base, sorted(now.found)
+            # With a part left out because of a layer around it, the findings are whole in that layer only.
+            if now.again >= len(work):
+                known[now.text] = now.found
+            work[-1].again = min(work[-1].again, now.again)
+            take(now.found, now.place)
 
 
 def joined(spans: list[Span]) -> str:

@@ -64,6 +64,22 @@ def test_cycles_bombs_and_junk_end():
     assert all_spans("token: password = abcdefghijkl") == [""]  # a failing match is not tried again
 
 
+def test_every_occurrence_of_an_encoded_secret_has_its_span():
+    b64 = lambda s: base64.b64encode(s.encode()).decode()
+    for one in (b64(f"key {KEY} end"), b64(gzip.compress(KEY.encode()).hex() + " " + b64(f"key {KEY}")), "".join(f"%{ord(c):02X}" for c in KEY)):
+        alone = [s.split(":") for s in all_spans(one)]
+        at = 2, 2 + len(one) + 5, 2 + 2 * (len(one) + 5)
+        expected = [f"{kind}:{int(start) + k}:{int(end) + k}" for k in at for kind, start, end in alone]
+        assert sorted(all_spans("a " + " and ".join([one] * 3))) == sorted(expected) and "access" in {s[0] for s in alone}
+    # Also within a layer.
+    twice = b64(f"key {KEY}")
+    assert len(all_spans(b64(f"{twice} and {twice}"))) == 2
+
+
+def test_long_chains_of_layers_end():
+    assert all_spans("%" + "25" * 1500 + "41KIAABCDEFGHIJKLMNOP")[0].startswith("access:0:")
+
+
 def test_nulls_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, None, "x"), (1, "", "y"), (None, KEY, "z")], "doc_id long, text string, spans string")
     rows = {(r.doc_id, r.n_access, r.spans) for r in secrets.find_secrets(docs).collect()}
