@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colsight.llm import maintext, mixing, neardup, ngrams, phrases, pii, ppm, quality, secrets, tokens
+from colsight.llm import divergence, maintext, mixing, neardup, ngrams, phrases, pii, ppm, quality, secrets, tokens
 
 QUERIES = {
     "op1_token_files": tokens.op1_token_files,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_mincut_text": maintext.op8_mincut_text,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_minhash_neardup": neardup.op10_minhash_neardup,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 
 SQL = {
     "op4_risk_rules": quality.SQL,
     "op7_phrase_index": phrases.SQL,
     "op9_mix_sources": mixing.SQL,
+    "op13_source_divergence": divergence.SQL,
 }
