@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colsight.llm import divergence, maintext, mixing, neardup, ngrams, phrases, pii, ppm, quality, secrets, tokens
+from colsight.llm import collocations, divergence, maintext, mixing, neardup, ngrams, phrases, pii, ppm, quality, secrets, simhash, tokens
 
 QUERIES = {
     "op1_token_files": tokens.op1_token_files,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_mincut_text": maintext.op8_mincut_text,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_minhash_neardup": neardup.op10_minhash_neardup,
+    "op11_phrase_stripes": collocations.op11_phrase_stripes,
+    "op12_gray_simhash": simhash.op12_gray_simhash,
     "op13_source_divergence": divergence.op13_source_divergence,
 }
 
@@ -22,5 +24,6 @@ SQL = {
     "op4_risk_rules": quality.SQL,
     "op7_phrase_index": phrases.SQL,
     "op9_mix_sources": mixing.SQL,
+    "op11_phrase_stripes": collocations.SQL,
     "op13_source_divergence": divergence.SQL,
 }
