@@ -12,14 +12,14 @@ from colsight.functions.columns import chunks, col, numeric_columns, require_num
 from colsight.functions.local import local_frame
 from colsight.functions.missing import number, numbers
 from colsight.functions.text import round4
-from colsight.operators.gram import pairwise_sums
 from colsight.operators.profile import moments
-from colsight.operators.ranks import rank_products
+from colsight.operators.ranks import rank_correlation, rank_sums
+from colsight.operators.states import State, column_states
 
 RAW_SCHEMA = "i int, j int, col1 string, col2 string, r double"
 # Pairs per aggregate of the plan that works on moments instead of sums of products.
 PAIRS_PER_SCAN = 256
-# Below this share of the raw square sum a variance is rounding noise.
+# Below this share of the square sum of values of the column's usual size a variance is taken for rounding noise.
 VARIANCE_NOISE = 1e-10
 
 
@@ -86,42 +86,42 @@ def wide_matrix(matrix: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def raw_correlations(
-    df: DataFrame, columns: Sequence[str] | None = None, method: str = "pearson", known_moments: DataFrame | None = None
+    df: DataFrame, columns: Sequence[str] | None = None, method: str = "pearson", state: State | None = None
 ) -> DataFrame:
-    """(i, j, col1, col2, r) for i <= j; r is NULL where a column is constant within the pair."""
+    """(i, j, col1, col2, r) for i <= j; r is NULL where a column is constant, or one infinite, within the pair.
+
+    ``state`` takes a scan of the same columns that was made before, with pairs.
+    """
     if method not in ("pearson", "spearman"):
         raise DatasetError(f"Unknown correlation method '{method}'.")
     clean = _doubles(df, columns)
-    known_moments = moments(clean) if known_moments is None else known_moments
-    stats = known_moments.where("min <> max").orderBy("position").collect()
-    if len(stats) < 2:
+    names = clean.columns
+    if names and state is None:
+        state = column_states(clean, names, pairs=method == "pearson")
+    usable = [k for k in range(len(names)) if state and state.low[k] < state.high[k]]
+    if len(usable) < 2:
         return local_frame(df.sparkSession, [], RAW_SCHEMA)
-    names = [row["name"] for row in stats]
+    named = [names[k] for k in usable]
     if method == "spearman":
-        return _spearman(clean, stats)
+        return _spearman(clean, named)
 
-    finite = [math.isfinite(row["min"]) and math.isfinite(row["max"]) for row in stats]
-    regular = [k for k, ok in enumerate(finite) if ok]
     known: list[tuple] = []
-    redo = [(i, j) for i in range(len(names)) for j in range(i, len(names)) if not (finite[i] and finite[j])]
-    if regular:
-        scales = [stats[k]["std"] if stats[k]["std"] and math.isfinite(stats[k]["std"]) else stats[k]["max"] - stats[k]["min"] for k in regular]
-        sums = pairwise_sums(clean, [names[k] for k in regular], [stats[k]["mean"] for k in regular], scales)
-        for row in sums.collect():
-            i, j = regular[row["i"]], regular[row["j"]]
-            var_x = row["n"] * row["sxx"] - row["sx"] * row["sx"]
-            var_y = row["n"] * row["syy"] - row["sy"] * row["sy"]
-            noise_x = VARIANCE_NOISE * row["n"] * row["sxx"]
-            noise_y = VARIANCE_NOISE * row["n"] * row["syy"]
-            # Not above the noise, or not a number after an overflow.
-            if not (noise_x < var_x < math.inf and noise_y < var_y < math.inf):
+    redo = []
+    for i, a in enumerate(usable):
+        for j, b in enumerate(usable[i:], i):
+            n, sxx, syy, sxy = state.n[a, b], state.square[a, b], state.square[b, a], state.cross[a, b]
+            # Squares around the task's own centre: what is left of a constant side is rounding noise.
+            noise_x, noise_y = (VARIANCE_NOISE * n * max(1.0, state.mean[p, q] ** 2) for p, q in ((a, b), (b, a)))
+            if state.infinite[a, b] or not n:
+                known.append((i, j, named[i], named[j], None))
+            elif not (noise_x < sxx < math.inf and noise_y < syy < math.inf):
                 redo.append((i, j))
             else:
-                r = (row["n"] * row["sxy"] - row["sx"] * row["sy"]) / math.sqrt(var_x) / math.sqrt(var_y)
-                known.append((i, j, names[i], names[j], max(-1.0, min(1.0, r))))
+                r = sxy / math.sqrt(sxx) / math.sqrt(syy)
+                known.append((i, j, named[i], named[j], max(-1.0, min(1.0, r))))
     result = local_frame(df.sparkSession, known, RAW_SCHEMA)
     if redo:
-        result = result.unionByName(pair_correlations(clean, names, redo))
+        result = result.unionByName(pair_correlations(clean, named, redo))
     return result
 
 
@@ -170,12 +170,9 @@ def relationship(df: DataFrame, x: str, y: str, method: str = "pearson", bucket_
     if method not in ("pearson", "spearman"):
         raise DatasetError(f"Unknown correlation method '{method}'.")
     if method == "spearman":
-        r = F.max(F.when(F.col("i") != F.col("j"), F.col("product")))
-        spread = F.sqrt(F.max(F.when(F.expr("i = 0 AND j = 0"), F.col("product")))) * F.sqrt(
-            F.max(F.when(F.expr("i = 1 AND j = 1"), F.col("product")))
-        )
-        result = rank_products(df, [x, y], bucket_rows).agg(
-            F.coalesce(F.max("n"), F.lit(0)).cast("long").alias("pair_count"), F.try_divide(r, spread).alias("r")
+        sums = rank_sums(df, [x, y], bucket_rows)
+        result = sums.agg(
+            F.coalesce(F.max("n"), F.lit(0)).cast("long").alias("pair_count"), F.max(rank_correlation()).alias("r")
         )
     else:
         pair = df.select(number(df, x).alias("x"), number(df, y).alias("y"))
@@ -198,35 +195,11 @@ def _doubles(df: DataFrame, columns: Sequence[str] | None) -> DataFrame:
     return numbers(df, names)
 
 
-def _spearman(clean: DataFrame, stats: Sequence) -> DataFrame:
-    """Rank every column once where no cell is missing; pairs with gaps are ranked on their own rows."""
-    names = [row["name"] for row in stats]
-    total = clean.count()
-    full = [k for k, row in enumerate(stats) if row["count"] == total]
-    groups = [full] if len(full) > 1 else []
-    groups += [
-        [i, j]
-        for i in range(len(names))
-        for j in range(i + 1, len(names))
-        if i not in full or j not in full
-    ]
-    result = local_frame(clean.sparkSession, [(k, k, 1.0) for k in range(len(names))], "i int, j int, r double")
-    for group in groups:
-        products = rank_products(clean, [names[k] for k in group])
-        position = F.array(*[F.lit(k) for k in group])
-        # One row per column pair; the squares on the diagonal go to both of its sides.
-        squares = products.where("i = j").select("i", F.col("product").alias("square"))
-        result = result.unionByName(
-            products.where("i < j")
-            .join(squares.withColumnRenamed("square", "sxx"), "i")
-            .join(squares.select(F.col("i").alias("j"), F.col("square").alias("syy")), "j")
-            .select(
-                F.get(position, F.col("i")).alias("i"),
-                F.get(position, F.col("j")).alias("j"),
-                F.try_divide(F.col("product"), F.sqrt("sxx") * F.sqrt("syy")).alias("r"),
-            )
-        )
+def _spearman(clean: DataFrame, names: Sequence[str]) -> DataFrame:
+    """All pairs at once, each ranked on its own complete rows."""
     labels = F.array(*[F.lit(n) for n in names])
-    return result.select(
+    pairs = rank_sums(clean, names).select("i", "j", rank_correlation().alias("r"))
+    diagonal = local_frame(clean.sparkSession, [(k, k, 1.0) for k in range(len(names))], "i int, j int, r double")
+    return pairs.unionByName(diagonal).select(
         "i", "j", F.get(labels, F.col("i")).alias("col1"), F.get(labels, F.col("j")).alias("col2"), "r"
     )

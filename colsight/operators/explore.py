@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from colsight.errors import DatasetError
 from colsight.functions.columns import chunks, col, numeric_columns, require_numeric
 from colsight.functions.local import local_frame
 from colsight.functions.missing import drop_missing, is_missing, nan_to_null, number, numbers
+from colsight.functions.shared import kept
 from colsight.functions.text import round4
 from colsight.operators.profile import QUARTILES, moments
 from colsight.operators.quantiles import GROUP_ROWS, column_quantiles, exact_quantiles, grouped_quantiles
-from colsight.operators.ranks import value_buckets, with_bucket
+from colsight.operators.ranks import in_order, parts_for
+from colsight.operators.states import column_states
 
 PERIODS = ("year", "quarter", "month", "week", "day", "hour", "minute")
 
@@ -63,13 +67,15 @@ def grouped_aggregate(
 ) -> DataFrame:
     """(by..., rows, count, sum, mean, median, min, max) per group; rows without a group are left out.
 
+    A result that a group column is called like gets an underscore.
     One aggregate gives everything; medians of groups above ``group_rows`` rows are found by selection.
     """
     require_numeric(df, value)
     by = list(by)
-    results = ["rows", "count", "sum", "mean", *(["median"] if median else []), "min", "max"]
-    if clash := set(by) & set(results):
-        raise DatasetError(f"Rename the group column '{min(clash)}': a result has that name.")
+    results = {r: r for r in ("rows", "count", "sum", "mean", *(["median"] if median else []), "min", "max")}
+    for r in results:
+        while results[r] in by:
+            results[r] += "_"
     keys = [f"_k{i}" for i in range(len(by))]
     cells = df.select(*[col(c).alias(k) for c, k in zip(by, keys)], col(value).cast("double").alias("_x"))
     rows = drop_missing(nan_to_null(cells), keys)
@@ -86,7 +92,7 @@ def grouped_aggregate(
         groups = groups.withColumn("_median", round4(F.col("_quantiles")[0]))
     else:
         groups = rows.groupBy(*keys).agg(*aggregates)
-    return groups.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], *[F.col(f"_{r}").alias(r) for r in results])
+    return groups.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], *[F.col(f"_{r}").alias(name) for r, name in results.items()])
 
 
 _MONTHS = {"year": 12, "quarter": 3, "month": 1}
@@ -174,7 +180,8 @@ def time_extremes(trend: DataFrame, measure: str = "mean") -> DataFrame:
 def date_coverage(df: DataFrame, date: str, bucket_rows: int | None = None) -> DataFrame:
     """One row: different dates or times, first and last, days between, median gap in seconds.
 
-    Neighbours are found bucket by bucket; the gap across two buckets comes from their ends.
+    Different times are sorted by ranges; the gap across two ranges comes from their ends. ``bucket_rows`` sets how many
+    rows a range has; without it that is left to Spark.
     """
     day_only = isinstance(df.schema[date].dataType, T.DateType)
     if day_only:
@@ -183,22 +190,19 @@ def date_coverage(df: DataFrame, date: str, bucket_rows: int | None = None) -> D
         micros = _naive_micros(col(date))
     else:
         micros = F.unix_micros(col(date))
-    times = df.select(micros.alias("t")).where("t IS NOT NULL")
-    span = times.agg(F.count("*").alias("n"), F.min("t").alias("low")).first()
-    if not span["n"]:
-        raise DatasetError(f"Column '{date}' holds no dates.")
-    shifted = times.withColumn("s", (F.col("t") - F.lit(span["low"])).cast("double"))
-    ends = value_buckets(shifted, ["s"], span["n"], bucket_rows)[0].ends
-    unique = with_bucket(shifted, "s", ends).select("_bucket", "t").distinct()
-    within = F.lag("t").over(Window.partitionBy("_bucket").orderBy("t"))
-    gaps = unique.select((F.col("t") - within).alias("gap"))
-    edges = unique.groupBy("_bucket").agg(F.min("t").alias("low"), F.max("t").alias("high"), F.count("*").alias("n"))
-    # At most one row per bucket in this unpartitioned window.
-    across = edges.select((F.col("low") - F.lag("high").over(Window.orderBy("_bucket"))).alias("gap"))
-    spacing = exact_quantiles(gaps.unionByName(across), "gap", [0.5])
+    unique = df.select(micros.alias("t")).where("t IS NOT NULL").distinct()
+    parts = parts_for(unique.count(), bucket_rows) if bucket_rows else None
+    with kept(in_order(unique, ["t"], _gaps, "part int, t bigint, gap bigint", parts), "date-gaps") as gaps:
+        # One row per range in this unpartitioned window.
+        edges = gaps.groupBy("part").agg(F.min("t").alias("low"), F.max("t").alias("high"), F.count("*").alias("n"))
+        across = edges.select((F.col("low") - F.lag("high").over(Window.orderBy("part"))).alias("gap"))
+        observations = edges.agg(F.sum("n")).first()[0]
+        if not observations:
+            raise DatasetError(f"Column '{date}' holds no dates.")
+        spacing = exact_quantiles(gaps.select("gap").unionByName(across), "gap", [0.5])
     first, last = F.min(col(date)), F.max(col(date))
     return df.agg(first.alias("first_date"), last.alias("last_date")).select(
-        edges.agg(F.sum("n")).scalar().alias("unique_observations"),
+        F.lit(observations).cast("long").alias("unique_observations"),
         "first_date",
         "last_date",
         F.datediff("last_date", "first_date").cast("long").alias("span_days"),
@@ -206,6 +210,22 @@ def date_coverage(df: DataFrame, date: str, bucket_rows: int | None = None) -> D
     )
 
 
+def _gaps(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
+    """(part, t, gap) of sorted times; the first of a part has no gap."""
+    last = None
+    for batch in batches:
+        t = batch.column(0).to_numpy()
+        if not len(t):
+            continue
+        gap = np.diff(t, prepend=t[:1] if last is None else last)
+        mask = np.zeros(len(t), bool)
+        mask[0] = last is None
+        last = t[-1:]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(t), part, np.int32)), batch.column(0), pa.array(gap, pa.int64(), mask=mask)], names=["part", "t", "gap"]
+        )
+
+
 # Categories ------------------------------------------------------------------------------------
 
 
@@ -289,8 +309,9 @@ def outlier_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     if names is None:
         names = [c for c in numeric_columns(df) if not isinstance(df.schema[c].dataType, T.BooleanType)]
     clean = numbers(df, names)
-    quartiles = column_quantiles(clean, names, QUARTILES)
-    stats = {r["name"]: r for r in moments(clean, names).collect()}
+    state = column_states(clean, names, sketch=True) if names else None
+    quartiles = column_quantiles(clean, names, QUARTILES, summaries=state.summaries if state else [])
+    stats = {r["name"]: r for r in moments(clean, names, state).collect()}
     frames = []
     for part in chunks([c for c in names if c in quartiles]):
         cells, counts = [], []

@@ -51,19 +51,3 @@ def _partials(centres: np.ndarray, scales: np.ndarray) -> Callable[[Iterator[pa.
             yield pa.RecordBatch.from_arrays(arrays, names=["i", "j", *PARTIAL])
 
     return run
-
-
-def weighted_products(df: DataFrame, columns: Sequence[str], weight: str, centre: float) -> DataFrame:
-    """(i, j, product) for i <= j: weighted sums of products of values without gaps, relative to a centre."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(columns), len(columns)))
-        for batch in batches:
-            cells = [column.to_numpy(zero_copy_only=False) for column in batch.columns]
-            values = np.column_stack(cells[1:]).astype(float) - centre
-            total += (values * cells[0][:, None]).T @ values
-        i, j = np.triu_indices(len(columns))
-        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], names=["i", "j", "product"])
-
-    partials = df.select(weight, *columns).mapInArrow(run, "i int, j int, product double")
-    return partials.groupBy("i", "j").agg(F.sum("product").alias("product"))

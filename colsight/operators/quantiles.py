@@ -1,28 +1,32 @@
 """Exact quantiles with linear interpolation, without gathering a column in one task.
 
 The built-in exact ``percentile`` keeps every distinct value of a group in one aggregation buffer.
-Here a mergeable sketch proposes a narrow interval around each wanted rank, a second scan counts the
-rows before and in each interval exactly, and a third keeps only the values inside and reads the
-ranks off them. The sketch steers how much is kept, never the answer: a rank outside its interval is
+Here a mergeable sketch proposes a narrow interval around each wanted rank, and a second scan counts the
+rows before and in each interval exactly, keeps the values inside and reads the ranks off them. The sketch steers how much is kept, never the answer: a rank outside its interval is
 looked up again in the gap it fell into, and an interval with too many rows is sketched again.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import ExitStack
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from colsight.functions.columns import chunks, col
 from colsight.functions.local import local_frame
 from colsight.functions.missing import nan_to_null, numbers
+from colsight.functions.shared import kept
+from colsight.operators.states import Summary, column_states
 
 SKETCH_SIZE = 4096
 # Half width of the interval around a wanted rank, a few times the rank error of such a sketch.
-RANK_MARGIN = 0.002
+RANK_MARGIN = 0.003
 # The most rows of one interval that the final ranking window may sort in one task.
 INTERVAL_ROWS = 4_000_000
 # Groups with more rows than this are ranked by intervals instead of one aggregation buffer.
@@ -58,21 +62,26 @@ def sketch_quantiles(value: Column, points: Sequence[float], size: int = SKETCH_
 
 
 def column_quantiles(
-    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], interval_rows: int | None = None
+    df: DataFrame,
+    columns: Sequence[str],
+    probabilities: Sequence[float],
+    interval_rows: int | None = None,
+    summaries: Sequence[Summary] | None = None,
 ) -> dict[str, list[float]]:
-    """Exact quantiles of whole numeric columns; columns without values are left out."""
+    """Exact quantiles of whole numeric columns; columns without values are left out.
+
+    The number of scans does not depend on that of columns. ``summaries`` of a scan made before save one.
+    """
     columns = list(columns)
     if not columns:
         return {}
-    df = numbers(df, columns)
+    if summaries is None:
+        state = column_states(df, columns, sketch=True)
+        summaries = state.summaries if state else []
     points = _interval_points(probabilities)
-    groups: dict[tuple, tuple[int, list[float]]] = {}
-    for part in chunks(list(enumerate(columns))):
-        row = df.agg(*[sketch_quantiles(col(c), points).alias(str(i)) for i, c in part]).first()
-        for i, _ in part:
-            if row[str(i)]["n"]:
-                groups[(i,)] = (row[str(i)]["n"], row[str(i)]["edges"])
-    found = _select(_WholeColumns(df), groups, probabilities, interval_rows)
+    groups = {(i,): (s.n, s.quantiles(points)) for i, s in enumerate(summaries) if s.n}
+    with _WholeColumns(numbers(df, columns), max([0, *(n for n, _ in groups.values())])) as source:
+        found = _select(source, groups, probabilities, interval_rows)
     return {columns[key[0]]: values for key, values in found.items()}
 
 
@@ -187,31 +196,44 @@ def _inner_sketch(x: Column, low: Column | float, high: Column | float) -> Colum
 class _WholeColumns:
     """The columns of a frame of NaN-free doubles; the key of a column is its position.
 
-    Intervals become literals, so counting is one wide aggregate per chunk of columns and only
-    values inside an interval turn into rows.
+    One scan over Arrow batches counts for all columns. While intervals are narrow it also keeps the values inside.
     """
 
     by = ["position"]
 
-    def __init__(self, df: DataFrame) -> None:
-        self.df = df
-
-    def counts(self, pending: _Intervals) -> dict[tuple, list[tuple[int, int]]]:
-        def pair(x: Column, i: _Interval) -> Column:
-            return F.struct(F.count_if(x < i.low), F.count_if(x <= i.high))
-
-        return {key: [tuple(p) for p in found] for key, found in self._per_interval(pending, pair).items()}
+    def __init__(self, df: DataFrame, rows: int) -> None:
+        self.df, self.rows = df, rows
+        self.probed: DataFrame | None = None
+        self.opened = ExitStack()
+
+    def __enter__(self) -> _WholeColumns:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.opened.close()
+
+    def counts(self, pending: _Intervals, limit: int) -> dict[tuple, list[tuple[int, int]]]:
+        keep = 2 * RANK_MARGIN * self.rows <= limit
+        found = self.df.mapInArrow(_probe(pending, True, keep), _PROBED).groupBy("position", "slot", "x").agg(F.sum("n").alias("n"))
+        self.opened.close()
+        self.probed = self.opened.enter_context(kept(found, "intervals")) if keep else None
+        counts = {(r["position"], r["slot"]): r["n"] for r in (self.probed or found).where("slot >= 0").collect()}
+        return {
+            key: [(counts.get((key[0], 2 * m), 0), counts.get((key[0], 2 * m + 1), 0)) for m in range(len(intervals))]
+            for key, intervals in pending.items()
+        }
 
     def sketches(self, pending: _Intervals) -> dict[tuple, list]:
         return self._per_interval(pending, lambda x, i: _inner_sketch(x, i.low, i.high))
 
     def inside(self, pending: _Intervals) -> DataFrame:
-        cells = []
-        for (position,), intervals in pending.items():
-            x = col(self.df.columns[position])
-            within = reduce(lambda a, b: a | b, [_contains(x, i.low, i.high) for i in intervals])
-            cells += [F.lit(position), F.when(within, x)]
-        return self.df.select(F.stack(F.lit(len(pending)), *cells).alias("position", "x")).where("x IS NOT NULL")
+        if self.probed is None:
+            rows = self.df.mapInArrow(_probe(pending, False, True), _PROBED)
+        else:
+            rows = self.probed.where(
+                reduce(lambda a, b: a | b, [(F.col("position") == key[0]) & _contains(F.col("x"), i.low, i.high) for key, intervals in pending.items() for i in intervals])
+            )
+        return rows.where("slot < 0").select("position", "x", F.col("n").alias("copies"))
 
     def keyed(self, values: dict[tuple, tuple], schema: str) -> DataFrame:
         return local_frame(self.df.sparkSession, [(*k, *v) for k, v in values.items()], f"_k0 int, {schema}")
@@ -229,13 +251,57 @@ class _WholeColumns:
         return found
 
 
+# Slot 2 m counts the values below interval m, slot 2 m + 1 those up to its end; -1 has values inside.
+_PROBED = "position int, slot int, x double, n bigint"
+# Values that a task holds before it passes them on.
+_HELD = 1_000_000
+
+
+def _probe(pending: _Intervals, count: bool, keep: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    ends = {key[0]: (np.array([i.low for i in intervals]), np.array([i.high for i in intervals])) for key, intervals in pending.items()}
+
+    def batch_of(position: int, slots: np.ndarray, x: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+        arrays = [pa.array(np.full(len(n), position, np.int32)), pa.array(slots.astype(np.int32)), x, pa.array(n.astype(np.int64))]
+        return pa.RecordBatch.from_arrays(arrays, names=["position", "slot", "x", "n"])
+
+    def values_of(position: int, held: list[np.ndarray]) -> pa.RecordBatch:
+        x, n = np.unique(np.concatenate(held), return_counts=True)
+        return batch_of(position, np.full(len(n), -1), pa.array(x), n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = {position: np.zeros(2 * len(low), np.int64) for position, (low, _) in ends.items()}
+        held: dict[int, list[np.ndarray]] = {position: [] for position in ends}
+        sizes = dict.fromkeys(ends, 0)
+        for batch in batches:
+            for position, (low, high) in ends.items():
+                x = batch.column(position).to_numpy(zero_copy_only=False)
+                x = np.sort(x[~np.isnan(x)])
+                first, last = np.searchsorted(x, low, "left"), np.searchsorted(x, high, "right")
+                counts[position][::2] += first
+                counts[position][1::2] += last
+                if keep:
+                    held[position] += [x[a:b] for a, b in zip(first, last) if b > a]
+                    sizes[position] += int((last - first).sum())
+                    if sizes[position] >= _HELD:
+                        yield values_of(position, held[position])
+                        held[position], sizes[position] = [], 0
+        for position in ends:
+            if held[position]:
+                yield values_of(position, held[position])
+            if count:
+                n = counts[position]
+                yield batch_of(position, np.arange(len(n)), pa.nulls(len(n), pa.float64()), n)
+
+    return run
+
+
 class _Groups:
     """(by..., x) rows of large groups; intervals are broadcast, one row per group."""
 
     def __init__(self, rows: DataFrame, by: list[str]) -> None:
         self.rows, self.by = rows, by
 
-    def counts(self, pending: _Intervals) -> dict[tuple, list[tuple[int, int]]]:
+    def counts(self, pending: _Intervals, limit: int) -> dict[tuple, list[tuple[int, int]]]:
         def pair(m: int) -> Column:
             return F.struct(F.count_if(F.col("x") < F.col("_low")[m]), F.count_if(F.col("x") <= F.col("_high")[m]))
 
@@ -247,7 +313,7 @@ class _Groups:
     def inside(self, pending: _Intervals) -> DataFrame:
         joined, width = self._joined(pending)
         within = [_contains(F.col("x"), F.col("_low")[m], F.col("_high")[m]) for m in range(width)]
-        return joined.where(reduce(lambda a, b: a | b, within)).select(*[col(c) for c in self.by], "x")
+        return joined.where(reduce(lambda a, b: a | b, within)).select(*[col(c) for c in self.by], "x", F.lit(1).alias("copies"))
 
     def keyed(self, values: dict[tuple, tuple], schema: str) -> DataFrame:
         return _keyed_frame(self.rows, self.by, values, schema)
@@ -289,7 +355,7 @@ def _select(
         ready: _Intervals = {}
         wide: _Intervals = {}
         missed: _Intervals = {}
-        for key, counts in source.counts(pending).items():
+        for key, counts in source.counts(pending, limit).items():
             missed[key] = _place(pending[key], counts)
             for i in pending[key]:
                 if i.ranks and i.low == i.high:
@@ -369,7 +435,7 @@ def _read_ranks(source: _WholeColumns | _Groups, ready: _Intervals, values: dict
             rank_of[key].update({before + r - i.below: r for r in i.ranks})
             before += i.upto - i.below
     keys = [col(c) for c in source.by]
-    counted = source.inside(ready).groupBy(*keys, "x").agg(F.count("*").alias("_rows"))
+    counted = source.inside(ready).groupBy(*keys, "x").agg(F.sum("copies").alias("_rows"))
     # One window partition holds the different values of a few intervals of INTERVAL_ROWS rows each.
     upto = Window.partitionBy(*keys).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counted.withColumn("_end", F.sum("_rows").over(upto))

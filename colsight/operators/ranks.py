@@ -1,116 +1,178 @@
-"""Global average ranks without a single-task sort.
+"""Average ranks of all columns at once, without a single-task sort.
 
-Rows fall into value buckets whose ends come from a sketch; each bucket is ordered on its own and
-shifted by the number of rows in the buckets before it. The ends decide how even the buckets are,
-never the result.
+One long frame holds the different values of every column with their numbers of rows. It is range-partitioned by
+(column, value) and sorted, each partition adds up its rows, and the rows of the partitions before give the shift:
+partitions are even by Spark's own sample, however many rows there are, and no list of ends leaves the engine.
+
+A pair of columns with gaps is ranked on the rows where both hold a value. A column's ranks depend on its partner only
+through the partner's gaps, so each value carries one number of rows for each column with gaps (and one for all rows),
+and one sort a column serves all its pairs.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from colsight.functions.columns import col
+from colsight.functions.local import local_frame
 from colsight.functions.missing import number
-from colsight.operators.gram import weighted_products
-from colsight.operators.quantiles import sketch_quantiles
+from colsight.functions.shared import kept
+
+# A value with more than this share of the rows is frequent: there are at most 1 / share of them, sent to all tasks.
+FREQUENT_SHARE = 0.001
+
+PARTIAL = ("n", "sxx", "syy", "sxy")
+
+
+def in_order(
+    frame: DataFrame, by: Sequence[str], scan: Callable[[Iterator[pa.RecordBatch], int], Iterator[pa.RecordBatch]], schema: str, parts: int | None = None
+) -> DataFrame:
+    """``scan(batches, part)`` over each of the partitions of a frame sorted by ``by``, whose numbers grow with the keys.
+
+    To be stored: the numbers hold for one run.
+    """
+    dealt = frame.repartitionByRange(parts, *by) if parts else frame.repartitionByRange(*by)
+    return dealt.sortWithinPartitions(*by).mapInArrow(lambda batches: scan(batches, TaskContext.get().partitionId()), schema)
+
+
+def parts_for(rows: int, bucket_rows: int | None) -> int | None:
+    """Number of partitions for so many rows each; None leaves it to Spark."""
+    return max(1, math.ceil(rows / bucket_rows)) if bucket_rows else None
 
-BUCKET_ROWS = 200_000
-# The sketch grows with the number of buckets, up to the largest there is.
-SKETCH_SIZE, LARGEST_SKETCH = 16_384, 65_535
-# A value with more than about two shares of this many is recognised as frequent ...
-FREQUENCY_POINTS = 512
-# ... and its rows are spread over this many join keys.
-SALTS = 64
 
+def _running(width: int) -> Callable[[Iterator[pa.RecordBatch], int], Iterator[pa.RecordBatch]]:
+    """Adds the part's number and, for each of ``width`` counts, the rows of the column up to the value within the part."""
 
-@dataclass
-class Buckets:
-    ends: list[float]
-    frequent: list[float]
+    def scan(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
+        last, total = -1, np.zeros(width, np.int64)
+        for batch in batches:
+            position = batch.column(0).to_numpy()
+            counts = np.stack([batch.column(2 + k).to_numpy() for k in range(width)])
+            upto = np.cumsum(counts, axis=1)
+            starts = np.flatnonzero(np.diff(position, prepend=position[:1] - 1))
+            before = np.where(starts > 0, upto[:, starts - 1], 0)
+            if len(starts) and position[0] == last:
+                before[:, 0] -= total
+            upto -= np.repeat(before, np.diff(np.append(starts, len(position))), axis=1)
+            if len(position):
+                last, total = position[-1], upto[:, -1].copy()
+            arrays = [*batch.columns, pa.array(np.full(len(position), part, np.int32)), *(pa.array(u) for u in upto)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "part", *(f"u{k}" for k in range(width))])
 
+    return scan
 
-def value_buckets(df: DataFrame, names: Sequence[str], rows: int, bucket_rows: int | None = None) -> list[Buckets]:
-    """Bucket ends and frequent values of double columns, from one scan.
 
-    There is an end per ``bucket_rows`` (else ``BUCKET_ROWS``) rows; buckets are as even as the sketch's rank error allows.
+def values_in_order(cells: DataFrame, gappy: Sequence[int], rows: int, bucket_rows: int | None = None) -> DataFrame:
+    """(position, value, n0, ..., part, u0, ...): numbers of rows with the different values of all columns, and of the rows up to them within their part.
+
+    0 stands for all rows, k for those where the k-th of the ``gappy`` columns holds a value. To be stored.
     """
-    count = max(1, math.ceil(rows / (bucket_rows or BUCKET_ROWS)))
-    size = min(LARGEST_SKETCH, max(SKETCH_SIZE, 4 * count))
-    step = math.ceil(FREQUENCY_POINTS / count)
-    points = [i / (count * step) for i in range(1, count * step)]
-    row = df.agg(*[sketch_quantiles(col(c), points, size).alias(f"s{i}") for i, c in enumerate(names)]).first()
-    found = []
-    for i in range(len(names)):
-        edges = row[f"s{i}"]["edges"] or []
-        inner = sorted({e for e in edges[step - 1 :: step] if math.isfinite(e)})
-        found.append(Buckets(inner, sorted({a for a, b in zip(edges, edges[1:]) if a == b})))
-    return found
-
-
-def with_bucket(df: DataFrame, name: str, ends: Sequence[float], bucket: str = "_bucket") -> DataFrame:
-    """Add a bucket number that grows with the value."""
-    if not ends:
-        return df.withColumn(bucket, F.lit(0.0))
-    splits = [-math.inf, *ends, math.inf]
-    return Bucketizer(splits=splits, inputCol=name, outputCol=bucket).transform(df)
-
-
-def average_ranks(df: DataFrame, name: str, ends: Sequence[float]) -> DataFrame:
-    """(_value, _rank): the 1-based mean rank of every distinct value of a double column."""
-    rows = with_bucket(df.select(col(name).alias("_value")), "_value", ends)
-    within = Window.partitionBy("_bucket").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
-    values = (
-        rows.groupBy("_bucket", "_value")
-        .agg(F.count("*").alias("_copies"))
-        .withColumn("_upto", F.sum("_copies").over(within))
+    names, width = cells.columns, 1 + len(gappy)
+    held = [F.col(names[g]).isNotNull().alias(f"h{k}") for k, g in enumerate(gappy, 1)]
+    long = cells.select(*held, F.inline(F.array(*[F.struct(F.lit(i).alias("position"), F.col(c).alias("value")) for i, c in enumerate(names)])))
+    counted = long.where("value IS NOT NULL").groupBy("position", "value").agg(
+        F.count("*").alias("n0"), *[F.count_if(F.col(f"h{k}")).alias(f"n{k}") for k in range(1, width)]
     )
-    before = F.lit(0)
-    if ends:
-        # Rows before each bucket: one row per BUCKET_ROWS rows in this unpartitioned window.
-        earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = rows.groupBy("_bucket").agg(F.count("*").alias("_rows"))
-        offsets = offsets.select("_bucket", F.sum("_rows").over(earlier).alias("_before"))
-        values = values.join(F.broadcast(offsets), "_bucket")
-        before = F.coalesce("_before", F.lit(0))
-    rank = before + F.col("_upto") - (F.col("_copies") - 1) / 2
-    return values.select("_value", rank.cast("double").alias("_rank"))
-
-
-def rank_products(df: DataFrame, names: Sequence[str], bucket_rows: int | None = None) -> DataFrame:
-    """(i, j, product, n) for i <= j: sums of products of centred average ranks over complete rows.
-
-    Tasks add up products over Arrow batches and emit one row per pair of columns. Equal rows are collapsed to one weighted row first, so copies never travel, and the rows of a
-    frequent value are spread over several keys by the content of their other columns.
+    numbers_ = ", ".join(f"n{k} bigint" for k in range(width))
+    schema = f"position int, value double, {numbers_}, part int, {', '.join(f'u{k} bigint' for k in range(width))}"
+    return in_order(counted, ["position", "value"], _running(width), schema, parts_for(rows * len(names), bucket_rows))
+
+
+def average_ranks(ordered: DataFrame, width: int) -> DataFrame:
+    """(position, value, n0, ..., r0, ...): the 1-based mean ranks of stored :func:`values_in_order`."""
+    # One row for each part of each column: at most the number of partitions and that of columns.
+    parts = ordered.groupBy("position", "part").agg(*[F.max(f"u{k}").alias(f"t{k}") for k in range(width)])
+    earlier = Window.partitionBy("position").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = parts.select("position", "part", *[F.coalesce(F.sum(f"t{k}").over(earlier), F.lit(0)).alias(f"b{k}") for k in range(width)])
+    rank = lambda k: (F.col(f"b{k}") + F.col(f"u{k}") - (F.col(f"n{k}") - 1) / 2).cast("double").alias(f"r{k}")
+    shifted = ordered.join(F.broadcast(shifts), ["position", "part"])
+    return shifted.select("position", "value", *[f"n{k}" for k in range(width)], *[rank(k) for k in range(width)])
+
+
+def rank_sums(df: DataFrame, names: Sequence[str], bucket_rows: int | None = None) -> DataFrame:
+    """(i, j, n, sxx, syy, sxy) for i < j: sums over the centred average ranks of each pair's complete rows.
+
+    The number of jobs and of sorts does not depend on the number of pairs.
     """
-    names = list(names)
-    ranked_names = [f"c{k}" for k in range(len(names))]
-    cells = df.select(*[number(df, c).alias(name) for c, name in zip(names, ranked_names)])
-    complete = cells.dropna()
-    n = complete.count()
-    ranked = complete.groupBy(*ranked_names).agg(F.count("*").alias("_weight"))
-    for k, buckets in enumerate(value_buckets(complete, ranked_names, n, bucket_rows)):
-        ranks = average_ranks(complete, f"c{k}", buckets.ends)
-        ranked = _attach(ranked, ranks, f"c{k}", f"r{k}", buckets.frequent, ranked_names)
-    ranks = [f"r{k}" for k in range(len(names))]
-    sums = weighted_products(ranked, ranks, "_weight", (n + 1) / 2)
-    return sums.withColumn("n", F.lit(n).cast("long"))
-
-
-def _attach(
-    df: DataFrame, ranks: DataFrame, name: str, rank: str, frequent: list[float], content: list[str]
-) -> DataFrame:
-    ranks = ranks.withColumnRenamed("_rank", rank)
-    others = [c for c in content if c != name]
-    if not frequent or not others:
-        return df.join(ranks, F.col(name) == F.col("_value")).drop("_value")
-    spread = F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int")
-    left = df.withColumn("_salt", F.when(F.col(name).isin(frequent), spread).otherwise(F.lit(0)))
-    every = F.when(F.col("_value").isin(frequent), F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    right = ranks.withColumn("_key_salt", F.explode(F.coalesce(every, F.array(F.lit(0)))))
-    matched = (F.col(name) == F.col("_value")) & (F.col("_salt") == F.col("_key_salt"))
-    return left.join(right, matched).drop("_value", "_salt", "_key_salt")
+    cells = df.select(*[number(df, c).alias(f"c{k}") for k, c in enumerate(names)])
+    row = cells.agg(F.count("*"), *[F.count(c) for c in cells.columns]).first()
+    rows, held = row[0], row[1:]
+    gappy = [k for k, n in enumerate(held) if n < rows]
+    with kept(values_in_order(cells, gappy, rows, bucket_rows), "ranks", "position") as ordered:
+        sums = _rank_sums(cells, average_ranks(ordered, 1 + len(gappy)), gappy, rows).collect()
+    return local_frame(df.sparkSession, sums, "i int, j int, " + ", ".join(f"{p} double" for p in PARTIAL))
+
+
+def _rank_sums(cells: DataFrame, ranks: DataFrame, gappy: Sequence[int], rows: int) -> DataFrame:
+    names = cells.columns
+    # One row per column: the rows of each of its pairs, and whether it has frequent values.
+    often = F.col("n0") > rows * FREQUENT_SHARE
+    totals = ranks.groupBy("position").agg(F.count_if(often).alias("often"), *[F.sum(f"n{k}").alias(f"n{k}") for k in range(1 + len(gappy))])
+    total = {r["position"]: r for r in totals.collect()}
+    given = {g: k for k, g in enumerate(gappy, 1)}
+    partners = [sorted({given.get(j, 0) for j in range(len(names)) if j != i}) for i in range(len(names))]
+    listed = [f"r{i}_{k}" for i, wanted in enumerate(partners) for k in wanted]
+    centres = [((total[i][f"n{k}"] if i in total else 0) + 1) / 2 for i, wanted in enumerate(partners) for k in wanted]
+
+    # Frequent values are looked up in each task; a row that has no others is done, and not joined again.
+    looked, done = cells, F.lit(True)
+    for i, wanted in enumerate(partners):
+        frequent = ranks.where((F.col("position") == i) & often).select(F.col("value").alias(f"v{i}"), *[F.col(f"r{k}").alias(f"r{i}_{k}") for k in wanted])
+        looked = looked.join(F.broadcast(frequent), F.col(f"c{i}") == F.col(f"v{i}"), "left")
+        done = done & (F.col(f"v{i}").isNotNull() | F.col(f"c{i}").isNull())
+    ranked = looked.where(~done)
+    for i, wanted in enumerate(partners):
+        ranked = _attach(ranked, ranks.where((F.col("position") == i) & ~often), i, wanted, cells.columns)
+    ranked = ranked.select(*listed)
+    if all(k in given or (k in total and total[k]["often"]) for k in range(len(names))):
+        ranked = ranked.unionByName(looked.where(done).select(*listed))
+
+    place = {name: at for at, name in enumerate(listed)}
+    pairs = [
+        (i, j, place[f"r{i}_{given.get(j, 0)}"], place[f"r{j}_{given.get(i, 0)}"]) for i in range(len(names)) for j in range(i + 1, len(names))
+    ]
+    sums = ranked.mapInArrow(_pair_sums(pairs, centres), "i int, j int, " + ", ".join(f"{p} double" for p in PARTIAL))
+    return sums.groupBy("i", "j").agg(*[F.sum(p).alias(p) for p in PARTIAL])
+
+
+def _attach(rows: DataFrame, ranks: DataFrame, position: int, wanted: Sequence[int], cells: Sequence[str]) -> DataFrame:
+    """Fills in the ranks of a column's values that are not frequent.
+
+    Cells without such a value meet nothing. They are spread by the whole row, of which there are few copies: at least one of its values is not frequent.
+    """
+    cell = F.col(f"c{position}")
+    found = ranks.select(F.col("value").alias("_value"), F.lit(0).cast("long").alias("_spread"), *[F.col(f"r{k}").alias(f"_r{k}") for k in wanted])
+    idle = cell.isNull() | F.col(f"v{position}").isNotNull()
+    keyed = rows.withColumns({"_key": F.when(~idle, cell), "_salt": F.when(idle, F.xxhash64(*cells)).otherwise(F.lit(0).cast("long"))})
+    joined = keyed.join(found, (F.col("_key") == F.col("_value")) & (F.col("_salt") == F.col("_spread")), "left")
+    filled = {f"r{position}_{k}": F.coalesce(f"r{position}_{k}", f"_r{k}") for k in wanted}
+    return joined.select(*[filled[c].alias(c) if c in filled else c for c in rows.columns])
+
+
+def _pair_sums(pairs: Sequence[tuple[int, int, int, int]], centres: Sequence[float]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(pairs), len(PARTIAL)))
+        for batch in batches:
+            ranks = [column.to_numpy(zero_copy_only=False) - centre for column, centre in zip(batch.columns, centres)]
+            for at, (_, _, a, b) in enumerate(pairs):
+                both = ~(np.isnan(ranks[a]) | np.isnan(ranks[b]))
+                x, y = ranks[a][both], ranks[b][both]
+                total[at] += len(x), x @ x, y @ y, x @ y
+        sides = [pa.array([p[k] for p in pairs], pa.int32()) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*sides, *(pa.array(c) for c in total.T)], names=["i", "j", *PARTIAL])
+
+    return run
+
+
+def rank_correlation() -> Column:
+    """Correlation from the sums of :func:`rank_sums`; NULL where a side is constant.
+
+    The mean rank is the centre, so all ranks of a constant side are exactly zero.
+    """
+    r = F.try_divide(F.col("sxy"), F.sqrt("sxx") * F.sqrt("syy"))
+    return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))

@@ -46,6 +46,8 @@ class LinearModel:
     split: Split
     rows: DataFrame = field(repr=False)
     row_key: list[str] = field(default_factory=list)
+    # Names in the table of columns that are called like a result; in row frames they end in underscores.
+    shown: dict[str, str] = field(default_factory=dict)
 
     def imputed(self) -> DataFrame:
         """Key, features with training means filled in, target, ``split_hash`` and ``is_test``."""
@@ -92,7 +94,7 @@ class LinearModel:
         ``share_pct`` is the weight's part of the sum of absolute weights; a feature without training
         values has neither.
         """
-        raw = [(i, f, w) for i, (f, w) in enumerate(zip(self.features, self.weights))]
+        raw = [(i, self.shown.get(f, f), w) for i, (f, w) in enumerate(zip(self.features, self.weights))]
         total = sum(abs(w) for w in self.weights if w is not None)
         weighted = local_frame(self.rows.sparkSession, raw, "position int, feature string, w double")
         ranked = weighted.select(
@@ -115,7 +117,8 @@ class LinearModel:
         return first.select(round4(F.col("actual")).alias("actual"), round4(F.col("predicted")).alias("predicted"))
 
     def meta(self) -> DataFrame:
-        row = (self.target, list(self.features), self.split.train_rows, self.split.test_rows, self.intercept)
+        target, *features = (self.shown.get(c, c) for c in (self.target, *self.features))
+        row = (target, features, self.split.train_rows, self.split.test_rows, self.intercept)
         schema = "target_column string, feature_columns array<string>, train_samples long, test_samples long, b double"
         return local_frame(self.rows.sparkSession, [row], schema).select(
             "target_column", "feature_columns", "train_samples", "test_samples", round4(F.col("b")).alias("intercept")
@@ -169,8 +172,6 @@ def feature_columns(df: DataFrame, target: str, features: Sequence[str] | None =
             raise DatasetError(f"The target '{target}' is also among the features.")
         if len(set(chosen)) < len(chosen):
             raise DatasetError("A feature column is named twice.")
-    if clash := RESERVED.intersection([target, *chosen]):
-        raise DatasetError(f"Rename the column '{min(clash)}': a result has that name.")
     if not chosen:
         raise DatasetError("There is no numeric column left to use as feature.")
     return chosen
@@ -227,11 +228,18 @@ def fit_linear_regression(
     """Least squares with intercept, or ridge with penalty ``ridge`` on the unscaled weights.
 
     The target defaults to the last numeric column. With collinear features the weights of smallest
-    norm are taken. Give a unique ``key`` where there is one: it makes the split cheap to recompute
+    norm are taken. Columns may have any name. Give a unique ``key`` where there is one: it makes the split cheap to recompute
     and the order of the points meaningful.
     """
     target = target if target is not None else default_target(df)
     features = feature_columns(df, target, features)
+    named = {c: c for c in (*features, target, *key)}
+    for c in RESERVED.intersection(named):
+        while named[c] in RESERVED.union(set(named) - {c}, df.columns):
+            named[c] += "_"
+    shown = {inner: c for c, inner in named.items() if inner != c}
+    df = df.select(*[col(c).alias(inner) for c, inner in named.items()])
+    target, features, key = named[target], [named[c] for c in features], [named[c] for c in key]
     rows = modelling_rows(df, target, features, key, deduplicate)
     try:
         split = exact_split(rows, key, test_size, seed)
@@ -248,7 +256,7 @@ def fit_linear_regression(
     stats = {r["name"]: r for r in train_means(rows, split, [*features, target]).collect()}
     for name in [*features, target]:
         if stats[name]["count"] and not math.isfinite(stats[name]["max"] - stats[name]["min"]):
-            raise DatasetError(f"Column '{name}' holds infinite values.")
+            raise DatasetError(f"Column '{shown.get(name, name)}' holds infinite values.")
     used = [f for f in features if stats[f]["count"]]
     if not used:
         raise DatasetError("No feature column holds a value in the training rows.")
@@ -271,6 +279,7 @@ def fit_linear_regression(
         split,
         rows,
         list(key),
+        shown,
     )
 
 

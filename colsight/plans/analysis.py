@@ -7,12 +7,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from colsight.functions.columns import col
+from colsight.functions.columns import col, numeric_columns
 from colsight.functions.local import local_frame
 from colsight.functions.missing import nan_to_null
 from colsight.operators.correlation import full_grid, matrix_rows, ranked_pairs, raw_correlations
-from colsight.operators.profile import MOMENTS, column_counts, dataset_overview, describe_numeric, moments, preview_rows, profile_columns
+from colsight.operators.profile import column_counts, dataset_overview, describe_numeric, preview_rows, profile_columns
 from colsight.operators.regression import LinearModel, fit_linear_regression
+from colsight.operators.states import column_states
 from colsight.plans.report import report_lines
 from colsight.sources.checks import check_shape
 
@@ -74,16 +75,17 @@ def analyse(
     check_shape(df, max_rows, max_columns)
     table = nan_to_null(df)
     spark = df.sparkSession
-    # Counts, moments and the sums behind pairs and matrix are computed once: a few rows per column or pair.
+    # Counts are one scan, everything about numbers another; both leave a few rows per column or pair.
     counts = local_frame(spark, column_counts(table).collect(), "position int, name string, rows long, missing long")
-    stats = local_frame(spark, moments(table).collect(), MOMENTS)
-    correlations = raw_correlations(table, known_moments=stats)
+    numeric = numeric_columns(table)
+    state = column_states(table, numeric, pairs=True, sketch=True) if numeric else None
+    correlations = raw_correlations(table, state=state)
     return Analysis(
         name,
         table,
         dataset_overview(table, counts),
         profile_columns(table, approximate_distinct, labels, counts),
-        describe_numeric(table, stats=stats),
+        describe_numeric(table, state=state),
         preview_rows(table, key),
         ranked_pairs(correlations),
         full_grid(correlations),

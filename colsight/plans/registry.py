@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from colsight.functions.columns import col
 from colsight.functions.missing import tokens_to_null
+from colsight.functions.shared import shared_folder
 from colsight.operators import correlation, explore, profile, regression
 from colsight.operators.split import exact_split
 from colsight.plans import report
@@ -490,6 +492,22 @@ def _(spark, folder):
     return correlation.correlation_matrix(odd_part(spark, folder), SPEARMAN_COLUMNS, "spearman")
 
 
+LINEITEM_NUMERIC_SPEARMAN = _spearman_sql("lineitem", LINEITEM_TYPES, LINEITEM_NUMERIC)
+
+
+@registered("spearman_pairs_lineitem", ranked_pairs_sql(LINEITEM_NUMERIC_SPEARMAN))
+def _(spark, folder):
+    return correlation.correlation_pairs(table(spark, folder, "lineitem"), method="spearman")
+
+
+GAPPY_RANKED = ["l_orderkey", "l_quantity", "discount", "tax"]
+
+
+@registered("spearman_pairs_gappy_lineitem", ranked_pairs_sql(_spearman_sql(GAPPY_SQL, GAPPY_TYPES, GAPPY_RANKED)))
+def _(spark, folder):
+    return correlation.correlation_pairs(gappy_lineitem(spark, folder), method="spearman")
+
+
 # Regression ------------------------------------------------------------------------------------
 
 
@@ -999,6 +1017,17 @@ def _(spark, folder):
     return explore.grouped_aggregate(table(spark, folder, "orders").withColumnRenamed("o_orderpriority", "x"), ["x"], "o_totalprice")
 
 
+@registered("group_by_count_name", _groups_sql("(SELECT o_orderpriority AS count, o_totalprice FROM orders)", "count", "o_totalprice").replace("count(o_totalprice) AS count", "count(o_totalprice) AS count_"))
+def _(spark, folder):
+    return explore.grouped_aggregate(table(spark, folder, "orders").withColumnRenamed("o_orderpriority", "count"), ["count"], "o_totalprice")
+
+
+@registered("ols_reserved_names", part_coefficients_sql(fit_sql()).replace("'p_partkey'", "'predicted'").replace("'p_size'", "'is_test'"))
+def _(spark, folder):
+    part = table(spark, folder, "part").select(F.col("p_partkey").alias("predicted"), F.col("p_size").alias("is_test"), F.col("p_retailprice").alias("actual"))
+    return regression.fit_linear_regression(part, "actual", ["predicted", "is_test"], ["predicted"]).coefficients()
+
+
 @registered("correlation_pairs_large_values", ranked_pairs_sql(pairs_sql("part", PART_TYPES, PART_NUMERIC)))
 def _(spark, folder):
     return correlation.correlation_pairs(table(spark, folder, "part").withColumn("p_retailprice", F.col("p_retailprice") * 1e200))
@@ -1048,6 +1077,17 @@ def _(spark, folder):
     return csv.long_lines(table(spark, folder, "orders").select(F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus", more)), 2)
 
 
+@registered("csv_files", REGISTRY["csv_orders"].sql)
+def _(spark, folder):
+    """orders, written as CSV files with a header each, and read back."""
+    path = f"{shared_folder(spark)}/colsight-csv-{uuid.uuid4().hex}"
+    cust = F.when(F.col("o_custkey") % 3 == 0, "NA").otherwise(F.col("o_custkey").cast("string"))
+    priority = F.when(F.col("o_orderstatus") != "F", F.col("o_orderpriority"))
+    rows = table(spark, folder, "orders").select("o_orderkey", cust.alias("cust"), F.col("o_totalprice").alias(" price"), priority.alias("priority "))
+    rows.repartition(3, "o_orderkey").write.option("header", True).option("ignoreTrailingWhiteSpace", False).option("ignoreLeadingWhiteSpace", False).csv(path)
+    return csv.read_csv(spark, path)
+
+
 # Defaults, checks and whole records -------------------------------------------------------------
 
 
@@ -1106,3 +1146,46 @@ def _(spark, folder):
 )
 def _(spark, folder):
     return _text_lines(_analysis(spark, folder).report(_part_model(spark, folder)))
+
+
+# Sinks, written and read back -------------------------------------------------------------------
+
+
+@registered("report_written", f"SELECT line AS number, text FROM (SELECT row_number() OVER (ORDER BY section, line) AS line, text FROM ({REGISTRY['report_whole'].sql}))")
+def _(spark, folder):
+    """The lines of the report file of ``part.csv``, in order."""
+    lines = _analysis(spark, folder).report(_part_model(spark, folder))
+    path = report.write_report(lines, f"{shared_folder(spark)}/colsight-report-{uuid.uuid4().hex}", "part.csv")
+    if not path.endswith("/part-report"):
+        raise ValueError(f"The report went to {path}.")
+    # One file, whose lines keep their order.
+    text = spark.read.text(path, wholetext=True)
+    return text.select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("number", "text")).select((F.col("number") + 1).cast("long").alias("number"), "text")
+
+
+def _written_record(spark: SparkSession, record: DataFrame) -> DataFrame:
+    path = f"{shared_folder(spark)}/colsight-record-{uuid.uuid4().hex}"
+    report.write_records(record, path)
+    return spark.read.schema(record.schema).json(path)
+
+
+@registered(
+    "record_contents",
+    f"SELECT position, name, count, mean, std, min, q25, median, q75, max FROM ({describe_sql('part', PART_TYPES)})",
+)
+def _(spark, folder):
+    """The statistics of the analysis, written as JSON and read back."""
+    record = _written_record(spark, _analysis(spark, folder).record())
+    return record.select(F.inline("statistics")).select("position", "name", "count", "mean", "std", "min", "q25", "median", "q75", "max")
+
+
+@registered("record_pairs", f"SELECT rank, col1, col2, correlation FROM ({ranked_pairs_sql(pairs_sql('part', PART_TYPES, PART_NUMERIC))})")
+def _(spark, folder):
+    record = _written_record(spark, _analysis(spark, folder).record())
+    return record.select(F.inline("pairs")).select("rank", "col1", "col2", "correlation")
+
+
+@registered("model_record_contents", fit_sql() + POINTS_SQL)
+def _(spark, folder):
+    record = _written_record(spark, _part_model(spark, folder).record())
+    return record.select(F.inline("chart_points")).select("actual", "predicted")

@@ -6,7 +6,7 @@ import csv
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, DataFrameReader, Row, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, functions as F, types as T
 
 from colsight.errors import DatasetError
 from colsight.functions.columns import col
@@ -35,30 +35,39 @@ def read_csv(
     """
     paths = [path] if isinstance(path, str) else list(path)
     reader = spark.read.option("escape", '"').option("multiLine", multi_line)
-    header = _header_cells(reader, paths)
+    header = _header_cells(reader, sorted(spark.read.text(paths).inputFiles()))
     names = clean_header(header)
     require_columns(len(names), max_columns)
     tokens, schema = list(na_tokens), _text_schema(len(names))
 
-    # The checking scan reads header lines as rows, so that each file must show the header it was read by.
+    # The checking scan reads header lines as rows: the first line of each file must be the header.
     lines = reader.option("header", False).schema(schema).csv(paths)
-    lines = lines.select(*lines.columns, F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_path").alias("path"))
+    start = F.col("_metadata.file_block_start")
+    lines = lines.select(
+        *lines.columns,
+        F.col("_metadata.file_path").alias("path"),
+        F.when(start == 0, F.monotonically_increasing_id()).otherwise(F.lit(2**63 - 1)).alias("place"),
+    )
     first = F.regexp_replace("c0", "^\ufeff", "")
     cells = [(first if i == 0 else F.col(f"c{i}")).eqNullSafe(F.lit(cell)) for i, cell in enumerate(header)]
     is_header = reduce(lambda x, y: x & y, cells, F.col(EXTRA).isNull())
-    checked = lines.select("*", is_header.alias("is_header"))
-    found = _codes(
-        checked,
+    files = _counted(
+        lines.select("*", is_header.alias("is_header")),
         tokens,
         len(names),
         ~F.col("is_header"),
         F.count_if("is_header").alias("headers"),
-        F.size(F.collect_set("file")).alias("files"),
-        F.size(F.collect_set(F.when(F.col("is_header"), F.col("file")))).alias("headed"),
+        F.min(F.struct("place", "is_header"))["is_header"].alias("fits"),
+        by="path",
     )
-    if found["headed"] < found["files"]:
-        other = checked.groupBy("path").agg(F.bool_or("is_header").alias("fits")).where("NOT fits").agg(F.min("path")).first()[0]
-        raise DatasetError(f"The header of '{other}' is not that of the first file.")
+    found = files.agg(
+        *[F.sum(c).alias(c) for c in ("rows", "long_rows", "headers")],
+        *[F.bit_or(f"t{i}").alias(f"t{i}") for i in range(len(names))],
+        F.count("*").alias("files"),
+        F.min(F.when(~F.col("fits"), F.col("path"))).alias("other"),
+    ).first()
+    if found["other"] is not None:
+        raise DatasetError(f"The header of '{found['other']}' is not that of the first file.")
     rows = found["rows"] + found["headers"] - found["files"]
     codes = [found[f"t{i}"] for i in range(len(names))]
     if found["headers"] > found["files"]:
@@ -78,7 +87,7 @@ def read_csv_lines(
         raise DatasetError("The CSV input is empty.")
     require_columns(len(names), max_columns)
     tokens, raw = list(na_tokens), _parsed(lines, len(names))
-    found = _codes(raw, tokens, len(names), F.lit(True))
+    found = _counted(raw, tokens, len(names), F.lit(True)).first()
     _check(found["rows"], found["long_rows"], len(names), max_rows)
     return apply_types(_texts(raw, tokens, len(names)), [code_type(found[f"t{i}"]) for i in range(len(names))]).toDF(*names)
 
@@ -104,15 +113,15 @@ def _texts(raw: DataFrame, tokens: Sequence[str], width: int) -> DataFrame:
     return raw.select(*[F.when(~F.col(f"c{i}").isin(tokens), F.col(f"c{i}")).alias(f"c{i}") for i in range(width)])
 
 
-def _codes(raw: DataFrame, tokens: Sequence[str], width: int, counts: Column, *more: Column) -> Row:
+def _counted(raw: DataFrame, tokens: Sequence[str], width: int, counts: Column, *more: Column, by: str | None = None) -> DataFrame:
     """Rows, rows beyond the header, and the type codes of each column over the rows that count."""
     known = [F.when(counts & ~F.col(f"c{i}").isin(tokens), F.col(f"c{i}")) for i in range(width)]
-    return raw.agg(
+    return raw.groupBy(*([by] if by else [])).agg(
         F.count_if(counts).alias("rows"),
         F.count_if(counts & F.col(EXTRA).isNotNull()).alias("long_rows"),
         *[F.bit_or(type_code(x)).alias(f"t{i}") for i, x in enumerate(known)],
         *more,
-    ).first()
+    )
 
 
 def _check(rows: int, long_rows: int, width: int, max_rows: int | None) -> None:
@@ -143,8 +152,9 @@ def clean_header(cells: Sequence[str | None]) -> list[str]:
     return names
 
 
-def _header_cells(reader: DataFrameReader, paths: list[str]) -> list[str | None]:
-    first = reader.option("header", False).csv(paths).head(1)
+def _header_cells(reader: DataFrameReader, files: list[str]) -> list[str | None]:
+    """The first line of the first file, by name, that has one."""
+    first = next((rows for file in files if (rows := reader.option("header", False).csv(file).head(1))), None)
     if not first:
         raise DatasetError("The CSV input is empty.")
     cells = list(first[0])

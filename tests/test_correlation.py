@@ -1,10 +1,10 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from colsight.errors import DatasetError
 from colsight.operators import correlation as C
-from colsight.operators import ranks as R
 
 
 def pairs(df, **kw):
@@ -67,7 +67,7 @@ def random_frame(n=3000):
 def check(df, pdf, method):
     want = pdf.corr(method=method)
     for r in C.raw_correlations(df, method=method).collect():
-        assert r["r"] == pytest.approx(want.loc[r["col1"], r["col2"]], abs=1e-9)
+        assert (np.nan if r["r"] is None else r["r"]) == pytest.approx(want.loc[r["col1"], r["col2"]], abs=1e-9, nan_ok=True)
 
 
 @pytest.mark.parametrize("parts", [1, 17])
@@ -82,21 +82,57 @@ def test_pearson_plans_match_pandas(spark, parts):
         assert got[i, j] == pytest.approx(pdf.corr().iloc[i, j], abs=1e-9)
 
 
-@pytest.mark.parametrize("bucket_rows", [200_000, 100])
-def test_spearman_matches_pandas(spark, monkeypatch, bucket_rows):
-    monkeypatch.setattr(R, "BUCKET_ROWS", bucket_rows)
+@pytest.mark.parametrize("bucket_rows", [None, 100])
+def test_spearman_matches_pandas(spark, bucket_rows):
     pdf = random_frame()
     pdf = pd.concat([pdf] + [pdf.head(1)] * 1500, ignore_index=True)
     ranked = pdf.assign(gaps=pdf.gaps)
     df = spark.createDataFrame(pdf)
     want = ranked.corr(method="spearman")
     for x, y in (("a", "hot"), ("hot", "gaps"), ("small", "b")):
-        got = C.relationship(df, x, y, "spearman").first()
+        got = C.relationship(df, x, y, "spearman", bucket_rows).first()
         assert got["pair_count"] == len(pdf[[x, y]].dropna())
         assert got["correlation"] == pytest.approx(want.loc[x, y], abs=1e-4)
     check(df.select("a", "hot", "small", "gaps"), pdf[["a", "hot", "small", "gaps"]], "spearman")
 
 
+def test_spearman_of_pairs_with_gaps_of_their_own(spark):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({f"c{k}": rng.integers(0, 40, 900).astype(float) for k in range(5)})
+    pdf["c3"] += pdf.c1
+    for k in range(1, 5):
+        pdf.loc[rng.random(900) < 0.15 * k, f"c{k}"] = np.nan
+    pdf["flat"] = np.where(pdf.c1.isna(), np.arange(900), 7.0)
+    pdf["few"] = np.where(np.arange(900) < 3, np.arange(900.0), np.nan)
+    check(spark.createDataFrame(pdf), pdf, "spearman")
+
+
+def test_number_of_jobs_does_not_grow_with_the_pairs(spark):
+    def jobs(width):
+        group = f"jobs-{width}"
+        rows = spark.range(400).select(*[F.when(F.xxhash64("id", F.lit(k)) % 5 != 0, F.xxhash64(F.lit(k), "id") % 90).alias(f"c{k}") for k in range(width)])
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            assert C.correlation_pairs(rows, method="spearman").count() == width * (width - 1) // 2
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    # The broadcast of a join is a job of its own: those grow with the columns (3, 5, 7), not with the pairs (3, 10, 21).
+    three, five, seven = jobs(3), jobs(5), jobs(7)
+    assert seven - five == five - three
+
+
+def test_infinities_are_counted_per_pair(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(1.0, 1.0, 5.0), (inf, None, 2.0), (2.0, 3.0, 1.0), (4.0, -1.0, 0.5)], "x double, y double, z double")
+    found = {(r["col1"], r["col2"]): r["r"] for r in C.raw_correlations(df).collect()}
+    # The infinite x is in no row with y.
+    assert found["x", "y"] == pytest.approx(np.corrcoef([1, 2, 4], [1, 3, -1])[0, 1])
+    assert found["x", "z"] is None and found["x", "x"] is None and found["y", "z"] is not None
+    assert "Generate" not in C.raw_correlations(df)._jdf.queryExecution().toString()
+
+
 def test_relationship(spark):
     df = spark.createDataFrame([(1, 2.0), (2, None), (3, 5.0), (4, float("nan")), (5, 1.0)], "x int, y double")
     got = C.relationship(df, "x", "y").first()

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from colsight.errors import DatasetError
 from colsight.operators import explore as E
-from colsight.operators import ranks as R
 
 
 @pytest.fixture(scope="module")

@@ -138,8 +138,6 @@ def test_errors(spark):
         fit(df, "cat")
     with pytest.raises(DatasetError, match="There is no column"):
         fit(df, "nope")
-    with pytest.raises(DatasetError, match="Rename"):
-        fit(df.withColumnRenamed("x", "is_test"), "y")
     with pytest.raises(DatasetError, match="Feature column 'cat' is not numeric"):
         fit(df, "y", ["cat"])
     with pytest.raises(DatasetError, match="does not exist"):
@@ -157,3 +155,14 @@ def test_errors(spark):
     endless = spark.range(20).select("id", F.lit(float("inf")).alias("x"), F.col("id").alias("y"))
     with pytest.raises(DatasetError, match="infinite"):
         fit(endless, "y", ["x"], ["id"])
+
+
+def test_columns_called_like_results(spark):
+    df = spark.createDataFrame([(k, float(k % 7), 2.0 * (k % 7) + k % 3) for k in range(60)], "id long, x double, y double")
+    plain = fit(df, "y", ["x"], key=["id"])
+    renamed = df.select(F.col("id").alias("split_hash"), F.col("x").alias("predicted"), F.col("y").alias("is_test"))
+    odd = fit(renamed, "is_test", ["predicted"], key=["split_hash"])
+    assert odd.coefficients().first()["feature"] == "predicted" and odd.meta().first()["target_column"] == "is_test"
+    assert odd.coefficients().first()["weight"] == plain.coefficients().first()["weight"]
+    assert odd.metrics().collect() == plain.metrics().collect() and odd.points().collect() == plain.points().collect()
+    assert {"predicted_", "is_test_", "split_hash_", "predicted", "is_test"} < set(odd.predictions().columns)

@@ -90,6 +90,28 @@ def test_files_with_other_headers_are_named(spark, tmp_path):
     assert sorted(r["price"] for r in df.collect()) == ["1000", "2000", "3000", "price"]
 
 
+def test_the_first_line_of_each_file_is_its_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("price,size\n" + "1000,3\n" * 20)
+    (tmp_path / "b.csv").write_text("size,price\n5,3000\nprice,size\n6,4000\n")
+    with pytest.raises(DatasetError, match="b.csv' is not that of the first file"):
+        read_csv(spark, str(tmp_path / "*.csv"))
+    # The first file by name counts, not the largest.
+    (tmp_path / "a.csv").write_text("price,size\n1,2\n")
+    with pytest.raises(DatasetError, match="b.csv' is not that of the first file"):
+        read_csv(spark, str(tmp_path / "*.csv"))
+
+
+def test_files_of_several_splits(spark, tmp_path):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        for name in "ab":
+            (tmp_path / f"{name}.csv").write_text("price,size\n" + "".join(f"{i},{name}\n" for i in range(300)))
+        df = read_csv(spark, str(tmp_path / "*.csv"))
+        assert df.rdd.getNumPartitions() > 4 and df.count() == 600 and df.dtypes == [("price", "bigint"), ("size", "string")]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_csv_lines(spark):
     lines = spark.createDataFrame([('1,NA,"a,b"',), ("2,3.5",), ("",)], "line string")
     df = read_csv_lines(lines, " k,v,t ")
