@@ -4,11 +4,12 @@ Layout: `doc_id`, `part` and `offset` (ids before the document within its part)
 dictionary-encoded (a vocabulary fits in one dictionary page) and bit-packed; row groups are bounded by bytes and
 pages are small, so the page index lets a reader skip to a range of documents, and a reader of metadata never
 touches the ids. Each range partition is a part and a file; the number of ids before a part comes from one sum a
-part, read from the small columns. Encoding goes word by word through a bounded cache: the tokenizer drops white
-space and no rule of it crosses a space or a line feed, so the ids equal those of the whole text.
+part, read from the small columns. Encoding goes piece by piece through a bounded cache, texts of any length in slices
+cut at white space, so the ids equal those of the whole text.
 
 Defined cases: null and empty texts hold the end id alone; a null doc_id sorts first; rows that share a doc_id are
-kept, ordered by text; an empty table gives a folder without rows. Columns besides the named ones are not read.
+kept, ordered by text; an empty table gives a folder without rows. Columns besides the named ones are not read;
+metadata columns may not be called like a column of the files.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator, Sequence
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +33,12 @@ from colsight.llm.common import scratch, table
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
-#: Words a task remembers before it starts over, and half the pieces; memory only, never the result.
-CACHE_WORDS = 250_000
+#: Pieces a task remembers before it starts over, eight times the words, and characters encoded at once; memory only,
+#: never the result.
+CACHE_PIECES, SLICE = 500_000, 1 << 20
 ROW_GROUP_BYTES = 32 << 20
+#: Characters of a text that take part in the choice of its file.
+RANGE_CHARS = 32
 PAGE_BYTES = 64 << 10
 #: Parts (a small row each) up to which their offsets are sent to every executor instead of shuffling the ids.
 BROADCAST_PARTS = 1_000_000
@@ -48,26 +53,42 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
 
 
-class WordIds(dict):
-    """Ids of words as little-endian 32-bit numbers, remembered within bounds.
+class PieceIds(dict):
+    """Ids of the tokenizer's pieces as little-endian 32-bit numbers, remembered within bounds."""
 
-    Words of ASCII marks and Latin letters are cut into the tokenizer's pieces here (lower case, then PATTERN), and
-    only pieces not yet known go through the merges. All other words take the tokenizer as it is.
+    def __init__(self, merges: Any, size: int) -> None:
+        super().__init__()
+        self.merges, self.letters, self.size = merges, _byte_letters(), size
+
+    def __missing__(self, piece: str) -> bytes:
+        text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        if len(self) >= self.size:
+            self.clear()
+        found = self[piece] = array("i", [t.id for t in self.merges.tokenize(text)]).tobytes()
+        return found
+
+
+class TextIds:
+    """Ids of texts as little-endian 32-bit numbers.
+
+    Slices of ASCII marks and Latin letters are cut into the tokenizer's pieces here (lower case, then PATTERN), and only
+    pieces not yet known go through the merges. All others go word by word: the tokenizer drops white space and no rule
+    of it crosses a space or a line feed.
     """
 
     #: Fixed value: the tokenizer's rule for pieces.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-    SIMPLE = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
-    PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+    SIMPLE = re.compile("[!-~ \n\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+    #: The same rule over those characters; letters, the usual case, come first.
+    PIECES = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^ \na-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
+    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES, slice_size: int = SLICE) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.merges, self.letters = self.tokenizer.model, _byte_letters()
-        self.pieces: dict[str, bytes] = {}
-        self.cache_words = cache_words
+        self.pieces = PieceIds(self.tokenizer.model, cache_pieces)
+        self.words: dict[str, bytes] = {}
+        self.cache_words, self.slice_size = cache_pieces // 8, slice_size
         rules = json.loads(self.tokenizer.to_str())
         before = (rules["normalizer"] or {}).get("normalizers", ()), (rules["pre_tokenizer"] or {}).get("pretokenizers", ())
         self.simple = (
@@ -76,27 +97,44 @@ class WordIds(dict):
             and before[1][0]["pattern"] == {"Regex": self.PATTERN}
         )
 
-    def _piece(self, piece: str) -> bytes:
-        text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-        if len(self.pieces) >= 2 * self.cache_words:
-            self.pieces.clear()
-        found = self.pieces[piece] = array("i", [t.id for t in self.merges.tokenize(text)]).tobytes()
-        return found
-
-    def __missing__(self, word: str) -> bytes:
+    def _is_simple(self, text: str) -> bool:
         # Special tokens hold "<|"; they are the tokenizer's business.
-        if self.simple and self.SIMPLE.fullmatch(word) and "<|" not in word:
-            known = self.pieces
-            found = b"".join([known.get(p) or self._piece(p) for p in self.PIECES.findall(word.lower())])
-        else:
-            found = array("i", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        if len(self) >= self.cache_words:
-            self.clear()
-        self[word] = found
+        return self.simple and "<|" not in text and self.SIMPLE.fullmatch(text) is not None
+
+    def _word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            if self._is_simple(word):
+                found = b"".join(map(self.pieces.__getitem__, self.PIECES.findall(word.lower())))
+            else:
+                found = array("i", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+            if len(self.words) >= self.cache_words:
+                self.words.clear()
+            self.words[word] = found
         return found
 
+    def _slices(self, text: str) -> Iterator[str]:
+        """The text, cut at spaces and line feeds."""
+        at = 0
+        while len(text) - at > self.slice_size:
+            end = max(text.rfind(" ", at, at + self.slice_size), text.rfind("\n", at, at + self.slice_size))
+            if end <= at:  # one long word
+                ends = [e for e in (text.find(" ", at + 1), text.find("\n", at + 1)) if e >= 0]
+                if not ends:
+                    break
+                end = min(ends)
+            yield text[at:end]
+            at = end
+        yield text[at:]
+
     def encode(self, text: str, end: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) + end
+        found = []
+        for part in self._slices(text):
+            if self._is_simple(part):
+                found.append(b"".join(map(self.pieces.__getitem__, self.PIECES.findall(part.lower()))))
+            else:
+                found.append(b"".join(map(self._word, part.replace("\n", " ").split(" "))))
+        return b"".join(found) + end
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -118,10 +156,12 @@ def write_tokens(
     spark = docs.sparkSession
     name = tokenizer or TOKENIZER
     metadata = tuple(metadata)
+    if clash := {"doc_id", "part", "offset", "n_tokens", "ids", "start", "base", "text"}.intersection(metadata):
+        raise ValueError(f"The token files have a column {min(clash)} of their own.")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, end = WordIds(name if os.path.sep in name else tokenizer_path(name)), array("i", [end_id]).tobytes()
+        encoder, end = TextIds(name if os.path.sep in name else tokenizer_path(name)), array("i", [end_id]).tobytes()
         part, offset = TaskContext.get().partitionId(), 0
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH_DOCS):
@@ -146,7 +186,9 @@ def write_tokens(
     kinds = dict(docs.dtypes)
     schema = f"doc_id {kinds['doc_id']}, part int, offset bigint, n_tokens int, ids array<int>"
     schema += "".join(f", `{c}` {kinds[c]}" for c in metadata)
-    ordered = docs.select("doc_id", "text", *metadata).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select("doc_id", "text", *metadata)
+    # Rows that share a doc_id may be many: the start of the text, whose order is that of texts, divides them.
+    ordered = rows.repartitionByRange("doc_id", F.substring("text", 1, RANGE_CHARS)).sortWithinPartitions("doc_id", "text")
     options = {
         "compression": "zstd",
         "parquet.block.size": row_group_bytes,

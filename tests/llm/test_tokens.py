@@ -31,11 +31,12 @@ def test_ids_of_documents_equal_the_library_s(spark):
     assert found == expected(rows)
 
 
-@pytest.mark.parametrize("cache_words", [1, 1000])
-def test_odd_texts_equal_the_library_s(cache_words):
-    encoder = tokens.WordIds(tokens.tokenizer_path(), cache_words)
+@pytest.mark.parametrize(("cache", "size"), [(1, 3), (8000, 1 << 20)])
+def test_odd_texts_equal_the_library_s(cache, size):
+    encoder = tokens.TextIds(tokens.tokenizer_path(), cache, size)
     assert encoder.simple
-    for (_, _, n, crc), text in zip(expected([(0, t) for t in ODD]), ODD):
+    texts = [*ODD, "\n".join(t for t in ODD if t), " ".join(t for t in ODD if t and t.isascii())]
+    for (_, _, n, crc), text in zip(expected([(0, t) for t in texts]), texts):
         data = encoder.encode(text or "", b"\x02\0\0\0")
         assert (len(data) // 4, zlib.crc32(data)) == (n, crc), text
 
@@ -65,3 +66,21 @@ def test_nulls_repeated_ids_and_empty_tables(spark, tmp_path):
     assert [(s, d, n) for s, d, n in rows] == [(0, None, 1), (1, None, 2), (3, 1, 1), (4, 3, 1), (5, 3, 2)]
     tokens.write_tokens(docs.limit(0), str(tmp_path / "b"))
     assert tokens.checksums(tokens.read_tokens(spark, str(tmp_path / "b"))).count() == 0
+
+
+def test_one_doc_id_for_all_rows_fills_several_files(spark, tmp_path):
+    path = str(tmp_path / "tokens")
+    rows = [(7, f"{k % 90:02d} text {k}") for k in range(400)] + [(None, f"{k} none") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    tokens.write_tokens(docs, path)
+    index = tokens.read_index(spark, path).orderBy("start").collect()
+    assert len(list((tmp_path / "tokens").glob("part-*.parquet"))) > 2
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [(r.doc_id, r.start, r.n_tokens) for r in index] == [e[:3] for e in expected(ordered)]
+
+
+def test_clashing_names(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, part long")
+    with pytest.raises(ValueError, match="part"):
+        tokens.write_tokens(docs, str(tmp_path / "x"), metadata=["part"])
+    tokens.write_tokens(docs, str(tmp_path / "y"))
