@@ -20,6 +20,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from typing import Any
 
 import numpy as np
@@ -33,7 +34,7 @@ from colsight.llm.common import scratch, table
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
-#: Pieces a task remembers before it starts over, eight times the words, and characters encoded at once; memory only,
+#: Pieces a Python worker remembers before it starts over, eight times the words, and characters encoded at once; memory only,
 #: never the result.
 CACHE_PIECES, SLICE = 500_000, 1 << 20
 ROW_GROUP_BYTES = 32 << 20
@@ -137,6 +138,12 @@ class TextIds:
         return b"".join(found) + end
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> TextIds:
+    """One a Python worker: its tasks share the pieces they remember."""
+    return TextIds(path)
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -161,7 +168,7 @@ def write_tokens(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, end = TextIds(name if os.path.sep in name else tokenizer_path(name)), array("i", [end_id]).tobytes()
+        encoder, end = encoder_of(name if os.path.sep in name else tokenizer_path(name)), array("i", [end_id]).tobytes()
         part, offset = TaskContext.get().partitionId(), 0
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH_DOCS):

@@ -72,7 +72,11 @@ def test_one_doc_id_for_all_rows_fills_several_files(spark, tmp_path):
     path = str(tmp_path / "tokens")
     rows = [(7, f"{k % 90:02d} text {k}") for k in range(400)] + [(None, f"{k} none") for k in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
-    tokens.write_tokens(docs, path)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tokens.write_tokens(docs, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     index = tokens.read_index(spark, path).orderBy("start").collect()
     assert len(list((tmp_path / "tokens").glob("part-*.parquet"))) > 2
     ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
