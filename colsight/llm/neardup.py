@@ -9,9 +9,10 @@ second pass counts the proposals over all documents, in blocks of bounded size.
 Each distinct text gets BANDS keys of ROWS consistent weighted samples (a shingle and its quantised weight). The
 samples' random variables come from a table of 65,536 draws, addressed by a hash of shingle and sample. Texts that
 share a key form a bucket. A bucket's first text leads: every member is compared with it. Members outside the
-leader's class so far then become pivots, 32, 256, ... at a time, compared with all members of other classes that two
-bounds leave open, until no outsider is left: the triangle inequality of the Jaccard distance, and what the shingles
-that no other text of large buckets has take away from a text's similarity to any other. So every pair of a bucket is
+leader's class so far then become pivots, 32, 256, ... at a time, compared with all members of other classes that three
+bounds leave open, until no outsider is left: the triangle inequality of the Jaccard distance, what the shingles
+that no other text of large buckets has take away from a text's similarity to any other, and the lesser weights of both
+in each of PARTS parts of all shingles, which tell apart texts that share a passage and differ in the rest. So every pair of a bucket is
 compared, already in one class, or shown to differ, without writing all pairs, and nothing of a bucket meets in one
 task. Pairs of weighted Jaccard similarity THRESHOLD or more are links; classes are the connected components.
 
@@ -29,11 +30,13 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colsight.llm.common import stored, table
+from colsight.llm.components import components
 from colsight.llm.phrases import words_of
 
 SHINGLE = 5
@@ -42,6 +45,8 @@ EPSILON = 0.01
 BANDS, ROWS = 16, 4
 #: Pivots of a bucket in the first round after its leader; eight times as many in each further round.
 PIVOTS = 32
+#: Parts of all shingles, by their first bits, over which the weights of texts are summed for a bound: time only.
+PARTS, PART_SHIFT = 128, 57
 #: Texts of buckets of so many get bounds on their similarities before pairs are compared: time only, never the result.
 BOUNDED = 32
 #: Shingles of a chunk, and proposals counted in one pass: memory only, never the result.
@@ -142,6 +147,7 @@ def frequent_shingles(docs: DataFrame, epsilon: float = EPSILON, chunk: int = CH
 
         counted = texts.mapInArrow(count, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
         found += [tuple(r) for r in counted.where(F.col("n") >= epsilon * n_docs).collect()]
+        sent.destroy()
     order = np.array([s for s, _ in found], np.int64).view(np.uint64)
     counts = np.array([n for _, n in found], np.int64)
     by = np.argsort(order)
@@ -207,9 +213,8 @@ class Sampler:
         return key
 
 
-def sign(docs: DataFrame, weights: Weights, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, tid, keys): the text's digest, null for a null text, and its band keys."""
-    sent = docs.sparkSession.sparkContext.broadcast(weights)  # at most (mean shingles) / EPSILON numbers
+def sign(docs: DataFrame, sent: Broadcast, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, tid, keys): the text's digest, null for a null text, and its band keys. sent: Weights."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weigh, shingler = sent.value, Shingler()
@@ -229,9 +234,8 @@ def sign(docs: DataFrame, weights: Weights, bands: int = BANDS, rows: int = ROWS
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(signed, schema)
 
 
-def similarities(pairs: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame:
-    """(a, b, sim) of pairs (a, b): weighted Jaccard similarity of the texts (tid, text)."""
-    sent = pairs.sparkSession.sparkContext.broadcast(weights)
+def similarities(pairs: DataFrame, texts: DataFrame, sent: Broadcast) -> DataFrame:
+    """(a, b, sim) of pairs (a, b): weighted Jaccard similarity of the texts (tid, text). sent: Weights."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weigh, shingler = sent.value, Shingler()
@@ -261,47 +265,40 @@ def similarities(pairs: DataFrame, texts: DataFrame, weights: Weights) -> DataFr
     return rows.mapInArrow(compare, "a binary, b binary, sim double")
 
 
-def own_weights(texts: DataFrame, weights: Weights) -> DataFrame:
-    """(tid, w, u) of texts (tid, text) that have shingles no other of them has: their weight and that of those."""
-    sent = texts.sparkSession.sparkContext.broadcast(weights)
+def own_weights(texts: DataFrame, sent: Broadcast) -> DataFrame:
+    """(tid, w, u, sums) of texts (tid, text) with words: their weight, that of the shingles no other of them has, and
+    their weight by PARTS parts of all shingles. What two texts share is in no part more than the lesser of their sums.
+    sent: Weights."""
 
-    def weigh_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray], list[np.ndarray]]]:
         weigh, shingler = sent.value, Shingler()
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 found = [shingler(t) for t in part.column(1).to_pylist()]
-                ws = [weigh(*f) for f in found]
-                sizes = [len(w) for w in ws]
-                tids = part.column(0).take(pa.array(np.repeat(np.arange(len(ws)), sizes)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        _longs(np.concatenate([f[0] for f in found])),
-                        tids,
-                        pa.array(np.concatenate(ws)),
-                        pa.array(np.repeat([w.sum() for w in ws], sizes)),
-                    ],
-                    names=["shingle", "tid", "own", "w"],
-                )
-
-    rows = texts.mapInArrow(weigh_all, "shingle bigint, tid binary, own double, w double")
-    alone = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("tid", "own", "w"))).where("n = 1")
-    return alone.groupBy("tid").agg(F.max("w").alias("w"), F.sum("own").alias("u"))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(tid, label): the smallest tid of each connected component of edges (a, b), by neighbours' smallest labels and
-    pointer jumping."""
-    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "neardup-edges")
-    labels = stored(both.groupBy(F.col("a").alias("tid")).agg(F.least(F.min("b"), F.col("tid")).alias("label")), "neardup-labels")
-    while True:
-        near = both.join(labels.select(F.col("tid").alias("b"), "label"), "b").groupBy(F.col("a").alias("tid")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "tid").select("tid", F.col("label").alias("old"), F.least("label", "near").alias("via"))
-        jump = labels.select(F.col("tid").alias("via"), F.col("label").alias("beyond"))
-        moved = stored(lower.join(jump, "via").select("tid", "old", F.least("via", "beyond").alias("label")), "neardup-labels")
-        labels = moved.select("tid", "label")
-        if moved.where(F.col("old") != F.col("label")).limit(1).count() == 0:
-            return labels
+                yield part.column(0), [f[0] for f in found], [weigh(*f) for f in found]
+
+    def weigh_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tids, shingles, ws in weighed(batches):
+            tids = tids.take(pa.array(np.repeat(np.arange(len(ws)), [len(w) for w in ws])))
+            yield pa.RecordBatch.from_arrays([_longs(np.concatenate(shingles)), tids, pa.array(np.concatenate(ws))], names=["shingle", "tid", "own"])
+
+    def sum_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tids, shingles, ws in weighed(batches):
+            sums = [np.bincount((h >> np.uint64(PART_SHIFT)).astype(np.int64), w, PARTS) for h, w in zip(shingles, ws)]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ws) + 1, dtype=np.int32) * PARTS), pa.array(np.concatenate(sums).astype(np.float32)))
+            yield pa.RecordBatch.from_arrays([tids, pa.array([w.sum() for w in ws], pa.float64()), lists], names=["tid", "w", "sums"])
+
+    rows = texts.mapInArrow(weigh_all, "shingle bigint, tid binary, own double")
+    alone = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("tid", "own"))).where("n = 1")
+    own = alone.groupBy("tid").agg(F.sum("own").alias("u"))
+    sums = texts.mapInArrow(sum_parts, "tid binary, w double, sums array<float>")
+    return sums.join(own, "tid", "left").select("tid", "w", F.coalesce("u", F.lit(0.0)).alias("u"), "sums")
+
+
+def _connected(edges: DataFrame) -> DataFrame:
+    """(tid, label) of all texts with edges (a, b); one label a connected component."""
+    return components(edges).select(F.col("node").alias("tid"), F.col("root").alias("label"))
 
 
 def _label(frame: DataFrame, labels: DataFrame, tid: str, name: str) -> DataFrame:
@@ -310,8 +307,8 @@ def _label(frame: DataFrame, labels: DataFrame, tid: str, name: str) -> DataFram
     return frame.join(of, tid, "left").withColumn(name, F.coalesce(name, tid))
 
 
-def link(signed: DataFrame, docs: DataFrame, weights: Weights, threshold: float = THRESHOLD, pivots: int = PIVOTS) -> DataFrame:
-    """(tid, label) of all texts with links, from signed (doc_id, tid, keys) and docs (doc_id, text)."""
+def link(signed: DataFrame, docs: DataFrame, sent: Broadcast, threshold: float = THRESHOLD, pivots: int = PIVOTS) -> DataFrame:
+    """(tid, label) of all texts with links, from signed (doc_id, tid, keys) and docs (doc_id, text). sent: Weights."""
     distinct = signed.where(F.col("tid").isNotNull() & (F.size("keys") > 0)).groupBy("tid").agg(F.first("keys").alias("keys"))
     listed = distinct.select("tid", F.explode("keys").alias("key"))
     leads = listed.groupBy("key").agg(F.min("tid").alias("lead"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
@@ -327,9 +324,9 @@ def link(signed: DataFrame, docs: DataFrame, weights: Weights, threshold: float
     texts = stored(found.join(chosen, same, "left_semi").select("tid", "text").dropDuplicates(["tid"]), "neardup-texts", compression="zstd")
 
     led = members.where(F.col("tid") != F.col("lead")).select(F.col("tid").alias("a"), F.col("lead").alias("b")).distinct()
-    sims = stored(similarities(led, texts, weights), "neardup-sims")
+    sims = stored(similarities(led, texts, sent), "neardup-sims")
     edges = sims.where(F.col("sim") >= threshold).select("a", "b")
-    labels = components(edges)
+    labels = _connected(edges)
 
     to_lead = sims.select(F.col("a").alias("tid"), F.col("b").alias("lead"), "sim")
     rest = members.where((F.col("tid") != F.col("lead")) & (F.col("n") > 2)).drop("n").join(to_lead, ["tid", "lead"])
@@ -337,44 +334,47 @@ def link(signed: DataFrame, docs: DataFrame, weights: Weights, threshold: float
     # The bounds count what texts of large open buckets share, so they hold between rows of those buckets only.
     large = members.where(F.col("n") >= BOUNDED).join(outside.select("key").distinct(), "key", "left_semi").select("key", "tid")
     open_ = large.select("tid").distinct()
-    own = own_weights(texts.join(open_, "tid", "left_semi"), weights)
-    bounds = stored(large.join(own, "tid").select("key", "tid", "w", "u"), "neardup-bounds")
+    own = own_weights(texts.join(open_, "tid", "left_semi"), sent)
+    bounds = stored(large.join(own, "tid").select("key", "tid", "w", "u", "sums"), "neardup-bounds")
     rest = stored(_bounded(rest, bounds).join(distinct, "tid"), "neardup-rest")
     # A text that no other of its large bucket can be so similar to needs no turn there.
     able = F.coalesce(F.col("u") <= (1 - threshold) * F.col("w") + 1e-9, F.lit(True))
-    outside = stored(_bounded(outside, bounds).where(able).drop("w", "u"), "neardup-outside")
+    outside = stored(_bounded(outside, bounds).where(able).drop("w", "u", "sums"), "neardup-outside")
     while outside.limit(1).count():
         turn = W.partitionBy("key").orderBy("tid")
         now = outside.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= pivots).drop("turn")
         now = stored(_label(_bounded(now, bounds), labels, "tid", "label"), "neardup-pivots")
         turns = now.groupBy("tid").agg(F.collect_set("key").alias("turns"))  # at most a key a band
-        pivot = now.join(turns, "tid").select("key", "turns", *(F.col(c).alias(f"p_{c}") for c in ("tid", "sim", "label", "w", "u")))
+        pivot = now.join(turns, "tid").select("key", "turns", *(F.col(c).alias(f"p_{c}") for c in ("tid", "sim", "label", "w", "u", "sums")))
         apart = (F.col("label") != F.col("p_label")) & (F.abs(F.col("sim") - F.col("p_sim")) <= 1 - threshold + 1e-9)
         shared = F.least(F.col("w") - F.col("u"), F.col("p_w") - F.col("p_u"))
         union = F.greatest(F.col("w") + F.col("p_u"), F.col("p_w") + F.col("u"))
         near = F.coalesce(shared >= (threshold - 1e-9) * union, F.lit(True))
+        by_part = F.aggregate(F.zip_with("sums", "p_sums", lambda x, y: F.least(x, y).cast("double")), F.lit(0.0), lambda x, y: x + y)
+        # Sums are rounded to single precision.
+        likely = F.coalesce(by_part >= (threshold / (1 + threshold) - 1e-5) * (F.col("w") + F.col("p_w")), F.lit(True))
         # Of the buckets that offer a pair in this round, the one with the least key writes it.
         first = F.array_min(F.array_intersect("keys", "turns")) == F.col("key")
         pairs = (
             _label(rest.where(able), labels, "tid", "label")
             .join(pivot, "key")
-            .where(apart & near & first)
+            .where(apart & near & first & likely)
             .select(F.greatest("tid", "p_tid").alias("a"), F.least("tid", "p_tid").alias("b"))
             .distinct()
         )
-        more = stored(similarities(pairs, texts, weights), "neardup-sims").where(F.col("sim") >= threshold).select("a", "b")
+        more = stored(similarities(pairs, texts, sent), "neardup-sims").where(F.col("sim") >= threshold).select("a", "b")
         waiting = outside.join(now.select("key", "tid"), ["key", "tid"], "left_anti")
         if more.limit(1).count():
-            edges = edges.unionByName(more)
-            labels = components(edges)
+            edges = stored(edges.unionByName(more), "neardup-edges")
+            labels = _connected(edges)
         outside = stored(_outside(waiting, labels), "neardup-outside")
         pivots *= 8
     return labels
 
 
 def _bounded(rows: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Adds the text's weight `w` and the weight `u` that it shares with no other text of large buckets; null if the row's
-    bucket is not one of them."""
+    """Adds the text's weight `w`, the weight `u` that it shares with no other text of large buckets, and its `sums` by
+    parts; null if the row's bucket is not one of them."""
     return rows.join(bounds, ["key", "tid"], "left")
 
 
@@ -387,9 +387,11 @@ def _outside(rows: DataFrame, labels: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, epsilon: float = EPSILON, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, tid (the text's MD5), label (of its class; both null for a null text), class_id."""
     docs = docs.select("doc_id", "text")
-    weights = Weights(*frequent_shingles(docs, epsilon), epsilon)
-    signed = stored(sign(docs, weights, bands, rows), "neardup-signed")
-    labels = link(signed, docs, weights, threshold)
+    # At most (mean shingles) / EPSILON numbers.
+    sent = docs.sparkSession.sparkContext.broadcast(Weights(*frequent_shingles(docs, epsilon), epsilon))
+    signed = stored(sign(docs, sent, bands, rows), "neardup-signed")
+    labels = link(signed, docs, sent, threshold)
+    sent.destroy()  # both are stored
     texts = signed.where(F.col("tid").isNotNull()).groupBy("tid").agg(F.min("doc_id").alias("first_id"))
     texts = _label(texts, labels, "tid", "label")
     classes = texts.groupBy("label").agg(F.min("first_id").alias("class_id"))
