@@ -2,7 +2,8 @@
 
 A page is cut at block tags into blocks of text that remember the elements around them. Each block gets a cost for
 being called content and one for being called boilerplate, from log-odds: what the enclosing elements say (`nav`,
-`article`, a class such as `cookie-banner`) and a logistic regression on the block itself (length, link share, closing
+`article`, or with less weight a class such as `cookie-banner`; what is around an `article` or `main` says nothing
+against it) and a logistic regression on the block itself (length, link share, closing
 punctuation, heading, list item). The costs are the capacities to the two terminals; edges between neighbours on the page and between
 neighbours under one element carry the price of telling them apart. The maximum flow leaves the cheapest labelling,
 and blocks that the source still reaches are content.
@@ -33,15 +34,15 @@ from colsight.llm.common import table
 FIT_PAGES = 2_000
 #: Weights of (1, log(1 + words), share of words in links, closing punctuation, heading, list item).
 PRIOR = np.array([-1.8, 0.8, -4.0, 0.8, 1.0, -0.3])
-#: Log-odds of certain surroundings and of suggestive ones. Prices of parting neighbours on the page under one element
+#: Log-odds of certain surroundings, of names of boilerplate and of content, and the most of a block by itself. Prices of parting neighbours on the page under one element
 #: and under two, and neighbours under one element.
-CERTAIN, LIKELY = 12.0, 3.0
+CERTAIN, NAMED, LIKELY, OWN = 12.0, 5.0, 3.0, 4.5
 NEXT, APART, SIBLING = 0.5, 0.1, 0.5
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-label)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 #: Elements whose content is no text of the page.
-SILENT = {"script", "style", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "audio", "video", "select", "button", "textarea", "head", "title", "datalist"}
+SILENT = {"script", "style", "noscript", "template", "iframe", "object", "svg", "annotation", "annotation-xml", "canvas", "audio", "video", "select", "button", "textarea", "head", "title", "datalist"}
 RAW = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in ("script", "style", "textarea", "title", "iframe", "noscript")}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset",
@@ -65,48 +66,100 @@ ROLES_AWAY = {"navigation", "banner", "contentinfo", "complementary", "search",
 ROLES_HOME = {"main", "article"}
 
 
+#: Class and id words that say what an element has or lacks, not what it is; and those that name parts of an article.
+MODIFIER = re.compile(r"(?:no|not|has|have|with|without|is|hide|show|js)[_-]|.*[_-](?:open|opened|closed|enabled|disabled|active|visible|hidden|page|layout)$", re.I)
+ARTICLE_PART = re.compile(r"(?:entry|post|article|story|content|page)[_-](?:header|title|heading|body|content|text)$", re.I)
+NAMES_COMMENTS = re.compile(r"(?:^|[_-])(?:comments?|respond|replies|disqus|discussion)(?=$|[_-])", re.I)
+#: Elements around an article that say nothing against it.
+AROUND = {"form", "fieldset", "header"}
+
+
 @dataclass
 class Element:
     name: str
-    place: float  # log-odds by itself and what is around it
-    sure: bool
-    hidden: bool
+    parent: Element | None = None
+    #: home or away by element or role, named (away by class or id), comments (so named), hint (a name of content)
+    mark: str = ""
+    hidden: bool = False
+    #: It is around an article and so no boilerplate as a whole.
+    excused: bool = False
+
+    def chain(self) -> Iterator[Element]:
+        element: Element | None = self
+        while element is not None:
+            yield element
+            element = element.parent
+
+    def place(self) -> tuple[float, bool]:
+        """Log-odds by the element and what is around it, the inner ones first, and whether they leave no doubt."""
+        hint = 0.0
+        for e in self.chain():
+            if e.mark == "home":
+                return CERTAIN, True
+            if e.mark == "hint":
+                hint = LIKELY
+            elif e.mark and not e.excused:
+                return (-CERTAIN, True) if e.mark == "away" else (hint - NAMED, False)
+        return hint, False
 
 
 @dataclass
 class Block:
     element: int
-    place: float
-    sure: bool
+    around: Element
     heading: bool
     item: bool
     parts: list[str] = field(default_factory=list)
     linked: list[str] = field(default_factory=list)
     text: str = ""
+    place: float = 0.0
+    sure: bool = False
+
+
+def _named(names: str) -> str:
+    """What class and id say: named, comments, hint or nothing."""
+    found = ""
+    for word in names.split():
+        if MODIFIER.match(word):
+            continue
+        if NAMES_COMMENTS.search(word):
+            return "comments"
+        if NAMES_AWAY.search(word) and not ARTICLE_PART.match(word):
+            found = "named"
+        elif not found and NAMES_HOME.search(word):
+            found = "hint"
+    return found
 
 
 def _placed(name: str, attributes: str, around: Element) -> Element:
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
-    names, role = f"{found.get('class', '')} {found.get('id', '')}", found.get("role", "").lower()
-    hidden = around.hidden or "hidden" in found
-    inside = around.sure and around.place > 0
-    if around.sure and around.place < 0:
-        return Element(name, around.place, True, hidden)
-    if name in AWAY or role in ROLES_AWAY or NAMES_AWAY.search(names):
-        return Element(name, -CERTAIN, True, hidden)
-    if name == "header" and not inside:
-        return Element(name, -CERTAIN, True, hidden)
+    role = found.get("role", "").lower()
+    element = Element(name, around, hidden=around.hidden or "hidden" in found)
+    if name in ("html", "body"):
+        return element
+    named = _named(f"{found.get('class', '')} {found.get('id', '')}")
+    marks = [e.mark for e in around.chain()]
+    inside = next((m for m in marks if m in ("home", "away", "named", "comments")), "") == "home"
     if name in HOME or role in ROLES_HOME:
-        return Element(name, CERTAIN, True, hidden)
-    if NAMES_HOME.search(names) and not around.sure:
-        return Element(name, LIKELY, False, hidden)
-    return Element(name, around.place, around.sure, hidden)
+        main = name == "main" or role == "main"
+        # Teasers in navigation and comments are often articles of their own.
+        closed = any((e.mark == "away" and e.name not in AROUND) or e.mark == "comments" for e in around.chain() if not e.excused)
+        if main or not (closed or named in ("named", "comments")):
+            element.mark = "home"
+            for e in around.chain():
+                e.excused = True
+            return element
+    if name in AWAY or role in ROLES_AWAY or (name == "header" and not inside):
+        element.mark = "away"
+    elif not (name == "header" and named == "named"):
+        element.mark = named
+    return element
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks with text, in order."""
     blocks: list[Block] = []
-    stack, numbers, made, links, silent = [Element("", 0.0, False, False)], [0], 1, 0, 0
+    stack, numbers, made, links, silent = [Element("")], [0], 1, 0, 0
     current: Block | None = None
 
     def say(piece: str) -> None:
@@ -118,7 +171,7 @@ def blocks_of(page: str) -> list[Block]:
                 return
             top = stack[-1]
             around = next(n for e, n in zip(reversed(stack), reversed(numbers)) if e.name not in INNER)
-            current = Block(around, top.place, top.sure, top.name in HEADINGS, any(e.name in ("li", "dt", "dd") for e in stack))
+            current = Block(around, top, top.name in HEADINGS, any(e.name in ("li", "dt", "dd") for e in stack))
             blocks.append(current)
         current.parts.append(piece)
         if links:
@@ -165,6 +218,7 @@ def blocks_of(page: str) -> list[Block]:
             numbers.append(made)
             made += 1
     for block in blocks:
+        block.place, block.sure = block.around.place()
         block.text = " ".join(html.unescape("".join(block.parts)).split())
     return [b for b in blocks if b.text]
 
@@ -247,7 +301,7 @@ def extract(page: str, weights: np.ndarray) -> str:
     blocks = blocks_of(page)
     if not blocks:
         return ""
-    own = np.clip(features(blocks) @ weights, -6.0, 6.0)
+    own = np.clip(features(blocks) @ weights, -OWN, OWN)
     places = [b.place + (0.0 if b.sure else float(x)) for b, x in zip(blocks, own)]
     chains = [(k - 1, k, NEXT if blocks[k - 1].element == blocks[k].element else APART) for k in range(1, len(blocks))]
     last: dict[int, int] = {}

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from colsight.llm import maintext
 
@@ -58,6 +59,37 @@ def test_boilerplate_of_many_kinds_goes_and_the_article_stays():
     ]
 
 
+ARTICLE = "<article><header class='entry-header'><h1>The title</h1></header>" + "".join(
+    f"<p>Paragraph number {k} of the article has enough words to be one, and it ends.</p>" for k in range(8)
+) + "<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>"
+
+
+@pytest.mark.parametrize(
+    "wrapper",
+    [
+        '<body class="home no-sidebar">{}</body>', '<body class="nav-open">{}</body>', '<div class="content has-sidebar">{}</div>',
+        '<div class="layout with-header">{}</div>', '<div id="social-network-page">{}</div>', '<form id="aspnetForm">{}</form>',
+        '<div class="widget-area"><main>{}</main></div>', '<div class="popup"><div class="post">{}</div></div>',
+    ],
+)
+def test_names_around_an_article_do_not_take_it_away(wrapper):
+    page = wrapper.format('<nav><a href="/">Home</a></nav>' + ARTICLE + '<footer>The end of the page, with words.</footer>')
+    lines = maintext.extract(page, maintext.PRIOR).split("\n")
+    assert lines[0] == "The title" and lines[-1] == "So x=2 holds." and len(lines) == 10
+
+
+def test_articles_in_navigation_and_comments_stay_boilerplate():
+    comment = "<article><p>I have read this, and I do have something long to say about it, indeed.</p></article>"
+    for place in ('<section id="comments">{}</section>', "<aside>{}</aside>", '<ol class="comment-list">{}</ol>', "<footer>{}</footer>"):
+        assert "something long" not in maintext.extract(f"<body>{ARTICLE}{place.format(comment)}</body>", maintext.PRIOR)
+
+
+def test_names_are_weighed_against_the_block():
+    inner = "<div class='entry-content'><p>" + "Many words of a text that goes on and on and says things. " * 30 + "</p></div>"
+    assert maintext.extract(f"<div class='sharing'>{inner}</div>", maintext.PRIOR)
+    assert not maintext.extract("<div class='sharing'><p>Share this page</p></div>", maintext.PRIOR)
+
+
 def test_broken_pages_do_not_crash():
     for page in ("", "<", "<p", "</div></p>", "<!-- x", "<script>", "<p>a<p>b</article>", "plain & simple words that stand alone here.", "<a href='x>y</a>", "<p class=>x", "\x00<p>é"):
         maintext.extract(page, maintext.PRIOR)
