@@ -1,16 +1,19 @@
 """Secrets in documents and in what is encoded inside them.
 
-A document is the first layer. A worklist takes layers one by one: each is scanned for secrets, and each of its
-encoded parts (words with URL or Unicode escapes, base64 runs, base64 runs of gzip or zlib data) becomes a layer of its own
-unless it has the text of a layer around it; the work ends when nothing new comes out. What a layer holds is remembered by its
-text for the document, and every place where it stands maps that to spans of its own. A layer knows
-how its characters stand in the one around it, so a finding, however deep, is given as a span of the document:
-escapes map character by character, base64 by its groups of four, compressed data as a whole. Decompressed data
-arrives in pieces of at most PIECE bytes with an overlap, so memory stays bounded and nothing is cut off.
+A document is the first layer. A worklist takes layers one by one: each is scanned for secrets, and what is encoded in
+it becomes layers of their own unless a layer around has the same text: the whole layer with its URL, Unicode and HTML
+escapes resolved, and each base64 run (also one wrapped over lines, at every alignment, since what stands before the data
+may look like base64 too) as bytes, as UTF-16, or as the gzip members or zlib data it holds. The work ends when nothing
+new comes out. What a layer holds is remembered by its text for the document, and every place where it stands maps that
+to spans of its own. A layer knows how its characters stand in the one around it, so a finding, however deep, is given
+as a span of the document: escapes map character by character where they are of equal size, base64 by its groups of
+four, compressed data as a whole. Secrets are ASCII, so a decoded byte is a character, whatever the bytes around it.
+Decompressed data arrives in pieces of at most PIECE bytes with an overlap, so memory stays bounded and nothing is cut
+off.
 
 Defined cases: null and empty texts have no spans; findings of one kind with the same span count once; each row is
-scanned by itself, whatever its doc_id; an empty table gives an empty result. Columns besides doc_id and text are not
-read.
+scanned by itself, whatever its doc_id; texts of any length are scanned whole; an empty table gives an empty result.
+Columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import hashlib
 import html
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -32,7 +36,7 @@ from colsight.llm.common import table
 
 KINDS = ("assign", "access", "hex")
 PIECE, OVERLAP = 1 << 20, 4_096
-#: Shortest base64 run that is tried.
+#: Shortest base64 run that is tried; the patterns name it too.
 LEAST_BASE64 = 16
 
 ASSIGN = re.compile(
@@ -42,8 +46,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 HINTS = ("passw", "secret", "token", "apikey", "api_key")
 ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|\\x[0-9A-Fa-f]{2}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST_BASE64)
-WORD = re.compile(r"\S+")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Lines of one run, as encoders wrap it.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{40,}+\r?\n[\x20\t]*+)+[A-Za-z0-9+/_-]++={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+#: What a layer without a secret or anything encoded does not have.
+WORTH = re.compile(
+    rb"AKIA|(?i:passw|secret|token|api_?key)|[0-9a-f]{16}|%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f]{2}|&#|[A-Za-z0-9+/_-]{16}"
+)
 
 Mapping = Callable[[int, int], tuple[int, int]]
 Span = tuple[int, int, int]  # start, number of the kind, end
@@ -71,33 +81,47 @@ def _unescaped(code: str) -> str:
     return units.decode("utf-16-be", "replace")
 
 
+class Segments:
+    """How the characters of a layer stand in the one around it: each of a segment takes `step` of them, or the whole
+    segment stands for all its characters (step 0)."""
+
+    def __init__(self) -> None:
+        self.outs: list[int] = []
+        self.parts: list[tuple[int, int, int]] = []
+        self.size = 0
+
+    def add(self, length: int, start: int, end: int, step: int) -> None:
+        if length:
+            self.outs.append(self.size)
+            self.parts.append((start, end, step))
+            self.size += length
+
+    def __call__(self, start: int, end: int) -> tuple[int, int]:
+        k, m = bisect_right(self.outs, start) - 1, bisect_right(self.outs, end - 1) - 1
+        (first, _, step), (last, until, size) = self.parts[k], self.parts[m]
+        return first + (start - self.outs[k]) * step, last + (end - self.outs[m]) * size if size else until
+
+
 def _escapes(text: str) -> Iterator[tuple[str, Mapping]]:
-    """Words with escapes, decoded; a run of escapes maps as a whole unless it gives a character an escape."""
+    """The whole layer with its escapes resolved."""
     if not ("%" in text or "\\" in text or "&#" in text):
         return
-    for word in WORD.finditer(text):
-        piece = word[0]
-        if not ("%" in piece or "\\" in piece or "&#" in piece) or not ESCAPE.search(piece):
-            continue
-        out, froms, tos, last = [], [], [], 0
-        for m in ESCAPE.finditer(piece):
-            plain, decoded = piece[last : m.start()], _unescaped(m[0])
-            width = len(m[0]) // len(decoded) if decoded and len(m[0]) % len(decoded) == 0 else 0
-            out += [plain, decoded]
-            froms += range(last, m.start())
-            tos += range(last + 1, m.start() + 1)
-            froms += [m.start() + k * width for k in range(len(decoded))]
-            tos += [m.start() + (k + 1) * width if width else m.end() for k in range(len(decoded))]
-            last = m.end()
-        out.append(piece[last:])
-        froms += range(last, len(piece))
-        tos += range(last + 1, len(piece) + 1)
-        at = word.start()
-        yield "".join(out), lambda s, e, at=at, froms=froms, tos=tos: (at + froms[s], at + tos[e - 1])
+    out, place, last = [], Segments(), 0
+    for m in ESCAPE.finditer(text):
+        plain, decoded = text[last : m.start()], _unescaped(m[0])
+        out += [plain, decoded]
+        place.add(len(plain), last, m.start(), 1)
+        even = decoded and len(m[0]) % len(decoded) == 0
+        place.add(len(decoded), m.start(), m.end(), len(m[0]) // len(decoded) if even else 0)
+        last = m.end()
+    if last:
+        out.append(text[last:])
+        place.add(len(text) - last, last, len(text), 1)
+        yield "".join(out), place
 
 
 def _inflated(data: bytes) -> Iterator[bytes]:
-    """Pieces of gzip or zlib data; what precedes an error or the end of broken data still counts."""
+    """Pieces of gzip members or zlib data; what precedes an error or the end of broken data still counts."""
     engine, tail = zlib.decompressobj(47), b""
     while data:
         try:
@@ -107,32 +131,59 @@ def _inflated(data: bytes) -> Iterator[bytes]:
         if piece:
             yield tail + piece
             tail = piece[-OVERLAP:]
-        elif engine.eof or not engine.unconsumed_tail:
+        if engine.eof:
+            data, engine = engine.unused_data, zlib.decompressobj(47)
+        elif not piece and not engine.unconsumed_tail:
             return
-        data = engine.unconsumed_tail
+        else:
+            data = engine.unconsumed_tail
 
 
 def _base64(text: str) -> Iterator[tuple[str, Mapping]]:
     for m in BASE64.finditer(text):
-        run = m[0].rstrip("=")
-        if len(run) % 4 == 1:
-            continue
-        data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
-        start, end = m.span()
-        whole = lambda s, e, start=start, end=end: (start, end)
+        start = m.start()
+        yield from _decoded(m[0].rstrip("="), lambda s, e, start=start: (start + s, start + e), m.end())
+    for m in WRAPPED.finditer(text):
+        place, run = Segments(), []
+        for line in LINE.finditer(text, m.start(), m.end()):
+            run.append(line[0])
+            place.add(len(line[0]), line.start(), line.end(), 1)
+        yield from _decoded("".join(run), place, m.end())
+
+
+def _decoded(run: str, place: Mapping, until: int) -> Iterator[tuple[str, Mapping]]:
+    """What a base64 run holds from each of its first four characters on."""
+    digits = run.replace("-", "+").replace("_", "/")
+    for skip in range(4):
+        size = len(digits) - skip
+        size -= size % 4 == 1
+        if size < LEAST_BASE64 - 3:
+            return
+        data = base64.b64decode(digits[skip : skip + size] + "=" * (-size % 4))
+        end = place(0, skip + size)[1]
+        end = until if skip + size == len(digits) else end
         if data[:2] == b"\x1f\x8b" or (data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0):
-            yield from ((piece.decode("utf-8", "replace"), whole) for piece in _inflated(data))
-            continue
-        try:
-            decoded = data.decode("utf-8")
-        except UnicodeDecodeError:
-            continue
-        if sum(c.isprintable() or c in "\t\r\n" for c in decoded) < len(decoded):
+            whole = place(skip, skip + size)[0], end
+            for piece in _inflated(data):
+                yield from ((held, lambda s, e, whole=whole: whole) for held, _, _ in _texts(piece))
+        for held, first, step in _texts(data):
+
+            def within(s: int, e: int, first: int = first, step: int = step, skip: int = skip, size: int = size, end: int = end) -> tuple[int, int]:
+                a, b = first + s * step, first + (e - 1) * step + 1
+                last = -(-b * 4 // 3)
+                return place(skip + a * 4 // 3, skip + min(last, size))[0], end if last >= size else place(skip, skip + last)[1]
+
+            yield held, within
+
+
+def _texts(data: bytes) -> Iterator[tuple[str, int, int]]:
+    """Texts that bytes may be, if anything in them is worth a look, each with its first byte and the step from one
+    character to the next."""
+    for first, step in ((0, 1), (0, 2), (1, 2)):
+        if step == 2 and 2 * data[1 - first :: 2].count(0) <= len(data) // 2:
             continue
-        if len(decoded) == len(data):
-            yield decoded, lambda s, e, start=start, end=end: (start + s * 4 // 3, min(end, start + -(-e * 4 // 3)))
-        else:
-            yield decoded, whole
+        if WORTH.search(held := data[first::step]):
+            yield held.decode("latin-1"), first, step
 
 
 @dataclass

@@ -57,6 +57,53 @@ def test_layers_are_unwrapped_and_spans_mapped():
     assert all_spans("a token%3A%20" + "z" * 12 + " b") == [f"assign:2:{13 + 12}"]
 
 
+def encoded(data):
+    return base64.b64encode(data if isinstance(data, bytes) else data.encode()).decode()
+
+
+def test_nothing_around_an_encoded_secret_hides_it():
+    plain = f"key {KEY} end"
+    hidden = {
+        "byte order mark": encoded("\ufeff" + plain), "no-break space": encoded("\u00a0" + plain), "nul": encoded("\0" + plain), "invalid byte": encoded(b"\xff" + plain.encode()),
+        "utf-16": encoded(plain.encode("utf-16")), "utf-16-be": encoded(plain.encode("utf-16-be")),
+        "prefix key-": "key-" + encoded(plain), "prefix id_": "id_" + encoded(plain), "prefix /cfg/": "/cfg/" + encoded(plain), "prefix x": "x" + encoded(plain),
+        "second member": encoded(gzip.compress(b"nothing") + gzip.compress(plain.encode())),
+    }
+    for name, text in hidden.items():
+        found = [s.split(":") for s in all_spans(f"a {text} b") if s.startswith("access")]
+        assert found, name
+        for _, start, end in found:
+            assert 2 <= int(start) < int(end) <= 2 + len(text), name
+    # Where bytes map to characters, the span is that of the secret.
+    for name in ("invalid byte", "prefix /cfg/", "prefix x"):
+        (span,) = {s for s in all_spans(hidden[name]) if s.startswith("access")}
+        start, end = map(int, span.split(":")[1:])
+        skip = len(hidden[name]) - len(hidden[name].removeprefix("/cfg/").removeprefix("x"))
+        at = base64.b64decode(hidden[name][skip:]).index(KEY.encode())
+        assert (start, end) == (skip + at * 4 // 3, skip + -(-(at + 20) * 4 // 3))
+
+
+def test_wrapped_runs_are_joined():
+    text = encoded("some words before it and more of them, so that lines are full " * 2 + KEY + " and some words after it, for a third line of text")
+    wrapped = "\n".join(text[k : k + 76] for k in range(0, len(text), 76))
+    (span,) = {s for s in all_spans(wrapped) if s.startswith("access")}
+    start, end = map(int, span.split(":")[1:])
+    joined = text.index(wrapped[start : start + 12].replace("\n", ""))
+    assert start < wrapped.index("\n", 77) + 77 and end - start in (27, 28, 29) and joined * 3 // 4 <= base64.b64decode(text).index(KEY.encode())
+    packed = encoded(gzip.compress(bytes(range(256)) + KEY.encode()))
+    assert any(s.startswith("access") for s in all_spans("\r\n".join(packed[k : k + 64] for k in range(0, len(packed), 64))))
+
+
+def test_escaped_values_keep_their_keys():
+    value = "abcdefghijklmnop"
+    percent = "".join(f"%{ord(c):02x}" for c in value)
+    assert f"assign:0:{10 + len(percent)}" in all_spans(f"password: {percent}")
+    text = '"password": "abc\\u002ddefghijklmnop"'
+    assert f"assign:1:{len(text) - 1}" in all_spans(text)
+    text = "secret &#61; &#97;&#98;&#99;defghijklmnop z"
+    assert f"assign:0:{len(text) - 2}" in all_spans(text)
+
+
 def test_cycles_bombs_and_junk_end():
     assert all_spans("QUJDREVGR0hJSktMTU5PUA== %25%32%35 %% \\u12 \\ud800 &#99999999; &#0;") == [""]
     bomb = base64.b64encode(zlib.compress(b"a" * (3 << 20) + b" " + KEY.encode())).decode()
