@@ -7,8 +7,8 @@ order. Counts are frozen after fitting, so each (context, byte) has one length:
 set of contexts, the lengths are a table, and a document is scored by array look-ups, `order` + 1 a byte. The
 language with the shortest code wins, the first by name in ties.
 
-Fitting takes a bounded sample of whole labelled documents: about `fit_bytes` bytes a language, chosen by a hash of
-doc_id; counts are summed on the executors. Followers of contexts of two or more bytes need two occurrences; of
+Fitting takes a bounded sample of labelled text: of each language pieces of PIECE_CHARS characters, about `fit_bytes`
+bytes in all (everything, if it has no more), chosen by a hash of text and piece; counts are summed on the executors. Followers of contexts of two or more bytes need two occurrences; of
 all contexts, the most frequent are kept while the table stays under `cells` numbers
 (contexts x bytes x languages). Both bounds are parameters. Scoring reads whole texts.
 
@@ -34,6 +34,7 @@ from colsight.llm.common import table
 
 ORDER = 4
 FIT_BYTES = 200_000
+PIECE_CHARS = 512
 CELLS = 6_000_000
 FOLDS, HELD_OUT = 5, 0
 UNKNOWN = "und"
@@ -83,10 +84,18 @@ def count_followers(sample: DataFrame, order: int) -> DataFrame:
 
 def fit(labelled: DataFrame, order: int = ORDER, fit_bytes: int = FIT_BYTES, cells: int = CELLS) -> Model:
     """labelled (doc_id, text, lang); rows of held-out documents must be gone already."""
-    labelled = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    share = labelled.groupBy("lang").agg((F.lit(float(fit_bytes)) / F.greatest(F.lit(1), F.sum(F.octet_length("text")))).alias("share"))
-    place = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(17)), F.lit(1 << 30)) / (1 << 30)
-    sample = labelled.join(F.broadcast(share), "lang").where(place < F.col("share"))  # a row a language
+    labelled = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text")
+    digest = F.xxhash64("text")
+    once = labelled.select("lang", digest.alias("digest"), F.octet_length("text").alias("size")).distinct()
+    sizes = once.groupBy("lang").agg((F.lit(float(fit_bytes)) / F.greatest(F.lit(1), F.sum("size"))).alias("share"))
+    # A piece is told by its text and number, so neither one long document nor one doc_id decides for a language.
+    place = lambda k: F.pmod(F.xxhash64(digest, k, F.lit(17)), F.lit(1 << 30)) / (1 << 30)
+    numbers = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / PIECE_CHARS).cast("int"))
+    chosen = F.filter(numbers, lambda k: place(k) < F.col("share"))
+    pieces = labelled.where(F.length("text") > 0).join(F.broadcast(sizes), "lang")  # a row a language
+    pieces = pieces.select("lang", digest.alias("digest"), F.explode(chosen).alias("k"), "text")
+    sample = pieces.select("lang", "digest", "k", F.substring(F.col("text"), F.col("k") * PIECE_CHARS + 1, F.lit(PIECE_CHARS)).alias("text"))
+    sample = sample.dropDuplicates(["lang", "digest", "k"])
     rows = count_followers(sample, order).where((F.octet_length("gram") <= 2) | (F.col("n") >= 2)).collect()  # of the bounded sample
     counts: dict[str, dict[bytes, dict[int, int]]] = defaultdict(lambda: defaultdict(dict))
     for lang, gram, n in rows:

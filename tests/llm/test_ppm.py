@@ -107,3 +107,14 @@ def test_the_sample_is_bounded(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("some text of a language " * 10).alias("text"), F.lit("x").alias("lang"))
     model = ppm.fit(docs, fit_bytes=20_000)
     assert model.languages == ["x"]
+
+
+def test_one_long_document_is_learned_within_the_bound(spark):
+    random.seed(9)
+    words = ["der", "schnelle", "fuchs", "springt", "weit", "hinaus"]
+    long = " ".join(random.choices(words, k=350_000))
+    docs = spark.createDataFrame([(1, long, "de"), (1, "the quick brown fox jumps " * 9, "en"), (None, "le renard brun saute vite " * 9, "fr")], "doc_id long, text string, lang string")
+    model = ppm.fit(docs, fit_bytes=20_000)
+    assert model.languages == ["de", "en", "fr"]
+    asked = spark.createDataFrame([("der schnelle fuchs",), ("the brown fox",), ("le renard saute",)], "text string")
+    assert [r.lang_pred for r in ppm.predict(asked, model, ["text"]).collect()] == ["de", "en", "fr"]
