@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,14 +22,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-@contextmanager
-def kept(frame: DataFrame, name: str, partition_by: str | None = None) -> Iterator[DataFrame]:
-    """The frame, written once and read back; deleted at the end of the block, which must not hand it on."""
+def stored(frame: DataFrame, name: str, partition_by: str | None = None) -> tuple[DataFrame, Callable[[], None]]:
+    """The frame, written once and read back, and what deletes it."""
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/colsight-{name}-{uuid.uuid4().hex}"
+
+    def delete() -> None:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
     try:
         (frame.write.partitionBy(partition_by) if partition_by else frame.write).parquet(path)
-        yield spark.read.schema(frame.schema).parquet(path)
+    except BaseException:
+        delete()
+        raise
+    return spark.read.schema(frame.schema).parquet(path), delete
+
+
+@contextmanager
+def kept(frame: DataFrame, name: str, partition_by: str | None = None) -> Iterator[DataFrame]:
+    """The frame, stored until the end of the block, which must not hand it on."""
+    rows, delete = stored(frame, name, partition_by)
+    try:
+        yield rows
     finally:
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        delete()

@@ -367,10 +367,40 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 1
     )
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
-    """One row: all rows, different rows, and rows equal to an earlier one."""
+# Repeated row hashes up to which whole rows are looked up by broadcast: time only, never the result.
+BROADCAST_HASHES = 1_000_000
+
+
+def duplicate_rows(df: DataFrame, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
+    """One row: all rows, different rows, and rows equal to an earlier one.
+
+    Two hashes of each row are counted first; only rows whose hashes occur again are compared in full.
+    """
     clean = nan_to_null(df)
-    copies = clean.groupBy(*[col(c) for c in clean.columns]).agg(F.count("*").alias("_copies"))
-    return copies.agg(
-        F.coalesce(F.sum("_copies"), F.lit(0)).alias("row_count"), F.count("*").alias("distinct_rows")
-    ).select("row_count", "distinct_rows", (F.col("row_count") - F.col("distinct_rows")).alias("duplicate_rows"))
+    cells = [_comparable(f.name, f.dataType) for f in clean.schema.fields]
+    hashes = [F.xxhash64(*cells).alias("_h1"), F.xxhash64(F.lit("second"), *reversed(cells)).alias("_h2")]
+    counts = clean.select(*hashes).groupBy("_h1", "_h2").agg(F.count("*").alias("_n"))
+    again = F.col("_n") > 1
+    # Hashes that occur once become one row.
+    folded = counts.groupBy(F.when(again, F.col("_h1")).alias("_h1"), F.when(again, F.col("_h2")).alias("_h2"), again.alias("_again")).agg(
+        F.sum("_n").alias("_n")
+    )
+    with kept(folded, "row-hashes") as found:
+        sizes = found.groupBy("_again").agg(F.count("*").alias("hashes"), F.sum("_n").alias("rows")).collect()
+        rows = sum(r["rows"] for r in sizes)
+        distinct = sum(r["rows"] for r in sizes if not r["_again"])
+        repeated = sum(r["hashes"] for r in sizes if r["_again"])
+        if repeated:
+            known = found.where("_again").select("_h1", "_h2")
+            known = F.broadcast(known) if repeated <= broadcast_hashes else known
+            copies = clean.select(*[c.alias(f"c{k}") for k, c in enumerate(cells)], *hashes).join(known, ["_h1", "_h2"], "left_semi")
+            # Equal rows collapse in the tasks before the shuffle.
+            distinct += copies.groupBy(*copies.columns).agg(F.count("*")).count()
+    return local_frame(df.sparkSession, [(rows, distinct, rows - distinct)], "row_count long, distinct_rows long, duplicate_rows long")
+
+
+def _comparable(name: str, dtype: T.DataType) -> Column:
+    """A column whose equal values have equal hashes: zero without a sign, maps as sorted entries."""
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return col(name) + F.lit(0.0).cast(dtype)
+    return F.array_sort(F.map_entries(col(name))) if isinstance(dtype, T.MapType) else col(name)

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from colsight.functions.missing import number
@@ -51,3 +52,38 @@ def _partials(centres: np.ndarray, scales: np.ndarray) -> Callable[[Iterator[pa.
             yield pa.RecordBatch.from_arrays(arrays, names=["i", "j", *PARTIAL])
 
     return run
+
+
+def triangular_factor(df: DataFrame, columns: Sequence[str], centres: Sequence[float]) -> np.ndarray:
+    """R of the QR factorisation of the centred columns, missing cells as zero.
+
+    Tasks factor their batches on top of what they have, and factors are factored again in a tree: the products of
+    columns, whose condition is that of the columns squared, are never formed.
+    """
+    width = len(columns)
+
+    def factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = np.zeros((0, width))
+        for batch in batches:
+            values = np.column_stack([column.to_numpy(zero_copy_only=False) for column in batch.columns]).astype(float) - centres
+            r = np.linalg.qr(np.vstack([r, np.nan_to_num(values)]), mode="r")
+        yield _rows(r)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = np.zeros((0, width))
+        for batch in batches:
+            if batch.num_rows:
+                rows = np.asarray(batch.column(0).flatten()).reshape(-1, width)
+                r = np.linalg.qr(np.vstack([r, rows]), mode="r")
+        yield _rows(r)
+
+    schema = "r array<double>, task int"
+    partial = df.select(*[number(df, c).alias(f"c{k}") for k, c in enumerate(columns)]).mapInArrow(factor, schema)
+    merged = partial.repartition("task").mapInArrow(merge, schema).repartition(1).mapInArrow(merge, schema)
+    return np.array([row["r"] for row in merged.collect()]).reshape(-1, width)
+
+
+def _rows(r: np.ndarray) -> pa.RecordBatch:
+    offsets = pa.array(np.arange(len(r) + 1) * r.shape[1], pa.int32())
+    task = np.full(len(r), TaskContext.get().partitionId(), np.int32)
+    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(r.ravel())), pa.array(task)], names=["r", "task"])

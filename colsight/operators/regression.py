@@ -2,13 +2,14 @@
 
 Missing features take the training mean. The fit needs one scan for the training means and one for
 the sums of products of the centred training rows, where a filled-in cell is simply zero; what
-remains is a features-by-features system. Predictions are a plain column expression.
+remains is a features-by-features system. Nearly collinear features take one scan more, for a QR
+factor of the rows themselves. Predictions are a plain column expression.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,8 +19,9 @@ from colsight.errors import DatasetError
 from colsight.functions.columns import as_double, col, default_target, numeric_columns, require_numeric
 from colsight.functions.local import local_frame
 from colsight.functions.missing import drop_missing, is_missing, nan_to_null
+from colsight.functions.shared import stored
 from colsight.functions.text import round4
-from colsight.operators.gram import pairwise_sums
+from colsight.operators.gram import pairwise_sums, triangular_factor
 from colsight.operators.profile import moments
 from colsight.operators.quantiles import exact_quantiles
 from colsight.operators.split import Split, exact_split
@@ -29,6 +31,10 @@ MIN_ROWS = 10
 RESERVED = frozenset(("split_hash", "is_test", "actual", "predicted"))
 # Directions below this share of the largest eigenvalue carry no information of their own.
 RANK_TOLERANCE = 1e-12
+# An eigenvalue below this share of the largest has lost half of its digits: the rows are factored instead.
+ILL_CONDITIONED = 1e-8
+# Singular values of the factor below this share of the largest carry no information of their own.
+FACTOR_TOLERANCE = 1e-13
 # Squared residuals below this share of the squared values are rounding noise.
 ZERO_RESIDUAL = 1e-24
 
@@ -48,6 +54,8 @@ class LinearModel:
     row_key: list[str] = field(default_factory=list)
     # Names in the table of columns that are called like a result; in row frames they end in underscores.
     shown: dict[str, str] = field(default_factory=dict)
+    # Deletes the stored rows of a deduplicated table; the model's row frames end with it.
+    release: Callable[[], None] = field(default=lambda: None, repr=False)
 
     def imputed(self) -> DataFrame:
         """Key, features with training means filled in, target, ``split_hash`` and ``is_test``."""
@@ -228,7 +236,8 @@ def fit_linear_regression(
     """Least squares with intercept, or ridge with penalty ``ridge`` on the unscaled weights.
 
     The target defaults to the last numeric column. With collinear features the weights of smallest
-    norm are taken. Columns may have any name. Give a unique ``key`` where there is one: it makes the split cheap to recompute
+    norm are taken. Columns may have any name. With ``deduplicate`` the rows are stored once, until ``release`` of the
+    model. Give a unique ``key`` where there is one: it makes the split cheap to recompute
     and the order of the points meaningful.
     """
     target = target if target is not None else default_target(df)
@@ -240,7 +249,10 @@ def fit_linear_regression(
     shown = {inner: c for c, inner in named.items() if inner != c}
     df = df.select(*[col(c).alias(inner) for c, inner in named.items()])
     target, features, key = named[target], [named[c] for c in features], [named[c] for c in key]
-    rows = modelling_rows(df, target, features, key, deduplicate)
+    rows, release = modelling_rows(df, target, features, key, deduplicate), lambda: None
+    if deduplicate:
+        # Every scan of the model would shuffle the table again.
+        rows, release = stored(rows, "deduplicated")
     try:
         split = exact_split(rows, key, test_size, seed)
         total = split.test_rows + split.train_rows
@@ -266,7 +278,10 @@ def fit_linear_regression(
     train = split.apply(rows).where("NOT is_test")
     for row in pairwise_sums(train, [*used, target], centres).collect():
         products[row["i"], row["j"]] = products[row["j"], row["i"]] = row["sxy"]
-    solved = solve(products[:-1, :-1], products[:-1, -1], ridge)
+    if not ridge and ill_conditioned(products[:-1, :-1]):
+        solved = solve_factor(triangular_factor(train, [*used, target], centres))
+    else:
+        solved = solve(products[:-1, :-1], products[:-1, -1], ridge)
     weight_of = dict(zip(used, (float(w) for w in solved)))
     mean_of = dict(zip(used, centres))
     intercept = centres[-1] - sum(weight_of[f] * mean_of[f] for f in used)
@@ -280,6 +295,7 @@ def fit_linear_regression(
         rows,
         list(key),
         shown,
+        release,
     )
 
 
@@ -306,6 +322,31 @@ def solve(products: np.ndarray, with_target: np.ndarray, ridge: float = 0.0) ->
     return weights
 
 
+def ill_conditioned(products: np.ndarray) -> bool:
+    scale = np.sqrt(np.diag(products))
+    varying = scale > 0
+    if not varying.any():
+        return False
+    values = np.linalg.eigvalsh(products[np.ix_(varying, varying)] / np.outer(scale[varying], scale[varying]))
+    return bool(values[0] < ILL_CONDITIONED * values[-1])
+
+
+def solve_factor(factor: np.ndarray) -> np.ndarray:
+    """Weights from the triangular factor of features and target (last)."""
+    features, target = factor[:, :-1], factor[:, -1]
+    scale = np.sqrt((features**2).sum(axis=0))
+    varying = scale > 0
+    weights, scale = np.zeros(len(scale)), scale[varying]
+    left, values, right = np.linalg.svd(features[:, varying] / scale, full_matrices=False)
+    informative = values > FACTOR_TOLERANCE * len(values) * values[0]
+    found = right[informative].T @ ((left.T @ target)[informative] / values[informative]) / scale
+    if not informative.all():
+        idle = np.linalg.qr(right[~informative].T / scale[:, None])[0]
+        found = found - idle @ (idle.T @ found)
+    weights[varying] = found
+    return weights
+
+
 def _metrics(predictions: DataFrame) -> DataFrame:
     error = F.col("actual") - F.col("predicted")
     sides = predictions.groupBy("is_test").agg(

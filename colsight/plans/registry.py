@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from colsight.functions.columns import col
+from colsight.functions.local import local_frame
 from colsight.functions.missing import tokens_to_null
 from colsight.functions.shared import shared_folder
 from colsight.operators import correlation, explore, profile, regression
@@ -650,6 +651,23 @@ def _(spark, folder):
     return regression.fit_linear_regression(part, "p_retailprice", features, ["p_partkey"]).coefficients()
 
 
+# x2 and x2 + x1 / 2^26, both exact: what tells them apart is 1e-8 of their size.
+ILL_EPSILON = 2.0**-26
+
+
+@registered(
+    "ols_ill_conditioned",
+    fit_sql() + f"SELECT round(w2, 4) AS together, round(w1, 4) AS apart FROM f, (SELECT {ILL_EPSILON!r} AS e)",
+)
+def _(spark, folder):
+    """The weights of two nearly equal columns, as those of their common part and of their difference."""
+    part = table(spark, folder, "part").select("p_partkey", "p_retailprice", F.col("p_size").cast("double").alias("size"))
+    part = part.withColumn("near", F.col("size") + F.col("p_partkey") * F.lit(ILL_EPSILON))
+    model = regression.fit_linear_regression(part, "p_retailprice", ["size", "near"], ["p_partkey"])
+    size, near = model.weights
+    return local_frame(spark, [(round(size + near, 4), round(near * ILL_EPSILON, 4))], "together double, apart double")
+
+
 @registered("ridge", part_coefficients_sql(fit_sql(ridge=1.0)))
 def _(spark, folder):
     return _part_model(spark, folder, ridge=1.0).coefficients()
@@ -978,6 +996,12 @@ def _(spark, folder):
 # The ways of large data, taken early ------------------------------------------------------------
 
 
+@registered("duplicate_rows_looked_up", REGISTRY["duplicate_rows"].sql)
+def _(spark, folder):
+    rows = table(spark, folder, "lineitem")
+    return explore.duplicate_rows(rows.unionByName(rows.where("l_linenumber = 1")), broadcast_hashes=0)
+
+
 @registered("group_aggregate_large_groups", _groups_sql("lineitem", "l_returnflag, l_linestatus", "l_quantity"))
 def _(spark, folder):
     return explore.grouped_aggregate(table(spark, folder, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity", group_rows=100)

@@ -152,3 +152,19 @@ def test_zone_free_dates_ignore_the_session_zone(spark):
 
 def test_top_categories_without_text_columns(spark):
     assert E.top_categories(spark.range(3)).count() == 0
+
+
+@pytest.mark.parametrize("broadcast_hashes", [0, 1000])
+def test_duplicates_of_many_types(spark, broadcast_hashes):
+    rows = [(k % 5, -0.0 if k % 2 else 0.0, None if k % 3 else float("nan"), {"b": k % 2, "a": 1}, [k % 2]) for k in range(60)]
+    df = spark.createDataFrame(rows, "i int, x double, y float, m map<string,int>, a array<int>")
+    want = len({(r[0], r[3]["b"]) for r in rows})
+    assert tuple(E.duplicate_rows(df, broadcast_hashes).first()) == (60, want, 60 - want)
+    assert tuple(E.duplicate_rows(df.limit(0)).first()) == (0, 0, 0)
+
+
+def test_repeated_rows_are_compared_in_full(spark, monkeypatch):
+    # Hashes that all collide change nothing.
+    monkeypatch.setattr(E.F, "xxhash64", lambda *cells: F.lit(7).cast("long"))
+    df = spark.createDataFrame([(k % 10, k % 4) for k in range(50)], "a int, b int")
+    assert tuple(E.duplicate_rows(df).first()) == (50, 20, 30)

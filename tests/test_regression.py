@@ -159,10 +159,32 @@ def test_errors(spark):
 
 def test_columns_called_like_results(spark):
     df = spark.createDataFrame([(k, float(k % 7), 2.0 * (k % 7) + k % 3) for k in range(60)], "id long, x double, y double")
-    plain = fit(df, "y", ["x"], key=["id"])
+    plain = G.fit_linear_regression(df, "y", ["x"], key=["id"])
     renamed = df.select(F.col("id").alias("split_hash"), F.col("x").alias("predicted"), F.col("y").alias("is_test"))
-    odd = fit(renamed, "is_test", ["predicted"], key=["split_hash"])
+    odd = G.fit_linear_regression(renamed, "is_test", ["predicted"], key=["split_hash"])
     assert odd.coefficients().first()["feature"] == "predicted" and odd.meta().first()["target_column"] == "is_test"
     assert odd.coefficients().first()["weight"] == plain.coefficients().first()["weight"]
     assert odd.metrics().collect() == plain.metrics().collect() and odd.points().collect() == plain.points().collect()
     assert {"predicted_", "is_test_", "split_hash_", "predicted", "is_test"} < set(odd.predictions().columns)
+
+
+def test_nearly_collinear_features(spark):
+    rng = np.random.default_rng(2)
+    x, z = rng.integers(1, 50, 4000).astype(float), rng.integers(0, 100, 4000)
+    y = 3.0 * x + 5.0 * z + rng.normal(size=4000)
+    pdf = pd.DataFrame({"id": np.arange(4000), "x": x, "near": x + z * 2.0**-26, "y": y})
+    model = G.fit_linear_regression(spark.createDataFrame(pdf).repartition(5), "y", ["x", "near"], key=["id"])
+    train = model.predictions().where("NOT is_test").select("id").toPandas()["id"].to_numpy()
+    a = np.column_stack([x, z, np.ones(4000)])[train]
+    want = np.linalg.lstsq(a, y[train], rcond=None)[0]
+    assert sum(model.weights) == pytest.approx(want[0], rel=1e-4) and model.weights[1] * 2.0**-26 == pytest.approx(want[1], rel=1e-5)
+
+
+def test_deduplicated_rows_are_stored_once(spark):
+    df = spark.createDataFrame([(k, float(k % 40), 2.0 * (k % 40)) for k in range(200)], "id long, x double, y double")
+    model = G.fit_linear_regression(df, "y", ["x"], key=["id"], deduplicate=True)
+    assert model.split.train_rows + model.split.test_rows == 40
+    # The aggregate of the deduplication is not part of the model's scans.
+    assert "HashAggregate" not in model.predictions()._jdf.queryExecution().executedPlan().toString()
+    assert model.metrics().first()["r2"] == 1.0
+    model.release()
