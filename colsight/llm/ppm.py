@@ -92,9 +92,10 @@ def fit(labelled: DataFrame, order: int = ORDER, fit_bytes: int = FIT_BYTES, cel
     place = lambda k: F.pmod(F.xxhash64(digest, k, F.lit(17)), F.lit(1 << 30)) / (1 << 30)
     numbers = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / PIECE_CHARS).cast("int"))
     chosen = F.filter(numbers, lambda k: place(k) < F.col("share"))
-    pieces = labelled.where(F.length("text") > 0).join(F.broadcast(sizes), "lang")  # a row a language
-    pieces = pieces.select("lang", digest.alias("digest"), F.explode(chosen).alias("k"), "text")
-    sample = pieces.select("lang", "digest", "k", F.substring(F.col("text"), F.col("k") * PIECE_CHARS + 1, F.lit(PIECE_CHARS)).alias("text"))
+    # Pieces are cut before rows are made of them, so a long text is not copied for each.
+    cut = F.transform(chosen, lambda k: F.struct(k.alias("k"), F.substring(F.col("text"), k * PIECE_CHARS + 1, F.lit(PIECE_CHARS)).alias("text")))
+    sample = labelled.where(F.length("text") > 0).join(F.broadcast(sizes), "lang")  # a row a language
+    sample = sample.select("lang", digest.alias("digest"), F.inline(cut))
     sample = sample.dropDuplicates(["lang", "digest", "k"])
     rows = count_followers(sample, order).where((F.octet_length("gram") <= 2) | (F.col("n") >= 2)).collect()  # of the bounded sample
     counts: dict[str, dict[bytes, dict[int, int]]] = defaultdict(lambda: defaultdict(dict))

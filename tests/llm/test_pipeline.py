@@ -3,6 +3,7 @@ from collections import Counter
 import corpus_pipeline
 import pytest
 from oracle import connect
+from pyspark.sql import functions as F
 from test_neardup import brute_classes
 from test_tokens import expected
 
@@ -87,3 +88,28 @@ def test_token_files_hold_the_mix(stages):
 def test_run_gives_the_same_rows_again(spark):
     first = sorted(map(tuple, corpus_pipeline.run(spark, SF).collect()))
     assert first and first == sorted(map(tuple, corpus_pipeline.run(spark, SF).collect()))
+
+
+def test_other_columns_of_any_name_and_long_texts_pass_all_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    long = docs.limit(1).withColumns({"doc_id": F.lit(900009).cast("long"), "text": F.repeat(F.lit("some words of a long text, "), 40_000)})
+    docs = docs.unionByName(long)
+    clashing = ["row", "size", "tid", "h", "k", "keys", "label", "id", "digest", "lang_pred", "score", "ids", "start"]
+    docs = docs.select("*", *[F.lit(f"<{name}>").alias(name) for name in clashing])
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{name}")
+        out = spark.read.parquet(f"{tmp_path}/{name}")
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == docs.columns
+            assert out.where(" OR ".join(f"`{c}` <> '<{c}>' OR `{c}` IS NULL" for c in clashing)).count() == 0 < out.count()
+            # The mix may take a part of it.
+            assert name == "mixing" or out.where("length(text) > 1000000").count() == 1
+        docs = out
+
+
+def test_an_empty_table_passes_all_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.count() == 0
