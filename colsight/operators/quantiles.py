@@ -80,7 +80,8 @@ def column_quantiles(
         summaries = state.summaries if state else []
     points = _interval_points(probabilities)
     groups = {(i,): (s.n, s.quantiles(points)) for i, s in enumerate(summaries) if s.n}
-    with _WholeColumns(numbers(df, columns), max([0, *(n for n, _ in groups.values())])) as source:
+    cells = numbers(df, columns).toDF(*[f"c{k}" for k in range(len(columns))])
+    with _WholeColumns(cells, max([0, *(n for n, _ in groups.values())])) as source:
         found = _select(source, groups, probabilities, interval_rows)
     return {columns[key[0]]: values for key, values in found.items()}
 

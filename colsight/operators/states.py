@@ -217,7 +217,7 @@ def column_states(df: DataFrame, columns: Sequence[str], pairs: bool = False, sk
             yield _packed(state)
 
     schema = "key bigint, state binary"
-    states = numbers(df, columns).mapInArrow(fold, schema)
+    states = numbers(df, columns).toDF(*[f"c{k}" for k in range(width)]).mapInArrow(fold, schema)
     merged = states.repartition("key").mapInArrow(merge, schema).repartition(1).mapInArrow(merge, schema)
     row = merged.first()
     return None if row is None else pickle.loads(row["state"])
