@@ -6,16 +6,17 @@ in the parts described below. Those seen LEAST times or more are kept, at every
 The kept n-grams are dealt to parts by the middle word of three: a part holds the triples around its words, their contexts
 and all followers of its words, with the counts of all words in these. So whatever a token needs, given the two before it,
 lies in one part. A word with more than a part's share of the tokens is spread over several by the word before it, and its
-followers go to each of these. The number of parts grows with the corpus, and each becomes a trie on an executor, where its levels
-are memory-mapped. Training texts send their tokens to be counted, and all texts their look-ups, in blocks, one a chunk and
+followers go to each of these. A pair of two such words may fill a part by itself: it is counted in several by its third word
+(and summed), looked up in several by turns, and its triples go to each of these. The number of parts grows with the corpus, and each becomes a trie on an executor, where its levels
+are memory-mapped. Training texts send counts of their triples, and all texts their look-ups, in blocks, one a chunk and
 part; sums come back by the hash of a text's words.
 
 A level keeps, for each context in order, the ids of its followers. Pointers to the followers' ranges are monotone,
 and so are the ids once each range is lifted by the last value before it; both are Elias-Fano coded. A follower is
 found by a successor search relative to its context: the lifted id's high part names a bucket, the low parts in it
 are compared. Probabilities are discounted by DISCOUNT, backoff weights make each context sum to one, and both are
-quantised to LEVELS levels a part. The lowest order is the add-one-half unigram model over all words: the counts of words with a
-share SHARE of all tokens, at most 1 / SHARE, are sent to the tasks, those of all others are joined.
+quantised to LEVELS levels a part. The lowest order is the add-one-half unigram model over all words: the counts of the most
+frequent words, at most 1 / SHARE, are sent to the tasks, where blocks name these words by number; those of all others are joined.
 
 Defined cases: null and empty texts are the end token alone; a null doc_id counts as the text `null` in the fold;
 rows that share a doc_id are scored one by one; without training documents all counts are 0; an empty table gives an
@@ -28,12 +29,12 @@ import json
 import mmap
 import tempfile
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -256,20 +257,6 @@ class Trie:
         return gain
 
 
-class Numbers(dict):
-    """Ids of words by their hashes, remembered within bounds; -1 for others."""
-
-    def __init__(self, words: np.ndarray) -> None:
-        super().__init__()
-        self.of_hash, self.hash = {h: k for k, h in enumerate(words.tolist())}, _hasher()
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        found = self[word] = self.of_hash.get(self.hash(word), -1)
-        return found
-
-
 def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[list[bytes]]]:
     """Tokenised texts, about CHUNK tokens at a time."""
     held, size = [], 0
@@ -284,8 +271,8 @@ def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[lis
         yield held
 
 
-def _numbered(texts: list[list[bytes]], numbers: Numbers, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all tokens, ends included, and where texts begin."""
+def _numbered(texts: list[list[bytes]], numbers: Hashes, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, ends included, and where texts begin."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     ids = np.empty(sizes.sum(), np.int64)
     stops = np.cumsum(sizes)
@@ -296,25 +283,43 @@ def _numbered(texts: list[list[bytes]], numbers: Numbers, end: int) -> tuple[np.
     return ids, stops - sizes
 
 
-def count_grams(training: DataFrame, parts: Parts) -> DataFrame:
+def count_grams(training: DataFrame, parts: Parts, frequent: Broadcast) -> DataFrame:
     """(a, b, c, n) of the pairs (c is null) and triples of word hashes that are seen LEAST times. All that share their first
-    two words meet in one part, so a part counts its own."""
+    two words meet in one part, which counts them; only pairs of two spread words meet in several, and are summed after."""
 
     def count(blocks: pa.Table) -> pa.Table:
-        held = [(np.frombuffer(w.as_py(), np.int64), _unpacked(i.as_py(), n.as_py())[1:]) for w, i, n in zip(*(blocks[c] for c in ("words", "items", "n")))]
+        held = [
+            (_words_of(f.as_py(), r.as_py(), frequent.value), _unpacked(i.as_py(), n.as_py()))
+            for f, r, i, n in zip(*(blocks[c] for c in ("frequent", "rare", "items", "n")))
+        ]
         words = np.unique(np.concatenate([w for w, _ in held]))
-        first, middle, third = np.concatenate([np.append(np.searchsorted(words, w), -1)[three] for w, three in held], axis=1)  # -1: none
+        seen = np.concatenate([items[0] for _, items in held])
+        first, middle, third = np.concatenate([np.append(np.searchsorted(words, w), -1)[items[1:]] for w, items in held], axis=1)  # -1: none
         del held
         after = first >= 0
-        pairs, place, n = np.unique(first[after] << 32 | middle[after], return_inverse=True, return_counts=True)
-        triples, m = np.unique((place << 32 | third[after])[third[after] >= 0], return_counts=True)
+        pairs, place = np.unique(first[after] << 32 | middle[after], return_inverse=True)
+        third, seen = third[after], seen[after]
+        n = np.bincount(place, seen, len(pairs)).astype(np.int64)
+        triples, back = np.unique((place << 32 | third)[third >= 0], return_inverse=True)
+        m = np.bincount(back, seen[third >= 0], len(triples)).astype(np.int64)
         triples, m = triples[m >= LEAST], m[m >= LEAST]
-        contexts, kept, n = pairs[triples >> 32], pairs[n >= LEAST], n[n >= LEAST]
-        keys = np.concatenate([kept, contexts])
-        third = pa.concat_arrays([pa.nulls(len(kept), pa.int64()), pa.array(words[triples & 0xFFFFFFFF])])
-        return pa.table({"a": words[keys >> 32], "b": words[keys & 0xFFFFFFFF], "c": third, "n": np.concatenate([n, m])})
-
-    return blocks_of(training, parts, True).groupBy("part").applyInArrow(count, "a bigint, b bigint, c bigint, n bigint")
+        partial = parts.pair_spreads(words[pairs >> 32], words[pairs & 0xFFFFFFFF]) > 1
+        kept = partial | (n >= LEAST)
+        keys = np.concatenate([pairs[kept], pairs[triples >> 32]])
+        return pa.table({
+            "a": words[keys >> 32],
+            "b": words[keys & 0xFFFFFFFF],
+            "c": pa.concat_arrays([pa.nulls(int(kept.sum()), pa.int64()), pa.array(words[triples & 0xFFFFFFFF])]),
+            "n": np.concatenate([n[kept], m]),
+            "partial": np.concatenate([partial[kept], np.zeros(len(m), bool)]),
+        })
+
+    blocks = blocks_of(training, parts, frequent, True).groupBy("part")
+    counted = stored(blocks.applyInArrow(count, "a bigint, b bigint, c bigint, n bigint, partial boolean"), "lm-grams", compression="zstd")
+    # Fewer rows than parts for each pair of two of the spread words, which are fewer than parts.
+    summed = counted.where("partial").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    columns = ["a", "b", "c", "n"]
+    return counted.where("NOT partial").select(*columns).unionByName(summed.select("a", "b", F.lit(None).cast("bigint").alias("c"), "n"))
 
 
 @dataclass
@@ -331,9 +336,13 @@ class Parts:
         at = np.minimum(np.searchsorted(self.hot, middle), len(self.hot) - 1)
         return np.where(self.hot[at] == middle, self.spread[at], 1)
 
-    def of(self, first: np.ndarray, middle: np.ndarray) -> np.ndarray:
-        """The part of contexts (first, middle)."""
-        return self.nth(middle, self.mixed(first) % self.spreads(middle))
+    def pair_spreads(self, first: np.ndarray, middle: np.ndarray) -> np.ndarray:
+        """Over how many parts contexts (first, middle) are spread: none is seen more often than its rarer word."""
+        return np.minimum(self.spreads(first), self.spreads(middle))
+
+    def of(self, first: np.ndarray, middle: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """A part of contexts (first, middle), the k-th by turns."""
+        return self.nth(middle, (self.mixed(first) + k % self.pair_spreads(first, middle)) % self.spreads(middle))
 
     def nth(self, middle: np.ndarray, k: np.ndarray) -> np.ndarray:
         return (self.mixed(middle) + k) % self.n
@@ -355,18 +364,21 @@ def dealt(grams: DataFrame, words: DataFrame, parts: Parts) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             first, middle = (np.asarray(batch.column(k)) for k in range(2))
-            own, pair = parts.of(first, middle), np.flatnonzero(np.asarray(batch.column(2).is_null()))
-            spread = parts.spreads(first[pair])
-            ends = np.cumsum(spread)
-            again = np.repeat(pair, spread)
-            k = np.arange(len(again)) - np.repeat(ends - spread, spread)
-            of = np.concatenate([own, parts.nth(first[again], k)])
-            taken = batch.take(pa.array(np.concatenate([np.arange(len(own)), again])))
+            pair = np.flatnonzero(np.asarray(batch.column(2).is_null()))
+            own, k = _repeated(np.arange(len(first)), parts.pair_spreads(first, middle))
+            follower, turn = _repeated(pair, parts.spreads(first[pair]))
+            of = np.concatenate([parts.of(first[own], middle[own], k), parts.nth(first[follower], turn)])
+            taken = batch.take(pa.array(np.concatenate([own, follower])))
             yield pa.RecordBatch.from_arrays([pa.array(of), *taken.columns], names=["part", *columns])
 
     return rows.mapInArrow(deal, "part bigint, a bigint, b bigint, c bigint, n bigint, n_a bigint, n_b bigint")
 
 
+def _repeated(rows: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row that many times, and which of them it is."""
+    return np.repeat(rows, times), np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+
+
 def part_counts(model: pa.Table, n_tokens: int, n_types: int) -> Counts:
     """The rows of a part as Counts."""
     is_pair = model["c"].is_null()
@@ -384,14 +396,39 @@ def part_counts(model: pa.Table, n_tokens: int, n_types: int) -> Counts:
 
 
 def _packed(columns: list[np.ndarray]) -> bytes:
-    """Columns of small numbers, equal bytes of them together, compressed."""
-    data = np.concatenate([c.astype(np.int32) for c in columns])
-    return pa.compress(data.view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+    """Columns of small numbers, the third sorted and sent as steps, equal bytes of them together, compressed."""
+    columns = [*columns[:2], np.diff(columns[2], prepend=0), *columns[3:]]
+    return _planes(np.concatenate(columns))
 
 
 def _unpacked(data: bytes, n: int) -> np.ndarray:
-    raw = pa.decompress(data, 16 * n, "zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.int32).reshape(4, n).astype(np.int64)
+    columns = _from_planes(data, 4 * n).reshape(4, n)
+    columns[2] = np.cumsum(columns[2])
+    return columns
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    return pa.compress(numbers.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def _from_planes(data: bytes, n: int) -> np.ndarray:
+    raw = pa.decompress(data, 4 * n, "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.int32).reshape(-1).astype(np.int64)
+
+
+def _places(words: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Numbers of words among the frequent ones (sorted), -1 for others."""
+    if not len(frequent):
+        return np.full(len(words), -1, np.int64)
+    at = np.minimum(np.searchsorted(frequent, words), len(frequent) - 1)
+    return np.where(frequent[at] == words, at, -1)
+
+
+def _words_of(steps: bytes, rare: bytes, frequent: np.ndarray) -> np.ndarray:
+    """The sorted words of a block: steps between numbers of frequent ones, and hashes of others."""
+    n = int.from_bytes(steps[:4], "little")
+    known = frequent[np.cumsum(_from_planes(steps[4:], n))] if n else np.zeros(0, np.int64)
+    return np.sort(np.concatenate([known, np.frombuffer(rare, np.int64)]))
 
 
 def _key_of(words: list[bytes]) -> int:
@@ -402,46 +439,79 @@ def _key_of(words: list[bytes]) -> int:
     return found - (found >> 63 << 64)
 
 
-def blocks_of(texts: DataFrame, parts: Parts, training: bool) -> DataFrame:
+def _order(columns: Sequence[np.ndarray], width: int) -> np.ndarray:
+    """The order by columns of numbers from -1 to width - 2, the first column first."""
+    if width >= 1 << 20:
+        return np.lexsort(tuple(reversed(columns)))
+    key = np.zeros(len(columns[0]), np.int64)
+    for column in columns:
+        key = key * width + (column + 1)
+    return np.argsort(key)
+
+
+def blocks_of(texts: DataFrame, parts: Parts, frequent: Broadcast, training: bool) -> DataFrame:
     """Blocks of tokens by part, each with the tokens before and after it, one a chunk and part. Those of training texts have
-    all tokens, others those that one follows, with their documents."""
+    all tokens, equal ones as one with their number, others those that one follows, with their documents."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for texts in _chunks(batches, 0):
             tokens, begins = _numbered(texts, hashes, END)
             keys = np.fromiter(map(_key_of, [] if training else texts), np.int64)
-            row = np.repeat(np.arange(len(texts)), np.diff(np.append(begins, len(tokens))))
-            words, ids = np.unique(tokens, return_inverse=True)
-            ids = ids.astype(np.int32)
-            first, third = np.append(np.int32(-1), ids[:-1]), np.append(ids[1:], np.int32(-1))
+            lead = np.repeat(np.arange(len(texts)), np.diff(np.append(begins, len(tokens))))
+            words, middle = np.unique(tokens, return_inverse=True)
+            places = _places(words, frequent.value)
+            first, third = np.append(-1, middle[:-1]), np.append(middle[1:], -1)
             first[begins] = -1
             third[begins[1:] - 1] = -1
-            at = np.arange(len(ids)) if training else np.flatnonzero(third >= 0)
-            part = parts.of(np.where(first[at] >= 0, words[first[at]], 0), words[ids[at]])
-            order = np.lexsort((third[at], first[at], ids[at], part))
-            at, part = at[order], part[order]
-            items = np.stack([np.zeros_like(at) if training else row[at], first[at], ids[at], third[at]])
+            if not training:
+                asking = third >= 0
+                lead, first, middle, third = lead[asking], first[asking], middle[asking], third[asking]
+            order = _order((middle, first, third), len(words) + 1)
+            lead, first, middle, third = lead[order], first[order], middle[order], third[order]
+            if training:
+                new = np.flatnonzero(np.concatenate([[True], (np.diff(middle) != 0) | (np.diff(first) != 0) | (np.diff(third) != 0)]))
+                lead = np.diff(np.append(new, len(middle)))
+                first, middle, third = first[new], middle[new], third[new]
+            hash_of = np.append(words, 0)  # the last stands for none
+            turn = Parts.mixed(hash_of[third]) if training else np.arange(len(middle))
+            part = parts.of(hash_of[first], hash_of[middle], turn)
+            order = np.argsort(part, kind="stable")
+            items, part = np.stack([lead, first, middle, third])[:, order], part[order]
             cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, np.int64)
             for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 mine = items[:, begin:end]
                 used, back = np.unique(mine[1:], return_inverse=True)
                 none = int(used[0] < 0)
-                rows, of = np.unique(mine[0], return_inverse=True)
-                known = b"" if training else keys[rows].tobytes()
-                values = part[begin], end - begin, words[used[none:]].tobytes(), known, _packed([of, *(back.reshape(3, -1) - none)])
+                used = used[none:]
+                known = places[used]
+                found = known[known >= 0]
+                steps = len(found).to_bytes(4, "little") + _planes(np.diff(found, prepend=0))
+                documents, of = (np.zeros(0, np.int64), mine[0]) if training else np.unique(mine[0], return_inverse=True)
+                packed = _packed([of, *(back.reshape(3, -1) - none)])
+                values = part[begin], end - begin, steps, words[used[known < 0]].tobytes(), keys[documents].tobytes(), packed
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([v], kind) for v, kind in zip(values, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
-                    names=["part", "n", "words", "keys", "items"],
+                    [pa.array([v], pa.int64() if k < 2 else pa.binary()) for k, v in enumerate(values)],
+                    names=["part", "n", "frequent", "rare", "keys", "items"],
                 )
 
-    return texts.mapInArrow(deal, "part bigint, n bigint, words binary, keys binary, items binary")
-
-
-def _kept(counted: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, sorted, and counts of the rows with the least count: at most 1 / SHARE."""
-    rows = counted.where(F.col("n") >= least).toArrow()
-    keys, n = np.asarray(rows["key"]).astype(np.int64), np.asarray(rows["n"]).astype(np.int64)
+    return texts.mapInArrow(deal, "part bigint, n bigint, frequent binary, rare binary, keys binary, items binary")
+
+
+def frequent_words(words: DataFrame, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of the words with a count from some least one on, at most that many."""
+    # A row for each quarter of an octave of counts.
+    octave = F.floor(F.log2(F.col("n").cast("double")) * 4)
+    least, total = None, 0
+    for level, n in sorted(words.where("n > 1").groupBy(octave.alias("level")).agg(F.count(F.lit(1))).collect(), reverse=True):
+        total += n
+        if total > most:
+            break
+        least = level
+    if least is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    rows = words.where((F.col("n") > 1) & (octave >= least)).toArrow()
+    keys, n = np.asarray(rows["hash"]).astype(np.int64), np.asarray(rows["n"]).astype(np.int64)
     order = np.argsort(keys)
     return keys[order], n[order]
 
@@ -473,81 +543,82 @@ def count_words(training: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """Numbers of tokens and types, words with a share SHARE and their counts, kept n-grams by part."""
+    """Numbers of tokens and types, the frequent words and their counts, kept n-grams by part."""
 
     n_tokens: int
     n_types: int
     words: np.ndarray
     word_counts: np.ndarray
     parts: Parts
+    frequent: Broadcast
     grams: DataFrame
 
 
 def count_ngrams(training: DataFrame, share: float = SHARE, part_tokens: int = PART_TOKENS) -> tuple[Model, DataFrame]:
-    """The model of the training texts, and the table (hash, n) of all words. `share` only says which counts of words are
-    sent and which are joined."""
+    """The model of the training texts, and the table (hash, n) of all words. `share` only says how many counts of words are
+    sent; the others are joined."""
     training = training.select(F.col("text").cast("binary").alias("text"))
     words = stored(count_words(training), "lm-words")
     n_types, n_tokens = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    hashes, word_counts = _kept(words.select(F.col("hash").alias("key"), "n"), max(2.0, share * n_tokens))
+    hashes, word_counts = frequent_words(words, 1 / share)
+    frequent = training.sparkSession.sparkContext.broadcast(hashes)
     n_parts = max(1, -(-n_tokens // part_tokens))
     often = sorted((r.hash, -(-r.n * n_parts // n_tokens)) for r in words.where(F.col("n") * n_parts > n_tokens).collect())  # fewer than parts
     parts = Parts(n_parts, np.array([h for h, _ in often], np.int64), np.array([k for _, k in often], np.int64))
-    grams = stored(count_grams(training, parts), "lm-grams", compression="zstd")
-    return Model(n_tokens, n_types, hashes.view(np.uint64), word_counts, parts, dealt(grams, words, parts)), words
+    grams = count_grams(training, parts, frequent)
+    return Model(n_tokens, n_types, hashes, word_counts, parts, frequent, dealt(grams, words, parts)), words
 
 
 def score(docs: DataFrame, counts: Model, words: DataFrame) -> DataFrame:
     """docs (doc_id, text): doc_id, n_tokens, n_known, base_score, score."""
-    n_tokens, n_types, levels = counts.n_tokens, counts.n_types, LEVELS
+    n_tokens, n_types, levels, frequent = counts.n_tokens, counts.n_types, LEVELS, counts.frequent
     texts = docs.select(F.col("text").cast("binary").alias("text"))
 
     def answer(model: pa.Table, asked: pa.Table) -> pa.Table:
         trie = Trie(build_trie(part_counts(model, n_tokens, n_types), levels))
         found = []
-        for n, words_, keys, items in zip(*(asked[c] for c in ("n", "words", "keys", "items"))):
-            here = np.frombuffer(words_.as_py(), np.int64)
-            at = np.minimum(np.searchsorted(trie.words, here), len(trie.words) - 1)
-            ids = np.append(np.where(trie.words[at] == here, at, -1) if len(trie.words) else np.full(len(here), -1), -1)  # the last stands for none
+        for n, steps, rare, keys, items in zip(*(asked[c] for c in ("n", "frequent", "rare", "keys", "items"))):
+            ids = np.append(_places(_words_of(steps.as_py(), rare.as_py(), frequent.value), trie.words), -1)  # the last stands for none
             row, *three = _unpacked(items.as_py(), n.as_py())
+            three = ids[np.stack(three)]
+            # Equal look-ups follow each other.
+            new = np.flatnonzero(np.append(True, (np.diff(three) != 0).any(axis=0)))
+            gain = np.repeat(trie.gain(*three[:, new]), np.diff(np.append(new, len(row))))
             keys = np.frombuffer(keys.as_py(), np.int64)
-            found.append((keys, np.bincount(row, trie.gain(*(ids[k] for k in three)), len(keys)), np.bincount(row, minlength=len(keys))))
+            found.append((keys, np.bincount(row, gain, len(keys)), np.bincount(row, minlength=len(keys))))
         keys, gains, ns = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
         once, back = np.unique(keys, return_inverse=True)
         sums = np.bincount(back, gains, len(once)), np.bincount(back, ns, len(once))  # whole numbers if there are none
         return pa.table({"key": once, "gain": sums[0].astype(float), "asked": sums[1].astype(np.int64)})
 
-    asked = blocks_of(texts, counts.parts, False)
+    asked = blocks_of(texts, counts.parts, frequent, False)
     answers = counts.grams.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(answer, "key bigint, gain double, asked bigint")
     # Rows with equal words ask for the same and share their answers.
     gains = answers.groupBy("key").agg((F.sum("gain") / F.sum("asked")).alias("gain"))
-    sent = docs.sparkSession.sparkContext.broadcast((counts.words, unigram(counts.word_counts, n_tokens, n_types)))  # at most 1 / SHARE
+    sent = docs.sparkSession.sparkContext.broadcast(unigram(counts.word_counts, n_tokens, n_types))  # at most 1 / SHARE
     kind = dict(docs.dtypes)["doc_id"]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, p1 = sent.value
-        numbers, row = Numbers(frequent), TaskContext.get().partitionId() << 33
-        end = numbers.of_hash.get(END, -1)
+        p1, hashes, row = sent.value, Hashes(), TaskContext.get().partitionId() << 33
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
                 texts = [tokens_of(t.as_py()) for t in batch.column(1)]
-                ids, begins = _numbered(texts, numbers, end)
-                sizes = np.diff(np.append(begins, len(ids)))
+                tokens, begins = _numbered(texts, hashes, END)
+                sizes = np.diff(np.append(begins, len(tokens)))
+                ids = _places(tokens, frequent.value)
                 known = ids >= 0
                 base = np.where(known, p1[np.maximum(ids, 0)] if len(p1) else 0.0, 0.0)
-                rare = [[numbers.hash(w) for w in words if numbers[w] < 0] + ([END] if end < 0 else []) for words in texts]
-                rare_ends = np.cumsum([len(r) for r in rare])
-                flat = np.fromiter((h for r in rare for h in r), np.uint64, int(rare_ends[-1])).view(np.int64)
+                n_known = np.add.reduceat(known.astype(np.int64), begins)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row + np.arange(len(texts))),
                         batch.column(0),
                         pa.array(sizes),
-                        pa.array(np.add.reduceat(known.astype(np.int64), begins)),
+                        pa.array(n_known),
                         pa.array(np.add.reduceat(base, begins)),
                         pa.array(np.fromiter(map(_key_of, texts), np.int64, len(texts))),
-                        pa.ListArray.from_arrays(pa.array(np.append(0, rare_ends), pa.int32()), pa.array(flat)),
+                        pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes - n_known)), pa.int32()), pa.array(tokens[~known])),
                     ],
                     names=["row", "doc_id", "n_tokens", "n_known", "base_score", "key", "rare"],
                 )

@@ -133,3 +133,31 @@ def test_what_is_kept_does_not_depend_on_the_size_of_the_corpus(spark):
     brute = Brute(few, 2)
     for r in ngrams.score(docs, counts, words).collect():
         assert r.score == pytest.approx(brute.score(texts[r.doc_id]), abs=1e-4 * (r.n_tokens + 5))
+
+
+def test_a_pair_in_half_of_the_tokens_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(ngrams, "CHUNK", 100)
+    texts = [" ".join(f"of the w{(k * j) % 37}" for j in range(20)) for k in range(120)]
+    train = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    docs = spark.createDataFrame([*enumerate(texts), (200, "of the w3 of the new")], "doc_id long, text string")
+    counts, words = ngrams.count_ngrams(train, part_tokens=300)
+    brute = Brute(texts, 2)
+    parts = counts.parts
+    pair = parts.pair_spreads(*(np.array([ngrams.Hashes()[w]], np.int64) for w in (b"of", b"the")))[0]
+    assert parts.n > 20 and pair > 6
+    for training in (True, False):
+        blocks = ngrams.blocks_of(train.selectExpr("cast(text as binary) AS text"), parts, counts.frequent, training)
+        rows = [r["sum(n)"] for r in blocks.groupBy("part").sum("n").collect()]
+        assert max(rows) < sum(rows) / 4
+    for r in ngrams.score(docs, counts, words).collect():
+        text = "of the w3 of the new" if r.doc_id == 200 else texts[r.doc_id]
+        assert r.score == pytest.approx(brute.score(text), abs=1e-4 * (r.n_tokens + 5))
+
+
+def test_frequent_words_are_bounded_and_places_are_found(spark):
+    words = spark.createDataFrame([(k, 1 + 1000 // k) for k in range(1, 2000)], "hash long, n long")
+    keys, n = ngrams.frequent_words(words, 100)
+    assert 50 < len(keys) <= 100 and n.min() > 1 and list(keys) == sorted(keys)
+    assert len(ngrams.frequent_words(words, 0)[0]) == 0
+    asked = np.array([-5, 1, 3, 5000])
+    assert list(ngrams._places(asked, keys)) == [-1, 0, 2, -1]
