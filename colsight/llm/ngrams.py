@@ -284,7 +284,8 @@ def _numbered(texts: list[list[bytes]], numbers: Hashes, end: int) -> tuple[np.n
 
 
 def count_grams(training: DataFrame, parts: Parts, frequent: Broadcast) -> DataFrame:
-    """(a, b, c, n) of the pairs (c is null) and triples of word hashes that are seen LEAST times. All that share their first
+    """(a, b, c, n, rare) of the pairs (c is null) and triples of word hashes that are seen LEAST times; rare: a or b is not a
+    frequent word. All that share their first
     two words meet in one part, which counts them; only pairs of two spread words meet in several, and are summed after."""
 
     def count(blocks: pa.Table) -> pa.Table:
@@ -306,7 +307,9 @@ def count_grams(training: DataFrame, parts: Parts, frequent: Broadcast) -> DataF
         partial = parts.pair_spreads(words[pairs >> 32], words[pairs & 0xFFFFFFFF]) > 1
         kept = partial | (n >= LEAST)
         keys = np.concatenate([pairs[kept], pairs[triples >> 32]])
+        known = _places(words, frequent.value) >= 0
         return pa.table({
+            "rare": ~(known[keys >> 32] & known[keys & 0xFFFFFFFF]),
             "a": words[keys >> 32],
             "b": words[keys & 0xFFFFFFFF],
             "c": pa.concat_arrays([pa.nulls(int(kept.sum()), pa.int64()), pa.array(words[triples & 0xFFFFFFFF])]),
@@ -315,11 +318,11 @@ def count_grams(training: DataFrame, parts: Parts, frequent: Broadcast) -> DataF
         })
 
     blocks = blocks_of(training, parts, frequent, True).groupBy("part")
-    counted = stored(blocks.applyInArrow(count, "a bigint, b bigint, c bigint, n bigint, partial boolean"), "lm-grams", compression="zstd")
+    counted = stored(blocks.applyInArrow(count, "rare boolean, a bigint, b bigint, c bigint, n bigint, partial boolean"), "lm-grams", compression="zstd")
     # Fewer rows than parts for each pair of two of the spread words, which are fewer than parts.
-    summed = counted.where("partial").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
-    columns = ["a", "b", "c", "n"]
-    return counted.where("NOT partial").select(*columns).unionByName(summed.select("a", "b", F.lit(None).cast("bigint").alias("c"), "n"))
+    summed = counted.where("partial").groupBy("a", "b").agg(F.sum("n").alias("n"), F.any_value("rare").alias("rare")).where(F.col("n") >= LEAST)
+    columns = ["a", "b", "c", "n", "rare"]
+    return counted.where("NOT partial").select(*columns).unionByName(summed.select("a", "b", F.lit(None).cast("bigint").alias("c"), "n", "rare"))
 
 
 @dataclass
@@ -352,26 +355,35 @@ class Parts:
         return ((hashes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64)
 
 
-def dealt(grams: DataFrame, words: DataFrame, parts: Parts) -> DataFrame:
-    """(part, a, b, c, n, n_a, n_b): the kept n-grams in each part that needs them, pairs with the counts of their words."""
-    pairs = grams.where(F.col("c").isNull())
-    for side in ("a", "b"):
-        pairs = pairs.join(words.select(F.col("hash").alias(side), F.col("n").alias(f"n_{side}")), side)
+def dealt(grams: DataFrame, words: DataFrame, parts: Parts, frequent: Broadcast) -> DataFrame:
+    """(part, a, b, c, n, n_a, n_b, rare): the kept n-grams in each part that needs them. Frequent words are named by number;
+    bits of `rare` tell which of a, b and c are hashes, and only these have a count."""
     columns = ["a", "b", "c", "n", "n_a", "n_b"]
-    none = F.lit(None).cast("bigint")
-    rows = pairs.select(*columns).unionByName(grams.where(F.col("c").isNotNull()).select("a", "b", "c", "n", none.alias("n_a"), none.alias("n_b")))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first, middle = (np.asarray(batch.column(k)) for k in range(2))
-            pair = np.flatnonzero(np.asarray(batch.column(2).is_null()))
+            hashes = [np.asarray(batch.column(k).fill_null(0)) for k in range(3)]
+            first, middle, _ = hashes
+            is_pair = np.asarray(batch.column(2).is_null())
+            pair = np.flatnonzero(is_pair)
             own, k = _repeated(np.arange(len(first)), parts.pair_spreads(first, middle))
             follower, turn = _repeated(pair, parts.spreads(first[pair]))
             of = np.concatenate([parts.of(first[own], middle[own], k), parts.nth(first[follower], turn)])
-            taken = batch.take(pa.array(np.concatenate([own, follower])))
-            yield pa.RecordBatch.from_arrays([pa.array(of), *taken.columns], names=["part", *columns])
+            places = [_places(h, frequent.value) for h in hashes]
+            coded = [pa.array(np.where(at < 0, h, at), mask=is_pair if k == 2 else None) for k, (at, h) in enumerate(zip(places, hashes))]
+            rare = sum((at < 0).astype(np.int8) << k for k, at in enumerate(places))
+            known = pa.RecordBatch.from_arrays([*coded, *batch.columns[3:], pa.array(rare, pa.int8())], names=[*columns, "rare"])
+            taken = known.take(pa.array(np.concatenate([own, follower])))
+            yield pa.RecordBatch.from_arrays([pa.array(of), *taken.columns], names=["part", *columns, "rare"])
 
-    return rows.mapInArrow(deal, "part bigint, a bigint, b bigint, c bigint, n bigint, n_a bigint, n_b bigint")
+    none = F.lit(None).cast("bigint")
+    asks = F.col("c").isNull() & F.col("rare")
+    pairs = grams.where(asks)
+    for side in ("a", "b"):
+        pairs = pairs.join(words.select(F.col("hash").alias(side), F.col("n").alias(f"n_{side}")), side)
+    others = grams.where(~asks).select("a", "b", "c", "n", none.alias("n_a"), none.alias("n_b"))
+    rows = pairs.select(*columns).unionByName(others)
+    return rows.mapInArrow(deal, "part bigint, a bigint, b bigint, c bigint, n bigint, n_a bigint, n_b bigint, rare tinyint")
 
 
 def _repeated(rows: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -379,17 +391,26 @@ def _repeated(rows: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.repeat(rows, times), np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
 
 
-def part_counts(model: pa.Table, n_tokens: int, n_types: int) -> Counts:
+def part_counts(model: pa.Table, n_tokens: int, n_types: int, frequent: np.ndarray, frequent_counts: np.ndarray) -> Counts:
     """The rows of a part as Counts."""
-    is_pair = model["c"].is_null()
-    pairs, triples = model.filter(is_pair), model.filter(model["c"].is_valid())
-    column = lambda of, name: np.asarray(of[name].combine_chunks()).astype(np.int64)
-    a, b = column(pairs, "a"), column(pairs, "b")
+
+    def column(of: pa.Table, name: str) -> np.ndarray:
+        return np.asarray(of[name].combine_chunks().fill_null(0)).astype(np.int64)
+
+    def hashes(of: pa.Table, k: int) -> np.ndarray:
+        coded, known = column(of, "abc"[k]), (column(of, "rare") >> k & 1) == 0
+        coded[known] = frequent[coded[known]]
+        return coded
+
+    pairs, triples = model.filter(model["c"].is_null()), model.filter(model["c"].is_valid())
+    a, b = hashes(pairs, 0), hashes(pairs, 1)
     words, at = np.unique(np.concatenate([a, b]), return_index=True)
     word_counts = np.concatenate([column(pairs, "n_a"), column(pairs, "n_b")])[at]
+    places = _places(words, frequent)
+    word_counts[places >= 0] = frequent_counts[places[places >= 0]]
     keys, at = np.unique(np.searchsorted(words, a) << 32 | np.searchsorted(words, b), return_index=True)
     counts = column(pairs, "n")[at]
-    a, b, c = (np.searchsorted(words, column(triples, name)) for name in "abc")
+    a, b, c = (np.searchsorted(words, hashes(triples, k)) for k in range(3))
     ids = np.searchsorted(keys, a << 32 | b) << 32 | c
     order = np.argsort(ids)
     return Counts(n_tokens, n_types, words, word_counts, keys, counts, ids[order], column(triples, "n")[order])
@@ -547,10 +568,9 @@ class Model:
 
     n_tokens: int
     n_types: int
-    words: np.ndarray
-    word_counts: np.ndarray
     parts: Parts
     frequent: Broadcast
+    frequent_counts: Broadcast
     grams: DataFrame
 
 
@@ -561,21 +581,21 @@ def count_ngrams(training: DataFrame, share: float = SHARE, part_tokens: int = P
     words = stored(count_words(training), "lm-words")
     n_types, n_tokens = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     hashes, word_counts = frequent_words(words, 1 / share)
-    frequent = training.sparkSession.sparkContext.broadcast(hashes)
+    frequent, frequent_counts = (training.sparkSession.sparkContext.broadcast(x) for x in (hashes, word_counts))  # at most 1 / SHARE
     n_parts = max(1, -(-n_tokens // part_tokens))
     often = sorted((r.hash, -(-r.n * n_parts // n_tokens)) for r in words.where(F.col("n") * n_parts > n_tokens).collect())  # fewer than parts
     parts = Parts(n_parts, np.array([h for h, _ in often], np.int64), np.array([k for _, k in often], np.int64))
     grams = count_grams(training, parts, frequent)
-    return Model(n_tokens, n_types, hashes, word_counts, parts, frequent, dealt(grams, words, parts)), words
+    return Model(n_tokens, n_types, parts, frequent, frequent_counts, dealt(grams, words, parts, frequent)), words
 
 
 def score(docs: DataFrame, counts: Model, words: DataFrame) -> DataFrame:
     """docs (doc_id, text): doc_id, n_tokens, n_known, base_score, score."""
-    n_tokens, n_types, levels, frequent = counts.n_tokens, counts.n_types, LEVELS, counts.frequent
+    n_tokens, n_types, levels, frequent, frequent_counts = counts.n_tokens, counts.n_types, LEVELS, counts.frequent, counts.frequent_counts
     texts = docs.select(F.col("text").cast("binary").alias("text"))
 
     def answer(model: pa.Table, asked: pa.Table) -> pa.Table:
-        trie = Trie(build_trie(part_counts(model, n_tokens, n_types), levels))
+        trie = Trie(build_trie(part_counts(model, n_tokens, n_types, frequent.value, frequent_counts.value), levels))
         found = []
         for n, steps, rare, keys, items in zip(*(asked[c] for c in ("n", "frequent", "rare", "keys", "items"))):
             ids = np.append(_places(_words_of(steps.as_py(), rare.as_py(), frequent.value), trie.words), -1)  # the last stands for none
@@ -595,11 +615,10 @@ def score(docs: DataFrame, counts: Model, words: DataFrame) -> DataFrame:
     answers = counts.grams.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(answer, "key bigint, gain double, asked bigint")
     # Rows with equal words ask for the same and share their answers.
     gains = answers.groupBy("key").agg((F.sum("gain") / F.sum("asked")).alias("gain"))
-    sent = docs.sparkSession.sparkContext.broadcast(unigram(counts.word_counts, n_tokens, n_types))  # at most 1 / SHARE
     kind = dict(docs.dtypes)["doc_id"]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p1, hashes, row = sent.value, Hashes(), TaskContext.get().partitionId() << 33
+        p1, hashes, row = unigram(frequent_counts.value, n_tokens, n_types), Hashes(), TaskContext.get().partitionId() << 33
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)

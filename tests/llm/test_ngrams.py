@@ -128,7 +128,7 @@ def test_what_is_kept_does_not_depend_on_the_size_of_the_corpus(spark):
     assert len(rows) == len(texts)
     for r in rows:
         assert r.score == pytest.approx(brute.score(texts[r.doc_id]), abs=1e-4 * (r.n_tokens + 5))
-    counts, words = ngrams.count_ngrams(train.where("text is null or length(text) < 1000"), part_tokens=20)
+    counts, words = ngrams.count_ngrams(train.where("text is null or length(text) < 1000"), part_tokens=20, share=0.2)
     assert counts.parts.n > 10 and len(counts.parts.hot) > 1
     brute = Brute(few, 2)
     for r in ngrams.score(docs, counts, words).collect():
