@@ -14,7 +14,7 @@ part; sums come back by the hash of a text's words.
 A level keeps, for each context in order, the ids of its followers. Pointers to the followers' ranges are monotone,
 and so are the ids once each range is lifted by the last value before it; both are Elias-Fano coded. A follower is
 found by a successor search relative to its context: the lifted id's high part names a bucket, the low parts in it
-are compared. Probabilities are discounted by DISCOUNT, backoff weights make each context sum to one, and both are
+are halved. Probabilities are discounted by DISCOUNT, backoff weights make each context sum to one, and both are
 quantised to LEVELS levels a part. The lowest order is the add-one-half unigram model over all words: the counts of the most
 frequent words, at most 1 / SHARE, are sent to the tasks, where blocks name these words by number; those of all others are joined.
 
@@ -127,14 +127,17 @@ class EliasFano:
         at = np.maximum(self.starts[high[live]], begin[live])
         stop = np.minimum(self.starts[high[live] + 1], end[live])
         want = value[live] & ((1 << self.width) - 1)
-        while len(live):
-            more = at < stop
-            live, at, stop, want = live[more], at[more], stop[more], want[more]
-            low = self.lows(at)
-            met = low == want
-            place[live[met]] = at[met]
-            further = low < want
-            live, at, stop, want = live[further], at[further] + 1, stop[further], want[further]
+        end = stop.copy()
+        # Low parts ascend within a bucket: halve to the first that is not below.
+        for _ in range(int((stop - at).max(initial=0)).bit_length()):
+            half = (at + stop) >> 1
+            open_ = at < stop
+            below = np.zeros(len(at), bool)
+            below[open_] = self.lows(half[open_]) < want[open_]
+            at, stop = np.where(below, half + 1, at), np.where(open_ & ~below, half, stop)
+        there = np.flatnonzero(at < end)
+        there = there[self.lows(at[there]) == want[there]]
+        place[live[there]] = at[there]
         return place
 
 

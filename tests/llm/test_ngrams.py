@@ -89,6 +89,16 @@ def test_elias_fano_keeps_and_finds_values():
                 assert b <= place < e and values[place] == v
 
 
+def test_successors_in_a_crowded_bucket_are_found():
+    """Many low values beside a far one: nearly all share one high part."""
+    values = np.append(np.arange(0, 60_000, 2), 10**12)
+    coded = ngrams.EliasFano(ngrams.EliasFano.encode(values, "x"), "x")
+    asked = np.arange(60_000)
+    found = coded.find(asked, np.zeros(60_000, np.int64), np.full(60_000, len(values)))
+    assert np.array_equal(found, np.where(asked % 2, -1, asked // 2))
+    assert list(coded.find(asked[:4], np.full(4, 1), np.full(4, 2))) == [-1, -1, 1, -1]
+
+
 def test_levels_are_compact():
     random = np.random.default_rng(1)
     keys = np.unique(random.integers(0, 1000, 60_000) << 32 | random.integers(0, 1000, 60_000))
