@@ -292,17 +292,19 @@ def count_grams(training: DataFrame, parts: Parts, frequent: Broadcast) -> DataF
     two words meet in one part, which counts them; only pairs of two spread words meet in several, and are summed after."""
 
     def count(blocks: pa.Table) -> pa.Table:
-        held = [
-            (_words_of(f.as_py(), r.as_py(), frequent.value), _unpacked(i.as_py(), n.as_py()))
-            for f, r, i, n in zip(*(blocks[c] for c in ("frequent", "rare", "items", "n")))
-        ]
-        words = np.unique(np.concatenate([w for w, _ in held]))
-        seen = np.concatenate([items[0] for _, items in held])
-        first, middle, third = np.concatenate([np.append(np.searchsorted(words, w), -1)[items[1:]] for w, items in held], axis=1)  # -1: none
+        held = [_words_of(f.as_py(), r.as_py(), frequent.value) for f, r in zip(blocks["frequent"], blocks["rare"])]
+        words = np.unique(np.concatenate(held))
+        found = []
+        for own, items, n in zip(held, blocks["items"], blocks["n"]):
+            seen, *three = _unpacked(items.as_py(), n.as_py())
+            of = np.append(np.searchsorted(words, own), -1).astype(np.int32)  # -1: none
+            after = of[three[0]] >= 0
+            found.append(np.stack([seen[after].astype(np.int32), *(of[k[after]] for k in three)]))
         del held
-        after = first >= 0
-        pairs, place = np.unique(first[after] << 32 | middle[after], return_inverse=True)
-        third, seen = third[after], seen[after]
+        seen, first, middle, third = np.concatenate(found, axis=1)
+        del found
+        pairs, place = np.unique(first.astype(np.int64) << 32 | middle, return_inverse=True)
+        del first, middle
         n = np.bincount(place, seen, len(pairs)).astype(np.int64)
         triples, back = np.unique((place << 32 | third)[third >= 0], return_inverse=True)
         m = np.bincount(back, seen[third >= 0], len(triples)).astype(np.int64)
