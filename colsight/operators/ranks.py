@@ -26,6 +26,9 @@ from colsight.functions.shared import kept
 # A value with more than this share of the rows is frequent: there are at most 1 / share of them, sent to all tasks.
 FREQUENT_SHARE = 0.001
 
+# Small buckets make at most so many partitions: a task costs the same however few its rows. More are made only for full ones.
+MOST_SMALL, FULL_BUCKET = 256, 1_000_000
+
 PARTIAL = ("n", "sxx", "syy", "sxy")
 
 
@@ -41,8 +44,10 @@ def in_order(
 
 
 def parts_for(rows: int, bucket_rows: int | None) -> int | None:
-    """Number of partitions for so many rows each; None leaves it to Spark."""
-    return max(1, math.ceil(rows / bucket_rows)) if bucket_rows else None
+    """Number of partitions for so many rows each, or for more where there would be too many; None leaves it to Spark."""
+    if not bucket_rows:
+        return None
+    return max(1, min(math.ceil(rows / bucket_rows), max(MOST_SMALL, math.ceil(rows / FULL_BUCKET))))
 
 
 def _running(width: int) -> Callable[[Iterator[pa.RecordBatch], int], Iterator[pa.RecordBatch]]:

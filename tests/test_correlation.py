@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from colsight.errors import DatasetError
 from colsight.operators import correlation as C
+from colsight.operators.ranks import FULL_BUCKET, MOST_SMALL, parts_for
 
 
 def pairs(df, **kw):
@@ -96,6 +97,13 @@ def test_spearman_matches_pandas(spark, bucket_rows):
     check(df.select("a", "hot", "small", "gaps"), pdf[["a", "hot", "small", "gaps"]], "spearman")
 
 
+def test_partitions_of_small_buckets_do_not_grow_with_the_rows():
+    assert parts_for(10, None) is None and parts_for(0, 100) == 1
+    assert [parts_for(n, 100) for n in (1000, 10**6, 10**7)] == [10, MOST_SMALL, MOST_SMALL]
+    assert [parts_for(n, 500) for n in (72 * 10**6, 432 * 10**6)] == [MOST_SMALL, 432]
+    assert parts_for(10**9, 10 * FULL_BUCKET) == 100
+
+
 def test_spearman_of_pairs_with_gaps_of_their_own(spark):
     rng = np.random.default_rng(5)
     pdf = pd.DataFrame({f"c{k}": rng.integers(0, 40, 900).astype(float) for k in range(5)})
