@@ -181,7 +181,7 @@ def date_coverage(df: DataFrame, date: str, bucket_rows: int | None = None) -> D
     """One row: different dates or times, first and last, days between, median gap in seconds.
 
     Different times are sorted by ranges; the gap across two ranges comes from their ends. ``bucket_rows`` sets how many
-    rows a range has; without it that is left to Spark.
+    rows a range has, unless that makes too many ranges; without it that is left to Spark.
     """
     day_only = isinstance(df.schema[date].dataType, T.DateType)
     if day_only:

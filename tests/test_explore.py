@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from colsight.errors import DatasetError
 from colsight.operators import explore as E
+from colsight.operators.ranks import MOST_SMALL, in_order
 
 
 @pytest.fixture(scope="module")
@@ -92,6 +93,15 @@ def test_date_coverage(spark, bucket_rows):
         E.date_coverage(df.limit(0), "t")
 
 
+def test_small_ranges_of_many_dates_stay_few(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(E, "in_order", lambda *given: asked.append(given[-1]) or in_order(*given[:-1], 3))
+    df = spark.range(60_000).select(F.timestamp_seconds(F.col("id") * 7).cast("timestamp_ntz").alias("t"))
+    got = E.date_coverage(df, "t", 100).first()
+    assert asked == [MOST_SMALL]
+    assert (got["unique_observations"], got["median_spacing_seconds"]) == (60_000, 7.0)
+
+
 def test_categories(sales):
     pdf, df = sales
     counts = pdf.store.value_counts()
