@@ -19,6 +19,7 @@ rows are scored alike. Columns besides the named ones are not read.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
@@ -35,6 +36,8 @@ from colsight.llm.common import table
 ORDER = 4
 FIT_BYTES = 200_000
 PIECE_CHARS = 512
+#: Bytes of a language's sample that a task counts: memory only.
+PART_BYTES = 1_000_000
 CELLS = 6_000_000
 FOLDS, HELD_OUT = 5, 0
 UNKNOWN = "und"
@@ -60,26 +63,37 @@ def _grams(text: bytes, order: int) -> Iterator[bytes]:
         yield from (text[k : k + n + 1] for k in range(len(text) - n))
 
 
-def count_followers(sample: DataFrame, order: int) -> DataFrame:
-    """(lang, context, follower, n) of the sample's (lang, text)."""
+def count_in_tasks(sample: DataFrame, order: int, parts: int) -> DataFrame:
+    """(lang, gram, n): counts of the tasks, to be summed. Each language is in at most `parts` tasks, however many the sample came from."""
+
+    def counted(lang: str, of: dict[bytes, int]) -> pa.RecordBatch:
+        grams = list(of)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(grams)), pa.array(grams, pa.binary()), pa.array(list(of.values()), pa.int64())],
+            names=["lang", "gram", "n"],
+        )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, dict[bytes, int]] = defaultdict(lambda: defaultdict(int))
+        last, of = None, defaultdict(int)
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                of = counts[lang]
+                if lang != last and of:
+                    yield counted(last, of)
+                    of = defaultdict(int)
+                last = lang
                 for gram in _grams(text, order):
                     of[gram] += 1
-        for lang, of in counts.items():
-            grams = list(of)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(grams)), pa.array(grams, pa.binary()), pa.array(list(of.values()), pa.int64())],
-                names=["lang", "gram", "n"],
-            )
+        if of:
+            yield counted(last, of)
 
     rows = sample.select("lang", F.col("text").cast("binary").alias("text"))
-    counted = rows.mapInArrow(count, "lang string, gram binary, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    return counted
+    dealt = rows.repartition("lang", F.pmod(F.xxhash64("text"), F.lit(parts))).sortWithinPartitions("lang")
+    return dealt.mapInArrow(count, "lang string, gram binary, n bigint")
+
+
+def count_followers(sample: DataFrame, order: int, parts: int = 1) -> DataFrame:
+    """(lang, gram, n) of the sample's (lang, text)."""
+    return count_in_tasks(sample, order, parts).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def fit(labelled: DataFrame, order: int = ORDER, fit_bytes: int = FIT_BYTES, cells: int = CELLS) -> Model:
@@ -97,7 +111,8 @@ def fit(labelled: DataFrame, order: int = ORDER, fit_bytes: int = FIT_BYTES, cel
     sample = labelled.where(F.length("text") > 0).join(F.broadcast(sizes), "lang")  # a row a language
     sample = sample.select("lang", digest.alias("digest"), F.inline(cut))
     sample = sample.dropDuplicates(["lang", "digest", "k"])
-    rows = count_followers(sample, order).where((F.octet_length("gram") <= 2) | (F.col("n") >= 2)).collect()  # of the bounded sample
+    parts = max(1, math.ceil(fit_bytes / PART_BYTES))
+    rows = count_followers(sample, order, parts).where((F.octet_length("gram") <= 2) | (F.col("n") >= 2)).collect()  # of the bounded sample
     counts: dict[str, dict[bytes, dict[int, int]]] = defaultdict(lambda: defaultdict(dict))
     for lang, gram, n in rows:
         gram = bytes(gram)

@@ -2,7 +2,7 @@ import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -118,3 +118,13 @@ def test_one_long_document_is_learned_within_the_bound(spark):
     assert model.languages == ["de", "en", "fr"]
     asked = spark.createDataFrame([("der schnelle fuchs",), ("the brown fox",), ("le renard saute",)], "text string")
     assert [r.lang_pred for r in ppm.predict(asked, model, ["text"]).collect()] == ["de", "en", "fr"]
+
+
+def test_counts_of_tasks_do_not_grow_with_the_partitions(spark):
+    texts = [(lang, f"{word} {k % 5} und so weiter") for lang in ("de", "en", "fr") for k, word in enumerate(["haus", "baum"] * 60)]
+    wanted = Counter((lang, gram) for lang, text in texts for gram in ppm._grams(text.encode(), 4))
+    sample = spark.createDataFrame(texts, "lang string, text string").repartition(40)
+    assert ppm.count_in_tasks(sample, 4, 1).count() == len(wanted)
+    for parts in (1, 7):
+        rows = ppm.count_followers(sample, 4, parts).collect()
+        assert {(lang, bytes(gram)): n for lang, gram, n in rows} == wanted
