@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -117,22 +119,27 @@ def _rank_sums(cells: DataFrame, ranks: DataFrame, gappy: Sequence[int], rows: i
     names = cells.columns
     # One row per column: the rows of each of its pairs, and whether it has frequent values.
     often = F.col("n0") > rows * FREQUENT_SHARE
-    totals = ranks.groupBy("position").agg(F.count_if(often).alias("often"), *[F.sum(f"n{k}").alias(f"n{k}") for k in range(1 + len(gappy))])
+    totals = ranks.groupBy("position").agg(F.count_if(often).alias("often"), F.count_if(~often).alias("rare"), *[F.sum(f"n{k}").alias(f"n{k}") for k in range(1 + len(gappy))])
     total = {r["position"]: r for r in totals.collect()}
     given = {g: k for k, g in enumerate(gappy, 1)}
     partners = [sorted({given.get(j, 0) for j in range(len(names)) if j != i}) for i in range(len(names))]
     listed = [f"r{i}_{k}" for i, wanted in enumerate(partners) for k in wanted]
     centres = [((total[i][f"n{k}"] if i in total else 0) + 1) / 2 for i, wanted in enumerate(partners) for k in wanted]
 
-    # Frequent values are looked up in each task; a row that has no others is done, and not joined again.
-    looked, done = cells, F.lit(True)
+    # Frequent values are looked up in each task; a row that has no others is done, and not joined again. What is left of
+    # a row shrinks as it goes from join to join: the ranks found, and the cells that are still to be looked up.
+    looked, found = cells, []
     for i, wanted in enumerate(partners):
         frequent = ranks.where((F.col("position") == i) & often).select(F.col("value").alias(f"v{i}"), *[F.col(f"r{k}").alias(f"r{i}_{k}") for k in wanted])
         looked = looked.join(F.broadcast(frequent), F.col(f"c{i}") == F.col(f"v{i}"), "left")
-        done = done & (F.col(f"v{i}").isNotNull() | F.col(f"c{i}").isNull())
+        found += [f"r{i}_{k}" for k in wanted]
+    open_ = [i for i in range(len(names)) if i in total and total[i]["rare"]]
+    cell = lambda i: F.when(F.col(f"v{i}").isNull(), F.col(f"c{i}")).alias(f"c{i}")
+    looked = looked.select(*found, *[cell(i) for i in open_])
+    done = reduce(and_, [F.col(f"c{i}").isNull() for i in open_], F.lit(True))
     ranked = looked.where(~done)
-    for i, wanted in enumerate(partners):
-        ranked = _attach(ranked, ranks.where((F.col("position") == i) & ~often), i, wanted, cells.columns)
+    for i in open_:
+        ranked = _attach(ranked, ranks.where((F.col("position") == i) & ~often), i, partners[i])
     ranked = ranked.select(*listed)
     if all(k in given or (k in total and total[k]["often"]) for k in range(len(names))):
         ranked = ranked.unionByName(looked.where(done).select(*listed))
@@ -145,18 +152,18 @@ def _rank_sums(cells: DataFrame, ranks: DataFrame, gappy: Sequence[int], rows: i
     return sums.groupBy("i", "j").agg(*[F.sum(p).alias(p) for p in PARTIAL])
 
 
-def _attach(rows: DataFrame, ranks: DataFrame, position: int, wanted: Sequence[int], cells: Sequence[str]) -> DataFrame:
-    """Fills in the ranks of a column's values that are not frequent.
+def _attach(rows: DataFrame, ranks: DataFrame, position: int, wanted: Sequence[int]) -> DataFrame:
+    """Fills in the ranks of a column's values that are not frequent, and drops its cells.
 
-    Cells without such a value meet nothing. They are spread by the whole row, of which there are few copies: at least one of its values is not frequent.
+    Rows without such a cell meet nothing. They are spread by all they hold, of which there are few copies: at least one of their values is not frequent.
     """
     cell = F.col(f"c{position}")
     found = ranks.select(F.col("value").alias("_value"), F.lit(0).cast("long").alias("_spread"), *[F.col(f"r{k}").alias(f"_r{k}") for k in wanted])
-    idle = cell.isNull() | F.col(f"v{position}").isNotNull()
-    keyed = rows.withColumns({"_key": F.when(~idle, cell), "_salt": F.when(idle, F.xxhash64(*cells)).otherwise(F.lit(0).cast("long"))})
-    joined = keyed.join(found, (F.col("_key") == F.col("_value")) & (F.col("_salt") == F.col("_spread")), "left")
+    salt = F.when(cell.isNull(), F.xxhash64(*rows.columns)).otherwise(F.lit(0).cast("long"))
+    keyed = rows.withColumn("_salt", salt)
+    joined = keyed.join(found, (cell == F.col("_value")) & (F.col("_salt") == F.col("_spread")), "left")
     filled = {f"r{position}_{k}": F.coalesce(f"r{position}_{k}", f"_r{k}") for k in wanted}
-    return joined.select(*[filled[c].alias(c) if c in filled else c for c in rows.columns])
+    return joined.select(*[filled[c].alias(c) if c in filled else c for c in rows.columns if c != f"c{position}"])
 
 
 def _pair_sums(pairs: Sequence[tuple[int, int, int, int]], centres: Sequence[float]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colsight.errors import DatasetError
-from colsight.operators import correlation as C
+from colsight.operators import correlation as C, ranks
 from colsight.operators.ranks import FULL_BUCKET, MOST_SMALL, parts_for
 
 
@@ -104,6 +104,17 @@ def test_partitions_of_small_buckets_do_not_grow_with_the_rows():
     assert parts_for(10**9, 10 * FULL_BUCKET) == 100
 
 
+def test_rows_shrink_from_join_to_join(spark, monkeypatch):
+    joined = []
+    attach = ranks._attach
+    monkeypatch.setattr(ranks, "_attach", lambda rows, *given: joined.append(rows.columns) or attach(rows, *given))
+    n = np.arange(4000)
+    pdf = pd.DataFrame({"a": n * 7 % 4001, "few": n % 3, "b": n * 11 % 4001, "hot": np.where(n % 2, 5, n)}).astype(float)
+    check(spark.createDataFrame(pdf), pdf, "spearman")
+    found = ["r0_0", "r1_0", "r2_0", "r3_0"]
+    assert joined == [found + ["c0", "c2", "c3"], found + ["c2", "c3"], found + ["c3"]]
+
+
 def test_spearman_of_pairs_with_gaps_of_their_own(spark):
     rng = np.random.default_rng(5)
     pdf = pd.DataFrame({f"c{k}": rng.integers(0, 40, 900).astype(float) for k in range(5)})
