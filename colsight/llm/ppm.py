@@ -112,11 +112,12 @@ def fit(labelled: DataFrame, order: int = ORDER, fit_bytes: int = FIT_BYTES, cel
     sample = sample.select("lang", digest.alias("digest"), F.inline(cut))
     sample = sample.dropDuplicates(["lang", "digest", "k"])
     parts = max(1, math.ceil(fit_bytes / PART_BYTES))
-    rows = count_followers(sample, order, parts).where((F.octet_length("gram") <= 2) | (F.col("n") >= 2)).collect()  # of the bounded sample
+    rows = count_followers(sample, order, parts).where((F.octet_length("gram") <= 2) | (F.col("n") >= 2)).toArrow()  # of the bounded sample
     counts: dict[str, dict[bytes, dict[int, int]]] = defaultdict(lambda: defaultdict(dict))
-    for lang, gram, n in rows:
-        gram = bytes(gram)
-        counts[lang][gram[:-1]][gram[-1]] = n
+    for batch in rows.to_batches():
+        for lang, gram, n in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            counts[lang][gram[:-1]][gram[-1]] = n
+    del rows
     return build(counts, order, cells)
 
 

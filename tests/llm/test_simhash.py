@@ -6,7 +6,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from colsight.llm import components as components_module
 from colsight.llm import simhash
+from colsight.llm.common import stored
 from colsight.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -153,3 +155,22 @@ def test_components(spark):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_components_of_few_edges_are_found_in_one_task(spark, monkeypatch):
+    """A long path: rounds of contraction and the one task agree, and few edges take no rounds."""
+    edges = [(f"n{k}".encode(), f"n{k + 1}".encode()) for k in range(200) if k % 50 != 9]
+    frame = spark.createDataFrame(edges, "a binary, b binary")
+
+    def parts(**settings):
+        found = {}
+        for r in components(frame, **settings).collect():
+            found.setdefault(bytes(r.root), set()).add(bytes(r.node))
+        return sorted(map(sorted, found.values()))
+
+    rounds = parts(small=0)
+    assert len(rounds) == 5 and sum(map(len, rounds)) == 201
+    assert parts(small=100) == rounds
+    tables = []
+    monkeypatch.setattr(components_module, "stored", lambda frame, name: tables.append(name) or stored(frame, name))
+    assert parts() == rounds and len(tables) == 2
