@@ -43,6 +43,8 @@ TOP = 2000
 BITS_EACH, MAX_BITS = 16, 1 << 28
 #: Bytes of text, hash counts and stripe entries that a task holds: memory only, never the result.
 CHUNK, HELD, ENTRIES = 1 << 21, 1_000_000, 200_000
+#: Bytes of a text that are hashed in one array operation.
+BLOCK = 1 << 16
 
 #: A-Z in lower case; what divides words (1) and pieces (2).
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -60,21 +62,32 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 class Hash:
     """64-bit hashes of all words of a text at once: differences of a running sum of bytes times powers of an odd
-    base, modulo 2^64."""
+    base, modulo 2^64. A sum runs over whole words of about BLOCK bytes, so no more powers are held, but for a longer word."""
 
     def __init__(self, base: int) -> None:
         self.base, self.inverse = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
         self.step = _mixed(np.array([base], np.uint64))[0] | np.uint64(1)
-        self.powers = self.inverses = np.ones(1, np.uint64)
+        self.powers = self.inverses = np.ones(0, np.uint64)
 
     def words(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
-        if len(text) >= len(self.powers):
-            size = len(text) + CHUNK // 4
-            self.powers = np.multiply.accumulate(np.full(size, self.base))
-            self.inverses = np.multiply.accumulate(np.full(size, self.inverse))
-        sums = np.zeros(len(text) + 1, np.uint64)
-        np.cumsum((text.astype(np.uint64) + np.uint64(1)) * self.powers[: len(text)], out=sums[1:])
-        return _mixed((sums[ends] - sums[starts]) * self.inverses[starts] + np.uint64(seed))
+        found = np.empty(len(starts), np.uint64)
+        first = 0
+        while first < len(starts):
+            at = starts[first]
+            past = max(int(np.searchsorted(ends, at + BLOCK, "right")), first + 1)
+            size = int(ends[past - 1] - at)
+            if size > len(self.powers):
+                self.powers = np.multiply.accumulate(np.full(max(size, BLOCK), self.base))
+                self.inverses = np.multiply.accumulate(np.full(max(size, BLOCK), self.inverse))
+            part = text[at : at + size].astype(np.uint64)
+            part += np.uint64(1)
+            part *= self.powers[:size]
+            sums = np.zeros(size + 1, np.uint64)
+            np.cumsum(part, out=sums[1:])
+            begin = starts[first:past] - at
+            found[first:past] = (sums[ends[first:past] - at] - sums[begin]) * self.inverses[begin]
+            first = past
+        return _mixed(found + np.uint64(seed))
 
     def longer(self, phrases: np.ndarray, nexts: np.ndarray) -> np.ndarray:
         return _mixed(phrases * self.step + nexts)

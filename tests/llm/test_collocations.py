@@ -107,3 +107,15 @@ def test_query_agrees_with_sql_on_documents(spark):
 
 def test_empty_table(spark):
     assert collocations.collocations(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_hashes_hold_the_powers_of_a_block_and_no_more():
+    """A chunk of many blocks; a word longer than a block is hashed as any other."""
+    by = collocations.Hash(collocations.BASES[0])
+    text = b"ab cd\tx" * (8 * collocations.BLOCK // 7) + b" ab"
+    found = collocations.Chunk("en", text, 0).hashes(by)
+    assert found[0] == found[-1] and len(set(found.tolist())) == 4  # ab, cd, xab, x
+    assert len(by.powers) + len(by.inverses) <= 2 * collocations.BLOCK
+    long = b"y" * (collocations.BLOCK + 5)
+    found = collocations.Chunk("en", b"ab " + long + b" cd " + long, 0).hashes(by)
+    assert found[1] == found[3] and found[0] == collocations.Chunk("en", b"ab", 0).hashes(by)[0]
