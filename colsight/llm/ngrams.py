@@ -484,10 +484,14 @@ def blocks_of(texts: DataFrame, parts: Parts, frequent: Broadcast, training: boo
         for texts in _chunks(batches, 0):
             tokens, begins = _numbered(texts, hashes, END)
             keys = np.fromiter(map(_key_of, [] if training else texts), np.int64)
-            lead = np.repeat(np.arange(len(texts)), np.diff(np.append(begins, len(tokens))))
+            lead = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(np.append(begins, len(tokens))))
+            del texts
             words, middle = np.unique(tokens, return_inverse=True)
+            del tokens
+            middle = middle.astype(np.int32)  # numbers of a chunk's words, as are the other columns
             places = _places(words, frequent.value)
-            first, third = np.append(-1, middle[:-1]), np.append(middle[1:], -1)
+            none = np.array([-1], np.int32)
+            first, third = np.append(none, middle[:-1]), np.append(middle[1:], none)
             first[begins] = -1
             third[begins[1:] - 1] = -1
             if not training:
@@ -495,26 +499,28 @@ def blocks_of(texts: DataFrame, parts: Parts, frequent: Broadcast, training: boo
                 lead, first, middle, third = lead[asking], first[asking], middle[asking], third[asking]
             order = _order((middle, first, third), len(words) + 1)
             lead, first, middle, third = lead[order], first[order], middle[order], third[order]
+            del order
             if training:
                 new = np.flatnonzero(np.concatenate([[True], (np.diff(middle) != 0) | (np.diff(first) != 0) | (np.diff(third) != 0)]))
-                lead = np.diff(np.append(new, len(middle)))
+                lead = np.diff(np.append(new, len(middle))).astype(np.int32)
                 first, middle, third = first[new], middle[new], third[new]
             hash_of = np.append(words, 0)  # the last stands for none
             turn = Parts.mixed(hash_of[third]) if training else np.arange(len(middle))
             part = parts.of(hash_of[first], hash_of[middle], turn)
             order = np.argsort(part, kind="stable")
-            items, part = np.stack([lead, first, middle, third])[:, order], part[order]
+            items, part = np.stack([column[order] for column in (lead, first, middle, third)]), part[order]
+            del lead, first, middle, third, order, turn
             cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, np.int64)
             for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 mine = items[:, begin:end]
                 used, back = np.unique(mine[1:], return_inverse=True)
-                none = int(used[0] < 0)
-                used = used[none:]
+                unknown = int(used[0] < 0)
+                used = used[unknown:]
                 known = places[used]
                 found = known[known >= 0]
                 steps = len(found).to_bytes(4, "little") + _planes(np.diff(found, prepend=0))
                 documents, of = (np.zeros(0, np.int64), mine[0]) if training else np.unique(mine[0], return_inverse=True)
-                packed = _packed([of, *(back.reshape(3, -1) - none)])
+                packed = _packed([of, *(back.reshape(3, -1) - unknown)])
                 values = part[begin], end - begin, steps, words[used[known < 0]].tobytes(), keys[documents].tobytes(), packed
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([v], pa.int64() if k < 2 else pa.binary()) for k, v in enumerate(values)],

@@ -1,9 +1,12 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from colsight.llm import ngrams
@@ -171,3 +174,22 @@ def test_frequent_words_are_bounded_and_places_are_found(spark):
     assert len(ngrams.frequent_words(words, 0)[0]) == 0
     asked = np.array([-5, 1, 3, 5000])
     assert list(ngrams._places(asked, keys)) == [-1, 0, 2, -1]
+
+
+def blocks_peak(module, training):
+    """Bytes a token that a task holds at most while it makes blocks of a chunk."""
+    texts = [" ".join(f"w{(k * k + 7 * j) % 3001}" for j in range(500)).encode() for k in range(200)]
+    parts = module.Parts(8, np.zeros(0, np.int64), np.zeros(0, np.int64))
+    frame, sent = SimpleNamespace(mapInArrow=lambda f, schema: f), SimpleNamespace(value=np.zeros(0, np.int64))
+    blocks = module.blocks_of(frame, parts, sent, training)
+    tracemalloc.start()
+    n = sum(1 for _ in blocks(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["text"])])))
+    peak = tracemalloc.get_traced_memory()[1] / (501 * len(texts))
+    tracemalloc.stop()
+    assert n == 8
+    return peak
+
+
+@pytest.mark.parametrize("training", [True, False])
+def test_blocks_are_made_of_narrow_columns(training):
+    assert blocks_peak(ngrams, training) < 150
