@@ -1,10 +1,10 @@
-"""Phrase collocation mining by stripes: each prefix keys an associative counter of the words that follow it.
+"""Phrase collocation mining by stripes: each word keys an associative counter of the words that follow it.
 
-A task keeps one stripe a prefix, the empty prefix too, with an entry for each next word and one, without a word, for
-the prefix itself; stripes of all tasks are merged elementwise. That one structure has all that a phrase needs: its
-count is an entry, the counts of its parts are totals of prefixes, and the largest count of a phrase one word longer
-is the maximum of its own stripe or of the entries that end in it. (A phrase two words longer with so many occurrences
-holds one of one word more with as many.)
+A task keeps one stripe a word, with an entry for each one to three words that come next and one, without words, for the word
+itself (and one for all words); stripes of all tasks are merged elementwise. So a task sends no more rows than words at a time,
+however many phrases are frequent, and each phrase once. That one structure has all that a phrase needs: its count and
+those of its parts are entries, and the largest count of a phrase one word longer is that of the entries that begin or end
+with it. (A phrase two words longer with so many occurrences holds one of one word more with as many.)
 
 Only what occurs MIN_COUNT times or more matters, and all parts of such a phrase do. So hashes are counted first: of
 words, then of pairs of words that may be frequent, then of triples and quadruples whose pairs may be. What may be
@@ -26,6 +26,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -283,7 +284,8 @@ def _same(first: np.ndarray, second: np.ndarray) -> Iterator[tuple[np.ndarray, n
 
 
 def mine_stripes(texts: DataFrame, within: list[Broadcast], chunk: int) -> DataFrame:
-    """The merged stripes: lang, prefix, next (null: the prefix itself), n. within: bitmaps of words, of pairs, and of longer phrases."""
+    """The merged stripes: lang, word (empty: all words), next (null: the word itself), n. within: bitmaps of words, of pairs, and
+    of longer phrases."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = [Hash(base) for base in BASES]
@@ -291,19 +293,19 @@ def mine_stripes(texts: DataFrame, within: list[Broadcast], chunk: int) -> DataF
         entries = 0
 
         def flushed() -> pa.RecordBatch:
-            langs, prefixes = zip(*stripes)
+            langs, words = zip(*stripes)
             sizes = np.fromiter(map(len, stripes.values()), np.int32, len(stripes))
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-            nexts = pa.array([w for stripe in stripes.values() for w in stripe], pa.binary()).cast(pa.string())
+            nexts = pa.array([phrase for stripe in stripes.values() for phrase in stripe], pa.binary()).cast(pa.string())
             numbers = pa.array([n for stripe in stripes.values() for n in stripe.values()], pa.int64())
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(langs, pa.string()),
-                    pa.array(prefixes, pa.binary()).cast(pa.string()),
+                    pa.array(words, pa.binary()).cast(pa.string()),
                     pa.ListArray.from_arrays(offsets, nexts),
                     pa.ListArray.from_arrays(offsets, numbers),
                 ],
-                names=["lang", "prefix", "nexts", "ns"],
+                names=["lang", "word", "nexts", "ns"],
             )
 
         for part in chunks(batches, chunk):
@@ -318,12 +320,10 @@ def mine_stripes(texts: DataFrame, within: list[Broadcast], chunk: int) -> DataF
                     phrases = [by.longer(p[:-1], w[size - 1 :]) for by, p, w in zip(hashes, phrases, words)]
                 at = np.flatnonzero(part.phrases(size) & within[min(size, 3) - 1].value.has(phrases[0]))
                 for chosen, n in _same(phrases[0][at], phrases[1][at]):
-                    columns = [listed.take(pa.array(2 * (at[chosen] + k))).to_pylist() for k in range(size)]
-                    for *prefix, word, count in zip(*columns, n.tolist()):
-                        before = b" ".join(prefix)
-                        stripes[part.lang, before][word] += count
-                        if size < MAX_WORDS:
-                            stripes[part.lang, b" ".join((before, word)) if prefix else word][None] += count
+                    word, *after = [listed.take(pa.array(2 * (at[chosen] + k))) for k in range(size)]
+                    nexts = pc.binary_join_element_wise(*after, b" ") if after else pa.nulls(len(word))
+                    for first, rest, count in zip(word.to_pylist(), nexts.to_pylist(), n.tolist()):
+                        stripes[part.lang, first][rest] += count
                     entries += len(chosen)
             if entries >= ENTRIES:
                 entries = sum(map(len, stripes.values()))
@@ -334,9 +334,9 @@ def mine_stripes(texts: DataFrame, within: list[Broadcast], chunk: int) -> DataF
         if stripes:
             yield flushed()
 
-    rows = texts.mapInArrow(build, "lang string, prefix string, nexts array<string>, ns array<bigint>")
-    entries = rows.select("lang", "prefix", F.inline(F.arrays_zip("nexts", "ns")).alias("next", "n"))
-    return entries.groupBy("lang", "prefix", "next").agg(F.sum("n").alias("n"))
+    rows = texts.mapInArrow(build, "lang string, word string, nexts array<string>, ns array<bigint>")
+    entries = rows.select("lang", "word", F.inline(F.arrays_zip("nexts", "ns")).alias("next", "n"))
+    return entries.groupBy("lang", "word", "next").agg(F.sum("n").alias("n"))
 
 
 def collocations(docs: DataFrame, top: int = TOP, min_count: int = MIN_COUNT, subsumed: int = SUBSUMED, chunk: int = CHUNK) -> DataFrame:
@@ -345,22 +345,24 @@ def collocations(docs: DataFrame, top: int = TOP, min_count: int = MIN_COUNT, su
     words = bitmap(frequent_hashes(texts, (1,), None, min_count, chunk))
     pairs = bitmap(frequent_hashes(texts, (2,), words, min_count, chunk))
     longer = bitmap(frequent_hashes(texts, (3, 4), pairs, min_count, chunk))
-    root = (F.col("prefix") == "") & F.col("next").isNull()
+    root = F.col("word") == ""
     stripes = stored(mine_stripes(texts, [words, pairs, longer], chunk).where(root | (F.col("n") >= min_count)), "collocation-stripes")
     for sent in (words, pairs, longer):
         sent.destroy()
 
-    totals = stripes.where(F.col("next").isNull() & (F.col("prefix") != "")).select("lang", F.col("prefix").alias("phrase"), "n")
-    extended = stripes.where(F.col("next").isNotNull() & (F.col("prefix") != ""))
     parts = F.split("phrase", " ", -1)
-    found = extended.select("lang", F.concat_ws(" ", "prefix", "next").alias("phrase"), F.col("n").alias("a"))
-    ends = found.select("lang", F.array_join(F.slice(parts, F.lit(2), F.size(parts)), " ").alias("phrase"), F.col("a").alias("longer"))
-    begins = extended.select("lang", F.col("prefix").alias("phrase"), F.col("n").alias("longer"))
+    piece = lambda start, size: F.array_join(F.slice(parts, start, size), " ")
+    phrases = stripes.where(~root).select("lang", F.concat_ws(" ", "word", "next").alias("phrase"), "next", "n")
+    totals = phrases.where(F.size(parts) < MAX_WORDS)
+    found = phrases.where(F.col("next").isNotNull()).select("lang", "phrase", F.col("n").alias("a"))
+    longer = found.where(F.size(parts) > 2)
+    ends, begins = (
+        longer.select("lang", piece(F.lit(start), F.size(parts) - 1).alias("phrase"), F.col("a").alias("longer")) for start in (2, 1)
+    )
     longest = ends.unionByName(begins).groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     wide = lambda c: c.cast("decimal(20,0)")
     inside = F.coalesce(wide(F.col("longer")) * 100 >= wide(F.col("a")) * subsumed, F.lit(False))
     open_ = found.join(longest, ["lang", "phrase"], "left").where(~inside).select("lang", "phrase", "a", F.explode(F.sequence(F.lit(1), F.size(parts) - 1)).alias("k"))
-    piece = lambda start, size: F.array_join(F.slice(parts, start, size), " ")
     cuts = open_.select("lang", "phrase", "a", "k", piece(F.lit(1), F.col("k")).alias("first"), piece(F.col("k") + 1, F.size(parts)).alias("rest"))
     of = lambda part, count: totals.select("lang", F.col("phrase").alias(part), F.col("n").alias(count))
     cuts = cuts.join(of("first", "l"), ["lang", "first"]).join(of("rest", "r"), ["lang", "rest"])

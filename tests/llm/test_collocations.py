@@ -1,6 +1,8 @@
 import random
 import re
 from collections import Counter, defaultdict
+from types import SimpleNamespace
+from unittest.mock import MagicMock
 
 import numpy as np
 import pyarrow as pa
@@ -119,3 +121,20 @@ def test_hashes_hold_the_powers_of_a_block_and_no_more():
     long = b"y" * (collocations.BLOCK + 5)
     found = collocations.Chunk("en", b"ab " + long + b" cd " + long, 0).hashes(by)
     assert found[1] == found[3] and found[0] == collocations.Chunk("en", b"ab", 0).hashes(by)[0]
+
+
+def test_a_task_sends_no_more_rows_than_words(spark):
+    """However many phrases are frequent: a row a word with all that follows it, and one for all words; each phrase once."""
+    random.seed(2)
+    text = " ".join(random.choice("abcdefghijkl") for _ in range(20_000)).encode()
+    frame, every = SimpleNamespace(made=None), SimpleNamespace(value=SimpleNamespace(has=lambda h: np.ones(len(h), bool)))
+    frame.mapInArrow = lambda build, schema: setattr(frame, "made", build) or MagicMock()
+    collocations.mine_stripes(frame, [every] * 3, 1 << 21)
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([text], pa.binary())], names=["lang", "text"])
+    rows = [row for made in frame.made(iter([batch])) for row in made.to_pylist()]
+    assert len(rows) == 13
+    words = text.decode().split()
+    counts = Counter(tuple(words[i : i + size]) for size in range(1, 5) for i in range(len(words) - size + 1))
+    assert sum(len(row["ns"]) for row in rows) == len(counts) + 1
+    sent = {(word, *(rest or "").split()): n for _, word, nexts, ns in map(dict.values, rows) for rest, n in zip(nexts, ns) if word}
+    assert sent == counts
