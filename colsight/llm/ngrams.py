@@ -9,7 +9,9 @@ lies in one part. A word with more than a part's share of the tokens is spread o
 followers go to each of these. A pair of two such words may fill a part by itself: it is counted in several by its third word
 (and summed), looked up in several by turns, and its triples go to each of these. The number of parts grows with the corpus, and each becomes a trie on an executor, where its levels
 are memory-mapped. Training texts send counts of their triples, and all texts their look-ups, in blocks, one a chunk and
-part; sums come back by the hash of a text's words.
+part; answers come back a block, are summed a chunk, and reach the texts by the hash of their words.
+
+A chunk of texts is tokenised and hashed by array operations over its bytes; no word becomes a Python object.
 
 A level keeps, for each context in order, the ids of its followers. Pointers to the followers' ranges are monotone,
 and so are the ids once each range is lifted by the last value before it; both are Elias-Fano coded. A follower is
@@ -28,8 +30,7 @@ from __future__ import annotations
 import json
 import mmap
 import tempfile
-from collections import Counter
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,35 +51,56 @@ PART_TOKENS = 2_000_000
 LEVELS = 256
 #: Hash of the end token; no word has it, as words with it take the next number.
 END = 0
-#: Tokens of an array operation, and words a task counts or remembers before it starts over: memory only.
-CHUNK, CACHE_WORDS = 400_000, 150_000
+#: Tokens of an array operation (taken as TOKEN_BYTES each), those of a part that are counted at once, and different words a
+#: task counts before it sends them: memory only.
+CHUNK, TOKEN_BYTES, SLICE, CACHE_WORDS = 400_000, 6, 400_000, 300_000
+#: Bytes of a word that are hashed by array operations, eight at a time; longer words are hashed one by one.
+ARRAY_BYTES = 64
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: What keeps the first k of eight bytes.
+FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """A bijection that spreads every bit over all others."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def word_hashes(text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Signed hashes of the words of a text at these places."""
+    padded = text + b"\0" * 8
+    eights = np.ndarray((len(text) + 1,), "<u8", padded, strides=(1,))  # at every byte
+    sizes = ends - starts
+    found = _mixed(sizes.astype(np.uint64))
+    live, at, left = slice(None), starts, sizes
+    for _ in range(ARRAY_BYTES // 8):
+        found[live] = _mixed(found[live] * np.uint64(0x9E3779B97F4A7C15) + (eights[at] & FIRST_BYTES[np.minimum(left, 8)]))
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            break
+        live = more if isinstance(live, slice) else live[more]
+        at, left = at[more] + 8, left[more] - 8
+    long = np.flatnonzero(sizes > ARRAY_BYTES)
+    if len(long):
+        found[long] = [_hash(text[b:e]) for b, e in zip(starts[long].tolist(), ends[long].tolist())]
+    found[found == END] = 1
+    return found.view(np.int64)
 
 
-def tokens_of(text: bytes | None) -> list[bytes]:
-    """Lower-case words; bytes.split() cuts at ASCII white space and nowhere else."""
-    return text.translate(LOWER).split() if text else []
-
-
-def _hasher() -> Callable[[bytes], int]:
+def _hash(data: bytes) -> int:
     import xxhash
 
-    return lambda word: xxhash.xxh64_intdigest(word) or 1
-
+    return xxhash.xxh64_intdigest(data)
 
-class Hashes(dict):
-    """Signed hashes of words, remembered within bounds."""
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.hash = _hasher()
+class Hashes:
+    """Signed hashes of single words."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        found = self.hash(word)
-        found = self[word] = found - (found >> 63 << 64)
-        return found
+    def __getitem__(self, word: bytes) -> int:
+        return int(word_hashes(word, np.array([0]), np.array([len(word)]))[0])
 
 
 class EliasFano:
@@ -260,13 +282,13 @@ class Trie:
         return gain
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[list[bytes]]]:
-    """Tokenised texts, about CHUNK tokens at a time."""
+def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[bytes]]:
+    """Texts, about CHUNK tokens at a time."""
     held, size = [], 0
     for batch in batches:
         for text in batch.column(column):
-            held.append(tokens_of(text.as_py()))
-            size += len(held[-1]) + 1
+            held.append(text.as_py() or b"")
+            size += len(held[-1]) // TOKEN_BYTES + 1
             if size >= CHUNK:
                 yield held
                 held, size = [], 0
@@ -274,16 +296,19 @@ def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[lis
         yield held
 
 
-def _numbered(texts: list[list[bytes]], numbers: Hashes, end: int) -> tuple[np.ndarray, np.ndarray]:
+def _numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, ends included, and where texts begin."""
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    ids = np.empty(sizes.sum(), np.int64)
-    stops = np.cumsum(sizes)
+    joined = b"\n".join(texts).translate(LOWER)
+    edges = np.flatnonzero(np.diff(~SPACE[np.frombuffer(joined, np.uint8)], prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    # Texts end where the next one begins.
+    stops = np.searchsorted(starts, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)) + np.arange(1, len(texts) + 1)
+    ids = np.empty(len(starts) + len(texts), np.int64)
     inner = np.ones(len(ids), bool)
     inner[stops - 1] = False
-    ids[inner] = np.fromiter((n for words in texts for n in map(numbers.__getitem__, words)), np.int64, len(ids) - len(texts))
-    ids[stops - 1] = end
-    return ids, stops - sizes
+    ids[inner] = word_hashes(joined, starts, ends)
+    ids[stops - 1] = END
+    return ids, np.append(0, stops[:-1])
 
 
 def count_grams(training: DataFrame, parts: Parts, frequent: Broadcast) -> DataFrame:
@@ -294,17 +319,23 @@ def count_grams(training: DataFrame, parts: Parts, frequent: Broadcast) -> DataF
     def count(blocks: pa.Table) -> pa.Table:
         held = [_words_of(f.as_py(), r.as_py(), frequent.value) for f, r in zip(blocks["frequent"], blocks["rare"])]
         words = np.unique(np.concatenate(held))
-        found = []
-        for own, items, n in zip(held, blocks["items"], blocks["n"]):
-            seen, *three = _unpacked(items.as_py(), n.as_py())
+        sizes = blocks["n"].to_pylist()
+        rows, end = np.empty((4, sum(sizes)), np.int32), 0
+        for own, items, n in zip(held, blocks["items"], sizes):
+            seen, *three = _unpacked(items.as_py(), n)
             of = np.append(np.searchsorted(words, own), -1).astype(np.int32)  # -1: none
-            after = of[three[0]] >= 0
-            found.append(np.stack([seen[after].astype(np.int32), *(of[k[after]] for k in three)]))
+            after = np.flatnonzero(of[three[0]] >= 0)
+            begin, end = end, end + len(after)
+            rows[:, begin:end] = seen[after], *(of[k[after]] for k in three)
         del held
-        seen, first, middle, third = np.concatenate(found, axis=1)
-        del found
+        rows = rows[:, :end]
+        # All triples of a pair are in one slice.
+        slices = end // SLICE + 1
+        return pa.concat_tables([kept_of(words, rows[:, (rows[1] + rows[2]) % slices == k]) for k in range(slices)])
+
+    def kept_of(words: np.ndarray, rows: np.ndarray) -> pa.Table:
+        seen, first, middle, third = rows
         pairs, place = np.unique(first.astype(np.int64) << 32 | middle, return_inverse=True)
-        del first, middle
         n = np.bincount(place, seen, len(pairs)).astype(np.int64)
         triples, back = np.unique((place << 32 | third)[third >= 0], return_inverse=True)
         m = np.bincount(back, seen[third >= 0], len(triples)).astype(np.int64)
@@ -434,12 +465,17 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
 
 
 def _planes(numbers: np.ndarray) -> bytes:
-    return pa.compress(numbers.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+    numbers = numbers.astype(np.int32)
+    return pa.compress(b"".join((numbers >> shift).astype(np.uint8).tobytes() for shift in (0, 8, 16, 24)), "zstd", asbytes=True)
 
 
 def _from_planes(data: bytes, n: int) -> np.ndarray:
-    raw = pa.decompress(data, 4 * n, "zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.int32).reshape(-1).astype(np.int64)
+    planes = np.frombuffer(pa.decompress(data, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+    numbers = planes[3].astype(np.int32)
+    for plane in planes[2::-1]:
+        numbers <<= 8
+        numbers |= plane
+    return numbers.astype(np.int64)
 
 
 def _places(words: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -457,12 +493,20 @@ def _words_of(steps: bytes, rare: bytes, frequent: np.ndarray) -> np.ndarray:
     return np.sort(np.concatenate([known, np.frombuffer(rare, np.int64)]))
 
 
-def _key_of(words: list[bytes]) -> int:
-    """A document's hash, by its words."""
-    import xxhash
+def _keys_of(tokens: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Hashes of documents, by their words."""
+    ends = np.append(begins[1:], len(tokens))
+    return np.array([_hash(tokens[b:e].tobytes()) for b, e in zip(begins.tolist(), ends.tolist())], np.uint64).view(np.int64)
+
 
-    found = xxhash.xxh64_intdigest(b" ".join(words))
-    return found - (found >> 63 << 64)
+def _distinct(numbers: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different numbers from -1 to width - 1, sorted, and the place of each number among them."""
+    if width > numbers.size:
+        used, places = np.unique(numbers, return_inverse=True)
+        return used, places.reshape(numbers.shape)
+    there = np.zeros(width + 1, bool)
+    there[numbers + 1] = True
+    return np.flatnonzero(there) - 1, (np.cumsum(there, dtype=np.int32) - 1)[numbers + 1]
 
 
 def _order(columns: Sequence[np.ndarray], width: int) -> np.ndarray:
@@ -477,13 +521,14 @@ def _order(columns: Sequence[np.ndarray], width: int) -> np.ndarray:
 
 def blocks_of(texts: DataFrame, parts: Parts, frequent: Broadcast, training: bool) -> DataFrame:
     """Blocks of tokens by part, each with the tokens before and after it, one a chunk and part. Those of training texts have
-    all tokens, equal ones as one with their number, others those that one follows, with their documents."""
+    all tokens, equal ones as one with their number, others those that one follows, with the numbers of their documents in the
+    chunk; the first of a chunk has the hashes of its documents."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for texts in _chunks(batches, 0):
-            tokens, begins = _numbered(texts, hashes, END)
-            keys = np.fromiter(map(_key_of, [] if training else texts), np.int64)
+            tokens, begins = _numbered(texts)
+            keys = b"" if training else _keys_of(tokens, begins).tobytes()
+            chunk = int(np.array([_hash(keys)], np.uint64).view(np.int64)[0])
             lead = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(np.append(begins, len(tokens))))
             del texts
             words, middle = np.unique(tokens, return_inverse=True)
@@ -507,27 +552,27 @@ def blocks_of(texts: DataFrame, parts: Parts, frequent: Broadcast, training: boo
             hash_of = np.append(words, 0)  # the last stands for none
             turn = Parts.mixed(hash_of[third]) if training else np.arange(len(middle))
             part = parts.of(hash_of[first], hash_of[middle], turn)
-            order = np.argsort(part, kind="stable")
+            order = np.argsort(part.astype(np.min_scalar_type(parts.n)), kind="stable")
             items, part = np.stack([column[order] for column in (lead, first, middle, third)]), part[order]
             del lead, first, middle, third, order, turn
             cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, np.int64)
             for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 mine = items[:, begin:end]
-                used, back = np.unique(mine[1:], return_inverse=True)
+                used, back = _distinct(mine[1:], len(words))
                 unknown = int(used[0] < 0)
                 used = used[unknown:]
                 known = places[used]
                 found = known[known >= 0]
                 steps = len(found).to_bytes(4, "little") + _planes(np.diff(found, prepend=0))
-                documents, of = (np.zeros(0, np.int64), mine[0]) if training else np.unique(mine[0], return_inverse=True)
-                packed = _packed([of, *(back.reshape(3, -1) - unknown)])
-                values = part[begin], end - begin, steps, words[used[known < 0]].tobytes(), keys[documents].tobytes(), packed
+                packed = _packed([mine[0], *(back - unknown)])
+                values = part[begin], end - begin, chunk, steps, words[used[known < 0]].tobytes(), keys, packed
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([v], pa.int64() if k < 2 else pa.binary()) for k, v in enumerate(values)],
-                    names=["part", "n", "frequent", "rare", "keys", "items"],
+                    [pa.array([v], pa.int64() if k < 3 else pa.binary()) for k, v in enumerate(values)],
+                    names=["part", "n", "chunk", "frequent", "rare", "keys", "items"],
                 )
+                keys = b""
 
-    return texts.mapInArrow(deal, "part bigint, n bigint, frequent binary, rare binary, keys binary, items binary")
+    return texts.mapInArrow(deal, "part bigint, n bigint, chunk bigint, frequent binary, rare binary, keys binary, items binary")
 
 
 def frequent_words(words: DataFrame, most: float) -> tuple[np.ndarray, np.ndarray]:
@@ -552,23 +597,15 @@ def count_words(training: DataFrame) -> DataFrame:
     """(hash, n) of all tokens of the texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hash_of, counts = _hasher(), Counter()
-
-        def rows() -> pa.RecordBatch:
-            hashes = np.fromiter(map(hash_of, counts), np.uint64, len(counts)).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(list(counts.values()), pa.int64())], names=["hash", "n"])
-
-        n_texts = 0
+        words, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for texts in _chunks(batches, 0):
-            n_texts += len(texts)
-            for words in texts:
-                counts.update(words)
-            if len(counts) >= CACHE_WORDS:
-                yield rows()
-                counts.clear()
-        yield rows()
-        if n_texts:
-            yield pa.RecordBatch.from_arrays([pa.array([END], pa.int64()), pa.array([n_texts], pa.int64())], names=["hash", "n"])
+            new, times = np.unique(_numbered(texts)[0], return_counts=True)
+            words, place = np.unique(np.concatenate([words, new]), return_inverse=True)
+            n = np.bincount(place, np.concatenate([n, times]), len(words)).astype(np.int64)
+            if len(words) >= CACHE_WORDS:
+                yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(n)], names=["hash", "n"])
+                words, n = words[:0], n[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(n)], names=["hash", "n"])
 
     return training.mapInArrow(count, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
 
@@ -607,34 +644,37 @@ def score(docs: DataFrame, counts: Model, words: DataFrame) -> DataFrame:
 
     def answer(model: pa.Table, asked: pa.Table) -> pa.Table:
         trie = Trie(build_trie(part_counts(model, n_tokens, n_types, frequent.value, frequent_counts.value), levels))
-        found = []
-        for n, steps, rare, keys, items in zip(*(asked[c] for c in ("n", "frequent", "rare", "keys", "items"))):
+        documents, gains = [], []
+        for n, steps, rare, items in zip(*(asked[c] for c in ("n", "frequent", "rare", "items"))):
             ids = np.append(_places(_words_of(steps.as_py(), rare.as_py(), frequent.value), trie.words), -1)  # the last stands for none
             row, *three = _unpacked(items.as_py(), n.as_py())
             three = ids[np.stack(three)]
             # Equal look-ups follow each other.
             new = np.flatnonzero(np.append(True, (np.diff(three) != 0).any(axis=0)))
             gain = np.repeat(trie.gain(*three[:, new]), np.diff(np.append(new, len(row))))
-            keys = np.frombuffer(keys.as_py(), np.int64)
-            found.append((keys, np.bincount(row, gain, len(keys)), np.bincount(row, minlength=len(keys))))
-        keys, gains, ns = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
-        once, back = np.unique(keys, return_inverse=True)
-        sums = np.bincount(back, gains, len(once)), np.bincount(back, ns, len(once))  # whole numbers if there are none
-        return pa.table({"key": once, "gain": sums[0].astype(float), "asked": sums[1].astype(np.int64)})
+            there = np.flatnonzero(np.bincount(row))
+            documents.append(there.astype(np.int32).tobytes())
+            gains.append(np.bincount(row, gain)[there].tobytes())
+        return pa.table({"chunk": asked["chunk"], "keys": asked["keys"], "documents": pa.array(documents, pa.binary()), "gains": pa.array(gains, pa.binary())})
+
+    def summed(blocks: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(k.as_py(), np.int64) for k in blocks["keys"] if len(k.as_py())]  # equal chunks have one hash
+        documents = np.concatenate([np.frombuffer(d.as_py(), np.int32) for d in blocks["documents"]])
+        gains = np.concatenate([np.frombuffer(g.as_py(), float) for g in blocks["gains"]])
+        return pa.table({"key": keys[0], "gain": np.bincount(documents, gains, len(keys[0])) / len(keys)})
 
     asked = blocks_of(texts, counts.parts, frequent, False)
-    answers = counts.grams.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(answer, "key bigint, gain double, asked bigint")
+    answers = counts.grams.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(answer, "chunk bigint, keys binary, documents binary, gains binary")
     # Rows with equal words ask for the same and share their answers.
-    gains = answers.groupBy("key").agg((F.sum("gain") / F.sum("asked")).alias("gain"))
+    gains = answers.groupBy("chunk").applyInArrow(summed, "key bigint, gain double").groupBy("key").agg(F.avg("gain").alias("gain"))
     kind = dict(docs.dtypes)["doc_id"]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p1, hashes, row = unigram(frequent_counts.value, n_tokens, n_types), Hashes(), TaskContext.get().partitionId() << 33
+        p1, row = unigram(frequent_counts.value, n_tokens, n_types), TaskContext.get().partitionId() << 33
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                texts = [tokens_of(t.as_py()) for t in batch.column(1)]
-                tokens, begins = _numbered(texts, hashes, END)
+                tokens, begins = _numbered([t.as_py() or b"" for t in batch.column(1)])
                 sizes = np.diff(np.append(begins, len(tokens)))
                 ids = _places(tokens, frequent.value)
                 known = ids >= 0
@@ -642,17 +682,17 @@ def score(docs: DataFrame, counts: Model, words: DataFrame) -> DataFrame:
                 n_known = np.add.reduceat(known.astype(np.int64), begins)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(row + np.arange(len(texts))),
+                        pa.array(row + np.arange(len(begins))),
                         batch.column(0),
                         pa.array(sizes),
                         pa.array(n_known),
                         pa.array(np.add.reduceat(base, begins)),
-                        pa.array(np.fromiter(map(_key_of, texts), np.int64, len(texts))),
+                        pa.array(_keys_of(tokens, begins)),
                         pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes - n_known)), pa.int32()), pa.array(tokens[~known])),
                     ],
                     names=["row", "doc_id", "n_tokens", "n_known", "base_score", "key", "rare"],
                 )
-                row += len(texts)
+                row += len(begins)
 
     schema = f"row bigint, doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, key bigint, rare array<bigint>"
     parts = stored(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(scored, schema), "lm-parts")
@@ -670,7 +710,7 @@ def score(docs: DataFrame, counts: Model, words: DataFrame) -> DataFrame:
         "n_tokens",
         (F.col("n_known") + zero("rare_known")).alias("n_known"),
         base.alias("base_score"),
-        (base + zero("gain") * (F.col("n_tokens") - 1)).alias("score"),
+        (base + zero("gain")).alias("score"),
     )
 
 

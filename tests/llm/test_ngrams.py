@@ -195,3 +195,50 @@ def blocks_peak(module, training):
 @pytest.mark.parametrize(("training", "most"), [(True, 115), (False, 150)])
 def test_blocks_are_made_of_narrow_columns(training, most):
     assert blocks_peak(ngrams, training) < most
+
+
+def test_words_are_hashed_within_texts_as_alone():
+    words = ["a", "Ab", "é漢", "x" * 7, "x" * 8, "x" * 9, "y" * 16, "y" * 17, "z" * 63, "z" * 64, "z" * 65, "z" * 5000, "\0", "\0\0", "a\0"]
+    texts = ["", " \t", *words, " ".join(words), "\x0b".join(reversed(words)) + "\r\n", "", "a", ""]
+    found, begins = ngrams._numbered([t.encode() for t in texts])
+    alone = ngrams.Hashes()
+    runs = [[ngrams.END if w is None else alone[w.encode()] for w in tokens(t)] for t in texts]
+    assert found.tolist() == [h for run in runs for h in run]
+    assert begins.tolist() == [sum(map(len, runs[:k])) for k in range(len(runs))]
+    assert len(set(found.tolist())) == len(words) + 1
+
+
+def counted(module, texts):
+    """What is counted in one part, and the bytes a token held at most."""
+    made = []
+    frame, sent = SimpleNamespace(mapInArrow=lambda f, schema: f), SimpleNamespace(value=np.zeros(0, np.int64))
+    parts = module.Parts(1, np.zeros(0, np.int64), np.zeros(0, np.int64))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["text"])
+    blocks = pa.Table.from_batches(module.blocks_of(frame, parts, sent, True)(iter([batch])))
+
+    class Grouped:
+        def groupBy(self, *_):
+            return self
+
+        def applyInArrow(self, f, schema):
+            made.append(f)
+            raise InterruptedError
+
+    with pytest.raises(InterruptedError):
+        module.count_grams(SimpleNamespace(mapInArrow=lambda f, schema: Grouped()), parts, sent)
+    tracemalloc.start()
+    rows = made[0](blocks)
+    peak = tracemalloc.get_traced_memory()[1] / sum(blocks["n"].to_pylist())
+    tracemalloc.stop()
+    return rows, peak
+
+
+def test_a_part_is_counted_in_slices(monkeypatch):
+    texts = [" ".join(f"w{(k * k + 7 * j * j) % 3001}" for j in range(500)).encode() for k in range(100)] * 2
+    monkeypatch.setattr(ngrams, "CHUNK", 20_000)
+    expected, _ = counted(ngrams, texts)
+    monkeypatch.setattr(ngrams, "SLICE", 10_000, raising=False)
+    rows, peak = counted(ngrams, texts)
+    of = lambda t: sorted(map(str, t.to_pylist()))
+    assert of(rows) == of(expected) and rows.num_rows > 1000
+    assert peak < 60, peak
