@@ -148,18 +148,18 @@ class EliasFano:
         live = np.flatnonzero(inside)
         at = np.maximum(self.starts[high[live]], begin[live])
         stop = np.minimum(self.starts[high[live] + 1], end[live])
-        want = value[live] & ((1 << self.width) - 1)
-        end = stop.copy()
-        # Low parts ascend within a bucket: halve to the first that is not below.
-        for _ in range(int((stop - at).max(initial=0)).bit_length()):
+        # Low parts ascend within a bucket: halve what is left of it to the first that is not below. Few buckets are crowded.
+        open_ = np.flatnonzero(at < stop)
+        while len(open_):
+            live, at, stop = live[open_], at[open_], stop[open_]
             half = (at + stop) >> 1
-            open_ = at < stop
-            below = np.zeros(len(at), bool)
-            below[open_] = self.lows(half[open_]) < want[open_]
-            at, stop = np.where(below, half + 1, at), np.where(open_ & ~below, half, stop)
-        there = np.flatnonzero(at < end)
-        there = there[self.lows(at[there]) == want[there]]
-        place[live[there]] = at[there]
+            low, want = self.lows(half), value[live] & ((1 << self.width) - 1)
+            same = np.flatnonzero(low == want)
+            place[live[same]] = half[same]
+            below = low < want
+            at, stop = np.where(below, half + 1, at), np.where(below, stop, half)
+            stop[same] = at[same]
+            open_ = np.flatnonzero(at < stop)
         return place
 
 
@@ -247,7 +247,8 @@ class Trie:
         places = json.loads(bytes(view[8:begin]))
         arrays = {name: np.frombuffer(view, kind, n, begin + at) for name, (kind, at, n) in places.items()}
         self.words, self.p1 = arrays["words"], arrays["p1"]
-        self.pointers = [EliasFano(arrays, "pointers2"), EliasFano(arrays, "pointers3")]
+        pointers = EliasFano(arrays, "pointers2"), EliasFano(arrays, "pointers3")
+        self.pointers = [p.get(np.arange(p.n)) for p in pointers]
         self.ids = [EliasFano(arrays, "ids2"), EliasFano(arrays, "ids3")]
         self.log_p = [(arrays[f"book{k}"], arrays[f"code{k}"]) for k in (2, 3)]
         self.back = [(arrays[f"back_book{k}"], arrays[f"back_code{k}"]) for k in (1, 2)]
@@ -256,7 +257,7 @@ class Trie:
         """Places of words after contexts, -1 where either is unknown."""
         place = np.full(len(word), -1, np.int64)
         live = np.flatnonzero((context >= 0) & (word >= 0))
-        begin, end = self.pointers[level].get(context[live]), self.pointers[level].get(context[live] + 1)
+        begin, end = self.pointers[level][context[live]], self.pointers[level][context[live] + 1]
         some = begin < end
         live, begin, end = live[some], begin[some], end[some]
         # The range is lifted by the value before it.
@@ -330,25 +331,30 @@ def count_grams(training: DataFrame, parts: Parts, frequent: Broadcast) -> DataF
         del held
         rows = rows[:, :end]
         # All triples of a pair are in one slice.
-        slices = end // SLICE + 1
-        return pa.concat_tables([kept_of(words, rows[:, (rows[1] + rows[2]) % slices == k]) for k in range(slices)])
-
-    def kept_of(words: np.ndarray, rows: np.ndarray) -> pa.Table:
-        seen, first, middle, third = rows
-        pairs, place = np.unique(first.astype(np.int64) << 32 | middle, return_inverse=True)
-        n = np.bincount(place, seen, len(pairs)).astype(np.int64)
-        triples, back = np.unique((place << 32 | third)[third >= 0], return_inverse=True)
-        m = np.bincount(back, seen[third >= 0], len(triples)).astype(np.int64)
-        triples, m = triples[m >= LEAST], m[m >= LEAST]
-        partial = parts.pair_spreads(words[pairs >> 32], words[pairs & 0xFFFFFFFF]) > 1
+        slices, known = end // SLICE + 1, _places(words, frequent.value) >= 0
+        return pa.concat_tables([kept_of(words, known, rows[:, (rows[1] + rows[2]) % slices == k]) for k in range(slices)])
+
+    def kept_of(words: np.ndarray, known: np.ndarray, rows: np.ndarray) -> pa.Table:
+        seen, first, middle, third = rows[:, _order(rows[1:], len(words) + 1)]
+        new = np.ones(len(seen), bool)
+        new[1:] = (np.diff(first) != 0) | (np.diff(middle) != 0)
+        at = np.flatnonzero(new)
+        first, middle, n = first[at], middle[at], np.add.reduceat(seen, at, dtype=np.int64) if len(at) else at
+        pair = np.cumsum(new) - 1
+        new[1:] |= np.diff(third) != 0
+        at = np.flatnonzero(new)
+        m = np.add.reduceat(seen, at, dtype=np.int64) if len(at) else at
+        often = (m >= LEAST) & (third[at] >= 0)
+        at, m = at[often], m[often]
+        pair, third = pair[at], third[at]
+        partial = parts.pair_spreads(words[first], words[middle]) > 1
         kept = partial | (n >= LEAST)
-        keys = np.concatenate([pairs[kept], pairs[triples >> 32]])
-        known = _places(words, frequent.value) >= 0
+        a, b = (np.concatenate([word[kept], word[pair]]) for word in (first, middle))
         return pa.table({
-            "rare": ~(known[keys >> 32] & known[keys & 0xFFFFFFFF]),
-            "a": words[keys >> 32],
-            "b": words[keys & 0xFFFFFFFF],
-            "c": pa.concat_arrays([pa.nulls(int(kept.sum()), pa.int64()), pa.array(words[triples & 0xFFFFFFFF])]),
+            "rare": ~(known[a] & known[b]),
+            "a": words[a],
+            "b": words[b],
+            "c": pa.concat_arrays([pa.nulls(int(kept.sum()), pa.int64()), pa.array(words[third])]),
             "n": np.concatenate([n[kept], m]),
             "partial": np.concatenate([partial[kept], np.zeros(len(m), bool)]),
         })
