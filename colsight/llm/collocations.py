@@ -6,11 +6,12 @@ however many phrases are frequent, and each phrase once. That one structure has
 those of its parts are entries, and the largest count of a phrase one word longer is that of the entries that begin or end
 with it. (A phrase two words longer with so many occurrences holds one of one word more with as many.)
 
-Only what occurs MIN_COUNT times or more matters, and all parts of such a phrase do. So hashes are counted first: of
+Only what occurs MIN_COUNT times or more matters, and all parts of such a phrase do. So stripes are counted in three passes: of
 words, then of pairs of words that may be frequent, then of triples and quadruples whose pairs may be. What may be
 frequent is a bitmap of at most MAX_BITS bits, which errs to one side only: a phrase is never left out, and a full
-bitmap costs time and not the result. The last pass builds the stripes of what all bitmaps leave, with the words
-themselves; there occurrences count as the same phrase within one chunk of text if two independent 64-bit hashes agree.
+bitmap costs time and not the result. There words and phrases are two independent hashes, of 64 and 32 bits: occurrences count as the same
+phrase if both agree. The last pass builds stripes with the words themselves, to name what was counted: not where it occurs, which
+in a larger corpus is in ever more tasks, but only in the texts with the least mark of all that hold it.
 
 Defined cases: a null text is empty, a null lang is 'und'; documents without words add nothing; repeated rows count
 each; texts of any length are read in chunks that share three words where no piece ends; a language without candidates
@@ -20,8 +21,9 @@ and lang are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import Any
 
 import numpy as np
@@ -46,6 +48,8 @@ BITS_EACH, MAX_BITS = 16, 1 << 28
 CHUNK, HELD, ENTRIES = 1 << 21, 1_000_000, 200_000
 #: Bytes of a text that are hashed in one array operation.
 BLOCK = 1 << 16
+#: Marks of texts: a phrase is named in about one text, and one more for each so many occurrences; time only.
+MARKS = 1 << 16
 
 #: A-Z in lower case; what divides words (1) and pieces (2).
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -88,7 +92,8 @@ class Hash:
             begin = starts[first:past] - at
             found[first:past] = (sums[ends[first:past] - at] - sums[begin]) * self.inverses[begin]
             first = past
-        return _mixed(found + np.uint64(seed))
+        # Spread first: languages differ by little, and so do words by their first byte.
+        return _mixed(found + _mixed(np.array([seed], np.uint64) + self.base))
 
     def longer(self, phrases: np.ndarray, nexts: np.ndarray) -> np.ndarray:
         return _mixed(phrases * self.step + nexts)
@@ -98,10 +103,12 @@ BASES = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
 
 class Chunk:
-    """The words of a text: byte ranges, the piece of each, and how many at the start were counted before."""
+    """The words of a text, or of texts by lines: byte ranges, the piece of each, how many at the start were counted before,
+    and the marks and sizes of the texts."""
 
-    def __init__(self, lang: str, text: bytes, counted: int) -> None:
+    def __init__(self, lang: str, text: bytes, counted: int, marks: Sequence[int] = (0,), sizes: Sequence[int] | None = None) -> None:
         self.lang, self.text, self.counted = lang, text.translate(LOWER), counted
+        self.marks, self.sizes = np.array(marks, np.int32), np.array(sizes or [len(text)], np.int64)
         self.bytes = np.frombuffer(self.text, np.uint8)
         kinds = KIND[self.bytes]
         edges = np.flatnonzero(np.diff(kinds == 0, prepend=False, append=False))
@@ -119,6 +126,11 @@ class Chunk:
         whole[: max(self.counted - size + 1, 0)] = False
         return whole
 
+    def texts(self) -> np.ndarray:
+        """The mark of the text that each word is in."""
+        past = np.searchsorted(self.starts, np.cumsum(self.sizes + 1))
+        return np.repeat(self.marks, np.diff(past, prepend=0))
+
     def words(self) -> pa.Array:
         """Words are at the even places, what is between them at the odd ones."""
         offsets = np.empty(2 * len(self.starts), np.int32)
@@ -133,6 +145,16 @@ def hash_of(name: str) -> int:
     return h
 
 
+def mark(text: bytes) -> int:
+    """Depends on the text alone, so it is the same in every pass."""
+    return zlib.crc32(text) % MARKS
+
+
+def marked(h: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """One hash of a phrase and the mark of a text."""
+    return _mixed(h + marks.astype(np.uint64) * np.uint64(BASES[1]))
+
+
 def cut(text: bytes, limit: int) -> Iterator[tuple[bytes, int]]:
     """Parts of a text that end with a piece, or else with a word: then the next part begins three words earlier, and
     those are told."""
@@ -165,20 +187,21 @@ def cut(text: bytes, limit: int) -> Iterator[tuple[bytes, int]]:
 def chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[Chunk]:
     """Chunks of about `limit` bytes, each of one language; a line break parts the documents."""
     waiting: dict[str, tuple[list[bytes], int]] = {}
+    joined = lambda lang, texts: Chunk(lang, b"\n".join(texts), 0, list(map(mark, texts)), list(map(len, texts)))
     for batch in batches:
         for lang, text in zip(batch.column(0), batch.column(1)):
             lang, text = lang.as_py(), text.as_py()
             if len(text) > limit:
-                yield from (Chunk(lang, part, counted) for part, counted in cut(text, limit))
+                yield from (Chunk(lang, part, counted, [mark(text)]) for part, counted in cut(text, limit))
                 continue
             texts, size = waiting.get(lang, ([], 0))
             texts.append(text)
             waiting[lang] = texts, size + len(text) + 1
             if waiting[lang][1] >= limit:
-                yield Chunk(lang, b"\n".join(waiting.pop(lang)[0]), 0)
+                yield joined(lang, waiting.pop(lang)[0])
         # A batch is bounded, and so is what waits for its language.
         for lang, (texts, _) in waiting.items():
-            yield Chunk(lang, b"\n".join(texts), 0)
+            yield joined(lang, texts)
         waiting.clear()
 
 
@@ -218,35 +241,55 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text.alias("text"))
 
 
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, n = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(key)
-    key, n = key[order], n[order]
-    firsts = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0)
-    return key[firsts], np.add.reduceat(n, firsts) if len(firsts) else n
+def _half(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(32)).astype(np.uint32)
 
 
-def frequent_hashes(texts: DataFrame, sizes: tuple[int, ...], within: Broadcast | None, min_count: int, chunk: int) -> DataFrame:
-    """Hashes `h` of the phrases of these sizes that min_count occurrences or more have; of those alone whose words
-    (sizes from 2) or pairs (sizes from 3) `within` may have. Stored."""
+#: A stripe's entries in hashes: those of the phrase, its occurrences, and the least mark of the texts that hold it.
+ENTRY = "h bigint, g int, n bigint, mark int"
+COLUMNS = [column.split()[0] for column in ENTRY.split(", ")]
+
+
+def _summed(h: np.ndarray, g: np.ndarray, n: np.ndarray, marks: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Equal entries (both hashes) as one: occurrences are added, the least mark stays."""
+    if not len(h):
+        return h, g, n, marks, word
+    order = np.argsort(h)
+    same = np.diff(h[order]) == 0
+    if (np.diff(g[order])[same] != 0).any():  # a collision of the first hash
+        order = np.lexsort((g, h))
+    h, g = h[order], g[order]
+    at = np.flatnonzero(np.concatenate([[True], (np.diff(h) != 0) | (np.diff(g) != 0)]))
+    return h[at], g[at], np.add.reduceat(n[order], at), np.minimum.reduceat(marks[order], at), word[order[at]]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = Hash(BASES[0])
-        keys: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
-        held = 0
 
-        def row_batch(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["h", "n"])
+def _by_word(h: np.ndarray, g: np.ndarray, n: np.ndarray, marks: np.ndarray, word: np.ndarray) -> pa.RecordBatch:
+    """Stripes, a row a word."""
+    order = np.argsort(word)
+    word = word[order]
+    at = np.flatnonzero(np.concatenate([[len(word) > 0], np.diff(word) != 0])[: len(word)])
+    entries = pa.StructArray.from_arrays([pa.array(x[order]) for x in (h.view(np.int64), g.view(np.int32), n, marks)], COLUMNS)
+    nexts = pa.ListArray.from_arrays(pa.array(np.append(at, len(word)).astype(np.int32)), entries)
+    return pa.RecordBatch.from_arrays([pa.array(word[at].view(np.int64)), nexts], names=["word", "nexts"])
 
+
+def frequent_stripes(texts: DataFrame, sizes: tuple[int, ...], within: Broadcast | None, min_count: int, chunk: int) -> DataFrame:
+    """The merged stripes' entries, in hashes, of the phrases of these sizes that min_count occurrences or more have; of those alone
+    whose words (sizes from 2) or pairs (sizes from 3) `within` may have. Stored."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = [Hash(base) for base in BASES]
+        waiting: list[tuple[np.ndarray, ...]] = []
+        held = 0
         for part in chunks(batches, chunk):
-            phrases = words = part.hashes(by)
+            words = [part.hashes(by) for by in hashes]
+            phrases, marks = words, part.texts()
             open_ = None
             for size in range(1, max(sizes) + 1):
                 if size > 1:
-                    phrases = by.longer(phrases[:-1], words[size - 1 :])
+                    phrases = [by.longer(p[:-1], w[size - 1 :]) for by, p, w in zip(hashes, phrases, words)]
                 if within is not None and size == min(min(sizes) - 1, 2):
-                    open_ = within.value.has(phrases)
+                    open_ = within.value.has(phrases[0])
                     least = size
                 if size not in sizes:
                     continue
@@ -254,21 +297,61 @@ def frequent_hashes(texts: DataFrame, sizes: tuple[int, ...], within: Broadcast
                 if open_ is not None:
                     for k in range(size - least + 1):
                         ok &= open_[k : k + len(ok)]
-                key, n = np.unique(phrases[ok], return_counts=True)
-                keys.append(key)
-                counts.append(n)
-                held += len(key)
+                at = np.flatnonzero(ok)
+                entries = phrases[0][at], _half(phrases[1][at]), np.ones(len(at), np.int64), marks[at], words[0][at]
+                waiting.append(_summed(*entries))
+                held += len(waiting[-1][0])
             if held >= HELD:
-                key, n = _summed(keys, counts)
-                keys, counts, held = [key], [n], len(key)
+                waiting = [_summed(*map(np.concatenate, zip(*waiting)))]
+                held = len(waiting[0][0])
                 if held >= HELD // 2:
-                    yield row_batch(key, n)
-                    keys, counts, held = [], [], 0
-        if keys:
-            yield row_batch(*_summed(keys, counts))
-
-    rows = texts.mapInArrow(count, "h bigint, n bigint")
-    return stored(rows.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).select("h"), "collocation-hashes")
+                    yield _by_word(*waiting[0])
+                    waiting, held = [], 0
+        if waiting:
+            yield _by_word(*_summed(*map(np.concatenate, zip(*waiting))))
+
+    struct = ", ".join(column.replace(" ", ": ") for column in ENTRY.split(", "))
+    entries = texts.mapInArrow(count, f"word bigint, nexts array<struct<{struct}>>").select(F.inline("nexts"))
+    merged = entries.groupBy("h", "g").agg(F.sum("n").alias("n"), F.min("mark").alias("mark"))
+    return stored(merged.where(F.col("n") >= min_count), "collocation-hashes")
+
+
+def places(frequent: DataFrame) -> DataFrame:
+    """Hashes `h` of each phrase with its mark."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, marks = (column.to_numpy(zero_copy_only=False) for column in batch.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(marked(h.view(np.uint64), marks).view(np.int64))], names=["h"])
+
+    return frequent.select("h", "mark").mapInArrow(hashed, "h bigint")
+
+
+def hashed_names(names: DataFrame) -> DataFrame:
+    """lang, word, next with the two hashes `h` and `g` of the phrase."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = [Hash(base) for base in BASES]
+        for batch in batches:
+            langs = batch.column(0).dictionary_encode()
+            for code, lang in enumerate(langs.dictionary.to_pylist()):
+                rows = batch.filter(pc.equal(langs.indices, code))
+                whole = [rows.column(k).cast(pa.binary()).to_pylist() for k in (1, 2)]
+                part = Chunk(lang, b"\n".join(a if b is None else a + b" " + b for a, b in zip(*whole)), 0)
+                sizes = np.bincount(part.pieces, minlength=rows.num_rows)
+                first = np.cumsum(sizes) - sizes
+                found = []
+                for h in by:
+                    words = part.hashes(h)
+                    phrases = words[first]
+                    for size in range(1, MAX_WORDS):
+                        more = np.flatnonzero(sizes > size)
+                        phrases[more] = h.longer(phrases[more], words[first[more] + size])
+                    found.append(phrases)
+                both = pa.array(found[0].view(np.int64)), pa.array(_half(found[1]).view(np.int32))
+                yield pa.RecordBatch.from_arrays([*rows.columns, *both], names=["lang", "word", "next", "h", "g"])
+
+    return names.select("lang", "word", "next").mapInArrow(hashed, "lang string, word string, next string, h bigint, g int")
 
 
 def _same(first: np.ndarray, second: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -283,9 +366,9 @@ def _same(first: np.ndarray, second: np.ndarray) -> Iterator[tuple[np.ndarray, n
         left = left[other]
 
 
-def mine_stripes(texts: DataFrame, within: list[Broadcast], chunk: int) -> DataFrame:
+def mine_stripes(texts: DataFrame, within: list[Broadcast], chunk: int, places: Broadcast | None = None) -> DataFrame:
     """The merged stripes: lang, word (empty: all words), next (null: the word itself), n. within: bitmaps of words, of pairs, and
-    of longer phrases."""
+    of longer phrases. places: a bitmap of phrases with marks; then phrases have entries of the texts with their mark alone."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = [Hash(base) for base in BASES]
@@ -314,11 +397,13 @@ def mine_stripes(texts: DataFrame, within: list[Broadcast], chunk: int) -> DataF
                 continue
             stripes[part.lang, b""][None] += new
             words = [part.hashes(by) for by in hashes]
-            listed, phrases = part.words(), words
+            listed, phrases, marks = part.words(), words, part.texts()
             for size in range(1, MAX_WORDS + 1):
                 if size > 1:
                     phrases = [by.longer(p[:-1], w[size - 1 :]) for by, p, w in zip(hashes, phrases, words)]
                 at = np.flatnonzero(part.phrases(size) & within[min(size, 3) - 1].value.has(phrases[0]))
+                if places is not None:
+                    at = at[places.value.has(marked(phrases[0][at], marks[at]))]
                 for chosen, n in _same(phrases[0][at], phrases[1][at]):
                     word, *after = [listed.take(pa.array(2 * (at[chosen] + k))) for k in range(size)]
                     nexts = pc.binary_join_element_wise(*after, b" ") if after else pa.nulls(len(word))
@@ -342,13 +427,19 @@ def mine_stripes(texts: DataFrame, within: list[Broadcast], chunk: int) -> DataF
 def collocations(docs: DataFrame, top: int = TOP, min_count: int = MIN_COUNT, subsumed: int = SUBSUMED, chunk: int = CHUNK) -> DataFrame:
     """The first `top` phrases of each language: lang, rank, phrase, a, l, r, n, score."""
     texts = _texts(docs)
-    words = bitmap(frequent_hashes(texts, (1,), None, min_count, chunk))
-    pairs = bitmap(frequent_hashes(texts, (2,), words, min_count, chunk))
-    longer = bitmap(frequent_hashes(texts, (3, 4), pairs, min_count, chunk))
+    counted: list[DataFrame] = []
+    within: list[Broadcast] = []
+    for sizes in (1,), (2,), (3, 4):
+        counted.append(frequent_stripes(texts, sizes, within[-1] if within else None, min_count, chunk))
+        within.append(bitmap(counted[-1]))
+    counts = counted[0].unionByName(counted[1]).unionByName(counted[2])
+    least = bitmap(places(counts))
     root = F.col("word") == ""
-    stripes = stored(mine_stripes(texts, [words, pairs, longer], chunk).where(root | (F.col("n") >= min_count)), "collocation-stripes")
-    for sent in (words, pairs, longer):
+    named = stored(mine_stripes(texts, within, chunk, least), "collocation-names")
+    for sent in (*within, least):
         sent.destroy()
+    names = hashed_names(named.where(~root)).join(counts.select("h", "g", "n"), ["h", "g"])
+    stripes = stored(names.select(*named.columns).unionByName(named.where(root)), "collocation-stripes")
 
     parts = F.split("phrase", " ", -1)
     piece = lambda start, size: F.array_join(F.slice(parts, start, size), " ")

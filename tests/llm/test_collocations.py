@@ -138,3 +138,44 @@ def test_a_task_sends_no_more_rows_than_words(spark):
     assert sum(len(row["ns"]) for row in rows) == len(counts) + 1
     sent = {(word, *(rest or "").split()): n for _, word, nexts, ns in map(dict.values, rows) for rest, n in zip(nexts, ns) if word}
     assert sent == counts
+
+
+def test_words_of_languages_are_told_apart_by_hashes():
+    """'ie' differs from 'de' by as much as 'en' from 'es'."""
+    by = collocations.Hash(collocations.BASES[0])
+    hashes = lambda lang, word: int(collocations.Chunk(lang, word, 0).hashes(by)[0])
+    assert hashes("es", b"de") != hashes("en", b"ie")
+
+
+def sent(monkeypatch, texts, min_count):
+    """Entries of the last pass's stripes that tasks send, a task a list of texts."""
+    found = []
+    mine = collocations.mine_stripes
+
+    def watched(frame, *rest):
+        seen = SimpleNamespace(mapInArrow=lambda build, schema: found.append(frame.mapInArrow(build, schema).collect()) or MagicMock())
+        mine(seen, *rest)
+        return mine(frame, *rest)
+
+    monkeypatch.setattr(collocations, "mine_stripes", watched)
+    rows = collocations.collocations(texts, top=10_000, min_count=min_count).collect()
+    return rows, sum(len(row.ns) for row in found[0] if row.word)
+
+
+def test_a_phrase_is_named_once_however_many_tasks_hold_it(spark, monkeypatch):
+    """Entries grow with the frequent phrases, not with those times the tasks."""
+    random.seed(3)
+    rows = [(k, "en", " ".join(random.choice("abcdefghij") for _ in range(300)) + f" {k}") for k in range(64)]
+    texts = spark.createDataFrame(rows, SCHEMA).repartition(16)
+    found, entries = sent(monkeypatch, texts, 10)
+    assert sorted(map(tuple, found)) == brute(rows, 10, 80, 10_000)
+    counts = Counter(tuple(w[i : i + m]) for _, _, text in rows for w in [text.split()] for m in range(1, 5) for i in range(len(w) - m + 1))
+    frequent = sum(n >= 10 for n in counts.values())
+    assert frequent <= entries < 1.5 * frequent
+
+
+def test_collisions_of_the_first_hash_are_counted_apart():
+    h, g = np.array([7, 3, 7, 7, 7], np.uint64), np.array([2, 1, 1, 2, 1], np.uint64)
+    n, marks, word = np.array([1, 2, 3, 4, 5]), np.array([9, 8, 7, 6, 5]), h + np.uint64(1)
+    found = [tuple(map(int, row)) for row in zip(*collocations._summed(h, g, n, marks, word))]
+    assert found == [(3, 1, 2, 8, 4), (7, 1, 8, 5, 8), (7, 2, 5, 6, 8)]
