@@ -45,7 +45,7 @@ TOP = 2000
 #: Bits of a bitmap a frequent phrase, and of a whole bitmap: time only, never the result.
 BITS_EACH, MAX_BITS = 16, 1 << 28
 #: Bytes of text, hash counts and stripe entries that a task holds: memory only, never the result.
-CHUNK, HELD, ENTRIES = 1 << 21, 1_000_000, 200_000
+CHUNK, HELD, ENTRIES = 1 << 21, 500_000, 200_000
 #: Bytes of a text that are hashed in one array operation.
 BLOCK = 1 << 16
 #: Marks of texts: a phrase is named in about one text, and one more for each so many occurrences; time only.
